@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = "▁"  # the visible space of the format
 _SPACE_BYTES = SPACE.encode()
@@ -310,8 +311,8 @@ def encode(docs: DataFrame, model: str, text: str = "text", prefix: str = "piece
 
     schema = docs.schema
     for name in made[:3]:
-        schema = schema.add(name, "array<int>")
-    return docs.mapInArrow(run, schema.add(made[3], "string"))
+        schema = schema.add(name, T.ArrayType(T.IntegerType()))
+    return docs.mapInArrow(run, schema.add(made[3], T.StringType()))
 
 
 def decode(rows: DataFrame, model: str, ids: str = "piece_ids", to: str = "decoded") -> DataFrame:
@@ -325,7 +326,7 @@ def decode(rows: DataFrame, model: str, ids: str = "piece_ids", to: str = "decod
             back = [None if i is None else c.decode(i) for i in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.string())], names=[*batch.schema.names, to])
 
-    return rows.mapInArrow(run, rows.schema.add(to, "string"))
+    return rows.mapInArrow(run, rows.schema.add(to, T.StringType()))
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
