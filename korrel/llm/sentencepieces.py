@@ -309,10 +309,8 @@ def encode(docs: DataFrame, model: str, text: str = "text", prefix: str = "piece
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (np.concatenate(ids).astype(np.int32), both[:, 0].copy(), both[:, 1].copy())]
                 yield pa.RecordBatch.from_arrays([*rows.columns, *lists, pa.array(back, pa.string())], names=[*rows.schema.names, *made])
 
-    schema = docs.schema
-    for name in made[:3]:
-        schema = schema.add(name, T.ArrayType(T.IntegerType()))
-    return docs.mapInArrow(run, schema.add(made[3], T.StringType()))
+    new = [T.StructField(name, T.ArrayType(T.IntegerType())) for name in made[:3]]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *new, T.StructField(made[3], T.StringType())]))
 
 
 def decode(rows: DataFrame, model: str, ids: str = "piece_ids", to: str = "decoded") -> DataFrame:
@@ -326,7 +324,7 @@ def decode(rows: DataFrame, model: str, ids: str = "piece_ids", to: str = "decod
             back = [None if i is None else c.decode(i) for i in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.string())], names=[*batch.schema.names, to])
 
-    return rows.mapInArrow(run, rows.schema.add(to, T.StringType()))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(to, T.StringType())]))
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
