@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from korrel.llm import sentencepieces
+from korrel.llm import neardup, sentencepieces, token_counts
+from korrel.plans.scratch import scratch_path
 
 
 def _tokenizer(name: str) -> str:
@@ -24,9 +26,20 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document, from a cache that begins empty."""
+    counted = token_counts.count(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), scratch_path(spark, "token-counts"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of the documents."""
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to function of (spark, sf_dir)."""
-    return {"op1_sentencepiece": op1_sentencepiece}
+    return {f.__name__: f for f in (op1_sentencepiece, op6_token_counts, op8_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
