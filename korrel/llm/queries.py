@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korrel.llm import neardup, sentencepieces, token_counts
+from korrel.llm import neardup, sentencepieces, substrings, token_counts
 from korrel.plans.scratch import scratch_path
 
 
@@ -26,6 +26,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document outside passages of earlier documents."""
+    made = substrings.without_repeats(_table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document, from a cache that begins empty."""
     counted = token_counts.count(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), scratch_path(spark, "token-counts"))
@@ -39,7 +45,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_sentencepiece, op6_token_counts, op8_near_duplicates)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_repeated_passages, op6_token_counts, op8_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
