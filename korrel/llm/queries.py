@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korrel.llm import neardup, sentencepieces, substrings, token_counts
+from korrel.llm import neardup, secrets, sentencepieces, substrings, token_counts
 from korrel.plans.scratch import scratch_path
 
 
@@ -32,6 +32,11 @@ def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.digests(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document, from a cache that begins empty."""
     counted = token_counts.count(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), scratch_path(spark, "token-counts"))
@@ -45,7 +50,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_sentencepiece, op2_repeated_passages, op6_token_counts, op8_near_duplicates)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_repeated_passages, op4_secrets, op6_token_counts, op8_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
