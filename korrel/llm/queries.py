@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korrel.llm import neardup, secrets, sentencepieces, substrings, token_counts
+from korrel.llm import neardup, pii, secrets, sentencepieces, substrings, token_counts
 from korrel.plans.scratch import scratch_path
 
 
@@ -48,9 +48,14 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_sentencepiece, op2_repeated_passages, op4_secrets, op6_token_counts, op8_near_duplicates)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_repeated_passages, op4_secrets, op6_token_counts, op8_near_duplicates, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
