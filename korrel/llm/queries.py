@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korrel.llm import neardup, pii, secrets, sentencepieces, substrings, token_counts
+from korrel.llm import neardup, pii, secrets, sentencepieces, substrings, token_counts, topk
 from korrel.plans.scratch import scratch_path
 
 
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, x.vec_id AS vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(x.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q, v x WHERE q.vec_id % 50 = 0 AND x.vec_id <> q.vec_id
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -43,6 +58,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of the documents."""
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -55,9 +75,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_sentencepiece, op2_repeated_passages, op4_secrets, op6_token_counts, op8_near_duplicates, op10_pii)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_repeated_passages, op4_secrets, op6_token_counts, op7_exact_topk, op8_near_duplicates, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Query name to DuckDB SQL."""
-    return {}
+    return {"op7_exact_topk": OP7_SQL}
