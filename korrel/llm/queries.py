@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korrel.llm import neardup, pii, secrets, sentencepieces, substrings, token_counts, topk
+from korrel.llm import html_text, neardup, pii, secrets, sentencepieces, substrings, token_counts, topk
 from korrel.plans.scratch import scratch_path
 
 
@@ -52,6 +52,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(_table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.texts(_table(spark, sf_dir, "pages"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document, from a cache that begins empty."""
     counted = token_counts.count(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), scratch_path(spark, "token-counts"))
@@ -75,7 +80,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_sentencepiece, op2_repeated_passages, op4_secrets, op6_token_counts, op7_exact_topk, op8_near_duplicates, op10_pii)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_repeated_passages, op4_secrets, op5_html_text, op6_token_counts, op7_exact_topk, op8_near_duplicates, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
