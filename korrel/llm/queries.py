@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korrel.llm import html_text, neardup, pii, secrets, sentencepieces, substrings, token_counts, topk
+from korrel.llm import html_text, neardup, pii, secrets, sentencepieces, substrings, token_counts, topk, toxicity
 from korrel.plans.scratch import scratch_path
 
 
@@ -47,6 +47,11 @@ def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.predictions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secrets.digests(_table(spark, sf_dir, "documents"))
@@ -80,7 +85,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_sentencepiece, op2_repeated_passages, op4_secrets, op5_html_text, op6_token_counts, op7_exact_topk, op8_near_duplicates, op10_pii)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_repeated_passages, op3_toxicity, op4_secrets, op5_html_text, op6_token_counts, op7_exact_topk, op8_near_duplicates, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
