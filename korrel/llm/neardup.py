@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,12 +22,16 @@ from korrel.plans.components import components
 from korrel.plans.scratch import stored
 
 WORDS = 5
-COORDINATES = 64
-#: Of 64 coordinates a pair of similarity 0.75 shares 48 on average, with a deviation of 3.5; 33 leaves out about 1 in 10**5.
-MATCHES = 33
+COORDINATES = 128
+#: Of 128 coordinates a pair of similarity 0.75 shares 96 on average, with a deviation of 4.9; 74 leaves out about 1 in 10**5.
+MATCHES = 74
 PERCENT = 75
+#: Turns of comparing a list's stragglers with its largest component; pairs that they leave are compared one by one.
+ROUNDS = 3
+#: Documents of a list that are compared with each other in one group.
+BLOCK = 512
 
-_MARKS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("signature", T.ArrayType(T.IntegerType()))])
+_MARKS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("signature", T.ArrayType(T.IntegerType())), T.StructField("short", T.BinaryType())])
 _SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
 
 
@@ -72,7 +77,12 @@ def _marks(docs: DataFrame, words: int, coordinates: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], ends]).astype(np.int32), mask=np.append(sizes == 0, False)), pa.array(signatures.ravel().view(np.int32))
                 )
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), pa.array(d[0].view(np.int64)), pa.array(d[1].view(np.int64)), lists], schema=pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("signature", pa.list_(pa.int32()))]))
+                short = np.zeros((len(sets), coordinates), np.uint8)
+                short[full] = signatures.astype(np.uint8)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), pa.array(d[0].view(np.int64)), pa.array(d[1].view(np.int64)), lists, pa.array([x.tobytes() for x in short], pa.binary())],
+                    schema=pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("signature", pa.list_(pa.int32())), ("short", pa.binary())]),
+                )
 
     return docs.mapInArrow(run, _MARKS)
 
@@ -106,6 +116,11 @@ def _rare_postings(reps: DataFrame, coordinates: int, matches: int) -> DataFrame
     )
 
 
+def _labelled(lists: DataFrame, known: DataFrame) -> DataFrame:
+    """Postings (key, doc) with the component c of each document."""
+    return lists.join(known.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("c"))
+
+
 def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose signatures agree often enough and whose shingle sets are similar enough."""
     mark = lambda s: reps.select(F.col("doc").alias(s), F.col("signature").alias(f"sig_{s}"))
@@ -117,6 +132,39 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, matches: int,
     return both.withColumn("common", common).filter(F.col("common") * 100 >= (F.size("set_a") + F.size("set_b") - F.col("common")) * percent).select("a", "b")
 
 
+def _across(labelled: DataFrame, reps: DataFrame, matches: int) -> DataFrame:
+    """Pairs (a, b), a > b, of different components within a list, whose signatures agree in enough places.
+
+    Documents outside a list's largest component are compared with all of the list, block by block, by one byte of
+    each signature value: a pair costs no row unless it agrees.
+    """
+    parts = labelled.groupBy("key", "c").agg(F.count("*").alias("n"))
+    heads = parts.groupBy("key").agg(F.max(F.struct("n", "c")).alias("head"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
+    cut = lambda n: F.ceil(n / BLOCK).cast("int")
+    heads = stored(heads.select("key", F.col("head.c").alias("main"), cut(F.col("n")).alias("xs"), F.greatest(cut(F.col("n") - F.col("head.n")), F.lit(1)).alias("ss")), "heads")
+    lists = stored(labelled.join(heads, "key").join(reps.select("doc", "short"), "doc"), "mixed")
+    at = lambda parts: F.pmod(F.xxhash64("doc"), F.col(parts)).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    own = ["key", "s", "x", "doc", "c", "short"]
+    strays = lists.filter("c <> main").withColumn("s", at("ss")).withColumn("x", each("xs")).select(own)
+    every = lists.withColumn("x", at("xs")).withColumn("s", each("ss")).select(own)
+
+    def compare(strays: pd.DataFrame, every: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        if len(strays) and len(every):
+            x = np.frombuffer(b"".join(every["short"]), np.uint8).reshape(len(every), -1)
+            c, docs = every["c"].to_numpy(), every["doc"].to_numpy()
+            for doc, mine, short in zip(strays["doc"], strays["c"], strays["short"]):
+                agree = np.count_nonzero(x == np.frombuffer(short, np.uint8), axis=1)
+                other = docs[(agree >= matches) & (c != mine)]
+                a.append(np.maximum(other, doc))
+                b.append(np.minimum(other, doc))
+        return pd.DataFrame({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
+
+    group = ["key", "s", "x"]
+    return strays.groupBy(*group).cogroup(every.groupBy(*group)).applyInPandas(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
     """One row (doc_id, n_shingles, component_id, kept) per row of docs.
 
@@ -131,29 +179,42 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     marks = stored(_marks(docs, words, coordinates), "marks")
     some = marks.filter("n_shingles > 0 and doc_id is not null")
     same = ["d1", "d2", "n_shingles"]
-    groups = some.groupBy(*same).agg(F.min("doc_id").alias("rep"))
+    groups = stored(some.groupBy(*same).agg(F.min("doc_id").alias("rep")), "groups")
     reps = some.join(groups, same).filter("doc_id = rep").select(F.col("doc_id").alias("doc"), "signature")
     lists = stored(_rare_postings(reps, coordinates, matches), "postings")
-    reps = marks.select(F.col("doc_id").alias("doc"), "signature").join(lists.select("doc").distinct(), "doc", "left_semi")
+    reps = marks.select(F.col("doc_id").alias("doc"), "signature", "short").join(lists.select("doc").distinct(), "doc", "left_semi")
 
     # Each list's first document against the others: that many pairs, and most copies end up in one component.
     heads = lists.groupBy("key").agg(F.min("doc").alias("b"), F.max("doc").alias("last")).filter("b < last")
     stars = stored(lists.join(heads, "key").filter("doc <> b").groupBy(F.col("doc").alias("a"), "b").count(), "stars")
     ids = stars.select("a").union(stars.select("b")).distinct()
     sets = stored(_sets(docs.join(ids.withColumnRenamed("a", "doc_id").hint("shuffle_hash"), "doc_id"), words), "sets")
-    links = stored(_confirmed(stars.select("a", "b"), reps, sets, matches, percent), "links")
+    tested = stars.select("a", "b")
+    links = stored(_confirmed(tested, reps, sets, matches, percent), "links")
     known = components(links, "a", "b")
 
+    # Then every document that a list has outside its largest component against one member of that, another in each
+    # list: again no more pairs than postings, until such tests find nothing new.
+    for turn in range(ROUNDS):
+        labelled = _labelled(lists, known)
+        parts = labelled.groupBy("key", "c").agg(F.count("*").alias("n"), F.min_by("doc", F.xxhash64("doc", "key", F.lit(turn))).alias("member"))
+        heads = stored(parts.groupBy("key").agg(F.max(F.struct("n", "c", "member")).alias("head"), F.count("*").alias("parts")).filter("parts > 1"), "heads")
+        pairs = labelled.join(heads, "key").filter("c <> head.c").select(F.greatest("doc", "head.member").alias("a"), F.least("doc", "head.member").alias("b"))
+        pairs = stored(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = stored(_confirmed(pairs, reps, sets, matches, percent), "links")
+        tested = tested.union(pairs)
+        if found.isEmpty():
+            break
+        links = links.union(found)
+        known = components(links, "a", "b")
+
     # What is left are pairs of different components within a list.
-    labelled = lists.join(known.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("c"))
-    mixed = labelled.join(labelled.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("key"), "key", "left_semi")
-    mixed = stored(mixed, "mixed")
-    a, b = mixed.select("key", F.col("doc").alias("a"), F.col("c").alias("ca")), mixed.select("key", F.col("doc").alias("b"), F.col("c").alias("cb"))
-    across = a.join(b, "key").filter("ca > cb").groupBy("a", "b").count().select("a", "b").join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    more = _confirmed(across, reps, sets, matches, percent)
+    across = _across(_labelled(lists, known), reps, matches).join(tested, ["a", "b"], "left_anti")
+    more = stored(_confirmed(stored(across, "pairs"), reps, sets, matches, percent), "more")
+
     # A key that repeats with other texts joins their sets.
     owners = some.select("doc_id", *same).join(groups, same).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
-    whole = components(links.union(stored(more, "more")).union(owners.filter("a < b").select("a", "b")), "a", "b")
+    whole = components(links.union(more).union(owners.filter("a < b").select("a", "b")), "a", "b")
 
     rep = groups.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("of_set"))
     found = marks.select("doc_id", *same).join(rep, same, "left")
