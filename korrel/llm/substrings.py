@@ -30,8 +30,7 @@ SHARD_WORDS = 400_000
 
 _long, _int = T.LongType(), T.IntegerType()
 _PASSAGES = T.StructType([T.StructField("a", _long), T.StructField("h", _long), T.StructField("n", _int), T.StructField("doc_id", _long), T.StructField("row", _long), T.StructField("start", _int)])
-_CONTENTS = T.StructType([T.StructField("a", _long), T.StructField("h", _long), T.StructField("n", _int), T.StructField("doc_id", _long), T.StructField("words", T.ArrayType(_long))])
-_WINDOWS = T.StructType([T.StructField("a", _long), T.StructField("h", _long), T.StructField("n", _int), T.StructField("doc_id", _long), T.StructField("offset", _int), T.StructField("w1", _long), T.StructField("w2", _long)])
+_PARTS = T.StructType([T.StructField("a", _long), T.StructField("h", _long), T.StructField("n", _int), T.StructField("doc_id", _long), T.StructField("words", T.ArrayType(_long)), T.StructField("offset", _int), T.StructField("w1", _long), T.StructField("w2", _long)])
 _HITS = T.StructType([T.StructField("a", _long), T.StructField("h", _long), T.StructField("n", _int), T.StructField("lo", _int), T.StructField("hi", _int)])
 
 
@@ -82,45 +81,34 @@ def _passages(rows: DataFrame, window: int, run: int) -> DataFrame:
     return rows.mapInArrow(cut, _PASSAGES)
 
 
-def _wanted(rows: DataFrame, passages: DataFrame) -> DataFrame:
-    """rows (doc_id, row, text) of the passages (row, ...), with their list as column p."""
-    lists = passages.groupBy("row").agg(F.collect_list(F.struct("a", "h", "n", "start")).alias("p"))
-    return rows.join(lists.hint("shuffle_hash"), "row").select("doc_id", "row", "text", "p")
-
-
-def _contents(rows: DataFrame, passages: DataFrame) -> DataFrame:
-    """The passages with the hashes of their words."""
-    out = _arrow(_CONTENTS)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in wordhash.blocks(batch, 2):
-                hashes, first = wordhash.hashed(data, offsets)
-                made = []
-                for doc, at, p in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), first.tolist(), batch.column(3).slice(lo, hi - lo).to_pylist()):
-                    made += [{"a": x["a"], "h": x["h"], "n": x["n"], "doc_id": doc, "words": hashes[at + x["start"] : at + x["start"] + x["n"]].view(np.int64)} for x in p]
-                yield pa.RecordBatch.from_pylist(made, schema=out)
-
-    return _wanted(rows, passages).mapInArrow(cut, _CONTENTS)
-
-
-def _windows(rows: DataFrame, passages: DataFrame, window: int) -> DataFrame:
-    """The windows of the passages with two hashes of their words."""
-    out = _arrow(_WINDOWS)
+def _parts(rows: DataFrame, passages: DataFrame, window: int, in_shard: int) -> DataFrame:
+    """The passages (row, a, h, n, start, count) with the hashes of their words, or, where their anchor has more than
+    in_shard of them, each window of the passage with two hashes of its words. Texts are moved once for both."""
+    lists = passages.groupBy("row").agg(F.collect_list(F.struct("a", "h", "n", "start", (F.col("count") > in_shard).alias("crowded"))).alias("p"))
+    wanted = rows.join(lists.hint("shuffle_hash"), "row").select("doc_id", "row", "text", "p")
+    out = _arrow(_PARTS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in wordhash.blocks(batch, 2):
                 hashes, first = wordhash.hashed(data, offsets)
-                one, two = wordhash.Sequences(hashes), wordhash.Sequences(wordhash.mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)))
+                one = two = None
                 for doc, at, p in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), first.tolist(), batch.column(3).slice(lo, hi - lo).to_pylist()):
+                    made = [{"a": x["a"], "h": x["h"], "n": x["n"], "doc_id": doc, "words": hashes[at + x["start"] : at + x["start"] + x["n"]].view(np.int64)} for x in p if not x["crowded"]]
+                    if made:
+                        yield pa.RecordBatch.from_pylist(made, schema=out)
                     for x in p:
+                        if not x["crowded"]:
+                            continue
+                        if one is None or two is None:
+                            one, two = wordhash.Sequences(hashes), wordhash.Sequences(wordhash.mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)))
                         k = x["n"] - window + 1
                         s = at + x["start"] + np.arange(k)
                         same = [pa.array(np.full(k, x[c], t)) for c, t in (("a", np.int64), ("h", np.int64), ("n", np.int32))]
-                        yield pa.RecordBatch.from_arrays([*same, pa.array(np.full(k, doc)), pa.array(np.arange(k, dtype=np.int32)), pa.array(one(s, s + window).view(np.int64)), pa.array(two(s, s + window).view(np.int64))], schema=out)
+                        none = pa.nulls(k, pa.list_(pa.int64()))
+                        yield pa.RecordBatch.from_arrays([*same, pa.array(np.full(k, doc)), none, pa.array(np.arange(k, dtype=np.int32)), pa.array(one(s, s + window).view(np.int64)), pa.array(two(s, s + window).view(np.int64))], schema=out)
 
-    return _wanted(rows, passages).mapInArrow(cut, _WINDOWS)
+    return wanted.mapInArrow(cut, _PARTS)
 
 
 def _searched(contents: DataFrame, window: int) -> DataFrame:
@@ -155,25 +143,24 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, run: int = RUN, in_sha
     spark = rows.sparkSession
     known = rows.filter("doc_id is not null")
     made = _passages(known, window, run)
-    shared = made.groupBy("a").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("a")
+    # Stored first, so that a hot anchor's rows can be split among tasks in the join.
+    shared = stored(made.groupBy("a").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("a"), "shared")
     made = stored(made.join(shared, "a", "left_semi"), "passages")
     same = ["a", "h", "n"]
     kinds = made.groupBy(*same).agg(F.min(F.struct("doc_id", "row", "start")).alias("least"))
     kinds = stored(kinds.select(*same, F.col("least.doc_id").alias("first"), F.col("least.row").alias("row"), F.col("least.start").alias("start")), "kinds")
-    several = kinds.groupBy("a").count().filter("count > 1")
-    met = stored(kinds.join(several, "a"), "met")
-    words = met.filter(F.col("count") <= in_shard).agg(F.sum("n")).first()[0] or 0
+    several = stored(kinds.groupBy("a").count().filter("count > 1"), "several")
+    parts = stored(_parts(known, kinds.join(several, "a"), window, in_shard), "parts")
+    contents = parts.filter("words is not null").select(*same, "doc_id", "words")
+    words = contents.agg(F.sum("n")).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), words // SHARD_WORDS + 1)
-    contents = _contents(known, met.filter(F.col("count") <= in_shard))
     hits = _searched(contents.repartition(shards, "a"), window)
 
-    # The rest: anchors in so many different passages that one shard cannot take them.
-    crowded = met.filter(F.col("count") > in_shard)
-    if not crowded.isEmpty():
-        parts = stored(_windows(known, crowded, window), "windows")
-        least = parts.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-        again = parts.join(least, ["w1", "w2"]).filter("least < doc_id")
-        hits = hits.union(again.select(*same, F.col("offset").alias("lo"), (F.col("offset") + window).cast("int").alias("hi")))
+    # The rest: windows of anchors in so many different passages that one shard cannot take them.
+    windows = parts.filter("words is null")
+    least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+    again = windows.join(stored(least, "least"), ["w1", "w2"]).filter("least < doc_id")
+    hits = hits.union(again.select(*same, F.col("offset").alias("lo"), (F.col("offset") + window).cast("int").alias("hi")))
 
     of_kind = made.join(kinds.select(*same, "first"), same)
     copies = of_kind.filter("first < doc_id").select("row", F.col("start").alias("lo"), (F.col("start") + F.col("n")).alias("hi"))
