@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korrel.llm import html_text, neardup, pii, secrets, sentencepieces, substrings, token_counts, topk, toxicity
+import corpus_pipeline
+from korrel.llm import decontamination, html_text, neardup, pii, secrets, sentencepieces, substrings, token_counts, topk, toxicity
 from korrel.plans.scratch import scratch_path
 
 
@@ -78,6 +79,11 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in every document."""
+    return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return pii.digests(_table(spark, sf_dir, "documents"))
@@ -85,7 +91,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_sentencepiece, op2_repeated_passages, op3_toxicity, op4_secrets, op5_html_text, op6_token_counts, op7_exact_topk, op8_near_duplicates, op10_pii)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_repeated_passages, op3_toxicity, op4_secrets, op5_html_text, op6_token_counts, op7_exact_topk, op8_near_duplicates, op9_decontamination, op10_pii)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
