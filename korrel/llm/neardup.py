@@ -132,37 +132,82 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, matches: int,
     return both.withColumn("common", common).filter(F.col("common") * 100 >= (F.size("set_a") + F.size("set_b") - F.col("common")) * percent).select("a", "b")
 
 
-def _across(labelled: DataFrame, reps: DataFrame, matches: int) -> DataFrame:
-    """Pairs (a, b), a > b, of different components within a list, whose signatures agree in enough places.
+def _bits(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A row of 128 flags for each pair of longs."""
+    both = np.stack([low, high], 1).astype(np.int64)
+    return np.unpackbits(both.view(np.uint8).reshape(len(both), 16), axis=1, bitorder="little").astype(bool)
+
+
+def _across(labelled: DataFrame, reps: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
+    """Links (a, b), a > b, of documents of different components within a list.
 
     Documents outside a list's largest component are compared with all of the list, block by block, by one byte of
-    each signature value: a pair costs no row unless it agrees.
+    each signature value. What agrees in enough places is gathered per straggler, not per pair, and taken only from
+    the first three places at which both are in one list, so that few lists name the same pair. The shingle sets then
+    meet in blocks of the documents around one component. Only confirmed links become rows.
     """
     parts = labelled.groupBy("key", "c").agg(F.count("*").alias("n"))
     heads = parts.groupBy("key").agg(F.max(F.struct("n", "c")).alias("head"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
-    cut = lambda n: F.ceil(n / BLOCK).cast("int")
-    heads = stored(heads.select("key", F.col("head.c").alias("main"), cut(F.col("n")).alias("xs"), F.greatest(cut(F.col("n") - F.col("head.n")), F.lit(1)).alias("ss")), "heads")
-    lists = stored(labelled.join(heads, "key").join(reps.select("doc", "short"), "doc"), "mixed")
+    cut = lambda n: F.greatest(F.ceil(n / BLOCK).cast("int"), F.lit(1))
+    heads = stored(heads.select("key", F.col("head.c").alias("main"), cut(F.col("n")).alias("xs"), cut(F.col("n") - F.col("head.n")).alias("ss")), "heads")
+    met = labelled.join(heads, "key")
+    around = met.groupBy("main", "doc").agg(F.max((F.col("c") != F.col("main")).cast("int")).alias("stray"))
+    around = stored(around, "around")
+    sizes = stored(around.groupBy("main").agg(cut(F.count("*")).alias("blocks"), cut(F.sum("stray")).alias("groups")), "sizes")
+    prefix = labelled.groupBy("doc").agg(
+        F.coalesce(F.expr("bit_or(CASE WHEN shiftright(key, 32) < 64 THEN shiftleft(1L, CAST(shiftright(key, 32) AS INT)) END)"), F.lit(0).cast("long")).alias("low"),
+        F.coalesce(F.expr("bit_or(CASE WHEN shiftright(key, 32) >= 64 THEN shiftleft(1L, CAST(shiftright(key, 32) AS INT) - 64) END)"), F.lit(0).cast("long")).alias("high"),
+    )
+    marks = prefix.join(reps.select("doc", "short"), "doc")
+    lists = stored(met.join(sizes, "main").join(marks, "doc"), "mixed")
     at = lambda parts: F.pmod(F.xxhash64("doc"), F.col(parts)).cast("int")
     each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    own = ["key", "s", "x", "doc", "c", "short"]
+    own = ["key", "s", "x", "main", "blocks", at("blocks").alias("block"), at("groups").alias("grp"), "doc", "c", "low", "high", "short"]
     strays = lists.filter("c <> main").withColumn("s", at("ss")).withColumn("x", each("xs")).select(own)
     every = lists.withColumn("x", at("xs")).withColumn("s", each("ss")).select(own)
 
     def compare(strays: pd.DataFrame, every: pd.DataFrame) -> pd.DataFrame:
-        a, b = [], []
+        out = []
         if len(strays) and len(every):
+            coordinate = int(strays["key"].iloc[0]) >> 32
+            main = strays["main"].iloc[0]
             x = np.frombuffer(b"".join(every["short"]), np.uint8).reshape(len(every), -1)
-            c, docs = every["c"].to_numpy(), every["doc"].to_numpy()
-            for doc, mine, short in zip(strays["doc"], strays["c"], strays["short"]):
-                agree = np.count_nonzero(x == np.frombuffer(short, np.uint8), axis=1)
-                other = docs[(agree >= matches) & (c != mine)]
-                a.append(np.maximum(other, doc))
-                b.append(np.minimum(other, doc))
-        return pd.DataFrame({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
+            flags = _bits(every["low"].to_numpy(), every["high"].to_numpy())[:, : x.shape[1]]
+            c, docs, blocks = every["c"].to_numpy(), every["doc"].to_numpy(), every["block"].to_numpy()
+            mine = _bits(strays["low"].to_numpy(), strays["high"].to_numpy())[:, : x.shape[1]]
+            for k, (doc, of, short, grp) in enumerate(zip(strays["doc"], strays["c"], strays["short"], strays["grp"])):
+                same = x == np.frombuffer(short, np.uint8)
+                near = np.flatnonzero((np.count_nonzero(same, axis=1) >= matches) & (c != of))
+                shared = same[near, : coordinate + 1] & flags[near, : coordinate + 1] & mine[k, : coordinate + 1]
+                near = near[np.count_nonzero(shared, axis=1) <= 3]
+                for b in np.unique(blocks[near]):
+                    out.append((main, int(b), int(grp), doc, docs[near[blocks[near] == b]]))
+        return pd.DataFrame(out, columns=["main", "block", "grp", "a", "others"])
 
     group = ["key", "s", "x"]
-    return strays.groupBy(*group).cogroup(every.groupBy(*group)).applyInPandas(compare, "a long, b long").distinct()
+    near = strays.groupBy(*group).cogroup(every.groupBy(*group)).applyInPandas(compare, "main long, block int, grp int, a long, others array<long>")
+    asked = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("own")), "a")
+    given = around.join(sizes, "main").join(sets.select(F.col("doc_id").alias("doc"), F.col("shingles").alias("set")), "doc").withColumn("block", at("blocks")).withColumn("grp", each("groups")).select("main", "block", "grp", "doc", "set")
+
+    def confirm(asked: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        if len(asked) and len(given):
+            held = dict(zip(given["doc"], given["set"]))
+            for doc, rows in asked.groupby("a"):
+                mine = np.sort(rows["own"].iloc[0])
+                others = np.unique(np.concatenate(list(rows["others"])))
+                theirs = [held[o] for o in others]
+                n = np.array([len(t) for t in theirs])
+                flat = np.concatenate(theirs)
+                hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+                common = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(n)[:-1]]))
+                linked = others[common * 100 >= (len(mine) + n - common) * percent]
+                a.append(np.maximum(linked, doc))
+                b.append(np.minimum(linked, doc))
+        return pd.DataFrame({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
+
+    block = ["main", "block", "grp"]
+    return asked.groupBy(*block).cogroup(given.groupBy(*block)).applyInPandas(confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
@@ -209,8 +254,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         known = components(links, "a", "b")
 
     # What is left are pairs of different components within a list.
-    across = _across(_labelled(lists, known), reps, matches).join(tested, ["a", "b"], "left_anti")
-    more = stored(_confirmed(stored(across, "pairs"), reps, sets, matches, percent), "more")
+    more = stored(_across(_labelled(lists, known), reps, sets, matches, percent), "more")
 
     # A key that repeats with other texts joins their sets.
     owners = some.select("doc_id", *same).join(groups, same).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
