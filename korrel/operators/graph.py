@@ -156,13 +156,22 @@ def traverse(seeds: DataFrame, edges: DataFrame, questions: DataFrame, names: Da
         known = F.array_contains("inside", F.col("other"))
         score = F.size(F.array_intersect("wanted", "words")) + F.when(known, 2.0).otherwise(0.0) + (0.5 if level == 0 else 0.0)
         source, target = F.when(F.col("direction") == "out", F.col("node")).otherwise(F.col("other")), F.when(F.col("direction") == "out", F.col("other")).otherwise(F.col("node"))
-        options = near.select("question_id", "node", "other", source.alias("source"), "relation", target.alias("target"), score.alias("score"), known.alias("known"))
-        place = F.row_number().over(Window.partitionBy("question_id", "node", "known").orderBy(F.desc("score"), "source", "relation", "target"))
+        options = near.select(F.col("question_id").alias("q"), "node", "other", source.alias("source"), "relation", target.alias("target"), score.alias("score"), known.alias("known"))
+        place = F.row_number().over(Window.partitionBy("q", "node", "known").orderBy(F.desc("score"), "source", "relation", "target"))
         options = options.withColumn("place", place).filter(F.col("known") | (F.col("place") <= fan)).drop("place")
-        state = state.groupBy("question_id").cogroup(options.groupBy("question_id")).applyInPandas(lambda s, o, level=level: _accept(s, o, level, beam, most), state.schema)
+        state = state.groupBy("question_id").cogroup(options.groupBy("q")).applyInPandas(_level(level, beam, most), state.schema)
     return state.select("question_id", F.posexplode("taken").alias("step", "e")).select("question_id", "step", "e.source", "e.relation", "e.target", "e.level")
 
 
+def _level(level: int, beam: int, most: int):
+    """The greedy choice of one level, for applyInPandas."""
+
+    def accept(state: pd.DataFrame, options: pd.DataFrame) -> pd.DataFrame:
+        return _accept(state, options, level, beam, most)
+
+    return accept
+
+
 def _accept(state: pd.DataFrame, options: pd.DataFrame, level: int, beam: int, most: int) -> pd.DataFrame:
     """One level of one question."""
     if not len(state):

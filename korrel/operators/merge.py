@@ -7,22 +7,31 @@ from pyspark.sql import functions as F
 
 from korrel.operators.graph import induced
 
+#: Fields that tell one provenance entry from another.
+IDENTITY = ("sourceId", "importScopeId", "sourceKind", "method", "confidence", "evidence")
 KEY = ["source", "relation", "target"]
 
 
 def merged_provenance(entries: Column) -> Column:
-    """Entries in order without repeats of (sourceId, method, evidence); those without source or method are dropped."""
-    same = lambda a, b: a["sourceId"].eqNullSafe(b["sourceId"]) & a["method"].eqNullSafe(b["method"]) & a["evidence"].eqNullSafe(b["evidence"])
+    """Entries in order without repeats of an identity; those without source or method are dropped."""
+
+    def same(a: Column, b: Column) -> Column:
+        out = F.lit(True)
+        for name in IDENTITY:
+            out = out & a[name].eqNullSafe(b[name])
+        return out
+
     valid = F.filter(entries, lambda p: p["sourceId"].isNotNull() & p["method"].isNotNull())
     return F.aggregate(valid, F.slice(valid, 1, 0), lambda have, p: F.when(F.exists(have, lambda q: same(p, q)), have).otherwise(F.concat(have, F.array(p))))
 
 
 def merged_edges(base: DataFrame, added: DataFrame) -> DataFrame:
     """Edges of both by key: the base's label wins, provenance is united, base first. Loops are left out."""
-    rows = base.withColumn("part", F.lit(0)).unionByName(added.withColumn("part", F.lit(1))).filter("source <> target")
+    none = F.array().cast(base.schema["provenance"].dataType)
+    rows = base.withColumn("part", F.lit(0)).unionByName(added.withColumn("part", F.lit(1))).filter("source <> target").withColumn("provenance", F.coalesce("provenance", none))
     ordered = F.array_sort(F.collect_list(F.struct("part", "label", "provenance")))
     grouped = rows.groupBy(*KEY).agg(ordered.alias("all"))
-    every = F.flatten(F.transform("all", lambda x: F.coalesce(x["provenance"], F.slice(F.col("all")[0]["provenance"], 1, 0))))
+    every = F.flatten(F.transform("all", lambda x: x["provenance"]))
     return grouped.select(*KEY, F.col("all")[0]["label"].alias("label"), merged_provenance(every).alias("provenance"))
 
 
