@@ -140,6 +140,6 @@ def verified_links(links: DataFrame, titles: DataFrame, most: int = 48) -> DataF
 def triples(docs: DataFrame) -> DataFrame:
     """(id, pos, subject, relation, object): lines "subject | relation | object" of docs (id, text), the first eight."""
     line = F.regexp_replace(F.col("line"), r"^\s*(?:[-*•]|[0-9]+[.)])\s*", "")
-    rows = docs.select("id", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("id", "at", F.transform(F.split(line, r"\|"), F.trim).alias("p"))
+    rows = docs.select("id", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("id", "at", F.transform(F.split(line, r"\|"), lambda x: F.trim(x)).alias("p"))
     good = rows.filter((F.size("p") == 3) & F.forall("p", lambda x: x != "") & (F.length(F.col("p")[1]) < 60))
     return good.withColumn("pos", F.row_number().over(Window.partitionBy("id").orderBy("at"))).filter("pos <= 8").select("id", "pos", F.col("p")[0].alias("subject"), F.col("p")[1].alias("relation"), F.col("p")[2].alias("object"))
