@@ -112,8 +112,8 @@ def _examples(n: int) -> tuple[np.ndarray, np.ndarray]:
     cues = {"email_spelt": ["mail me: ", "contact ", "write to "], "number_phone": ["call ", "phone: ", "Tel. ", "mobile "], "number_id": ["ssn ", "social security number ", "tax id: "], "iban": ["IBAN ", "account ", "bank: "], "digits": ["card ", "visa: ", "paid with "]}
     decoys = ["version ", "order ", "invoice ", "isbn ", "article ", "serial ", "ticket #", "build "]
     x, y = [], []
-    for i in range(n):
-        kind, real = r.choice(list(GENERATORS)), i % 2 == 0
+    for _ in range(n):
+        kind, real = r.choice(list(GENERATORS)), r.random() < 0.5
         value = (true if real or r.random() < 0.4 else false)[kind]()
         plain = f"{name()} {name()} "
         before = plain + (r.choice(cues[kind]) if r.random() < (0.7 if real else 0.05) else r.choice(decoys) if not real and r.random() < 0.7 else "")
