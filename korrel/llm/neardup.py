@@ -26,8 +26,6 @@ COORDINATES = 128
 #: Of 128 coordinates a pair of similarity 0.75 shares 96 on average, with a deviation of 4.9; 74 leaves out about 1 in 10**5.
 MATCHES = 74
 PERCENT = 75
-#: Turns of comparing a list's stragglers with its largest component; pairs that they leave are compared one by one.
-ROUNDS = 3
 #: Documents of a list that are compared with each other in one group.
 BLOCK = 512
 
@@ -227,32 +225,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     groups = stored(some.groupBy(*same).agg(F.min("doc_id").alias("rep")), "groups")
     reps = some.join(groups, same).filter("doc_id = rep").select(F.col("doc_id").alias("doc"), "signature")
     lists = stored(_rare_postings(reps, coordinates, matches), "postings")
-    reps = marks.select(F.col("doc_id").alias("doc"), "signature", "short").join(lists.select("doc").distinct(), "doc", "left_semi")
+    reps = stored(marks.select(F.col("doc_id").alias("doc"), "signature", "short").join(lists.select("doc").distinct(), "doc", "left_semi"), "reps")
 
     # Each list's first document against the others: that many pairs, and most copies end up in one component.
-    heads = lists.groupBy("key").agg(F.min("doc").alias("b"), F.max("doc").alias("last")).filter("b < last")
+    heads = stored(lists.groupBy("key").agg(F.min("doc").alias("b"), F.max("doc").alias("last")).filter("b < last"), "heads")
     stars = stored(lists.join(heads, "key").filter("doc <> b").groupBy(F.col("doc").alias("a"), "b").count(), "stars")
     ids = stars.select("a").union(stars.select("b")).distinct()
     sets = stored(_sets(docs.join(ids.withColumnRenamed("a", "doc_id").hint("shuffle_hash"), "doc_id"), words), "sets")
-    tested = stars.select("a", "b")
-    links = stored(_confirmed(tested, reps, sets, matches, percent), "links")
+    links = stored(_confirmed(stars.select("a", "b"), reps, sets, matches, percent), "links")
     known = components(links, "a", "b")
 
-    # Then every document that a list has outside its largest component against one member of that, another in each
-    # list: again no more pairs than postings, until such tests find nothing new.
-    for turn in range(ROUNDS):
-        labelled = _labelled(lists, known)
-        parts = labelled.groupBy("key", "c").agg(F.count("*").alias("n"), F.min_by("doc", F.xxhash64("doc", "key", F.lit(turn))).alias("member"))
-        heads = stored(parts.groupBy("key").agg(F.max(F.struct("n", "c", "member")).alias("head"), F.count("*").alias("parts")).filter("parts > 1"), "heads")
-        pairs = labelled.join(heads, "key").filter("c <> head.c").select(F.greatest("doc", "head.member").alias("a"), F.least("doc", "head.member").alias("b"))
-        pairs = stored(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = stored(_confirmed(pairs, reps, sets, matches, percent), "links")
-        tested = tested.union(pairs)
-        if found.isEmpty():
-            break
-        links = links.union(found)
-        known = components(links, "a", "b")
-
     # What is left are pairs of different components within a list.
     more = stored(_across(_labelled(lists, known), reps, sets, matches, percent), "more")
 
@@ -260,7 +242,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     owners = some.select("doc_id", *same).join(groups, same).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
     whole = components(links.union(more).union(owners.filter("a < b").select("a", "b")), "a", "b")
 
-    rep = groups.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("of_set"))
+    rep = stored(groups.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("of_set")), "sets_of")
     found = marks.select("doc_id", *same).join(rep, same, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_set", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
