@@ -94,17 +94,22 @@ class Items:
         out = []
         for k, starts in near.items():
             ident, item, edits = self.items[k]
-            best, reach = edits + 1, -1
+            best, reach, areas = edits + 1, -1, []
             for start in sorted(set(starts)):
-                lo, hi = max(0, start - edits), start + len(item) + edits
-                if start <= reach or best == 0:
-                    continue
                 if body.startswith(item, start) if start >= 0 else False:
                     best = 0
-                    continue
+                    break
+                lo, hi = max(0, start - edits), start + len(item) + edits
+                if lo > reach:
+                    areas.append([lo, hi])
+                areas[-1][1] = reach = hi
+            if best:  # places that overlap are read once, and a start before the text's is one too
                 if k not in self.myers:
                     self.myers[k] = Myers(item)
-                best = min(best, self.myers[k].within(body[lo:hi], edits))
+                for lo, hi in areas:
+                    best = min(best, self.myers[k].within(body[lo:hi], edits))
+                    if best == 0:
+                        break
             if best <= edits:
                 out.append((ident, best))
         return sorted(out)

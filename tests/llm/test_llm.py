@@ -340,6 +340,8 @@ def test_decontamination(spark):
             continue
         want = {(k, d) for k, i in clean.items() if (d := distance(i, text)) <= decontamination.budget(i, decontamination.ERRORS, decontamination.PIECE)}
         assert {tuple(y) for y in x["leaks"]} == want
+    cut = [items[0][1][2:] + " " + "ab " * 30, "ab " * 30 + items[0][1][:-2]]  # a text that begins or ends within an item
+    assert [x["leaks"] for x in decontamination.contaminated(frame(spark, cut), spark.createDataFrame(items[:1], "item_id long, text string")).orderBy("doc_id").collect()] == [[(0, 2)], [(0, 2)]]
     none = decontamination.contaminated(frame(spark, ["a"]), spark.createDataFrame([], "item_id long, text string")).first()
     assert none["leaks"] == []
 
