@@ -26,8 +26,9 @@ COORDINATES = 128
 #: Of 128 coordinates a pair of similarity 0.75 shares 96 on average, with a deviation of 4.9; 74 leaves out about 1 in 10**5.
 MATCHES = 74
 PERCENT = 75
-#: Documents of a list that are compared with each other in one group.
-BLOCK = 512
+#: Documents of a list that are compared with each other at once, rows of a group of such comparisons, and pairs of
+#: signatures that are held at a time.
+BLOCK, GROUP_ROWS, PAIRS = 512, 20_000, 4096
 
 _MARKS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("signature", T.ArrayType(T.IntegerType())), T.StructField("short", T.BinaryType())])
 _SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
@@ -130,10 +131,23 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, matches: int,
     return both.withColumn("common", common).filter(F.col("common") * 100 >= (F.size("set_a") + F.size("set_b") - F.col("common")) * percent).select("a", "b")
 
 
-def _bits(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """A row of 128 flags for each pair of longs."""
-    both = np.stack([low, high], 1).astype(np.int64)
-    return np.unpackbits(both.view(np.uint8).reshape(len(both), 16), axis=1, bitorder="little").astype(bool)
+def _bytes(short: pd.Series, fill: int) -> np.ndarray:
+    """A row of 128 bytes for each value; columns that it has none for are `fill`."""
+    given = np.frombuffer(b"".join(short), np.uint8).reshape(len(short), -1)
+    out = np.full((len(short), 128), fill, np.uint8)
+    out[:, : given.shape[1]] = given
+    return out
+
+
+def _flags(rows: pd.DataFrame) -> np.ndarray:
+    """The 128 flags of each row as two words."""
+    return np.stack([rows["low"].to_numpy(np.int64), rows["high"].to_numpy(np.int64)], 1).view(np.uint64)
+
+
+def _ones(words: np.ndarray) -> np.ndarray:
+    """How many bits are set in each last pair of words."""
+    n = np.bitwise_count(words)
+    return n[..., 0] + n[..., 1]
 
 
 def _across(labelled: DataFrame, reps: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
@@ -141,14 +155,17 @@ def _across(labelled: DataFrame, reps: DataFrame, sets: DataFrame, matches: int,
 
     Documents outside a list's largest component are compared with all of the list, block by block, by one byte of
     each signature value. What agrees in enough places is gathered per straggler, not per pair, and taken only from
-    the first three places at which both are in one list, so that few lists name the same pair. The shingle sets then
+    the first three places at which both are in one list, so that few lists name the same pair. Comparisons of short
+    lists share a group. The shingle sets then
     meet in blocks of the documents around one component. Only confirmed links become rows.
     """
     parts = labelled.groupBy("key", "c").agg(F.count("*").alias("n"))
-    heads = parts.groupBy("key").agg(F.max(F.struct("n", "c")).alias("head"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
+    heads = parts.groupBy("key").agg(F.max(F.struct("n", "c")).alias("head"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1").withColumn("stray", F.col("n") - F.col("head.n"))
     cut = lambda n: F.greatest(F.ceil(n / BLOCK).cast("int"), F.lit(1))
-    heads = stored(heads.select("key", F.col("head.c").alias("main"), cut(F.col("n")).alias("xs"), cut(F.col("n") - F.col("head.n")).alias("ss")), "heads")
-    met = labelled.join(heads, "key")
+    heads = stored(heads.select("key", F.col("head.c").alias("main"), cut(F.col("n")).alias("xs"), cut(F.col("stray")).alias("ss"), "n", "stray"), "heads")
+    rows = heads.agg(F.sum(F.col("n") * F.col("ss") + F.col("stray") * F.col("xs"))).first()[0] or 0
+    buckets = max(int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // GROUP_ROWS + 1)
+    met = labelled.join(heads.drop("n", "stray"), "key")
     around = met.groupBy("main", "doc").agg(F.max((F.col("c") != F.col("main")).cast("int")).alias("stray"))
     around = stored(around, "around")
     sizes = stored(around.groupBy("main").agg(cut(F.count("*")).alias("blocks"), cut(F.sum("stray")).alias("groups")), "sizes")
@@ -160,30 +177,37 @@ def _across(labelled: DataFrame, reps: DataFrame, sets: DataFrame, matches: int,
     lists = stored(met.join(sizes, "main").join(marks, "doc"), "mixed")
     at = lambda parts: F.pmod(F.xxhash64("doc"), F.col(parts)).cast("int")
     each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    own = ["key", "s", "x", "main", "blocks", at("blocks").alias("block"), at("groups").alias("grp"), "doc", "c", "low", "high", "short"]
+    bucket = F.pmod(F.xxhash64("key", "s", "x"), F.lit(buckets)).alias("bucket")
+    own = [bucket, "key", "s", "x", "main", "blocks", at("blocks").alias("block"), at("groups").alias("grp"), "doc", "c", "low", "high", "short"]
     strays = lists.filter("c <> main").withColumn("s", at("ss")).withColumn("x", each("xs")).select(own)
     every = lists.withColumn("x", at("xs")).withColumn("s", each("ss")).select(own)
 
     def compare(strays: pd.DataFrame, every: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(strays) and len(every):
-            coordinate = int(strays["key"].iloc[0]) >> 32
-            main = strays["main"].iloc[0]
-            x = np.frombuffer(b"".join(every["short"]), np.uint8).reshape(len(every), -1)
-            flags = _bits(every["low"].to_numpy(), every["high"].to_numpy())[:, : x.shape[1]]
-            c, docs, blocks = every["c"].to_numpy(), every["doc"].to_numpy(), every["block"].to_numpy()
-            mine = _bits(strays["low"].to_numpy(), strays["high"].to_numpy())[:, : x.shape[1]]
-            for k, (doc, of, short, grp) in enumerate(zip(strays["doc"], strays["c"], strays["short"], strays["grp"])):
-                same = x == np.frombuffer(short, np.uint8)
-                near = np.flatnonzero((np.count_nonzero(same, axis=1) >= matches) & (c != of))
-                shared = same[near, : coordinate + 1] & flags[near, : coordinate + 1] & mine[k, : coordinate + 1]
-                near = near[np.count_nonzero(shared, axis=1) <= 3]
-                for b in np.unique(blocks[near]):
-                    out.append((main, int(b), int(grp), doc, docs[near[blocks[near] == b]]))
+            x, y = _bytes(every["short"], 0), _bytes(strays["short"], 1)
+            theirs, mine = _flags(every), _flags(strays)
+            c, of = every["c"].to_numpy(), strays["c"].to_numpy()
+            docs, blocks = every["doc"].to_numpy(), every["block"].to_numpy()
+            main, grp, doc = strays["main"].to_numpy(), strays["grp"].to_numpy(), strays["doc"].to_numpy()
+            members = every.groupby(within).indices
+            for part, rows in strays.groupby(within).indices.items():
+                others, first = members.get(part, ()), (2 << (int(part[0]) >> 32)) - 1
+                upto = np.array([first & 0xFFFFFFFFFFFFFFFF, first >> 64], np.uint64)
+                step = max(1, PAIRS // max(1, len(others)))
+                for lo in range(0, len(rows) if len(others) else 0, step):
+                    some = rows[lo : lo + step]
+                    same = np.packbits(y[some][:, None] == x[others], axis=-1, bitorder="little").view(np.uint64)
+                    shared = same & mine[some][:, None] & theirs[others] & upto
+                    near = (_ones(same) >= matches) & (_ones(shared) <= 3) & (of[some][:, None] != c[others])
+                    for i in np.flatnonzero(near.any(axis=1)):
+                        k, hit = some[i], others[near[i]]
+                        for block in np.unique(blocks[hit]):
+                            out.append((main[k], int(block), int(grp[k]), doc[k], docs[hit[blocks[hit] == block]]))
         return pd.DataFrame(out, columns=["main", "block", "grp", "a", "others"])
 
-    group = ["key", "s", "x"]
-    near = strays.groupBy(*group).cogroup(every.groupBy(*group)).applyInPandas(compare, "main long, block int, grp int, a long, others array<long>")
+    within = ["key", "s", "x"]
+    near = strays.groupBy("bucket").cogroup(every.groupBy("bucket")).applyInPandas(compare, "main long, block int, grp int, a long, others array<long>")
     asked = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("own")), "a")
     given = around.join(sizes, "main").join(sets.select(F.col("doc_id").alias("doc"), F.col("shingles").alias("set")), "doc").withColumn("block", at("blocks")).withColumn("grp", each("groups")).select("main", "block", "grp", "doc", "set")
 
