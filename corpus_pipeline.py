@@ -22,9 +22,20 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group."""
-    kept = neardup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(*COLUMNS)
+    """The document with the smallest id of each near-duplicate group.
+
+    Rows with a null doc_id are in no group and all stay. Rows that repeat a doc_id are one document with all their
+    links: none stays where any of them is a copy, else one does, the first by text, lang, source and n_chars (nulls
+    last).
+    """
+    found = neardup.near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
+    marked = stored(found.filter("n > 1 or not kept"), "marked")
+    known = docs.filter("doc_id is not null")
+    once = known.join(marked.select("doc_id").hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
+    values = [x for c in COLUMNS[1:] for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))]
+    repeated = known.join(marked.filter("kept").select("doc_id"), "doc_id").groupBy("doc_id").agg(F.min(F.struct(*values)).alias("row"))
+    nameless = docs.filter("doc_id is null").select(*COLUMNS)
+    return once.union(repeated.select("doc_id", *(f"row.{c}" for c in COLUMNS[1:]))).union(nameless)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

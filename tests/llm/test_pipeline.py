@@ -30,3 +30,16 @@ def test_strange_rows(spark, small):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, small).count() >= 3
         assert stage(spark, docs.limit(0), small).count() == 0
+
+
+def test_one_of_each_rows(spark, small):
+    long = " ".join(f"wort{i}" for i in range(50))
+    rows = [
+        (None, long, "a", None, 1), (None, long, "a", None, 1), (None, None, None, None, None),  # in no group
+        (1, long, "a", "s", 1), (2, long, "b", "s", 1), (3, "kurz", None, None, None),
+        (4, "eins", "b", None, 4), (4, "eins", "a", "s", 4), (4, "eins", "a", "s", 4), (4, None, "a", "s", None),  # one document
+        (5, "", None, None, 0), (5, long, None, None, 0),  # its second row is a copy of 1
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.one_of_each(spark, docs, small)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([*rows[:4], rows[5], rows[7]], key=str)
