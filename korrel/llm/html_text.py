@@ -2,7 +2,8 @@
 
 Paragraphs give points for their length and commas to the elements around them; an element's points are discounted by
 the share of its text that stands in links. The best element and those of its siblings that score well are the
-article; menus, forms, adverts and the like are taken out of it by tag, role, and class.
+article; menus, forms, adverts and the like are taken out of it by tag, role, and class. A form, role or class is no
+reason to take out what holds the page's article, and none at all where next to nothing would be left.
 """
 
 from __future__ import annotations
@@ -18,12 +19,17 @@ from pyspark.sql import types as T
 
 #: Elements whose content is no text, elements that are never part of an article, and elements that begin a block.
 RAW = frozenset({"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe"})
-LEFT_OUT = RAW | frozenset({"head", "nav", "header", "footer", "aside", "form", "noscript", "template", "button", "select", "svg", "object", "canvas", "dialog", "menu", "fieldset", "input", "label"})
+LEFT_OUT = RAW | frozenset({"head", "nav", "header", "footer", "aside", "noscript", "template", "button", "select", "svg", "object", "canvas", "dialog", "menu", "input", "label"})
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - frozenset("body caption dd dt html legend li summary tbody td tfoot th thead tr".split())
 #: An element of the key ends an open one of the values, up to an element of the bound.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody", "tfoot"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot"}, {"table"})}
+#: Elements that are no part of an article unless they are wrapped around it.
+WRAPPERS = frozenset({"form", "fieldset"})
+#: Shares of the page's paragraph points from which an element is not left out: with all the page's articles inside,
+#: and where no article is left otherwise. A text of fewer characters and a smaller share of the page is next to nothing.
+WITH_ARTICLE, WITHOUT, LITTLE, LITTLE_SHARE = 0.25, 0.5, 250, 0.25
 #: Words in a class or id that mark what is no article.
 UNLIKELY = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus discussion footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promoted promotion related reply replies share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget".split()
@@ -35,45 +41,56 @@ WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
 
 class _Element:
-    __slots__ = ("chars", "linked", "out", "parent", "score", "tag")
+    __slots__ = ("articles", "chars", "doubt", "linked", "mains", "marked", "out", "parent", "points", "score", "tag")
 
-    def __init__(self, tag: str, parent: _Element | None, out: bool):
-        self.tag, self.parent, self.out = tag, parent, out
-        self.score = 25.0 if tag in ("article", "main") else 0.0
+    def __init__(self, tag: str, parent: _Element | None, out: bool, doubt: int = 0):
+        self.tag, self.parent, self.out, self.doubt = tag, parent, out, doubt
+        #: The nearest element from here upward that form, role or class speak against.
+        self.marked: _Element | None = self if doubt else parent.marked if parent else None
+        self.points, self.articles, self.mains = 0.0, 0, 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.score = 25.0 if self.tag in ("article", "main") else 0.0
         self.chars = self.linked = 0
 
 
-def _left_out(tag: str, attributes: str) -> bool:
+#: What speaks against an element: nothing, its being a form, its role or class; or it is left out in any case.
+NOTHING, FORM, NAMED, OUT = 0, 1, 2, 3
+
+
+def _against(tag: str, attributes: str) -> int:
     if tag in LEFT_OUT:
-        return True
+        return OUT
+    found = FORM if tag in WRAPPERS else NOTHING
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return found
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
-            return True
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            return OUT
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name in ("class", "id") and any(w.lower() in UNLIKELY for w in WORD.findall(value)):
-            return True
-    return False
+            return OUT
+        if name == "role" and value.lower() in ROLES or name in ("class", "id") and any(w.lower() in UNLIKELY for w in WORD.findall(value)):
+            found = NAMED
+    return found
+
+
+#: Stretches of a block's text: the nearest marked element around each, the stretch, and whether it is a link.
+_Parts = list[tuple["_Element | None", str, bool]]
 
 
-def _blocks(page: str) -> list[tuple[_Element, str, int]]:
-    """(block element, text, characters in links) of every block of text outside what is left out."""
+def _blocks(page: str) -> tuple[list[tuple[_Element, _Parts]], list[_Element]]:
+    """(block element, stretches of its text) outside what is left out in any case, and the articles and mains."""
     root = _Element("#root", None, False)
-    stack, parts, found = [root], [], []
-    links = linked = 0
+    stack, parts, found, articles = [root], [], [], []
+    links = 0
 
     def flush() -> None:
-        nonlocal linked
         if parts:
-            text = " ".join("".join(parts).split())
-            if text:
-                block = next(e for e in reversed(stack) if e.tag in BLOCKS or e is root)
-                found.append((block, text, min(linked, len(text))))
+            block = next(e for e in reversed(stack) if e.tag in BLOCKS or e is root)
+            found.append((block, parts.copy()))
             parts.clear()
-        linked = 0
 
     def close(upto: int) -> None:
         nonlocal links
@@ -82,11 +99,9 @@ def _blocks(page: str) -> list[tuple[_Element, str, int]]:
         del stack[upto:]
 
     def say(text: str) -> None:
-        nonlocal linked
         if text and not stack[-1].out:
             text = html.unescape(text) if "&" in text else text
-            parts.append(text)
-            linked += len(text) if links > 0 else 0
+            parts.append((stack[-1].marked, text, links > 0))
 
     at, n = 0, len(page)
     while at < n:
@@ -133,18 +148,96 @@ def _blocks(page: str) -> list[tuple[_Element, str, int]]:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        stack.append(_Element(tag, stack[-1], stack[-1].out or _left_out(tag, m[3])))
+        against = _against(tag, m[3])
+        stack.append(_Element(tag, stack[-1], stack[-1].out or against == OUT, against % OUT))
+        if tag in ("article", "main") and not stack[-1].out:
+            articles.append(stack[-1])
         links += tag == "a"
     flush()
-    return found
+    return found, articles
+
+
+def _joined(parts: _Parts) -> tuple[str, int]:
+    """The text of stretches and how many of its characters stand in links."""
+    text = " ".join("".join(x for _, x, _ in parts).split())
+    return text, min(sum(len(x) for _, x, link in parts if link), len(text))
+
+
+def _points(text: str) -> float:
+    return 1 + text.count(",") + min(len(text) / 100, 3)
+
+
+def _spare(blocks: list[tuple[_Element, _Parts]], articles: list[_Element]) -> None:
+    """Takes the doubt from the elements that are wrapped around the page's article."""
+    total, mains, met = 0.0, sum(e.tag == "main" for e in articles), {}
+    for block, parts in blocks:
+        groups: dict[int, _Parts] = {}
+        for part in parts:
+            groups.setdefault(id(part[0]), []).append(part)
+        for group in groups.values():
+            text, linked = _joined(group)
+            points = _points(text) * (1 - linked / len(text)) if linked * 2 < len(text) else 0.0  # lists of links are no paragraphs
+            total += points
+            e = group[0][0]
+            while e is not None:
+                e.points += points
+                met[id(e)] = e
+                e = e.parent.marked
+    for article in articles:
+        e = article.marked
+        while e is not None:
+            e.articles, e.mains = e.articles + 1, e.mains + (article.tag == "main")
+            e = e.parent.marked
+    for e in met.values():
+        if mains and e.mains == mains or articles and e.articles == len(articles) and e.points > total * WITH_ARTICLE:
+            e.doubt = NOTHING
+    if not any(_inside(a.marked, NOTHING) for a in articles):
+        for e in met.values():
+            if e.points > total * WITHOUT:
+                e.doubt = NOTHING
+
+
+def _inside(e: _Element | None, allowed: int) -> bool:
+    """Whether nothing but what is allowed speaks against a marked element and those around it."""
+    while e is not None:
+        if e.doubt not in (NOTHING, allowed):
+            return False
+        e = e.parent.marked
+    return True
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks in page order, two line ends between them; "" where there is none."""
-    found = _blocks(page or "")
+    blocks, articles = _blocks(page or "")
+    if any(part[0] is not None for _, parts in blocks for part in parts):
+        _spare(blocks, articles)
+        text, sure, _ = _best(blocks, NOTHING)
+        if sure or len(text) >= LITTLE:
+            return text
+        more, _, plain = _best(blocks, NAMED)
+        return more if plain * 2 > len(more) and len(text) < LITTLE_SHARE * plain else text
+    return _best(blocks, NOTHING)[0]
+
+
+def _best(blocks: list[tuple[_Element, _Parts]], allowed: int) -> tuple[str, bool, int]:
+    """The text of the best element and its siblings, whether it is an article or main, and its characters outside links.
+
+    What is marked by more than `allowed` is left out; NAMED allows roles and classes, but no forms.
+    """
+
+    found = []
+    for block, parts in blocks:
+        text, linked = _joined([p for p in parts if _inside(p[0], allowed)])
+        if text:
+            found.append((block, text, linked))
+    for block, _, _ in found:
+        e = block
+        while e is not None:
+            e.clear()
+            e = e.parent
     scored: dict[int, _Element] = {}
     for block, text, linked in found:
-        points = 1 + text.count(",") + min(len(text) / 100, 3)
+        points = _points(text)
         above = block if block.tag in ("div", "section", "article", "main", "body", "#root") else block.parent
         for share in (1.0, 0.5):
             if above is not None:
@@ -157,7 +250,7 @@ def main_text(page: str | None) -> str:
             e.linked += linked
             e = e.parent
     if not scored:
-        return ""
+        return "", False, 0
     worth = {k: e.score * (1 - e.linked / max(e.chars, 1)) for k, e in scored.items()}
     best = max(scored.values(), key=lambda e: worth[id(e)])
     least = max(10.0, worth[id(best)] * 0.2)
@@ -172,7 +265,8 @@ def main_text(page: str | None) -> str:
             e = e.parent
         return False
 
-    return "\n\n".join(text for block, text, _ in found if kept(block))
+    chosen = [(text, linked) for block, text, linked in found if kept(block)]
+    return "\n\n".join(text for text, _ in chosen), best.tag in ("article", "main"), sum(len(text) - linked for text, linked in chosen)
 
 
 def extract(pages: DataFrame, page: str = "html", to: str = "text") -> DataFrame:

@@ -207,6 +207,25 @@ def test_html(spark):
     assert sorted(r["n_chars"] for r in html_text.texts(pages).collect()) == [0, 0, len(html_text.main_text(page))]
 
 
+def test_html_wrappers():
+    p = "A paragraph, with commas, and words enough to count as one of an article. " * 3
+    menu = "<div class='nav'>" + "<a href=1>Some long link text, of a menu</a> " * 30 + "</div>"
+    text = f"{p.strip()}\n\n{p.strip()}"
+    inner = f"<div class=body><p>{p}</p><p>{p}</p></div>"
+    teasers = "<div class='related'><article><p>Another story, elsewhere</p></article></div>"
+    for wrapper in ("div class='layout has-sidebar'", "div id='page-with-comments'", "form", "section class='banner ad' role=form"):
+        tag = wrapper.split()[0]
+        for body in (inner, f"<article>{inner}</article>", f"<main>{inner}</main>"):
+            assert html_text.main_text(f"<body>{menu}<{wrapper}>{body}<div class='sidebar'><p>Side, text</p></div></{tag}></body>") == text
+            assert html_text.main_text(f"<body>{menu}{body}<{wrapper}><p>Side, text</p></{tag}></body>") == text
+        assert html_text.main_text(f"<body><{wrapper}>{inner}</{tag}>{teasers}</body>") == text
+        assert html_text.main_text(f"<body><{wrapper}><p>Short.</p></{tag}>{menu}</body>") == "Short."
+    assert html_text.main_text(f"<body><div class=share><p>{p}</p></div><div class=social><p>{p}</p></div><p>x</p><div class=related><p>{p}</p></div></body>").count("A paragraph") == 9
+    assert html_text.main_text(f"<body><article>{inner}</article><div id=comments>{inner * 5}</div></body>") == text
+    assert html_text.main_text(f"<body><p>{p}<span class=ad>Buy, now</span></p><p>{p}</p></body>") == text
+    assert html_text.main_text("<body><div class=comments hidden><p>gone</p></div></body>") == ""
+
+
 def test_html_pages(spark, small):
     import html
 
