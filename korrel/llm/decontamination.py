@@ -1,12 +1,14 @@
 """Benchmark decontamination: test items found in documents with up to a share of edits.
 
 An item with an error budget e is cut into e + 1 pieces; a stretch of text within e edits holds at least one of them
-unchanged. Exact hits of pieces (Aho-Corasick) give the places, Myers' bit-parallel distance the verdict. Texts and
-items are compared in lower case with each run of white space as one space.
+unchanged. Exact hits of pieces (Aho-Corasick) give the places, Myers' bit-parallel distance the verdict. Short items
+are one piece without a budget and must stand as whole words. Texts and items are compared in lower case with each run
+of white space as one space.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Share of an item's characters that may be edited, the shortest piece that is looked for, and characters that an
-#: item needs: shorter ones are too common to say anything.
+#: Share of an item's characters that may be edited, the shortest piece of an item that may be edited, and characters
+#: that such an item needs: shorter ones are looked for word for word.
 ERRORS, PIECE, SHORTEST = 0.06, 12, 40
 #: Characters of items that one pass over the documents looks for.
 BLOCK_CHARS = 20_000_000
+#: Letters of scripts that put no blanks between words: a word may end beside any of them.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def normal(text: str | None) -> str:
@@ -37,6 +41,16 @@ def cut(item: str, edits: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(bounds, bounds[1:])]
 
 
+def _parted(a: str, b: str) -> bool:
+    """Whether a word may end between two characters that stand side by side; "" is a text's end."""
+    return not (a.isalnum() and b.isalnum()) or bool(UNSPACED.match(a) or UNSPACED.match(b))
+
+
+def whole(body: str, start: int, end: int) -> bool:
+    """Whether body[start:end], which is not empty, begins and ends where words do."""
+    return _parted(body[start - 1 : start] if start else "", body[start]) and _parted(body[end - 1], body[end : end + 1])
+
+
 class Myers:
     """Edit distance of one pattern to the best-matching stretch of a text, a whole column of the table per step."""
 
@@ -70,10 +84,11 @@ class Myers:
 class Items:
     """Test items ready for search inside a task."""
 
-    def __init__(self, rows: list[tuple[int, str]], errors: float, piece: int):
+    def __init__(self, rows: list[tuple[int, str]], errors: float, piece: int, shortest: int):
         import ahocorasick
 
-        self.items = [(i, t, budget(t, errors, piece)) for i, t in rows]
+        self.short = {k for k, (_, t) in enumerate(rows) if len(t) < shortest}
+        self.items = [(i, t, 0 if k in self.short else budget(t, errors, piece)) for k, (i, t) in enumerate(rows)]
         where: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text, edits) in enumerate(self.items):
             for offset, part in cut(text, edits):
@@ -88,10 +103,14 @@ class Items:
         """(item id, edits) of every item in the text, with its least number of edits."""
         body = normal(text)
         near: dict[int, list[int]] = {}
+        exact: set[int] = set()
         for end, (size, places) in self.auto.iter(body) if self.items else ():
             for k, offset in places:
-                near.setdefault(k, []).append(end + 1 - size - offset)
-        out = []
+                if k not in self.short:
+                    near.setdefault(k, []).append(end + 1 - size - offset)
+                elif k not in exact and whole(body, end + 1 - size, end + 1):
+                    exact.add(k)
+        out = [(self.items[k][0], 0) for k in exact]
         for k, starts in near.items():
             ident, item, edits = self.items[k]
             best, reach, areas = edits + 1, -1, []
@@ -119,8 +138,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", erro
     """docs with an array of (item_id, edits) in column `to`: the test items that stand in each text.
 
     An item stands in a text if a stretch of it is within errors * length edits (insertions, deletions, replacements
-    of characters). Null and empty texts have none; items that are null or shorter than `shortest` characters are not
-    looked for; an id that repeats is found if any of its texts is. Rows and other columns stay. Items are broadcast
+    of characters); one shorter than `shortest` characters if it stands there unchanged, as whole words. Null and
+    empty texts have none; items that are null or blank are not looked for; an id that repeats is found if any of its
+    texts is. Rows and other columns stay. Items are broadcast
     in blocks of at most BLOCK_CHARS characters, one narrow pass each, so the benchmark may be of any size. Raises
     ValueError where the column exists already.
     """
@@ -137,10 +157,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", erro
     for block in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         rows = sorted({(r["item_id"], normal(r["text"])) for r in part.collect()})  # bounded: about BLOCK_CHARS characters
-        held = out.sparkSession.sparkContext.broadcast([(i, t) for i, t in rows if len(t) >= shortest])
+        held = out.sparkSession.sparkContext.broadcast([(i, t) for i, t in rows if t])
 
         def run(batches: Iterator[pa.RecordBatch], held=held, block=block) -> Iterator[pa.RecordBatch]:
-            items = Items(held.value, errors, piece)
+            items = Items(held.value, errors, piece, shortest)
             for batch in batches:
                 for lo in range(0, batch.num_rows, 1024):
                     rows = batch.slice(lo, 1024)

@@ -365,6 +365,14 @@ def test_decontamination(spark):
     assert none["leaks"] == []
 
 
+def test_decontamination_short_items(spark):
+    items = [(1, "What is  2+2?"), (2, "Rom"), (3, "首都はどこ"), (4, " "), (5, "C++"), (6, "a" * 39), (7, "Rom")]
+    texts = ["so: what\nis 2+2? four", "Romane und Aromen", "in ROM.", "日本の首都はどこですか", "c++", "x" + "a" * 39, "a" * 39 + "-", "whats is 2+2?", "what is 2+2", "", None, "Rom"]
+    rows = decontamination.contaminated(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).orderBy("doc_id").collect()
+    assert [[k for k, _ in x["leaks"]] for x in rows] == [[1], [], [2, 7], [3], [5], [], [6], [], [], [], [], [2, 7]]
+    assert all(e == 0 for x in rows for _, e in x["leaks"])
+
+
 # 10
 PERSONAL = ["write to a.b+c@mail.example.com, or x@y.z_q@r.s", "10.0.0.1 and 256.1.1.1 and 1.2.3.4.5.6.7.8", "4111 1111 1111 1111 or 4111111111111112", "+49 (30) 123-4567 and +1", "mail me: jane.doe (at) firma (dot) de", "call (212) 555-0199 now", "é 1.2.3.004 é"]
 
