@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from korrel.functions import text as t
+from korrel.operators.retrieval import top
+from korrel.plans.scratch import stored
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -137,28 +139,31 @@ def link_entities(questions: DataFrame, names: DataFrame, longest: int = 6) -> D
     return first.groupBy("question_id").agg(F.aggregate(ordered, none, accept).alias("hits")).select("question_id", F.explode("hits").alias("h")).select("question_id", F.col("h.id").alias("id"))
 
 
-def traverse(seeds: DataFrame, edges: DataFrame, questions: DataFrame, names: DataFrame, depth: int = 3, beam: int = 4, most: int = 14, fan: int = 1000) -> DataFrame:
+def traverse(seeds: DataFrame, edges: DataFrame, questions: DataFrame, names: DataFrame, depth: int = 3, beam: int = 4, most: int = 14) -> DataFrame:
     """(question_id, step, source, relation, target, level): the edges of a scored beam search from seeds (question_id, id).
 
     A candidate scores a point per question term in its relation, label and far title, two where the far node was in
     the subgraph at the level's start, and half a point at the first level. Per level at most `beam` new nodes are
     taken, best first; edges between known nodes always are; a level ends once `most` nodes are in. One join per
-    level brings the frontier's edges; the greedy choice is a fold over one question's candidates, of which those
-    that no order could reach (beyond the `fan` best of a frontier node to new nodes) are cut off before.
+    level brings the frontier's edges. The new nodes are those with the best edges, so they are chosen first, by one row
+    per node; the greedy choice is then a fold over all edges of the frontier to them and to known nodes.
     """
     titles = names.select(F.col("id").alias("other"), F.col("title").alias("far"))
-    around = adjacency(edges).join(titles, "other").withColumn("words", F.array_distinct(t.terms(F.concat_ws(" ", "label", "relation", "far"))))
+    words = F.array_distinct(t.terms(F.concat_ws(" ", "label", "relation", "far")))
+    around = stored(adjacency(edges).join(titles, "other").select("node", "other", "direction", "relation", words.alias("words")), "around")
     asked = questions.select(F.col("id").alias("question_id"), F.array_distinct(t.terms("text")).alias("wanted"))
     state = seeds.groupBy("question_id").agg(F.array_sort(F.collect_set("id")).alias("inside")).withColumns({"frontier": F.col("inside"), "taken": F.array().cast("array<struct<source:string,relation:string,target:string,level:int>>")})
     for level in range(depth):
+        state = stored(state, "traversal")
         ends = state.filter(F.size("inside") < most).select("question_id", F.explode("frontier").alias("node"), "inside")
         near = ends.join(around, "node").join(asked, "question_id")
         known = F.array_contains("inside", F.col("other"))
         score = F.size(F.array_intersect("wanted", "words")) + F.when(known, 2.0).otherwise(0.0) + (0.5 if level == 0 else 0.0)
         source, target = F.when(F.col("direction") == "out", F.col("node")).otherwise(F.col("other")), F.when(F.col("direction") == "out", F.col("other")).otherwise(F.col("node"))
         options = near.select(F.col("question_id").alias("q"), "node", "other", source.alias("source"), "relation", target.alias("target"), score.alias("score"), known.alias("known"))
-        place = F.row_number().over(Window.partitionBy("q", "node", "known").orderBy(F.desc("score"), "source", "relation", "target"))
-        options = options.withColumn("place", place).filter(F.col("known") | (F.col("place") <= fan)).drop("place")
+        best = options.filter(~F.col("known")).groupBy("q", "other").agg(F.min(F.struct((-F.col("score")).alias("s"), "source", "relation", "target", "node")).alias("best"))
+        chosen = top(best, "q", [F.asc("best")], beam).select("q", "other", F.lit(True).alias("chosen"))
+        options = options.join(chosen, ["q", "other"], "left").filter("known or chosen").drop("chosen")
         state = state.groupBy("question_id").cogroup(options.groupBy("q")).applyInPandas(_level(level, beam, most), state.schema)
     return state.select("question_id", F.posexplode("taken").alias("step", "e")).select("question_id", "step", "e.source", "e.relation", "e.target", "e.level")
 

@@ -112,6 +112,16 @@ def test_traversal(spark):
     assert "Titel a — lehrt → Titel b" in graph.linearized(graph.traverse(seeds, edges, q, names), names).first()["context"]
 
 
+def test_traversal_keeps_a_hubs_edges_to_chosen_nodes(spark):
+    far = [f"n{i:04}" for i in range(1100)] + ["z"]
+    names = spark.createDataFrame([(c, f"Titel {c}", "x") for c in ["a", "b", *far]], "id string, title string, type string")
+    edges = spark.createDataFrame([("a", n, "kennt", "kennt") for n in far] + [("a", "z", "sieht", "sieht"), ("b", "z", "lehrt", "lehrt")], "source string, target string, relation string, label string")
+    q = spark.createDataFrame([(1, "Wen lehrt er?")], "id long, text string")
+    seeds = spark.createDataFrame([(1, "a"), (1, "b")], "question_id long, id string")
+    taken = graph.traverse(seeds, edges, q, names, depth=2, beam=1).orderBy("step").collect()
+    assert [(r["source"], r["relation"], r["target"]) for r in taken if r["level"] == 0] == [("b", "lehrt", "z"), ("a", "kennt", "z"), ("a", "sieht", "z")]
+
+
 def test_merge(spark):
     p = "array<struct<sourceId:string,importScopeId:string,sourceKind:string,method:string,confidence:string,evidence:string>>"
     e = ("s", "i", "pdf", "m", "c", "e")
