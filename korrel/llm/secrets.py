@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from korrel.llm.matching import joined, matches
+from korrel.llm.matching import bound, joined, masked, matches
 
 #: Fixed patterns and lengths of the contract.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -22,8 +22,9 @@ CLASSES = {
     "entropy_hex": (r"(?<![0-9A-Fa-f])(?=[0-9A-Fa-f]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{20,}", 3.0),
     "entropy_mixed": (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}", 3.8),
 }
-#: Strings that look random but are no secrets: uuids, dates with times, paths and placeholders.
-ALLOWED = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^[0-9]{4}-[0-9]{2}-[0-9]{2}|example|placeholder|^/?(?:[a-z]+/)+[a-z0-9_-]*$|abcdefghij|0123456789|x{6}|^[a-z]+(?:[-_][a-z]+)+[0-9]{0,4}$"
+#: Strings that look random but are no secrets: uuids, dates with times, paths and placeholders. Repeated groups are
+#: possessive: Java matches others by recursion, and a long string of words would overflow the stack.
+ALLOWED = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^[0-9]{4}-[0-9]{2}-[0-9]{2}|example|placeholder|^/?(?:[a-z]++/)++[a-z0-9_-]*+$|abcdefghij|0123456789|x{6}|^[a-z]++(?:[-_][a-z]++)++[0-9]{0,4}+$"
 
 SPANS = "array<struct<start:int,k:int,end:int,kind:string>>"
 
@@ -35,33 +36,44 @@ def _hot(value: Column, bits: float, window: int) -> Column:
     n * log2(n) over the counts by just those two.
     """
     signs = F.split(value, "")
+    alphabet = F.array_distinct(signs)
+    codes = bound(F.struct(signs.alias("signs"), alphabet.alias("alphabet")), lambda x: F.transform(x["signs"], lambda c: F.array_position(x["alphabet"], c).cast("int") - 1))
+    # What enters and what leaves at each place; nothing leaves (-1) while the first window fills.
+    moves = bound(codes, lambda c: F.zip_with(c, F.slice(F.concat(F.array_repeat(F.lit(-1), window), c), F.lit(1), F.size(c)), lambda x, y: F.struct(x.alias("come"), y.alias("gone"))))
 
     def weight(n: Column) -> Column:
         return F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
 
-    def step(state: Column, i: Column) -> Column:
-        come = F.array_position(state["alphabet"], F.get(state["signs"], i)).cast("int") - 1
-        gone = F.when(i >= window, F.array_position(state["alphabet"], F.get(state["signs"], i - window)).cast("int") - 1).otherwise(F.lit(-1))
-        more = F.get(state["counts"], come)
-        less = F.coalesce(F.get(state["counts"], F.when(gone >= 0, gone)), F.lit(0))
+    def step(state: Column, move: Column) -> Column:
+        come, gone, at = move["come"], move["gone"], state["at"] + 1
+        more, less = F.get(state["counts"], come), F.coalesce(F.get(state["counts"], F.when(gone >= 0, gone)), F.lit(0))
         change = weight(more + 1) - weight(more) + F.when(gone >= 0, weight(less - 1) - weight(less)).otherwise(F.lit(0.0))
         total = state["total"] + F.when(come == gone, F.lit(0.0)).otherwise(change)
-        hot = (i >= window - 1) & (F.lit(math.log2(window)) - total / window >= bits)
         return F.struct(
-            state["signs"].alias("signs"),
-            state["alphabet"].alias("alphabet"),
-            F.transform(state["counts"], lambda n, j: n + (j == come).cast("int") - (j == gone).cast("int")).alias("counts"),
-            total.alias("total"),
-            F.when(hot & (state["lo"] < 0), i - (window - 1)).otherwise(state["lo"]).alias("lo"),
-            F.when(hot, i + 1).otherwise(state["hi"]).alias("hi"),
-        )
+            at.alias("at"),
+            F.when(come == gone, state["counts"]).otherwise(F.transform(state["counts"], lambda n, j: F.when(j == come, n + 1).when(j == gone, n - 1).otherwise(n))).alias("counts"),
+            total.alias("total"), state["lo"].alias("lo"), state["hi"].alias("hi"),
+        )
+
+    def seen(state: Column) -> Column:
+        hot = (state["at"] >= window) & (F.lit(math.log2(window)) - state["total"] / window >= bits)
+        return F.struct(
+            state["at"].alias("at"), state["counts"].alias("counts"), state["total"].alias("total"),
+            F.when(hot & (state["lo"] < 0), state["at"] - window).otherwise(state["lo"]).alias("lo"), F.when(hot, state["at"]).otherwise(state["hi"]).alias("hi"),
+        )
+
+    start = F.struct(F.lit(0).alias("at"), F.transform(alphabet, lambda _: F.lit(0)).alias("counts"), F.lit(0.0).alias("total"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
+    # A step's window is judged when the next one begins, so that its total is computed once.
+    return F.aggregate(moves, start, lambda state, move: step(seen(state), move), lambda s: F.struct(seen(s)["lo"].alias("lo"), seen(s)["hi"].alias("hi")))
 
-    alphabet = F.array_distinct(signs)
-    start = F.struct(
-        signs.alias("signs"), alphabet.alias("alphabet"), F.transform(alphabet, lambda _: F.lit(0)).alias("counts"),
-        F.lit(0.0).alias("total"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"),
-    )
-    return F.aggregate(F.sequence(F.lit(0), F.length(value) - 1), start, step, lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi")))
+
+def _judged(bits: float, window: int):
+    """A function of a match that gives its start and the stretch of its hot windows."""
+
+    def judged(m: Column) -> Column:
+        return F.struct(m["start"].alias("at"), _hot(m["value"], bits, window).alias("hot"))
+
+    return judged
 
 
 def secret_spans(text: Column, window: int = WINDOW) -> tuple[Column, Column]:
@@ -81,7 +93,7 @@ def secret_spans(text: Column, window: int = WINDOW) -> tuple[Column, Column]:
     added = []
     for kind, (pattern, bits) in CLASSES.items():
         candidates = F.filter(matches(text, pattern, text.rlike(pattern)), lambda m: ~m["value"].rlike(ALLOWED))
-        scored = F.transform(candidates, lambda m, b=bits: F.struct(m["start"].alias("at"), _hot(m["value"], b, window).alias("hot")))
+        scored = F.transform(candidates, _judged(bits, window))
         scored = F.filter(scored, lambda s: s["hot"]["lo"] >= 0)
         added.append(spans(kind, F.transform(scored, lambda s: F.struct((s["at"] + s["hot"]["lo"]).alias("start"), (s["at"] + s["hot"]["hi"]).alias("end")))))
     return F.array_sort(F.concat(*base)), F.array_sort(F.concat(*base, *added))
@@ -104,17 +116,11 @@ def scan(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame
 def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     """The text with every stretch that spans cover replaced by one mask; spans must be ordered by start."""
 
-    def step(state: Column, s: Column) -> Column:
-        ahead = s["start"] >= state["at"]
-        piece = F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mask))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(ahead, F.concat(state["out"], F.array(piece))).otherwise(state["out"]).alias("out"))
-
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return masked(text, spans, lambda _: F.lit(mask))
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Per document: counts of base spans by kind, a digest of them, and all spans as text."""
+    """Per document: counts of base spans by kind, a digest of them, all spans as text, and their number."""
     found = scan(docs.select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(F.col("base_spans")), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(F.col("base_spans")), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"), F.size("secret_spans").cast("long").alias("n_spans"))
