@@ -61,8 +61,8 @@ class Boosted:
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.a * self.score(x) + self.b)))
 
-    def column(self, features: list[Column]) -> Column:
-        """The calibrated probability as an expression of feature columns."""
+    def column(self, features: Column) -> Column:
+        """The calibrated probability as an expression of an array of features, which is read and never computed anew."""
 
         def tree(node: Node) -> Column:
             if node.left is None or node.right is None:
@@ -75,9 +75,8 @@ class Boosted:
         return 1 / (1 + F.exp(-(F.lit(self.a) * total + F.lit(self.b))))
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 2, rate: float = 0.3, least: int = 10) -> Boosted:
-    """Fit on three of four rows; calibrate (Platt) on the fourth."""
-    held = np.arange(len(x)) % 4 == 3
+def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray, trees: int = 30, depth: int = 3, rate: float = 0.3, least: int = 10) -> Boosted:
+    """Fit on the rows that are not held out; calibrate (Platt) on the others."""
     a, b = x[~held], y[~held].astype(float)
     p = min(max(b.mean(), 1e-3), 1 - 1e-3)
     model, score = Boosted(float(np.log(p / (1 - p))), [], rate), np.full(len(a), np.log(p / (1 - p)))
@@ -97,8 +96,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 2, rate: flo
 
 def threshold(model: Boosted, x: np.ndarray, y: np.ndarray, precision: float) -> float:
     """The lowest probability from which on held-out rows reach a precision; 1.01 where none does."""
-    held = np.arange(len(x)) % 4 == 3
-    p, t = model.probability(x[held]), y[held]
+    p, t = model.probability(x), y
     for cut in np.unique(np.floor(p * 1000) / 1000):
         if t[p >= cut].mean() >= precision:
             return float(cut)

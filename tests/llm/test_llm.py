@@ -184,6 +184,20 @@ def test_secrets(spark):
         secrets.scan(frame(spark, ["a"]).withColumn("secret_spans", F.lit(1)))
 
 
+def test_secrets_long_runs(spark):
+    """Runs that once overflowed Java's stack or took quadratic time, and strings of low entropy beside others."""
+    runs = ["ab-" * 60_000 + "1x", "ab/" * 60_000 + "1", "a1" * 100_000, "A" * 10**6, "token=" * 20_000, "AKIA" * 50_000, "f3 " * 30_000, "ab-" * 9 + "1x " + "ab-" * 12 + "1y"]
+    rows = {r["doc_id"]: r["spans"] for r in secrets.digests(frame(spark, runs)).collect()}
+    assert [rows[i] for i in (0, 1, 3, 7)] == [""] * 4 and rows[2] == "hex:0:200000" and rows[5] == "access:0:200000"
+
+
+def test_secrets_rows(spark):
+    """Repeated rows, null ids and an empty table."""
+    docs = spark.createDataFrame([(1, "AKIA" + "B" * 20), (1, "AKIA" + "B" * 20), (None, None)], "doc_id long, text string")
+    assert sorted(r["spans"] for r in secrets.digests(docs).collect()) == ["", "access:0:24", "access:0:24"]
+    assert secrets.digests(docs.limit(0)).count() == 0
+
+
 def test_entropy_is_exact(spark):
     r = random.Random(9)
     values = ["".join(r.choice("0123456789abcdef") for _ in range(r.randint(20, 60))) for _ in range(40)]
@@ -396,10 +410,54 @@ def test_personal_data(spark):
     assert "email_spelt" in rows[4]["spans"] and "number_phone" in rows[5]["spans"]
 
 
+def test_personal_data_rows(spark):
+    """Repeated rows, an empty table, clashing names, and many matches in one text."""
+    docs = spark.createDataFrame([(1, "x a@b.co"), (1, "x a@b.co"), (None, None)], "doc_id long, text string")
+    assert sorted(r["spans"] for r in pii.digests(docs).collect()) == ["", "email:2:8", "email:2:8"]
+    assert pii.digests(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        pii.scan(docs.withColumn("PII_spans", F.lit(1)))
+    many = pii.digests(frame(spark, ["1.2.3.4 " * 20_000])).first()
+    assert many["n_ip"] == many["n_spans"] == 20_000
+
+
+def test_personal_data_overlaps(spark):
+    """Fixed spans stay and push out what overlaps them; of candidates the likelier stays; all are masked."""
+    span = lambda k, a, b, p: (k, a, b, f"k{k}", p)
+    cases = [
+        ([span(0, 5, 9, 1.0), span(4, 0, 6, 0.9), span(5, 8, 12, 0.99), span(5, 20, 22, 0.9)], [(5, 9), (20, 22)]),
+        ([span(4, 0, 10, 0.91), span(5, 5, 12, 0.99), span(6, 11, 15, 0.95)], [(5, 12)]),
+        ([span(0, 0, 10, 1.0), span(1, 5, 7, 1.0), span(4, 8, 12, 0.9)], [(0, 10), (5, 7)]),
+    ]
+    for spans, kept in cases:
+        got = spark.createDataFrame([(spans,)], f"s {pii._SPAN}").select(pii._resolved(F.col("s"), 4).alias("s")).first()["s"]
+        assert sorted((x["start"], x["end"]) for x in got) == kept
+    text = "mail bo@example.org, call (212) 555-0142 today"
+    found = pii.scan(frame(spark, [text])).select(pii.redacted(F.col("text"), F.col("pii_spans")).alias("t")).first()["t"]
+    assert found == "mail [EMAIL], call [NUMBER_PHONE] today"
+
+
+#: Written by hand, apart from the made-up examples: personal data, and what only looks like it.
+THEIRS = [
+    "you may write to jane.doe [at] posteo [dot] net any time", "contact: k.meier (at) firma (dot) de", "Telefon: 030 4567 8912, abends", "please call (415) 555-0134 tomorrow", "my cell: 415-555-0134 thanks",
+    "her social security number 078-05-1120 was leaked", "SSN: 219-09-9999", "IBAN DE89 3704 0044 0532 0130 00 bitte", "account GB29 NWBK 6016 1331 9268 19 at the bank", "paid with card 4929123456789012 yesterday",
+]
+NOTHING = [
+    "we met at noon.Then we left", "order 4500 1234 567890 shipped", "invoice 12.345.678 pieces", "version 000-12-0000 of the part", "serial 1234567890123 of the build", "build 00000000001234 passed", "article 12/3456/78901 euro",
+    "he looked at stone dot maps", "part AB12CDEF01234567 fits", "page 3120 4450 120000 of the issue",
+]
+
+
+def test_personal_data_recall(spark):
+    rows = {r["doc_id"]: r["n_spans"] for r in pii.digests(frame(spark, THEIRS + NOTHING)).collect()}
+    caught, spared = sum(rows[i] > 0 for i in range(len(THEIRS))), sum(rows[len(THEIRS) + i] == 0 for i in range(len(NOTHING)))
+    assert caught >= 8 and spared >= 9, (caught, spared)
+
+
 def test_trees_as_columns_equal_numpy(spark):
     r = np.random.default_rng(3)
     x = r.normal(size=(400, 3))
     y = x[:, 0] + x[:, 1] ** 2 > 0.5
-    model = boosting.fit(x, y)
-    rows = spark.createDataFrame([tuple(map(float, v)) for v in x], "a double, b double, c double").select(model.column([F.col("a"), F.col("b"), F.col("c")]).alias("p")).collect()
+    model = boosting.fit(x, y, np.arange(len(x)) % 4 == 3)
+    rows = spark.createDataFrame([tuple(map(float, v)) for v in x], "a double, b double, c double").select(model.column(F.array("a", "b", "c")).alias("p")).collect()
     assert np.allclose([q["p"] for q in rows], model.probability(x)) and ((model.probability(x) > 0.5) == y).mean() > 0.9
