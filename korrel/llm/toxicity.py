@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from korrel.plans.scratch import stored
+
 #: Labelled rows that a model is fitted on at most (those with the smallest hashes of their ids), and its entries.
 SAMPLE, ENTRIES = 8000, 2000
 #: Evidence (log-likelihood ratio) and log-odds that a learned entry needs; the threshold of a toxic text.
@@ -79,8 +82,16 @@ class Lexicon:
                             spared.append((start, end))
                     elif closed or kind == "b":
                         best[start] = max(best.get(start, 0.0), weight)
-            hits = [w for s, w in best.items() if not any(a <= s <= b for a, b in spared)]
-            return sum(hits), len(hits), max(1, len(body.split()))
+            if spared:  # phrases that overlap make one stretch, so each hit is looked up once
+                stretches: list[list[int]] = []
+                for a, b in sorted(spared):
+                    if stretches and a <= stretches[-1][1]:
+                        stretches[-1][1] = max(stretches[-1][1], b)
+                    else:
+                        stretches.append([a, b])
+                begins = [a for a, _ in stretches]
+                best = {s: w for s, w in best.items() if not (k := bisect_right(begins, s)) or stretches[k - 1][1] < s}
+            return sum(best.values()), len(best), max(1, len(body.split()))
 
         return match
 
@@ -107,15 +118,17 @@ def _terms(rows: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Lexicon:
-    """A lexicon from labelled rows (key, toxic 0/1); null keys and labels are left out, as are repeated texts.
+    """A lexicon from labelled rows (key, toxic 0/1); null keys and labels and null texts are left out.
 
-    At most `sample` rows are used: three of four for the entries, the fourth for the logistic model. Without toxic or
-    without clean rows the start list and a fixed model stay.
+    At most `sample` rows are used. Equal texts are one, under their smallest key, and toxic if any label says so; so
+    the same tables give the same lexicon. By that key's hash three of four serve for the entries, the fourth for the
+    logistic model. Without toxic or without clean rows the start list and a fixed model stay.
     """
     rows = labels.filter(F.col("toxic").isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = rows.orderBy(F.xxhash64(key), key).limit(sample)
     # Broadcast: `sample` rows of two numbers at most.
-    known = docs.select(key, F.col(text).alias("text")).filter("text is not null").join(F.broadcast(chosen), key).dropDuplicates(["text"])
+    met = docs.select(key, F.col(text).alias("text")).filter("text is not null").join(F.broadcast(chosen), key)
+    known = stored(met.groupBy("text").agg(F.min(key).alias(key), F.max("toxic").alias("toxic")), "labelled")
     for_words = known.filter(F.pmod(F.xxhash64(key), F.lit(4)) != 0)
     totals = {r["toxic"]: r["count"] for r in for_words.groupBy("toxic").count().collect()}
     found = Lexicon(dict.fromkeys(START, START_WEIGHT), {})
@@ -135,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             found.beginnings[r["term"]] = r["odds"]
     # A beginning that says no more than a shorter one is left out.
     found.beginnings = {t: w for t, w in found.beginnings.items() if not any(found.beginnings.get(t[:k], -1) >= w - 0.2 for k in range(4, len(t)))}
-    rest = _matched(known.filter(F.pmod(F.xxhash64(key), F.lit(4)) == 0).select("text", "toxic"), found, "text").select("total", "hits", "words", "toxic").collect()  # bounded: the sample
+    rest = sorted(_matched(known.filter(F.pmod(F.xxhash64(key), F.lit(4)) == 0).select("text", "toxic"), found, "text").select("total", "hits", "words", "toxic").collect())  # bounded: the sample
     if len({r["toxic"] for r in rest}) == 2:
         x = np.array([[1.0, math.log1p(100 * r["total"] / r["words"]), math.log1p(r["hits"])] for r in rest])
         y, prior = np.array([float(r["toxic"]) for r in rest]), np.array(found.model)
