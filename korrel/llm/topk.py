@@ -33,11 +33,14 @@ def _pivots(vectors: np.ndarray, count: int) -> np.ndarray:
 
 def _best(q: np.ndarray, q_far: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_far: np.ndarray, x_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query place, vector place, score) of the k best vectors of a block for each query; ties go to smaller ids."""
-    gap = np.zeros((len(q), len(x)), np.float32)
+    gap = np.zeros((len(q), len(x)))
     for p in range(q_far.shape[1]):
         np.maximum(gap, np.abs(q_far[:, p, None] - x_far[None, :, p]), out=gap)
-    # Rounding up by a little keeps the bound above the exact product of integers.
-    bound = ((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - gap.astype(np.float64) ** 2 * (1 - 1e-5)) / 2 + 1
+    # Squared distances are sums of integers, exact below 2**53; beyond, their relative error and that of the root stay
+    # under 1e-6 of the squared lengths that they are made of, which the bound is raised by.
+    squares = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :]
+    far = (q_far**2).max(1)[:, None] + (x_far**2).max(1)[None, :]
+    bound = (squares - gap**2) / 2 + 1 + 1e-6 * (squares + far)
     order = np.argsort(-bound, axis=1)
     places, scores = [], []
     for i in range(len(q)):
@@ -61,8 +64,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id",
 
     Queries are the rows whose key is divisible by `every`; all rows are candidates but those with the query's own
     key. Ties go to the smaller key; fewer candidates give fewer rows. Vectors that are null, empty, or hold nulls or
-    non-finite components, and rows with a null key, take no part. All vectors must have as many components; those
-    unlike the first pivot's number take no part. Rows that repeat a key are one candidate each. Queries meet the
+    non-finite components, and rows with a null key, take no part. A query meets the vectors that have as many
+    components as it has. Rows that repeat a key are one candidate each; as queries they share one ranking. Queries meet the
     vectors block by block; a block has a bounded number of rows, and blocks are spread by hash.
     """
     spark = vectors.sparkSession
@@ -74,19 +77,22 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id",
     first = rows.limit(SAMPLE).collect()  # bounded: SAMPLE vectors
     if not first:
         return spark.createDataFrame([], schema)
-    width = len(first[0]["v"])
-    rows = rows.filter(F.size("v") == width)
-    pivots = _pivots(np.array([r["v"] for r in first if len(r["v"]) == width], np.float64), PIVOTS)
-    size = pa.list_(pa.float32())
+    widths = {len(r["v"]) for r in first}
+    pivots = {w: _pivots(np.array([r["v"] for r in first if len(r["v"]) == w], np.float64), PIVOTS) for w in widths}
 
     def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            v = b.column(1).flatten().to_numpy().reshape(-1, width).astype(np.float64)
-            far = np.sqrt(np.maximum((v * v).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * v @ pivots.T, 0)).astype(np.float32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * len(pivots)), pa.array(far.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], schema=pa.schema([("id", pa.int64()), ("v", b.column(1).type), ("far", size)]))
-
-    table = rows.mapInArrow(distances, "id long, v array<bigint>, far array<float>")
+        for whole in batches:
+            sizes = whole.column(1).value_lengths().to_numpy()
+            for width in np.unique(sizes).tolist():
+                b = whole.take(pa.array(np.flatnonzero(sizes == width)))
+                to = pivots.get(width, np.zeros((1, width)))  # a width that the sample lacks has the origin as pivot
+                v = b.column(1).flatten().to_numpy().reshape(-1, width).astype(np.float64)
+                far = np.sqrt(np.maximum((v * v).sum(1)[:, None] + (to * to).sum(1)[None] - 2 * v @ to.T, 0))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * len(to)), pa.array(far.ravel()))
+                out = [b.column(0), b.column(1), lists, pa.array(np.full(len(v), width, np.int32))]
+                yield pa.RecordBatch.from_arrays(out, schema=pa.schema([("id", pa.int64()), ("v", b.column(1).type), ("far", pa.list_(pa.float64())), ("width", pa.int32())]))
+
+    table = rows.mapInArrow(distances, "id long, v array<bigint>, far array<double>, width int")
     counts = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("id") % every == 0, 1)).alias("q")).first()
     n_blocks, q_blocks = max(1, math.ceil(counts["n"] / VECTORS)), max(1, math.ceil(counts["q"] / QUERIES))
     spread = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
@@ -105,6 +111,6 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id",
             out.append(pd.DataFrame({"query_id": some.id.to_numpy()[qi], "vec_id": x_ids[xi], "score": score.astype(np.int64)}))
         return pd.concat(out)
 
-    met = asked.groupBy("qb", "xb").cogroup(given.groupBy("qb", "xb")).applyInPandas(meet, "query_id long, vec_id long, score long")
+    met = asked.groupBy("width", "qb", "xb").cogroup(given.groupBy("width", "qb", "xb")).applyInPandas(meet, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
