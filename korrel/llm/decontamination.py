@@ -9,7 +9,8 @@ of white space as one space.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,8 +20,8 @@ from pyspark.sql import types as T
 #: Share of an item's characters that may be edited, the shortest piece of an item that may be edited, and characters
 #: that such an item needs: shorter ones are looked for word for word.
 ERRORS, PIECE, SHORTEST = 0.06, 12, 40
-#: Characters of items that one pass over the documents looks for.
-BLOCK_CHARS = 20_000_000
+#: Characters of items that one pass over the documents looks for, and blocks that a worker keeps ready for search.
+BLOCK_CHARS, KEPT = 2_000_000, 2
 #: Letters of scripts that put no blanks between words: a word may end beside any of them.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
@@ -134,6 +135,18 @@ class Items:
         return sorted(out)
 
 
+_ready: dict[str, Items] = {}
+
+
+def _items(name: str, rows: Callable[[], list[tuple[int, str]]], errors: float, piece: int, shortest: int) -> Items:
+    """A block's items, built once in each worker."""
+    if name not in _ready:
+        while len(_ready) >= KEPT:
+            del _ready[next(iter(_ready))]
+        _ready[name] = Items(rows(), errors, piece, shortest)
+    return _ready[name]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", errors: float = ERRORS, piece: int = PIECE, shortest: int = SHORTEST, item_key: str = "item_id", item_text: str = "text", to: str = "leaks") -> DataFrame:
     """docs with an array of (item_id, edits) in column `to`: the test items that stand in each text.
 
@@ -157,10 +170,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", erro
     for block in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         rows = sorted({(r["item_id"], normal(r["text"])) for r in part.collect()})  # bounded: about BLOCK_CHARS characters
-        held = out.sparkSession.sparkContext.broadcast([(i, t) for i, t in rows if t])
+        held, name = out.sparkSession.sparkContext.broadcast([(i, t) for i, t in rows if t]), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], held=held, block=block) -> Iterator[pa.RecordBatch]:
-            items = Items(held.value, errors, piece, shortest)
+        def run(batches: Iterator[pa.RecordBatch], held=held, name=name, block=block) -> Iterator[pa.RecordBatch]:
+            items = _items(name, lambda: held.value, errors, piece, shortest)
             for batch in batches:
                 for lo in range(0, batch.num_rows, 1024):
                     rows = batch.slice(lo, 1024)
