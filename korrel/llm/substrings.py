@@ -27,6 +27,8 @@ RUN = 8
 IN_SHARD = 1000
 #: Words of a shard, about.
 SHARD_WORDS = 400_000
+#: What tells rows apart: a key and the hash of a text under it. Rows that share both are copies, with the same spans.
+ROW = ["doc_id", "row"]
 
 _long, _int = T.LongType(), T.IntegerType()
 _PASSAGES = T.StructType([T.StructField("a", _long), T.StructField("h", _long), T.StructField("n", _int), T.StructField("doc_id", _long), T.StructField("row", _long), T.StructField("start", _int)])
@@ -84,8 +86,8 @@ def _passages(rows: DataFrame, window: int, run: int) -> DataFrame:
 def _parts(rows: DataFrame, passages: DataFrame, window: int, in_shard: int) -> DataFrame:
     """The passages (row, a, h, n, start, count) with the hashes of their words, or, where their anchor has more than
     in_shard of them, each window of the passage with two hashes of its words. Texts are moved once for both."""
-    lists = passages.groupBy("row").agg(F.collect_list(F.struct("a", "h", "n", "start", (F.col("count") > in_shard).alias("crowded"))).alias("p"))
-    wanted = rows.join(lists.hint("shuffle_hash"), "row").select("doc_id", "row", "text", "p")
+    lists = passages.groupBy(F.col("first").alias("doc_id"), "row").agg(F.collect_list(F.struct("a", "h", "n", "start", (F.col("count") > in_shard).alias("crowded"))).alias("p"))
+    wanted = rows.join(lists, ROW).select("doc_id", "row", "text", "p")
     out = _arrow(_PARTS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +141,7 @@ def _searched(contents: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_spans(rows: DataFrame, window: int = WINDOW, run: int = RUN, in_shard: int = IN_SHARD) -> DataFrame:
-    """(row, lo, hi): words lo..hi-1 of a row (doc_id, row, text) lie in windows that a smaller doc_id also has. May overlap."""
+    """(doc_id, row, lo, hi): words lo..hi-1 of a row (doc_id, row, text) lie in windows that a smaller doc_id also has. May overlap."""
     spark = rows.sparkSession
     known = rows.filter("doc_id is not null")
     made = _passages(known, window, run)
@@ -163,8 +165,8 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, run: int = RUN, in_sha
     hits = hits.union(again.select(*same, F.col("offset").alias("lo"), (F.col("offset") + window).cast("int").alias("hi")))
 
     of_kind = made.join(kinds.select(*same, "first"), same)
-    copies = of_kind.filter("first < doc_id").select("row", F.col("start").alias("lo"), (F.col("start") + F.col("n")).alias("hi"))
-    firsts = of_kind.filter("first = doc_id").join(hits, same).select("row", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
+    copies = of_kind.filter("first < doc_id").select(*ROW, F.col("start").alias("lo"), (F.col("start") + F.col("n")).alias("hi"))
+    firsts = of_kind.filter("first = doc_id").join(hits, same).select(*ROW, (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
     return copies.union(firsts)
 
 
@@ -177,8 +179,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     rows that repeat a key take none from each other. Texts of fewer words than a window stay whole. Columns besides
     key and text are not read.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(key, text).alias("row"), F.col(text).alias("text"))
-    spans = repeated_spans(rows, window).groupBy("row").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
+    spans = repeated_spans(rows, window).groupBy(*ROW).agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
     schema = T.StructType([T.StructField("doc_id", _long), T.StructField("n_words", _long), T.StructField("n_removed", _long), T.StructField("kept", T.StringType())])
     out, word = _arrow(schema), re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -197,4 +199,4 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
                     kept.append(b" ".join([w for w, s in zip(found, stay.tolist()) if s] if spans else found).decode())
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, 512), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], schema=out)
 
-    return rows.join(spans.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "spans").mapInArrow(drop, schema)
+    return rows.join(spans, ROW, "left").select("doc_id", "text", "spans").mapInArrow(drop, schema)
