@@ -160,6 +160,23 @@ def test_toxicity_held_out(spark):
     assert hit.toxic.mean() > 0.9 and len(hit[hit.toxic == 1]) / got.toxic.sum() > 0.8
 
 
+def test_toxicity_repeats(spark):
+    """Equal texts under several ids and labels give one lexicon, whatever the order of the rows; odd rows have a score."""
+    r = random.Random(4)
+    docs = [(i, " ".join(r.choice(["gut", "haus", "baum", "weg"]) for _ in range(30)) + (" grobzunge" if i % 3 == 0 else f" wort{i % 7}")) for i in range(400)]
+    docs += [(i + 1000, t) for i, t in docs[:200]]
+    labels = [(i, int(i % 3 == 0 or i == 1004)) for i, _ in docs]
+    made = []
+    for order in (docs, docs[::-1]):
+        d = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        made.append(toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, toxic int")))
+    assert made[0] == made[1] and "grobzunge" in made[0].words
+    odd = spark.createDataFrame([(None, "grobzunge"), (5, None), (5, ""), (5, "idiot trash can " * 20_000)], "doc_id long, text string")
+    assert toxicity.score(odd, made[0]).count() == 4 and toxicity.score(odd.limit(0), made[0]).count() == 0
+    with pytest.raises(ValueError):
+        toxicity.score(odd.withColumn("Score", F.lit(1)), made[0])
+
+
 # 4
 SECRETS = ["token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\"", "password: short secret:hunter2hunter2hunter2", "token:secret:longvalue123456789", "PassWord='ab.cd_ef=gh-ij' é AKIAABCDEFGHIJ1234 AKIA123", "0123456789abcdef0123 deadbeef", "api_key=abcdefghijkl apikey:zzzzzzzzzzzz", "key eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9 end", "123e4567-e89b-12d3-a456-426614174000", "f" * 60]
 
@@ -284,6 +301,24 @@ def test_topk(spark):
     assert topk.top_k(df.filter("vec_id is null")).count() == 0
 
 
+def test_topk_widths(spark):
+    """Vectors meet those of their own width, in whatever order the rows come."""
+    rows = [(50, [0.5, 0.25]), (1, [0.5, 0.5]), (2, [1.0, 0.0, 0.0]), (100, [1.0, 1.0, 0.0]), (150, [2.0])]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "vec_id long, embedding array<float>").coalesce(1)
+        assert {tuple(x) for x in topk.top_k(df).collect()} == {(50, 1, 1, 128 * 128 + 64 * 128), (100, 1, 2, 256 * 256)}
+
+
+def test_topk_large(spark):
+    """Bounds hold for large components too."""
+    r = np.random.default_rng(5)
+    v = (r.normal(size=(600, 6)) * 4000).astype(np.float64)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    whole = np.floor(256 * v).astype(np.int64)
+    want = {(q, k + 1, x, int(whole[q] @ whole[x])) for q in range(0, 600, 50) for k, x in enumerate(sorted((x for x in range(600) if x != q), key=lambda x: (-int(whole[q] @ whole[x]), x))[:5])}
+    assert {tuple(x) for x in topk.top_k(df).collect()} == want
+
+
 # 8
 def component_of(texts):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
