@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,24 +36,49 @@ UNLIKELY = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus discussion footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promoted promotion related reply replies share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A comment, a declaration, or a tag; quotes count after "=" alone. A tag without an end takes the rest of the page.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?i)(?<![^\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
 WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
 
 class _Element:
-    __slots__ = ("articles", "chars", "doubt", "linked", "mains", "marked", "out", "parent", "points", "score", "tag")
+    __slots__ = ("articles", "block", "chars", "doubt", "inside", "kept", "linked", "mains", "marked", "out", "parent", "points", "score", "tag")
 
     def __init__(self, tag: str, parent: _Element | None, out: bool, doubt: int = 0):
         self.tag, self.parent, self.out, self.doubt = tag, parent, out, doubt
-        #: The nearest element from here upward that form, role or class speak against.
+        #: The nearest element from here upward that form, role or class speak against, and the nearest block.
         self.marked: _Element | None = self if doubt else parent.marked if parent else None
+        self.block: _Element = self if parent is None or tag in BLOCKS else parent.block
         self.points, self.articles, self.mains = 0.0, 0, 0
-        self.clear()
+        self.score, self.chars, self.linked, self.inside, self.kept = 0.0, 0, 0, True, False
 
-    def clear(self) -> None:
-        self.score = 25.0 if self.tag in ("article", "main") else 0.0
-        self.chars = self.linked = 0
+
+class _Open:
+    """The elements that are open, and where the ones of each tag are among them."""
+
+    def __init__(self, root: _Element):
+        self.stack, self.at, self.links = [root], {}, 0
+
+    def push(self, e: _Element) -> None:
+        self.at.setdefault(e.tag, []).append(len(self.stack))
+        self.stack.append(e)
+        self.links += e.tag == "a"
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost open element of the tags; 0 for none."""
+        return max((places[-1] for t in tags if (places := self.at.get(t))), default=0)
+
+    def first(self, tags: frozenset[str] | set[str], beyond: int) -> int:
+        """The place of the outermost open element of the tags that lies inside place `beyond`; 0 for none."""
+        found = [places[bisect_right(places, beyond)] for t in tags if (places := self.at.get(t)) and places[-1] > beyond]
+        return min(found, default=0)
+
+    def close(self, upto: int) -> None:
+        for e in self.stack[upto:]:
+            self.at[e.tag].pop()
+            self.links -= e.tag == "a"
+        del self.stack[upto:]
 
 
 #: What speaks against an element: nothing, its being a form, its role or class; or it is left out in any case.
@@ -80,28 +106,22 @@ def _against(tag: str, attributes: str) -> int:
 _Parts = list[tuple["_Element | None", str, bool]]
 
 
-def _blocks(page: str) -> tuple[list[tuple[_Element, _Parts]], list[_Element]]:
-    """(block element, stretches of its text) outside what is left out in any case, and the articles and mains."""
+def _blocks(page: str) -> tuple[list[tuple[_Element, _Parts]], list[_Element], list[_Element]]:
+    """(block element, stretches of its text) outside what is left out in any case, the articles and mains, all elements.
+
+    Elements come in the order in which they open, so a parent stands before what it holds.
+    """
     root = _Element("#root", None, False)
-    stack, parts, found, articles = [root], [], [], []
-    links = 0
+    opened, parts, found, articles, every = _Open(root), [], [], [], [root]
 
     def flush() -> None:
         if parts:
-            block = next(e for e in reversed(stack) if e.tag in BLOCKS or e is root)
-            found.append((block, parts.copy()))
+            found.append((opened.stack[-1].block, parts.copy()))
             parts.clear()
 
-    def close(upto: int) -> None:
-        nonlocal links
-        for e in stack[upto:]:
-            links -= e.tag == "a"
-        del stack[upto:]
-
     def say(text: str) -> None:
-        if text and not stack[-1].out:
-            text = html.unescape(text) if "&" in text else text
-            parts.append((stack[-1].marked, text, links > 0))
+        if text and not opened.stack[-1].out:
+            parts.append((opened.stack[-1].marked, html.unescape(text) if "&" in text else text, opened.links > 0))
 
     at, n = 0, len(page)
     while at < n:
@@ -117,12 +137,11 @@ def _blocks(page: str) -> tuple[list[tuple[_Element, _Parts]], list[_Element]]:
         if m[1]:
             if tag in BLOCKS:
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
-                if stack[k].tag in BLOCKS and tag not in BLOCKS or stack[k].tag == "table" and tag in ("p", "div", "li"):
-                    break
+            k = opened.last(tag)
+            # An inline element ends inside its block only, and a paragraph's or list's end not beyond its table.
+            bound = opened.last("table") if tag in BLOCKS and tag in ("p", "div", "li") else 0 if tag in BLOCKS else _place(opened)
+            if k and k >= bound:
+                opened.close(k)
             continue
         if tag == "br":
             say(" ")
@@ -130,18 +149,15 @@ def _blocks(page: str) -> tuple[list[tuple[_Element, _Parts]], list[_Element]]:
         if tag in BLOCKS:
             flush()
             if tag in CLOSES_P:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p"), 0)
-                if k and not any(e.tag in ("table", "button", "object") for e in stack[k:]):
-                    close(k)
+                k = opened.last("p")
+                if k and k > opened.last("table", "button", "object"):
+                    opened.close(k)
         if tag in ENDS:
-            ended, bound = ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in bound:
-                    break
-                if stack[k].tag in ended:
-                    close(k)
-                    if tag not in ("tr",):
-                        break
+            ended, bounds = ENDS[tag]
+            beyond = opened.last(*bounds)
+            k = opened.first(ended, beyond) if tag == "tr" else opened.last(*ended)
+            if k > beyond:
+                opened.close(k)
         if tag in VOID:
             continue
         if tag in RAW and not m[3].rstrip().endswith("/"):
@@ -149,12 +165,19 @@ def _blocks(page: str) -> tuple[list[tuple[_Element, _Parts]], list[_Element]]:
             at = end.end() if end else n
             continue
         against = _against(tag, m[3])
-        stack.append(_Element(tag, stack[-1], stack[-1].out or against == OUT, against % OUT))
-        if tag in ("article", "main") and not stack[-1].out:
-            articles.append(stack[-1])
-        links += tag == "a"
+        above = opened.stack[-1]
+        e = _Element(tag, above, above.out or against == OUT, against % OUT)
+        every.append(e)
+        opened.push(e)
+        if tag in ("article", "main") and not e.out:
+            articles.append(e)
     flush()
-    return found, articles
+    return found, articles, every
+
+
+def _place(opened: _Open) -> int:
+    """The place of the innermost open block."""
+    return opened.at[block.tag][-1] if (block := opened.stack[-1].block).parent is not None else 0
 
 
 def _joined(parts: _Parts) -> tuple[str, int]:
@@ -167,10 +190,11 @@ def _points(text: str) -> float:
     return 1 + text.count(",") + min(len(text) / 100, 3)
 
 
-def _spare(blocks: list[tuple[_Element, _Parts]], articles: list[_Element]) -> None:
+def _spare(blocks: list[tuple[_Element, _Parts]], articles: list[_Element], every: list[_Element]) -> None:
     """Takes the doubt from the elements that are wrapped around the page's article."""
-    total, mains, met = 0.0, sum(e.tag == "main" for e in articles), {}
-    for block, parts in blocks:
+    total, mains = 0.0, sum(e.tag == "main" for e in articles)
+    marked = [e for e in every if e.doubt]
+    for _, parts in blocks:
         groups: dict[int, _Parts] = {}
         for part in parts:
             groups.setdefault(id(part[0]), []).append(part)
@@ -178,65 +202,61 @@ def _spare(blocks: list[tuple[_Element, _Parts]], articles: list[_Element]) -> N
             text, linked = _joined(group)
             points = _points(text) * (1 - linked / len(text)) if linked * 2 < len(text) else 0.0  # lists of links are no paragraphs
             total += points
-            e = group[0][0]
-            while e is not None:
-                e.points += points
-                met[id(e)] = e
-                e = e.parent.marked
+            if group[0][0] is not None:
+                group[0][0].points += points
     for article in articles:
-        e = article.marked
-        while e is not None:
-            e.articles, e.mains = e.articles + 1, e.mains + (article.tag == "main")
-            e = e.parent.marked
-    for e in met.values():
+        if article.marked is not None:
+            article.marked.articles += 1
+            article.marked.mains += article.tag == "main"
+    for e in reversed(marked):  # inner ones first
+        above = e.parent.marked
+        if above is not None:
+            above.points, above.articles, above.mains = above.points + e.points, above.articles + e.articles, above.mains + e.mains
+    for e in marked:
         if mains and e.mains == mains or articles and e.articles == len(articles) and e.points > total * WITH_ARTICLE:
             e.doubt = NOTHING
-    if not any(_inside(a.marked, NOTHING) for a in articles):
-        for e in met.values():
+    _allow(every, NOTHING)
+    if not any(a.inside for a in articles):
+        for e in marked:
             if e.points > total * WITHOUT:
                 e.doubt = NOTHING
 
 
-def _inside(e: _Element | None, allowed: int) -> bool:
-    """Whether nothing but what is allowed speaks against a marked element and those around it."""
-    while e is not None:
-        if e.doubt not in (NOTHING, allowed):
-            return False
-        e = e.parent.marked
-    return True
+def _allow(every: list[_Element], allowed: int) -> None:
+    """Notes at each element whether nothing but what is allowed speaks against it and those around it."""
+    for e in every:
+        e.inside = (e.parent is None or e.parent.inside) and e.doubt in (NOTHING, allowed)
 
 
 def main_text(page: str | None) -> str:
-    """The article's blocks in page order, two line ends between them; "" where there is none."""
-    blocks, articles = _blocks(page or "")
+    """The article's blocks in page order, two line ends between them; "" where there is none. Linear in the page's length."""
+    blocks, articles, every = _blocks(page or "")
     if any(part[0] is not None for _, parts in blocks for part in parts):
-        _spare(blocks, articles)
-        text, sure, _ = _best(blocks, NOTHING)
+        _spare(blocks, articles, every)
+        text, sure, _ = _best(blocks, every, NOTHING)
         if sure or len(text) >= LITTLE:
             return text
-        more, _, plain = _best(blocks, NAMED)
+        more, _, plain = _best(blocks, every, NAMED)
         return more if plain * 2 > len(more) and len(text) < LITTLE_SHARE * plain else text
-    return _best(blocks, NOTHING)[0]
+    return _best(blocks, every, NOTHING)[0]
 
 
-def _best(blocks: list[tuple[_Element, _Parts]], allowed: int) -> tuple[str, bool, int]:
+def _best(blocks: list[tuple[_Element, _Parts]], every: list[_Element], allowed: int) -> tuple[str, bool, int]:
     """The text of the best element and its siblings, whether it is an article or main, and its characters outside links.
 
     What is marked by more than `allowed` is left out; NAMED allows roles and classes, but no forms.
     """
-
-    found = []
+    _allow(every, allowed)
+    for e in every:
+        e.score, e.chars, e.linked = 25.0 if e.tag in ("article", "main") else 0.0, 0, 0
+    found, scored = [], {}
     for block, parts in blocks:
-        text, linked = _joined([p for p in parts if _inside(p[0], allowed)])
-        if text:
-            found.append((block, text, linked))
-    for block, _, _ in found:
-        e = block
-        while e is not None:
-            e.clear()
-            e = e.parent
-    scored: dict[int, _Element] = {}
-    for block, text, linked in found:
+        text, linked = _joined([p for p in parts if p[0] is None or p[0].inside])
+        if not text:
+            continue
+        found.append((block, text, linked))
+        block.chars += len(text)
+        block.linked += linked
         points = _points(text)
         above = block if block.tag in ("div", "section", "article", "main", "body", "#root") else block.parent
         for share in (1.0, 0.5):
@@ -244,28 +264,24 @@ def _best(blocks: list[tuple[_Element, _Parts]], allowed: int) -> tuple[str, boo
                 above.score += points * share
                 scored[id(above)] = above
                 above = above.parent
-        e = block
-        while e is not None:
-            e.chars += len(text)
-            e.linked += linked
-            e = e.parent
     if not scored:
         return "", False, 0
+    for e in reversed(every):  # inner ones first
+        if e.parent is not None:
+            e.parent.chars += e.chars
+            e.parent.linked += e.linked
     worth = {k: e.score * (1 - e.linked / max(e.chars, 1)) for k, e in scored.items()}
     best = max(scored.values(), key=lambda e: worth[id(e)])
     least = max(10.0, worth[id(best)] * 0.2)
-
-    def kept(e: _Element | None) -> bool:
-        while e is not None:
-            if e is best:
-                return True
-            if e.parent is best.parent and e.parent is not None:
-                paragraph = e.tag in ("p", "h1", "h2", "h3", "blockquote", "pre") and e.linked < 0.25 * max(e.chars, 1)
-                return paragraph or worth.get(id(e), 0) >= least
-            e = e.parent
-        return False
-
-    chosen = [(text, linked) for block, text, linked in found if kept(block)]
+    for e in every:
+        if e is best:
+            e.kept = True
+        elif e.parent is not None and e.parent is best.parent:
+            paragraph = e.tag in ("p", "h1", "h2", "h3", "blockquote", "pre") and e.linked < 0.25 * max(e.chars, 1)
+            e.kept = paragraph or worth.get(id(e), 0) >= least
+        else:
+            e.kept = e.parent is not None and e.parent.kept
+    chosen = [(text, linked) for block, text, linked in found if block.kept]
     return "\n\n".join(text for text, _ in chosen), best.tag in ("article", "main"), sum(len(text) - linked for text, linked in chosen)
 
 
