@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -238,6 +239,41 @@ def test_html(spark):
     assert sorted(r["n_chars"] for r in html_text.texts(pages).collect()) == [0, 0, len(html_text.main_text(page))]
 
 
+def test_html_known_pages():
+    """Pages put together from known paragraphs and known clutter, in several layouts; the paragraphs must come back."""
+    r = random.Random(31)
+    say = lambda n: " ".join(r.choice(["river", "stone,", "light", "walks", "under", "the", "old", "bridge,", "and"]) for _ in range(n)).capitalize() + "."
+    clutter = [
+        "<nav><ul><li><a href=/>Home</a><li><a href=/a>All</a></ul></nav>", "<div class='cookie-notice'>We use cookies. <button>OK</button></div>", "<div id=sidebar><h3>Related</h3><a href=/x>More of this</a></div>",
+        "<form><input name=q><label>Search</label></form>", "<script>if (a < b) { c('<p>no</p>') }</script>", "<div class='ad banner'>Buy now, cheap, fast!</div>", "<!-- <p>hidden</p> -->", "<p style='display: none'>Secret</p>",
+    ]
+    for layout in ("<article>{}</article>", "<main><div>{}</div></main>", "<div class=content>{}</div>", "<div id=page><div class=post>{}</div></div>", "<table><tr><td>{}</td></tr></table>"):
+        for _ in range(6):
+            paragraphs = [say(r.randint(25, 60)) for _ in range(r.randint(3, 6))]
+            inner = "".join(f"<p>{x.replace(' the ', ' <em>the</em> ', 1)}</p>\n" + (r.choice(clutter[4:8]) if r.random() < 0.4 else "") for x in paragraphs)
+            r.shuffle(clutter)
+            page = f"<html><head><title>T</title></head><body><header>Site</header>{clutter[0]}{clutter[1]}{layout.format(inner)}<div class=comments><p>First! Nice, really, nice.</p></div>{clutter[2]}<footer>Imprint, 2020</footer></body></html>"
+            assert html_text.main_text(page) == "\n\n".join(paragraphs), page
+
+
+def test_html_time():
+    """Deep, unclosed and hostile pages take time in proportion to their length."""
+    for make in (lambda n: "<div>a " * n, lambda n: '<a "x ' * n, lambda n: '<a ="x ' * n, lambda n: "<a " * n + '=">"', lambda n: "<p><table><td>" + "<b>" * n + "</p>" * n, lambda n: "<div class=ad>x " * n, lambda n: "<table><tr><td>x" * n):
+        began = time.perf_counter()
+        html_text.main_text(make(30_000))
+        assert time.perf_counter() - began < 10
+
+
+def test_html_rows(spark):
+    """Null and empty pages, repeated rows, an empty table, a clash, and an extra column."""
+    page = "<article><p>" + "Ein Satz, noch einer. " * 20 + "</p></article>"
+    rows = spark.createDataFrame([(1, "u", page), (1, "u", page), (None, None, None), (2, "v", "")], "page_id long, url string, html string")
+    got = sorted(((x["page_id"] or 0), x["n_chars"]) for x in html_text.texts(rows.withColumn("text", F.lit("x")).withColumn("c0", F.lit(1))).collect())
+    assert got == [(0, 0), (1, 439), (1, 439), (2, 0)] and html_text.texts(rows.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        html_text.extract(rows.withColumn("TEXT", F.lit(1)))
+
+
 def test_html_wrappers():
     p = "A paragraph, with commas, and words enough to count as one of an article. " * 3
     menu = "<div class='nav'>" + "<a href=1>Some long link text, of a menu</a> " * 30 + "</div>"
