@@ -9,10 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where it is unset (tests) a temporary folder becomes it."""
+    """The cluster's spark.checkpoint.dir, or the session's checkpoint folder; on one machine a temporary folder becomes it.
+
+    Raises RuntimeError where a cluster has neither: executors do not see each other's local folders.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("korrel.scratch.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="korrel-")
+        context = spark.sparkContext
+        set_by_hand = context._jsc.sc().getCheckpointDir()
+        if set_by_hand.isDefined():
+            found = set_by_hand.get()
+        elif context.master.startswith("local"):
+            found = "file://" + tempfile.mkdtemp(prefix="korrel-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.conf.set("korrel.scratch.dir", found)
     return found.rstrip("/")
 
@@ -31,3 +41,10 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = scratch_path(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Removes all stored tables of the shared folder; for when no frame that reads them is in use any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/korrel")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
