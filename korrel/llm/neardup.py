@@ -139,9 +139,13 @@ def _bytes(short: pd.Series, fill: int) -> np.ndarray:
     return out
 
 
-def _flags(rows: pd.DataFrame) -> np.ndarray:
-    """The 128 flags of each row as two words."""
-    return np.stack([rows["low"].to_numpy(np.int64), rows["high"].to_numpy(np.int64)], 1).view(np.uint64)
+def _posted(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row, the 128 places at which the document is posted, and its whole values there."""
+    flags = np.stack([rows["low"].to_numpy(np.int64), rows["high"].to_numpy(np.int64)], 1)
+    at = np.unpackbits(flags.view(np.uint8), axis=1, bitorder="little").astype(bool)
+    values = np.zeros(at.shape, np.int32)
+    values[at] = np.concatenate(list(rows["values"]))
+    return at, values
 
 
 def _ones(words: np.ndarray) -> np.ndarray:
@@ -155,9 +159,9 @@ def _across(labelled: DataFrame, reps: DataFrame, sets: DataFrame, matches: int,
 
     Documents outside a list's largest component are compared with all of the list, block by block, by one byte of
     each signature value. What agrees in enough places is gathered per straggler, not per pair, and taken only from
-    the first three places at which both are in one list, so that few lists name the same pair. Comparisons of short
-    lists share a group. The shingle sets then
-    meet in blocks of the documents around one component. Only confirmed links become rows.
+    the first list that both are in, by their whole values at the places at which they are posted, so that one list
+    names a pair. Comparisons of short lists share a group. The shingle sets then meet in blocks of the documents
+    around one component. Only confirmed links become rows.
     """
     parts = labelled.groupBy("key", "c").agg(F.count("*").alias("n"))
     heads = parts.groupBy("key").agg(F.max(F.struct("n", "c")).alias("head"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1").withColumn("stray", F.col("n") - F.col("head.n"))
@@ -172,13 +176,17 @@ def _across(labelled: DataFrame, reps: DataFrame, sets: DataFrame, matches: int,
     prefix = labelled.groupBy("doc").agg(
         F.coalesce(F.expr("bit_or(CASE WHEN shiftright(key, 32) < 64 THEN shiftleft(1L, CAST(shiftright(key, 32) AS INT)) END)"), F.lit(0).cast("long")).alias("low"),
         F.coalesce(F.expr("bit_or(CASE WHEN shiftright(key, 32) >= 64 THEN shiftleft(1L, CAST(shiftright(key, 32) AS INT) - 64) END)"), F.lit(0).cast("long")).alias("high"),
+        F.array_sort(F.collect_list("key")).alias("keys"),  # as many as a prefix has, by place
     )
-    marks = prefix.join(reps.select("doc", "short"), "doc")
+    low = lambda k: k.bitwiseAND(F.lit(0xFFFFFFFF))
+    signed = lambda v: F.when(v >= 1 << 31, v - (1 << 32)).otherwise(v).cast("int")
+    values = F.transform("keys", lambda k: signed(low(k)))
+    marks = prefix.select("doc", "low", "high", values.alias("values")).join(reps.select("doc", "short"), "doc")
     lists = stored(met.join(sizes, "main").join(marks, "doc"), "mixed")
     at = lambda parts: F.pmod(F.xxhash64("doc"), F.col(parts)).cast("int")
     each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
     bucket = F.pmod(F.xxhash64("key", "s", "x"), F.lit(buckets)).alias("bucket")
-    own = [bucket, "key", "s", "x", "main", "blocks", at("blocks").alias("block"), at("groups").alias("grp"), "doc", "c", "low", "high", "short"]
+    own = [bucket, "key", "s", "x", "main", "blocks", at("blocks").alias("block"), at("groups").alias("grp"), "doc", "c", "low", "high", "values", "short"]
     strays = lists.filter("c <> main").withColumn("s", at("ss")).withColumn("x", each("xs")).select(own)
     every = lists.withColumn("x", at("xs")).withColumn("s", each("ss")).select(own)
 
@@ -186,22 +194,22 @@ def _across(labelled: DataFrame, reps: DataFrame, sets: DataFrame, matches: int,
         out = []
         if len(strays) and len(every):
             x, y = _bytes(every["short"], 0), _bytes(strays["short"], 1)
-            theirs, mine = _flags(every), _flags(strays)
+            (theirs, given), (mine, own) = _posted(every), _posted(strays)
             c, of = every["c"].to_numpy(), strays["c"].to_numpy()
             docs, blocks = every["doc"].to_numpy(), every["block"].to_numpy()
             main, grp, doc = strays["main"].to_numpy(), strays["grp"].to_numpy(), strays["doc"].to_numpy()
             members = every.groupby(within).indices
             for part, rows in strays.groupby(within).indices.items():
-                others, first = members.get(part, ()), (2 << (int(part[0]) >> 32)) - 1
-                upto = np.array([first & 0xFFFFFFFFFFFFFFFF, first >> 64], np.uint64)
+                others, place = members.get(part, ()), int(part[0]) >> 32
                 step = max(1, PAIRS // max(1, len(others)))
                 for lo in range(0, len(rows) if len(others) else 0, step):
                     some = rows[lo : lo + step]
                     same = np.packbits(y[some][:, None] == x[others], axis=-1, bitorder="little").view(np.uint64)
-                    shared = same & mine[some][:, None] & theirs[others] & upto
-                    near = (_ones(same) >= matches) & (_ones(shared) <= 3) & (of[some][:, None] != c[others])
+                    near = (_ones(same) >= matches) & (of[some][:, None] != c[others])
                     for i in np.flatnonzero(near.any(axis=1)):
                         k, hit = some[i], others[near[i]]
+                        before = mine[k, :place] & theirs[hit, :place] & (own[k, :place] == given[hit, :place])
+                        hit = hit[~before.any(axis=1)]
                         for block in np.unique(blocks[hit]):
                             out.append((main[k], int(block), int(grp[k]), doc[k], docs[hit[blocks[hit] == block]]))
         return pd.DataFrame(out, columns=["main", "block", "grp", "a", "others"])
