@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from korrel.plans.scratch import stored
+
 CACHE = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 #: Words whose counts a worker remembers; beyond that it starts anew.
 REMEMBERED = 800_000
@@ -129,5 +131,6 @@ def count(docs: DataFrame, tokenizer: str, cache: str, key: str = "doc_id", text
 
     counted = chosen.mapInArrow(run, CACHE).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     counted.write.mode("append").parquet(f"{cache}/{of}")
-    stored = read_cache(spark, cache, of).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return rows.select("k", "digest", F.octet_length("t").cast("long").alias("n_bytes")).join(stored, "digest").select(F.col("k").alias(key), "n_bytes", "n_tokens")
+    # Stored, so that the join below has a plain table on either side and a hot digest's rows can be split.
+    counts = stored(read_cache(spark, cache, of).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
+    return rows.select("k", "digest", F.octet_length("t").cast("long").alias("n_bytes")).join(counts, "digest").select(F.col("k").alias(key), "n_bytes", "n_tokens")
