@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from korrel.functions import text as t
@@ -115,19 +116,26 @@ def lookup_titles(edges: DataFrame, names: DataFrame) -> DataFrame:
     return joined.select("source", "relation", "target", F.concat(F.coalesce("s_title", "source"), F.lit(" — "), "label", F.lit(" → "), F.coalesce("t_title", "target")).alias("line"))
 
 
-def link_entities(questions: DataFrame, names: DataFrame, longest: int = 6) -> DataFrame:
-    """(question_id, id): nodes whose name a question holds as whole words, longest names first, each stretch once.
+def aliased(nodes: DataFrame) -> DataFrame:
+    """(id, title) of nodes (id, title, aliases): a row for the title and one for each alias."""
+    every = F.concat(F.array("title"), F.coalesce("aliases", F.array().cast("array<string>")))
+    return nodes.select("id", F.explode(every).alias("title"))
+
 
-    Candidates are the word runs of the question (up to `longest` words) joined to the names, so no question is
-    compared with every name; a name whose stretch lies in an accepted longer one is dropped in a fold per question.
-    Only a name's first occurrence counts.
+def link_entities(questions: DataFrame, names: DataFrame) -> DataFrame:
+    """(question_id, id, pos): nodes whose name (id, title; several rows for aliases) a question holds as whole words.
+
+    Longest names first, each stretch of the question once, in that order from 0; of a name only the first occurrence
+    counts. The question's word runs, of the lengths that names have, are joined to the names, so no question is
+    compared with every name; what lies in an accepted longer name is dropped in a fold over one question's hits.
     """
     keys = name_index(names).groupBy("key").agg(F.min("id").alias("id"))
-    folded = questions.select(F.col("id").alias("question_id"), F.filter(F.split(t.normalize(F.col("text")), "[^a-z0-9#]+"), lambda w: w != "").alias("words"))
-    each = folded.select("question_id", "words", F.explode(F.sequence(F.lit(1), F.size("words"))).alias("at")).filter("size(words) > 0")
-    runs = each.select("question_id", "at", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("words") - F.col("at") + 1)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("words", F.col("at"), n), " ").alias("key")))).alias("r"))
-    plain = keys.withColumn("key", F.trim(F.regexp_replace("key", "[^a-z0-9#]+", " ")))
-    hits = runs.select("question_id", "at", F.col("r.n").alias("n"), F.col("r.key").alias("key")).join(plain, "key")
+    plain = keys.withColumn("key", F.trim(F.regexp_replace("key", "[^a-z0-9#]+", " "))).filter("key <> ''")
+    lengths = plain.agg(F.collect_set(F.size(F.split("key", " "))).alias("lengths"))  # one row: the word counts that occur
+    folded = questions.select(F.col("id").alias("question_id"), F.filter(F.split(t.normalize(F.col("text")), "[^a-z0-9#]+"), lambda w: w != "").alias("words")).filter("size(words) > 0")
+    each = folded.crossJoin(F.broadcast(lengths)).select("question_id", "words", "lengths", F.explode(F.sequence(F.lit(1), F.size("words"))).alias("at"))
+    runs = each.select("question_id", "words", "at", F.explode("lengths").alias("n")).filter(F.col("at") + F.col("n") <= F.size("words") + 1)
+    hits = runs.select("question_id", "at", "n", F.array_join(F.slice("words", F.col("at"), F.col("n")), " ").alias("key")).join(plain, "key")
     first = hits.groupBy("question_id", "key", "id").agg(F.min("at").alias("at"), F.first("n").alias("n"))
     ordered = F.array_sort(F.collect_list(F.struct((-F.length("key")).alias("k"), "id", "at", "n")))
 
@@ -136,72 +144,85 @@ def link_entities(questions: DataFrame, names: DataFrame, longest: int = 6) -> D
         return F.when(clear, F.concat(state, F.array(x))).otherwise(state)
 
     none = F.array().cast("array<struct<k:int,id:string,at:int,n:int>>")
-    return first.groupBy("question_id").agg(F.aggregate(ordered, none, accept).alias("hits")).select("question_id", F.explode("hits").alias("h")).select("question_id", F.col("h.id").alias("id"))
+    found = first.groupBy("question_id").agg(F.aggregate(ordered, none, accept).alias("hits")).select("question_id", F.posexplode("hits").alias("pos", "h"))
+    return found.groupBy("question_id", F.col("h.id").alias("id")).agg(F.min("pos").alias("pos"))
+
+
+def with_fallback(linked: DataFrame, best: DataFrame) -> DataFrame:
+    """Seeds (question_id, id, pos): linked ones, and for questions without any the lexically best (question_id, id, rank)."""
+    alone = best.join(linked.select("question_id").distinct(), "question_id", "left_anti")
+    return linked.select("question_id", "id", "pos").union(alone.select("question_id", "id", (F.col("rank") - 1).alias("pos")))
+
+
+@dataclass
+class Subgraph:
+    """Per question: nodes (question_id, id, level, pos) and edges (question_id, step, source, relation, target, label, level)."""
+
+    nodes: DataFrame
+    edges: DataFrame
 
 
-def traverse(seeds: DataFrame, edges: DataFrame, questions: DataFrame, names: DataFrame, depth: int = 3, beam: int = 4, most: int = 14) -> DataFrame:
-    """(question_id, step, source, relation, target, level): the edges of a scored beam search from seeds (question_id, id).
+def traverse(seeds: DataFrame, edges: DataFrame, questions: DataFrame, names: DataFrame, depth: int = 3, beam: int = 4, most: int = 14) -> Subgraph:
+    """The subgraph of a scored beam search from seeds (question_id, id, pos), which have level -1.
 
-    A candidate scores a point per question term in its relation, label and far title, two where the far node was in
-    the subgraph at the level's start, and half a point at the first level. Per level at most `beam` new nodes are
-    taken, best first; edges between known nodes always are; a level ends once `most` nodes are in. One join per
-    level brings the frontier's edges. The new nodes are those with the best edges, so they are chosen first, by one row
-    per node; the greedy choice is then a fold over all edges of the frontier to them and to known nodes.
+    A candidate edge scores a point per question term in its relation, label and far title, two where the far node was
+    in the subgraph at the level's start, and half a point at the first level; ties go by source, relation, target.
+    A level takes the `beam` new nodes with the best edges, and every edge to these and to known nodes, best first,
+    up to the edge that brings in the last node that `most` allows. All levels are joins and aggregations by question
+    and node: what a hub adds is reduced to one row per node before nodes are ranked.
     """
-    titles = names.select(F.col("id").alias("other"), F.col("title").alias("far"))
-    words = F.array_distinct(t.terms(F.concat_ws(" ", "label", "relation", "far")))
-    around = stored(adjacency(edges).join(titles, "other").select("node", "other", "direction", "relation", words.alias("words")), "around")
-    asked = questions.select(F.col("id").alias("question_id"), F.array_distinct(t.terms("text")).alias("wanted"))
-    state = seeds.groupBy("question_id").agg(F.array_sort(F.collect_set("id")).alias("inside")).withColumns({"frontier": F.col("inside"), "taken": F.array().cast("array<struct<source:string,relation:string,target:string,level:int>>")})
+    # Stems once per title and per kind of edge, not once per edge.
+    titles = names.select(F.col("id").alias("other"), F.array_distinct(t.terms("title")).alias("far"))
+    kinds = edges.select("label", "relation").distinct().withColumn("own", F.array_distinct(t.terms(F.concat_ws(" ", "label", "relation"))))
+    ends = adjacency(edges).join(titles, "other").join(kinds, ["label", "relation"])
+    out = F.col("direction") == "out"
+    around = stored(ends.select("node", "other", F.when(out, F.col("node")).otherwise(F.col("other")).alias("source"), "relation", F.when(out, F.col("other")).otherwise(F.col("node")).alias("target"), "label", "own", "far"), "around")
+    asked = stored(questions.select(F.col("id").alias("question_id"), F.array_distinct(t.terms("text")).alias("wanted")), "asked")
+    inside = stored(seeds.select("question_id", "id", F.lit(-1).alias("level"), F.struct(F.col("pos").cast("double").alias("s"), F.lit("").alias("source"), F.lit("").alias("relation"), F.lit("").alias("target"), F.lit("").alias("node"), F.lit("").alias("label")).alias("key")), "inside")
+    taken = None
     for level in range(depth):
-        state = stored(state, "traversal")
-        ends = state.filter(F.size("inside") < most).select("question_id", F.explode("frontier").alias("node"), "inside")
-        near = ends.join(around, "node").join(asked, "question_id")
-        known = F.array_contains("inside", F.col("other"))
-        score = F.size(F.array_intersect("wanted", "words")) + F.when(known, 2.0).otherwise(0.0) + (0.5 if level == 0 else 0.0)
-        source, target = F.when(F.col("direction") == "out", F.col("node")).otherwise(F.col("other")), F.when(F.col("direction") == "out", F.col("other")).otherwise(F.col("node"))
-        options = near.select(F.col("question_id").alias("q"), "node", "other", source.alias("source"), "relation", target.alias("target"), score.alias("score"), known.alias("known"))
-        best = options.filter(~F.col("known")).groupBy("q", "other").agg(F.min(F.struct((-F.col("score")).alias("s"), "source", "relation", "target", "node")).alias("best"))
-        chosen = top(best, "q", [F.asc("best")], beam).select("q", "other", F.lit(True).alias("chosen"))
-        options = options.join(chosen, ["q", "other"], "left").filter("known or chosen").drop("chosen")
-        state = state.groupBy("question_id").cogroup(options.groupBy("q")).applyInPandas(_level(level, beam, most), state.schema)
-    return state.select("question_id", F.posexplode("taken").alias("step", "e")).select("question_id", "step", "e.source", "e.relation", "e.target", "e.level")
-
-
-def _level(level: int, beam: int, most: int):
-    """The greedy choice of one level, for applyInPandas."""
-
-    def accept(state: pd.DataFrame, options: pd.DataFrame) -> pd.DataFrame:
-        return _accept(state, options, level, beam, most)
-
-    return accept
-
-
-def _accept(state: pd.DataFrame, options: pd.DataFrame, level: int, beam: int, most: int) -> pd.DataFrame:
-    """One level of one question."""
-    if not len(state):
-        return state
-    row = state.iloc[0]
-    inside, taken = list(row["inside"]), [dict(e) if isinstance(e, dict) else e.asDict() for e in row["taken"]]
-    have, new, seen = set(inside), [], {(e["source"], e["relation"], e["target"]) for e in taken}
-    if len(options):
-        options = options.sort_values(["score", "source", "relation", "target", "node"], ascending=[False, True, True, True, True], kind="stable")
-        for o in options.itertuples():
-            if len(have) >= most:
-                break
-            edge = (o.source, o.relation, o.target)
-            if edge in seen or o.other not in have and len(new) >= beam:
-                continue
-            seen.add(edge)
-            taken.append({"source": o.source, "relation": o.relation, "target": o.target, "level": level})
-            if o.other not in have:
-                have.add(o.other)
-                new.append(o.other)
-    return pd.DataFrame({"question_id": [row["question_id"]], "inside": [inside + new], "frontier": [new], "taken": [taken]})
-
-
-def linearized(taken: DataFrame, names: DataFrame) -> DataFrame:
-    """(question_id, context): the traversal's relations as lines, in the order in which they were taken."""
-    lines = lookup_titles(taken.withColumn("label", F.col("relation")), names).join(taken, ["source", "relation", "target"])
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("step", "line"))), lambda x: F.concat(F.lit("- "), x["line"]))
-    return lines.groupBy("question_id").agg(F.concat(F.lit("Relationen:\n"), F.array_join(ordered, "\n")).alias("context"))
+        sizes = inside.groupBy("question_id").agg(F.count("*").alias("n")).filter(F.col("n") < most)
+        frontier = inside.filter(F.col("level") == level - 1).select("question_id", F.col("id").alias("node")).join(sizes, "question_id")
+        known = inside.select("question_id", F.col("id").alias("other"), F.lit(True).alias("known"))
+        near = frontier.join(around, "node").join(known, ["question_id", "other"], "left").join(asked, "question_id")
+        score = F.size(F.array_intersect("wanted", F.array_union("own", "far"))) + F.when(F.col("known"), 2.0).otherwise(0.0) + (0.5 if level == 0 else 0.0)
+        options = near.select("question_id", "other", "n", "known", F.struct((-score).alias("s"), "source", "relation", "target", "node", "label").alias("key"))
+        best = options.filter("known is null").groupBy("question_id", "other").agg(F.min("key").alias("key"), F.first("n").alias("n"))
+        chosen = stored(top(best, "question_id", [F.asc("key")], beam).filter(F.col("rank") <= most - F.col("n")), "chosen")
+        last = chosen.groupBy("question_id").agg(F.when(F.first("n") + F.count("*") >= most, F.max("key")).alias("cut"))
+        reached = options.join(chosen.select("question_id", "other", F.lit(True).alias("chosen")), ["question_id", "other"], "left").filter("known or chosen")
+        reached = reached.join(last, "question_id", "left").filter("cut is null or key <= cut")
+        new = reached.groupBy("question_id", "key.source", "key.relation", "key.target").agg(F.min("key").alias("key")).withColumn("level", F.lit(level))
+        new = stored(new if taken is None else new.join(taken, ["question_id", "source", "relation", "target"], "left_anti"), "taken")
+        taken = new if taken is None else taken.union(new)
+        inside = stored(inside.union(chosen.select("question_id", F.col("other").alias("id"), F.lit(level).alias("level"), "key")), "inside")
+    place = lambda: (F.row_number().over(Window.partitionBy("question_id").orderBy("level", "key")) - 1).cast("int")  # noqa: E731  a few rows a question
+    steps = taken.select("question_id", place().alias("step"), "source", "relation", "target", F.col("key.label").alias("label"), "level")
+    return Subgraph(inside.select("question_id", "id", "level", place().alias("pos")), steps)
+
+
+# Headings and signs of a context.
+RELATIONS, EXCERPTS, MORE = "BEZIEHUNGEN (Wissensgraph):\n", "ARTIKEL-AUSZÜGE:\n", "\n\nZUSÄTZLICHE ARTIKEL (Ähnlichkeitssuche):\n"
+
+
+def ordered_text(rows: DataFrame, order: str, line: Column, gap: str, to: str) -> DataFrame:
+    """(question_id, to): lines of each question in order, with a gap between them."""
+    held = rows.select("question_id", order, line.alias("line")).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct(order, "line"))).alias("all"))
+    return held.select("question_id", F.array_join(F.transform("all", lambda x: x["line"]), gap).alias(to))
+
+
+def excerpts(nodes: DataFrame, of: DataFrame, order: str = "pos", to: str = "excerpts") -> DataFrame:
+    """(question_id, to): "[title] summary" of the nodes of each question, blank lines between."""
+    rows = of.join(nodes.select("id", "title", "summary"), "id")
+    return ordered_text(rows, order, F.concat(F.lit("["), "title", F.lit("] "), F.coalesce("summary", F.lit(""))), "\n\n", to)
+
+
+def linearized(sub: Subgraph, nodes: DataFrame, questions: DataFrame) -> DataFrame:
+    """(question_id, context): relations in the order in which they were taken, where there are any, then excerpts of
+    nodes (id, title, summary), seeds first. A question without any node keeps the heading of the excerpts."""
+    name = lambda side: nodes.select(F.col("id").alias(side), F.col("title").alias(f"{side}_title"))
+    lines = sub.edges.join(name("source"), "source", "left").join(name("target"), "target", "left")
+    relations = ordered_text(lines, "step", F.concat(F.lit("• "), "source_title", F.lit(" — "), "label", F.lit(" → "), "target_title"), "\n", "relations")
+    both = questions.select(F.col("id").alias("question_id")).join(relations, "question_id", "left").join(excerpts(nodes, sub.nodes), "question_id", "left")
+    head = F.when(F.col("relations").isNotNull(), F.concat(F.lit(RELATIONS), "relations", F.lit("\n\n"))).otherwise("")
+    return both.select("question_id", F.concat(head, F.lit(EXCERPTS), F.coalesce("excerpts", F.lit(""))).alias("context"))

@@ -4,26 +4,38 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from korrel.functions import text as t
+from korrel.plans.scratch import stored
 
 
 @dataclass
 class TermIndex:
-    """postings (id, term, tf), df (term, df), norms (id, norm) and the number of documents as a one-row table."""
+    """postings (id, term, tf) and df (term, df), both stored, and the number of documents as a one-row table."""
 
     postings: DataFrame
     df: DataFrame
-    norms: DataFrame
     size: DataFrame
 
 
+def token_counts(docs: DataFrame, key: list[str], text: Column) -> DataFrame:
+    """(key, term, tf): stems of a text by row.
+
+    Words are exploded first and counted before they are stemmed, so the stop list and the suffixes are looked at in
+    generated code and once per distinct word of a row.
+    """
+    words = docs.select(*key, F.explode(F.split(t.normalize(text), t.NOT_ALNUM)).alias("word"))
+    kept = words.filter((F.length("word") > 1) & ~F.col("word").isin(*t.STOP_WORDS)).groupBy(*key, "word").agg(F.count("*").alias("k"))
+    return kept.groupBy(*key, t.stem(F.col("word")).alias("term")).agg(F.sum("k").alias("tf"))
+
+
 def postings(docs: DataFrame, key: str = "id", title: str = "title", body: str = "summary") -> DataFrame:
     """(id, term, tf) over title and body."""
-    words = docs.select(F.col(key).alias("id"), F.explode(t.terms(F.concat_ws(" ", title, body))).alias("term"))
-    return words.groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return token_counts(docs.withColumnRenamed(key, "id"), ["id"], F.concat_ws(" ", title, body))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -32,24 +44,34 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def term_index(docs: DataFrame) -> TermIndex:
-    """The TF-IDF index of docs (id, title, summary)."""
-    posts, size = postings(docs), docs.agg(F.count("*").alias("n"))
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = posts.join(df, "term").crossJoin(F.broadcast(size))  # one row
-    norms = weighted.groupBy("id").agg(F.sqrt(F.sum((F.col("tf") * idf(F.col("n"), F.col("df"))) ** 2)).alias("norm"))
-    return TermIndex(posts, df, norms, size)
+    """The TF-IDF index of docs (id, title, summary): one pass over the texts."""
+    posts = stored(postings(docs), "postings")
+    return TermIndex(posts, stored(posts.groupBy("term").agg(F.count("*").alias("df")), "df"), docs.agg(F.count("*").alias("n")))
+
+
+def norms(index: TermIndex, ids: DataFrame) -> DataFrame:
+    """(id, norm) of the documents of ids (id)."""
+    own = index.postings.join(ids.select("id").distinct(), "id", "left_semi")
+    weighted = own.join(index.df, "term").crossJoin(F.broadcast(index.size))  # one row
+    return weighted.groupBy("id").agg(F.sqrt(F.sum((F.col("tf") * idf(F.col("n"), F.col("df"))) ** 2)).alias("norm"))
+
+
+def question_terms(questions: DataFrame) -> DataFrame:
+    """(question_id, term, qtf) of questions (id, text)."""
+    return token_counts(questions.select(F.col("id").alias("question_id"), "text"), ["question_id"], F.col("text")).withColumnRenamed("tf", "qtf")
 
 
 def tfidf_topk(index: TermIndex, questions: DataFrame, k: int = 4) -> DataFrame:
     """(question_id, id, score, rank): the k documents of highest cosine, above 0; ties to the smaller id.
 
-    Scores are rounded to six digits before they are ranked. Unseen query terms count in the query's norm.
+    Scores are rounded to six digits before they are ranked. Unseen query terms count in the query's norm. Norms are
+    computed for documents that share a term with a question only.
     """
-    asked = questions.select(F.col("id").alias("question_id"), F.explode(t.terms("text")).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("qtf"))
-    weights = asked.join(index.df, "term", "left").crossJoin(F.broadcast(index.size)).withColumn("idf", idf(F.col("n"), F.col("df")))
+    weights = question_terms(questions).join(index.df, "term", "left").crossJoin(F.broadcast(index.size)).withColumn("idf", idf(F.col("n"), F.col("df")))
+    weights = stored(weights.select("question_id", "term", "qtf", "idf"), "weights")
     lengths = weights.groupBy("question_id").agg(F.sqrt(F.sum((F.col("qtf") * F.col("idf")) ** 2)).alias("qnorm"))
-    dots = weights.join(index.postings, "term").groupBy("question_id", "id").agg(F.sum(F.col("qtf") * F.col("tf") * F.col("idf") ** 2).alias("dot"))
-    scored = dots.join(index.norms, "id").join(lengths, "question_id").select("question_id", "id", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 6).alias("score"))
+    dots = stored(index.postings.join(weights, "term").groupBy("question_id", "id").agg(F.sum(F.col("qtf") * F.col("tf") * F.col("idf") ** 2).alias("dot")), "dots")
+    scored = dots.join(norms(index, dots), "id").join(lengths, "question_id").select("question_id", "id", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 6).alias("score"))
     return top(scored.filter("score > 0"), "question_id", [F.desc("score"), F.asc("id")], k)
 
 
@@ -70,15 +92,42 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 4) -> DataFrame:
-    """(query_id, id, score, rank) of vectors (id, v) by inner product; queries (query_id, q) are few: a stated set."""
-    scored = vectors.crossJoin(F.broadcast(queries)).select("query_id", "id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
-    return top(scored, "query_id", [F.desc("score"), F.asc("id")], k)
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 4, rows: int = 4096) -> DataFrame:
+    """(query_id, id, score, rank) of vectors (id, v) by inner product with queries (query_id, q), without equal ids.
+
+    Queries and vectors meet in blocks of about `rows`, dealt by hash: each vector goes once to every block of
+    queries. A block keeps k rows per query, so what is ranked at last is blocks times k rows.
+    """
+    n, m = vectors.count(), queries.count()
+    xs, qs = max(1, -(-n // rows)), max(1, -(-m // rows))
+    part = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    given = vectors.select("id", F.col("v").cast("array<double>").alias("v")).withColumn("x", part("id", xs)).withColumn("y", each(qs))
+    asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).withColumn("y", part("query_id", qs)).withColumn("x", each(xs))
+
+    def meet(asked: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked) and len(given):
+            v, ids = np.stack(given["v"].to_numpy()), given["id"].to_numpy()
+            for lo in range(0, len(asked), 256):
+                some = asked.iloc[lo : lo + 256]
+                scores = np.round(np.stack(some["q"].to_numpy()) @ v.T, 6)
+                for q, line in zip(some["query_id"], scores):
+                    line = np.where(ids == q, -np.inf, line)
+                    least = np.partition(line, len(line) - k)[len(line) - k] if len(line) > k else -np.inf
+                    at = np.flatnonzero((line >= least) & (line > -np.inf))  # ties at the end stay for now
+                    best = at[np.lexsort((ids[at], -line[at]))[:k]]
+                    out.append(pd.DataFrame({"query_id": q, "id": ids[best], "score": line[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    met = asked.groupBy("x", "y").cogroup(given.groupBy("x", "y")).applyInPandas(meet, f"query_id {kind(queries, 'query_id')}, id {kind(vectors, 'id')}, score double")
+    return top(met, "query_id", [F.desc("score"), F.asc("id")], k)
 
 
 def lexical_seeds(index: TermIndex, questions: DataFrame, k: int = 2) -> DataFrame:
     """(question_id, id, hits, rank): documents by the number of distinct question terms that they hold."""
-    asked = questions.select(F.col("id").alias("question_id"), F.explode(F.array_distinct(t.terms("text"))).alias("term"))
+    asked = question_terms(questions).select("question_id", "term")
     hits = asked.join(index.postings.select("id", "term"), "term").groupBy("question_id", "id").agg(F.count("*").alias("hits"))
     return top(hits, "question_id", [F.desc("hits"), F.asc("id")], k)
 
@@ -86,10 +135,12 @@ def lexical_seeds(index: TermIndex, questions: DataFrame, k: int = 2) -> DataFra
 def within_budget(ranked: DataFrame, lengths: DataFrame, budgets: DataFrame, least: int) -> DataFrame:
     """The prefix of ranked (question_id, id, rank) up to where its context reaches the question's budget and `least` hits.
 
-    lengths has (id, chars) of each rendered hit, budgets (question_id, budget). Where it is never reached, all stay.
+    lengths has (id, chars) of title and text; a rendered hit adds "[rank] ", a line end, and the gap before it.
+    budgets has (question_id, budget). Where it is never reached, all stay.
     """
     by = Window.partitionBy("question_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    run = ranked.join(lengths, "id").withColumn("length", F.sum("chars").over(by) + 2 * (F.col("rank") - 1)).join(budgets, "question_id")
+    sign = F.length(F.col("rank").cast("string")) + 4
+    run = ranked.join(lengths, "id").withColumn("length", F.sum(F.col("chars") + sign).over(by) + 2 * (F.col("rank") - 1)).join(budgets, "question_id")
     enough = F.when((F.col("length") >= F.col("budget")) & (F.col("rank") >= least), F.col("rank"))
     stop = F.min(enough).over(Window.partitionBy("question_id"))
     return run.withColumn("stop", stop).filter(F.col("stop").isNull() | (F.col("rank") <= F.col("stop"))).select("question_id", "id", "rank", "length")
@@ -106,19 +157,23 @@ def sentences_of(docs: DataFrame) -> DataFrame:
     return docs.select("id", F.posexplode(t.sentences("summary")).alias("pos", "sentence"))
 
 
+def sentence_hits(pairs: DataFrame, docs: DataFrame, questions: DataFrame) -> DataFrame:
+    """(question_id, id, pos, sentence, hits): sentences of paired documents with the distinct question stems they hold."""
+    lines = stored(pairs.select("question_id", "id").join(sentences_of(docs), "id"), "sentences")
+    held = token_counts(lines, ["question_id", "id", "pos"], F.col("sentence")).join(question_terms(questions).select("question_id", "term"), ["question_id", "term"])
+    counted = held.groupBy("question_id", "id", "pos").agg(F.count("*").cast("int").alias("hits"))
+    return lines.join(counted, ["question_id", "id", "pos"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+
+
 def supporting_sentence(pairs: DataFrame, docs: DataFrame, questions: DataFrame) -> DataFrame:
     """(question_id, id, sentence, hits): the sentence of each paired document with most distinct question stems; the first of equals."""
-    asked = questions.select(F.col("id").alias("question_id"), F.array_distinct(t.terms("text")).alias("wanted"))
-    lines = pairs.select("question_id", "id").join(sentences_of(docs), "id").join(asked, "question_id")
-    counted = lines.withColumn("hits", F.size(F.array_intersect("wanted", t.terms("sentence"))))
-    return top(counted, "question_id", [F.desc("hits"), F.asc("id"), F.asc("pos")], 1).select("question_id", "id", t.compact(F.col("sentence")).alias("sentence"), "hits")
+    best = top(sentence_hits(pairs, docs, questions), "question_id", [F.desc("hits"), F.asc("id"), F.asc("pos")], 1)
+    return best.select("question_id", "id", t.compact(F.col("sentence")).alias("sentence"), "hits")
 
 
 def extractive_answer(pairs: DataFrame, docs: DataFrame, questions: DataFrame) -> DataFrame:
     """(question_id, answer): the two sentences over 15 characters with most question stems, shorter ones first among equals."""
-    asked = questions.select(F.col("id").alias("question_id"), F.array_distinct(t.terms("text")).alias("wanted"))
-    lines = pairs.select("question_id", "id").join(sentences_of(docs), "id").join(asked, "question_id")
-    scored = lines.withColumn("hits", F.size(F.array_intersect("wanted", t.terms("sentence")))).withColumn("n", F.length("sentence")).filter("hits > 0 and n > 15")
+    scored = sentence_hits(pairs, docs, questions).withColumn("n", F.length("sentence")).filter("hits > 0 and n > 15")
     best = top(scored, "question_id", [F.desc("hits"), F.asc("n"), F.asc("id"), F.asc("pos")], 2)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "sentence"))), lambda x: x["sentence"])
     return best.groupBy("question_id").agg(F.array_join(ordered, " ").alias("answer"))
@@ -126,7 +181,7 @@ def extractive_answer(pairs: DataFrame, docs: DataFrame, questions: DataFrame) -
 
 def term_profiles(docs: DataFrame, k: int = 12) -> DataFrame:
     """(id, term, weight, rank): the k heaviest terms by (1 + ln tf) * (ln((N + 1) / (df + 1)) + 1), stems of four or more that are no numbers."""
-    posts = postings(docs).filter((F.length("term") >= 4) & ~F.col("term").rlike("^[0-9]+$"))
+    posts = stored(postings(docs).filter((F.length("term") >= 4) & ~F.col("term").rlike("^[0-9]+$")), "profiles")
     size, df = docs.agg(F.count("*").alias("n")), posts.groupBy("term").agg(F.count("*").alias("df"))
     weight = (1 + F.log("tf")) * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)
     weighted = posts.join(df, "term").crossJoin(F.broadcast(size)).select("id", "term", F.round(weight, 6).alias("weight"))

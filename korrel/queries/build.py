@@ -74,8 +74,8 @@ def triples(spark: SparkSession, d: str) -> DataFrame:
 
 def trial_schedule(spark: SparkSession, d: str) -> DataFrame:
     """Nations as questions under the regions as conditions."""
-    names = lambda table, c: [r[0] for r in b.table(spark, d, table).select(c).orderBy(c).limit(100).collect()]  # noqa: E731  two dimension tables of fixed size
-    return schedule.schedule(spark, names("nation", "n_name"), names("region", "r_name"), 3, 20260616)
+    names = lambda table, c, to: b.table(spark, d, table).select(F.col(c).alias(to))
+    return schedule.schedule(names("nation", "n_name", "question"), names("region", "r_name", "condition"), 3, 20260616)
 
 
 def _requests(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from korrel.operators import graph as g
 from korrel.operators import merge as m
-from korrel.operators import scoring
+from korrel.operators import planner, schedule, scoring
+from korrel.queries import sql as s
 from korrel.sources import bindings as b
 
 _G = f"WITH edges AS ({b.EDGES_SQL}), names AS ({b.NAMES_SQL})"
@@ -111,20 +112,49 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("n_nationkey").alias("id"), F.concat(F.lit("Was liefert "), "n_name", F.lit(" nach "), "r_name", F.lit("?")).alias("text"))
 
 
+def _summarised(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes with a text: their kind and name."""
+    return b.entity_names(spark, d).withColumn("summary", F.concat("type", F.lit(" mit dem Namen "), "title"))
+
+
 def link_entities(spark: SparkSession, d: str) -> DataFrame:
     """Nodes that every question names."""
     return g.link_entities(_questions(spark, d), b.entity_names(spark, d))
 
 
-def beam_traverse(spark: SparkSession, d: str) -> DataFrame:
-    """The scored subgraph of every question."""
+def _subgraph(spark: SparkSession, d: str) -> g.Subgraph:
     q, names = _questions(spark, d), b.entity_names(spark, d)
     return g.traverse(g.link_entities(q, names), b.edges(spark, d), q, names)
 
 
+def beam_traverse(spark: SparkSession, d: str) -> DataFrame:
+    """The scored subgraph of every question."""
+    return _subgraph(spark, d).edges
+
+
 def subgraph_context(spark: SparkSession, d: str) -> DataFrame:
-    """The same as text."""
-    return g.linearized(beam_traverse(spark, d), b.entity_names(spark, d))
+    """The same as text, with excerpts."""
+    return g.linearized(_subgraph(spark, d), _summarised(spark, d), _questions(spark, d))
+
+
+def _planned(condition: str):
+    def planned(spark: SparkSession, d: str) -> DataFrame:
+        """Contexts and prompts of every question under one condition."""
+        r = planner.Retrieved(_questions(spark, d), _summarised(spark, d), b.edges(spark, d))
+        made = planner.prepared(r, condition)
+        return made.select("question_id", "condition", F.array_join("ids", ",").alias("ids"), F.length("context").cast("long").alias("n_chars"), F.sha2("prompt", 256).alias("prompt_sha256"))
+
+    return planned
+
+
+def trial_run(spark: SparkSession, d: str) -> DataFrame:
+    """Scheduled trials of every question, without those of the first repetition, which are done."""
+    q = _questions(spark, d)
+    trials = schedule.schedule(q.select(F.col("id").alias("question")), spark.createDataFrame([(c,) for c in planner.CONDITIONS], "condition string"), 2, 20260616)
+    trials = trials.withColumnRenamed("question", "question_id")
+    r = planner.Retrieved(q, _summarised(spark, d), b.edges(spark, d))
+    done = trials.filter("repetition = 1").select("repetition", "question_id", "condition")
+    return planner.schedule_of(r, trials, done=done).select("repetition", "question_id", "condition", F.length("prompt").cast("long").alias("n_chars"))
 
 
 def merged_graph(spark: SparkSession, d: str) -> DataFrame:
@@ -172,6 +202,33 @@ def evidence_recall(spark: SparkSession, d: str) -> DataFrame:
 
 _P = "CASE WHEN length(target) % 2 = 0 THEN 2 WHEN length(source) % 2 = 0 THEN 1 ELSE 0 END"
 _EVEN = "SELECT id FROM names WHERE length(title) % 3 = 0"
+_ASK = "SELECT n_nationkey AS question_id, 'Was liefert ' || n_name || ' nach ' || r_name || '?' AS text FROM nation JOIN region ON n_regionkey = r_regionkey"
+_LINKED = s.linked(b.NAMES_SQL, _ASK)
+_SUB = f"{_LINKED}, seeds AS (SELECT * FROM linked), {s.subgraph(b.EDGES_SQL, b.NAMES_SQL, _ASK)}"
+_NODES = f"SELECT *, type || ' mit dem Namen ' || title AS summary FROM ({b.NAMES_SQL})"
+_TEXT = f"""lines AS (SELECT question_id, string_agg('• ' || a.title || ' — ' || label || ' → ' || z.title, chr(10) ORDER BY step) AS x FROM subedges JOIN ({_NODES}) a ON a.id = source JOIN ({_NODES}) z ON z.id = target GROUP BY question_id),
+cuts AS (SELECT question_id, string_agg('[' || title || '] ' || summary, chr(10) || chr(10) ORDER BY pos) AS x FROM subnodes JOIN ({_NODES}) USING (id) GROUP BY question_id),
+graphtext AS (SELECT question_id, CASE WHEN l.x IS NULL THEN '' ELSE 'BEZIEHUNGEN (Wissensgraph):' || chr(10) || l.x || chr(10) || chr(10) END || 'ARTIKEL-AUSZÜGE:' || chr(10) || coalesce(c.x, '') AS context FROM ({_ASK}) LEFT JOIN lines l USING (question_id) LEFT JOIN cuts c USING (question_id))"""
+_VECTOR = "SELECT question_id, string_agg('[' || rank || '] ' || title || chr(10) || summary, chr(10) || chr(10) ORDER BY rank) AS context, string_agg(id, ',' ORDER BY rank) AS ids FROM {} JOIN nodes USING (id) GROUP BY question_id"
+_PLANS = f"""{_SUB}, {_TEXT}, {s.tfidf(_NODES, _ASK)},
+run AS (SELECT question_id, id, rank, sum(length(title) + length(summary) + 4 + length(CAST(rank AS VARCHAR))) OVER (PARTITION BY question_id ORDER BY rank) + 2 * (rank - 1) AS len, length(context) AS budget FROM ranked JOIN nodes USING (id) JOIN graphtext USING (question_id) WHERE rank <= 16),
+budgeted AS (SELECT question_id, id, rank FROM (SELECT *, min(CASE WHEN len >= budget AND rank >= 4 THEN rank END) OVER (PARTITION BY question_id) AS stop FROM run) WHERE stop IS NULL OR rank <= stop),
+more AS (SELECT question_id, id, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS k FROM ranked WHERE rank <= 7 AND (question_id, id) NOT IN (SELECT (question_id, id) FROM subnodes) QUALIFY k <= 3),
+moretext AS (SELECT question_id, chr(10) || chr(10) || 'ZUSÄTZLICHE ARTIKEL (Ähnlichkeitssuche):' || chr(10) || string_agg('[' || title || '] ' || summary, chr(10) || chr(10) ORDER BY k) AS x, ',' || string_agg(id, ',' ORDER BY k) AS ids FROM more JOIN nodes USING (id) GROUP BY question_id),
+subids AS (SELECT question_id, string_agg(id, ',' ORDER BY pos) AS ids FROM subnodes GROUP BY question_id)"""
+_CONTEXTS = {
+    "vector": _VECTOR.format("(SELECT * FROM ranked WHERE rank <= 4)"), "vector_budget": _VECTOR.format("budgeted"),
+    "graph": "SELECT question_id, context, ids FROM graphtext LEFT JOIN subids USING (question_id)", "graph_no_edges": "SELECT question_id, x AS context, ids FROM cuts LEFT JOIN subids USING (question_id)",
+    "hybrid": "SELECT question_id, context || coalesce(m.x, '') AS context, coalesce(i.ids, '') || coalesce(m.ids, '') AS ids FROM graphtext LEFT JOIN subids i USING (question_id) LEFT JOIN moretext m USING (question_id)",
+}
+_HEADS = {"graph_no_edges": "KONTEXT (KNOTEN OHNE RELATIONEN):"}
+_PLAN = {c: f"SELECT q.question_id, coalesce(ids, '') AS ids, coalesce(context, '') AS context, '{_HEADS.get(c, 'KONTEXT:')}' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'FRAGE: ' || text AS prompt FROM ({_ASK}) q LEFT JOIN ({x}) USING (question_id)" for c, x in _CONTEXTS.items()}
+_PLAN["baseline"] = f"SELECT question_id, '' AS ids, '' AS context, 'FRAGE: ' || text AS prompt FROM ({_ASK})"
+
+
+def _plan_sql(condition: str) -> str:
+    return f"WITH {_PLANS} SELECT question_id, '{condition}' AS condition, ids, length(context) AS n_chars, sha256(prompt) AS prompt_sha256 FROM ({_PLAN[condition]})"
+
 
 QUERIES = {
     "adjacency": (adjacency, f"{_G} SELECT source AS node, target AS other, 'out' AS direction, relation, label FROM edges UNION ALL SELECT target, source, 'in', relation, label FROM edges"),
@@ -188,9 +245,11 @@ QUERIES = {
     "interval_filter": (interval_filter, "SELECT 'c' || c_custkey AS id FROM customer LEFT JOIN (SELECT o_custkey, min(year(o_orderdate)) AS y0, max(year(o_orderdate)) AS y1 FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey WHERE contains(lower(c_name), 'customer') AND (y0 IS NULL OR 1995 BETWEEN y0 AND y1)"),
     "source_relations": (source_relations, f"{_G} SELECT source, relation, target, coalesce(a.title, source) || ' — ' || label || ' → ' || coalesce(b.title, target) AS line FROM edges LEFT JOIN names a ON a.id = source LEFT JOIN names b ON b.id = target"),
     "name_index": (name_index, f"WITH names AS ({b.NAMES_SQL}), k AS (SELECT DISTINCT id, trim(regexp_replace(strip_accents(replace(lower(title), 'ß', 'ss')), '\\s+', ' ', 'g')) AS key FROM names) SELECT id, key, count(*) OVER (PARTITION BY key) AS owners FROM k WHERE key <> ''"),
-    "link_entities": (link_entities, None),
-    "beam_traverse": (beam_traverse, None),
-    "subgraph_context": (subgraph_context, None),
+    "link_entities": (link_entities, f"WITH {_LINKED} SELECT question_id, id, pos FROM linked"),
+    "beam_traverse": (beam_traverse, f"WITH {_SUB} SELECT * FROM subedges"),
+    "subgraph_context": (subgraph_context, f"WITH {_SUB}, {_TEXT} SELECT question_id, context FROM graphtext"),
+    **{f"plan_{c}": (_planned(c), _plan_sql(c)) for c in planner.CONDITIONS},
+    "trial_run": (trial_run, f"WITH {_PLANS} SELECT 2 AS repetition, question_id, condition, length(prompt) AS n_chars FROM (" + " UNION ALL ".join(f"SELECT question_id, '{c}' AS condition, prompt FROM ({_PLAN[c]})" for c in planner.CONDITIONS) + ")"),
     "merged_graph": (merged_graph, f"{_G}, o AS (SELECT *, {_P} AS c FROM edges WHERE length(source) % 3 <> 0), t AS (SELECT *, {_P} AS c FROM edges WHERE length(target) % 3 <> 0) SELECT coalesce(o.source, t.source) AS source, coalesce(o.relation, t.relation) AS relation, coalesce(o.target, t.target) AS target, coalesce(o.label, 'neu') AS label, CASE WHEN coalesce(o.c, 0) + coalesce(t.c, 0) = 0 THEN 0 ELSE greatest(coalesce(o.c, 0), coalesce(t.c, 0)) END::BIGINT AS n_entries FROM o FULL JOIN t ON o.source = t.source AND o.relation = t.relation AND o.target = t.target"),
     "merge_delta": (merge_delta, f"{_G}, n AS (SELECT id, type, length(title) % 2 = 0 AS changed FROM names) SELECT id, CASE WHEN type = 'place' THEN 'rejected' WHEN type <> 'person' THEN 'added' WHEN changed THEN 'updated' ELSE 'unchanged' END AS change FROM n"),
     "edge_delta": (edge_delta, f"{_G}, k AS (SELECT id FROM names WHERE type <> 'work' OR length(title) % 2 = 0), c AS (SELECT relation, CASE WHEN source NOT IN (FROM k) OR target NOT IN (FROM k) OR ({_P}) = 0 THEN 'skipped' WHEN length(source) % 2 <> 0 THEN 'added' ELSE 'unchanged' END AS change FROM edges) SELECT relation, change, count(*) AS n FROM c GROUP BY ALL"),

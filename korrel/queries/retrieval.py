@@ -48,12 +48,12 @@ def vector_context(spark: SparkSession, d: str) -> DataFrame:
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     v = b.table(spark, d, "embeddings")
-    queries = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q")).select(F.col("label").alias("query_id"), "q")
+    queries = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), queries
 
 
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The four nearest vectors of the first vector of every label."""
+    """The four nearest others of every fiftieth vector."""
     return r.dense_topk(*_vectors(spark, d)).select("query_id", "id", "score", "rank")
 
 
@@ -65,7 +65,7 @@ def lexical_seeds(spark: SparkSession, d: str) -> DataFrame:
 def budget_retrieval(spark: SparkSession, d: str) -> DataFrame:
     """As many of sixteen hits as fill a context ten times the question's length."""
     nodes, asked = b.nodes(spark, d), b.questions(spark, d)
-    chars = nodes.select("id", (F.length("title") + F.length("summary") + 6).alias("chars"))
+    chars = nodes.select("id", (F.length("title") + F.length("summary")).alias("chars"))
     budgets = asked.select(F.col("id").alias("question_id"), (F.length("text") * 10).alias("budget"))
     return r.within_budget(r.tfidf_topk(r.term_index(nodes), asked, 16).select("question_id", "id", "rank"), chars, budgets, 4)
 
@@ -107,9 +107,9 @@ QUERIES = {
     "fnv_hash": (fnv_hash, "SELECT p_partkey, list_reduce(list_prepend(2166136261::BIGINT, [CAST(ord(c) AS BIGINT) FOR c IN string_split(p_name, '')]), lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS hash FROM part"),
     "slugs": (slugs, f"SELECT c_custkey, 'u_' || left(regexp_replace(regexp_replace({s.normalize('c_name')}, '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 48) AS slug FROM customer"),
     "vector_context": (vector_context, f"WITH {s.TFIDF}, c AS (SELECT question_id, string_agg('[' || rank || '] ' || title || chr(10) || summary, chr(10) || chr(10) ORDER BY rank) AS x FROM ranked JOIN nodes USING (id) WHERE rank <= 4 GROUP BY question_id) SELECT question_id, length(x) AS n_chars, sha256(x) AS context_sha256 FROM c"),
-    "dense_topk": (dense_topk, "WITH q AS (SELECT label AS query_id, arg_min(embedding, vec_id) AS q FROM embeddings GROUP BY label), x AS (SELECT query_id, vec_id AS id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS score FROM embeddings, q) SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM x QUALIFY rank <= 4"),
+    "dense_topk": (dense_topk, "WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), x AS (SELECT query_id, vec_id AS id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS score FROM embeddings JOIN q ON vec_id <> query_id) SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM x QUALIFY rank <= 4"),
     "lexical_seeds": (lexical_seeds, f"WITH {s.POSTINGS}, {_SEEDS} SELECT * FROM seeds"),
-    "budget_retrieval": (budget_retrieval, f"WITH {s.TFIDF}, run AS (SELECT question_id, id, rank, CAST(sum(length(title) + length(summary) + 6) OVER (PARTITION BY question_id ORDER BY rank) + 2 * (rank - 1) AS BIGINT) AS length, 10 * length(b.text) AS budget FROM ranked JOIN nodes USING (id) JOIN benchmark b ON b.item_id = question_id WHERE rank <= 16), z AS (SELECT *, min(CASE WHEN length >= budget AND rank >= 4 THEN rank END) OVER (PARTITION BY question_id) AS stop FROM run) SELECT question_id, id, rank, length FROM z WHERE stop IS NULL OR rank <= stop"),
+    "budget_retrieval": (budget_retrieval, f"WITH {s.TFIDF}, run AS (SELECT question_id, id, rank, CAST(sum(length(title) + length(summary) + 4 + length(CAST(rank AS VARCHAR))) OVER (PARTITION BY question_id ORDER BY rank) + 2 * (rank - 1) AS BIGINT) AS length, 10 * length(b.text) AS budget FROM ranked JOIN nodes USING (id) JOIN benchmark b ON b.item_id = question_id WHERE rank <= 16), z AS (SELECT *, min(CASE WHEN length >= budget AND rank >= 4 THEN rank END) OVER (PARTITION BY question_id) AS stop FROM run) SELECT question_id, id, rank, length FROM z WHERE stop IS NULL OR rank <= stop"),
     "hybrid_retrieval": (hybrid_retrieval, f"WITH {s.TFIDF}, {_SEEDS} SELECT question_id, id, rank, 'first' AS part FROM seeds UNION ALL SELECT question_id, id, k AS rank, 'added' AS part FROM (SELECT question_id, id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY rank) AS INTEGER) AS k FROM (SELECT * FROM ranked WHERE rank <= 6) r ANTI JOIN seeds USING (question_id, id)) WHERE k <= 3"),
     "supporting_sentence": (supporting_sentence, f"WITH {s.TFIDF}, {_LINES} SELECT question_id, id, sha256(trim(regexp_replace(sentence, '[\\t-\\r \\x{{85}}\\x{{a0}}]+', ' ', 'g'))) AS sentence_sha256, CAST(hits AS INTEGER) AS hits FROM lines QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY hits DESC, id, pos) = 1"),
     "extractive_answer": (extractive_answer, f"WITH {s.TFIDF}, {_LINES}, best AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY hits DESC, length(sentence), id, pos) AS k FROM lines WHERE hits > 0 AND length(sentence) > 15 QUALIFY k <= 2) SELECT question_id, string_agg(sentence, ' ' ORDER BY k) AS answer FROM best GROUP BY question_id"),

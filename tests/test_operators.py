@@ -75,10 +75,40 @@ def test_mcnemar_and_wilson(spark):
     assert (one(spark, low), one(spark, high)) == (0.0, 0.0)
 
 
-def test_schedule(spark):
-    rows = schedule.schedule(spark, [f"q{i}" for i in range(7)], ["a", "b", "c"], 3, 20260616).collect()
-    assert [r["ord"] for r in rows] == list(range(1, 64)) and len({(r["question"], r["condition"], r["repetition"]) for r in rows}) == 63
-    assert all(0 <= x() < 1 for x in [schedule.generator(5)] * 100)
+def plain_schedule(questions, conditions, repetitions, seed):
+    """The schedule in plain Python: a list shuffled from its last place down."""
+    w = 0xFFFFFFFF
+
+    def order(items, salt):
+        x = seed ^ ((salt + 1) * 0x9E3779B1 & w)
+        x = (x ^ x >> 16) * 0x85EBCA6B & w
+        x = (x ^ x >> 13) * 0xC2B2AE35 & w
+        at, out = x ^ x >> 16, sorted(items)
+        for last in range(len(out) - 1, 0, -1):
+            at = at + 0x6D2B79F5 & w
+            y = (at ^ at >> 15) * (at | 1) & w
+            y ^= y + ((y ^ y >> 7) * (y | 61) & w) & w
+            k = int((y ^ y >> 14) / 2**32 * (last + 1))
+            out[last], out[k] = out[k], out[last]
+        return out
+
+    base, rows = order(conditions, 0), []
+    for r in range(1, repetitions + 1):
+        for i, q in enumerate(order(questions, r)):
+            rows += [(len(rows) + 1 + c, r, i + 1, c + 1, q, base[(i + r - 1 + c) % len(base)]) for c in range(len(base))]
+    return rows
+
+
+@pytest.mark.parametrize(("n", "m", "seed"), [(7, 3, 20260616), (1, 1, 0), (12, 5, 4294967295)])
+def test_schedule(spark, n, m, seed):
+    questions, conditions = [f"q{i:02}" for i in range(n)], [f"c{i}" for i in range(m)]
+    frames = [spark.createDataFrame([(x,) for x in v], f"{c} string") for v, c in ((questions, "question"), (conditions, "condition"))]
+    assert sorted(tuple(r) for r in schedule.schedule(*frames, 3, seed).collect()) == plain_schedule(questions, conditions, 3, seed)
+
+
+def test_seeds(spark):
+    got = spark.createDataFrame([(x,) for x in (None, float("nan"), float("inf"), -1.5, 4294967297.9, 7.9)], "s double").select(schedule.normalized_seed(F.col("s")).alias("n")).collect()
+    assert [r["n"] for r in got] == [0, 0, 0, 4294967295, 1, 7]
 
 
 def test_components(spark):
@@ -101,24 +131,80 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
-def test_traversal(spark):
-    names = spark.createDataFrame([(c, f"Titel {c}", "x") for c in "abcdef"], "id string, title string, type string")
-    edges = spark.createDataFrame([("a", "b", "lehrt", "lehrt"), ("a", "c", "kennt", "kennt"), ("b", "d", "kennt", "kennt"), ("c", "e", "lehrt", "lehrt"), ("e", "f", "x", "x")], "source string, target string, relation string, label string")
-    q = spark.createDataFrame([(1, "Wen lehrt Titel a?")], "id long, text string")
-    seeds = graph.link_entities(q, names)
-    assert [tuple(r) for r in seeds.collect()] == [(1, "a")]
-    taken = [(r["source"], r["target"], r["level"]) for r in graph.traverse(seeds, edges, q, names, beam=1, most=3).orderBy("step").collect()]
-    assert taken == [("a", "b", 0), ("b", "d", 1)]
-    assert "Titel a — lehrt → Titel b" in graph.linearized(graph.traverse(seeds, edges, q, names), names).first()["context"]
+def plain_traversal(seeds, edges, wanted, titles, stems, depth, beam, most):
+    """The search in plain Python, edge by edge."""
+    inside, frontier, taken = list(seeds), list(seeds), []
+    for level in range(depth):
+        if len(inside) >= most:
+            break
+        before, options = set(inside), []
+        for node in frontier:
+            for s, t, r, label in edges:
+                for other in [t] * (s == node) + [s] * (t == node):
+                    score = len(wanted & stems(f"{label} {r} {titles[other]}")) + 2 * (other in before) + 0.5 * (level == 0)
+                    options.append((-score, s, r, t, node, other))
+        new = []
+        for _, s, r, t, _, other in sorted(options):
+            if len(inside) >= most:
+                break
+            if (s, r, t) in [x[:3] for x in taken] or other not in inside and len(new) >= beam:
+                continue
+            taken.append((s, r, t, level))
+            if other not in inside:
+                inside.append(other)
+                new.append(other)
+        frontier = new
+    return inside, taken
+
+
+def test_traversal_is_the_plain_search(spark):
+    r = random.Random(8)
+    words = ["haus", "baum", "weg", "berg", "tal"]
+    ids = [f"n{i:02}" for i in range(60)]
+    titles = {i: f"{r.choice(words)} {r.choice(words)}" for i in ids}
+    edges = sorted({(r.choice(ids[:8] if r.random() < 0.5 else ids), r.choice(ids), r.choice(["kennt", "lehrt"])) for _ in range(220)})
+    edges = [(s, t, rel, rel + " " + r.choice(words)) for s, t, rel in edges if s != t]
+    asked = [(k, " ".join(r.sample(words, 2)) + " lehrt") for k in range(12)]
+    seeds = [(k, i, p) for k, _ in asked[:-1] for p, i in enumerate(r.sample(ids, r.randint(1, 3)))]
+    nodes = spark.createDataFrame([(i, t, "Text " + i) for i, t in titles.items()], "id string, title string, summary string")
+    q = spark.createDataFrame(asked, "id long, text string")
+    stems = stemmed
+    for beam, most in ((1, 3), (4, 14), (2, 8)):
+        sub = graph.traverse(spark.createDataFrame(seeds, "question_id long, id string, pos int"), spark.createDataFrame(edges, "source string, target string, relation string, label string"), q, nodes, 3, beam, most)
+        got_edges, got_nodes = sub.edges.orderBy("question_id", "step").collect(), sub.nodes.orderBy("question_id", "pos").collect()
+        texts = {x["question_id"]: x["context"] for x in graph.linearized(sub, nodes, q).collect()}
+        for k, text in asked:
+            inside, taken = plain_traversal([i for j, i, _ in seeds if j == k], edges, stems(text), titles, stems, 3, beam, most)
+            assert [(x["source"], x["relation"], x["target"], x["level"]) for x in got_edges if x["question_id"] == k] == taken
+            assert [x["id"] for x in got_nodes if x["question_id"] == k] == inside
+            label = {(s, rel, t): lab for s, t, rel, lab in edges}
+            head = "BEZIEHUNGEN (Wissensgraph):\n" + "\n".join(f"• {titles[s]} — {label[s, rel, t]} → {titles[t]}" for s, rel, t, _ in taken) + "\n\n" if taken else ""
+            assert texts[k] == head + "ARTIKEL-AUSZÜGE:\n" + "\n\n".join(f"[{titles[i]}] Text {i}" for i in inside)
+
+
+def stemmed(x):
+    """Tokens without the first of the listed suffixes, for words of this test."""
+    from korrel.functions.text import STEM, STOP_WORDS
+
+    return {re.sub(STEM, r"\1", w) for w in re.split("[^a-z0-9]+", x.lower()) if len(w) > 1 and w not in STOP_WORDS}
+
+
+def test_linking(spark):
+    """Aliases, names of many words, the longest name first, and each stretch once."""
+    nodes = spark.createDataFrame([("a", "Kant", ["Immanuel Kant"]), ("b", "Immanuel", None), ("c", "Die Kritik der reinen Vernunft in zweiter Auflage", None)], "id string, title string, aliases array<string>")
+    q = spark.createDataFrame([(1, "Schrieb Immanuel Kant die Kritik der reinen Vernunft in zweiter Auflage?"), (2, "Kants Name"), (3, "Immanuel und Kant")], "id long, text string")
+    assert sorted(tuple(r) for r in graph.link_entities(q, graph.aliased(nodes)).collect()) == [(1, "a", 1), (1, "c", 0), (3, "a", 1), (3, "b", 0)]
+    best = spark.createDataFrame([(1, "z", 1), (2, "z", 1)], "question_id long, id string, rank int")
+    assert sorted(tuple(r) for r in graph.with_fallback(graph.link_entities(q, graph.aliased(nodes)), best).filter("id = 'z'").collect()) == [(2, "z", 0)]
 
 
 def test_traversal_keeps_a_hubs_edges_to_chosen_nodes(spark):
-    far = [f"n{i:04}" for i in range(1100)] + ["z"]
+    far = [f"n{i:04}" for i in range(2100)] + ["z"]
     names = spark.createDataFrame([(c, f"Titel {c}", "x") for c in ["a", "b", *far]], "id string, title string, type string")
     edges = spark.createDataFrame([("a", n, "kennt", "kennt") for n in far] + [("a", "z", "sieht", "sieht"), ("b", "z", "lehrt", "lehrt")], "source string, target string, relation string, label string")
     q = spark.createDataFrame([(1, "Wen lehrt er?")], "id long, text string")
-    seeds = spark.createDataFrame([(1, "a"), (1, "b")], "question_id long, id string")
-    taken = graph.traverse(seeds, edges, q, names, depth=2, beam=1).orderBy("step").collect()
+    seeds = spark.createDataFrame([(1, "a", 0), (1, "b", 1)], "question_id long, id string, pos int")
+    taken = graph.traverse(seeds, edges, q, names, depth=2, beam=1).edges.orderBy("step").collect()
     assert [(r["source"], r["relation"], r["target"]) for r in taken if r["level"] == 0] == [("b", "lehrt", "z"), ("a", "kennt", "z"), ("a", "sieht", "z")]
 
 
