@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from korrel.functions.text import compact, trim
+from korrel.functions.text import FOLD_FROM, FOLD_TO, compact, trim
 
 _B, _E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 # Cues of follow-up questions, of a request to look things up, and of relational questions.
@@ -51,25 +51,103 @@ def route(mode: Column, linked: Column, question: Column) -> Column:
     return F.when(mode.isNotNull() & (mode != "auto"), mode).when(linked >= 2, "hybrid").when(question.rlike(cue), "graph").otherwise("vector")
 
 
-def completed(answer: Column, least: int = 24) -> tuple[Column, Column]:
-    """The answer up to its last sentence end, where it does not end with one, and whether it was cut."""
-    text = trim(answer)
-    whole = text.rlike(r"[.!?…»\"”)]$")
-    head = F.regexp_extract(text, r"(?s)^(.*[.!?…])(?:\s|$)", 1)
-    return F.when(whole, text).when(F.length(head) >= least, head).otherwise(F.lit("")), ~whole
+# How a sentence ends, where one may be cut, and what stands for an answer that cannot be cut.
+SENTENCE_END = r"""[.!?…]["'»”)\]]*$"""
+SENTENCE_CUT = r"""(?s)^(.*[.!?…]["'»”)\]]*)(?:\s+[A-ZÄÖÜ0-9„“"']|$)"""
+UNFINISHED = "Die lokale Antwort konnte innerhalb des Ausgabelimits nicht vollständig formuliert werden. Bitte frage etwas gezielter nach."
+LEAST = 24
+
+
+def completed(answer: Column) -> tuple[Column, Column]:
+    """The collapsed answer up to its last sentence end, where it does not end with one, and whether it was cut.
+
+    What is shorter than LEAST characters then gives way to a fixed sentence. An empty answer stays, uncut.
+    """
+    text = compact(answer)
+    whole = (text == "") | text.rlike(SENTENCE_END)
+    head = trim(F.regexp_extract(text, SENTENCE_CUT, 1))
+    return F.when(whole, text).when(F.length(head) >= LEAST, head).otherwise(F.lit(UNFINISHED)), ~whole
+
+
+# The forms of a request to add knowledge, of one to open a view, and the signs that quote a topic.
+_GRAPH = "wissens(?:baum|graph(?:en)?)"
+ADD = (
+    r"^/(?:wissen|knowledge)\s+(.+)$",
+    rf"^(?:bitte\s+)?füge\s+(?:bitte\s+)?(?:in|zu)\s+(?:deinen|meinen|den|dem)\s+{_GRAPH}\s+(.+?)\s+hinzu[.!?]?$",
+    rf"^(?:bitte\s+)?füge\s+(?:bitte\s+)?(.+?)\s+(?:in|zu)\s+(?:deinen|meinen|den|dem)\s+{_GRAPH}\s+hinzu[.!?]?$",
+    rf"^(?:bitte\s+)?nimm\s+(.+?)\s+in\s+(?:deinen|meinen|den)\s+{_GRAPH}\s+auf[.!?]?$",
+    rf"^(?:bitte\s+)?ergänze\s+(?:deinen|meinen|den)\s+{_GRAPH}\s+um\s+(.+?)[.!?]?$",
+    rf"^(?:bitte\s+)?speichere\s+(.+?)\s+(?:im|in\s+(?:deinem|meinem|dem))\s+{_GRAPH}[.!?]?$",
+)
+EXPLORER = r"^(?:öffne|zeige)(?:\s+mir)?\s+(?:den|meinen)?\s*(?:wissensraum|wissensbaum|graph(?:en)?|graph-explorer)$"
+ARENA = (r"^(?:öffne|zeige)(?:\s+mir)?\s+(?:die\s+)?(?:live-)?arena$", r"^(?:vergleiche|vergleich)\s+(?:vektor-rag\s+(?:und|mit)\s+graph-rag|graph-rag\s+(?:und|mit)\s+vektor-rag)$")
+QUOTES = "„“”\"'‚‘’"
+
+
+def topic(said: Column) -> Column:
+    """A topic without the quotes around it, then without its end marks."""
+    return trim(F.regexp_replace(F.regexp_replace(compact(said), f"^[{QUOTES}]+|[{QUOTES}]+$", ""), "[.!?]+$", ""))
 
 
 def command(text: Column) -> Column:
-    """The topic of a request to add knowledge, else null: 2 to 160 characters, quotes and end marks removed."""
-    patterns = (
-        r"^/(?:wissen|knowledge)\s+(.+)$",
-        r"^(?:bitte\s+)?füge\s+(?:bitte\s+)?(?:in|zu)\s+(?:deinen|meinen|den|dem)\s+wissens(?:baum|graph(?:en)?)\s+(.+?)\s+hinzu[.!?]?$",
-        r"^(?:bitte\s+)?füge\s+(?:bitte\s+)?(.+?)\s+(?:in|zu)\s+(?:deinen|meinen|den|dem)\s+wissens(?:baum|graph(?:en)?)\s+hinzu[.!?]?$",
-        r"^(?:bitte\s+)?nimm\s+(.+?)\s+in\s+(?:deinen|meinen|den)\s+wissens(?:baum|graph(?:en)?)\s+auf[.!?]?$",
-        r"^(?:bitte\s+)?ergänze\s+(?:deinen|meinen|den)\s+wissens(?:baum|graph(?:en)?)\s+um\s+(.+?)[.!?]?$",
-        r"^(?:bitte\s+)?speichere\s+(.+?)\s+(?:im|in\s+(?:deinem|meinem|dem))\s+wissens(?:baum|graph(?:en)?)[.!?]?$",
-    )  # fixed values: the forms of the request
+    """The topic of a request to add knowledge, else null: by the first form that fits, 2 to 160 characters."""
     said = compact(text)
-    topic = F.coalesce(*[F.nullif(F.regexp_extract(said, "(?iu)" + p, 1), F.lit("")) for p in patterns])
-    clean = trim(F.regexp_replace(topic, "^[\"'„“”»«]+|[\"'„“”»«.!?]+$", ""))
-    return F.when(F.length(clean).between(2, 160), clean)
+    found = F.lit(None).cast("string")
+    for form in reversed(ADD):
+        found = F.when(said.rlike("(?iu)" + form), topic(F.regexp_extract(said, "(?iu)" + form, 1))).otherwise(found)
+    return F.when(F.length(found).between(2, 160), found)
+
+
+def action(text: Column) -> Column:
+    """A request as struct<kind, topic, view>: add-wikipedia with its topic, open-view with explorer or arena, else null."""
+    asked, said = command(text), F.regexp_replace(compact(text), "[.!?]+$", "")
+    view = F.when(said.rlike("(?iu)" + EXPLORER), "explorer").when(said.rlike("(?iu)" + ARENA[0]) | said.rlike("(?iu)" + ARENA[1]), "arena")
+    none = F.lit(None).cast("string")
+    kind = F.when(asked.isNotNull(), "add-wikipedia").when(view.isNotNull(), "open-view")
+    return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), asked.alias("topic"), F.when(asked.isNull(), view).otherwise(none).alias("view")))
+
+
+def comparable(title: Column) -> Column:
+    """A title for comparison: topic() without accents, lower case, other signs as blanks."""
+    folded = F.regexp_replace(F.translate(F.lower(topic(title)), FOLD_FROM, FOLD_TO), "[\u0300-\u036f]", "")
+    return F.trim(F.regexp_replace(folded, "[^a-z0-9ß]+", " "))
+
+
+# The question's mark in a prompt, the context's, the history's heading, and limits in characters.
+ASKED, CONTEXT, HISTORY = "\n\nFRAGE:", "KONTEXT:\n", "BISHERIGER GESPRÄCHSVERLAUF (nur für sprachliche Bezüge):"
+NOTICE = "\n\n[… Kontext für das lokale Modell gekürzt …]"
+BUDGET, TAIL, HEAD, ROOM = 10_500, 800, 1_000, 2_000
+QUESTION_LIMIT, CONTEXT_LIMIT, HISTORY_LIMIT = 1200, 5000, 1800
+
+
+def _last(text: Column, mark: str) -> Column:
+    """Where a mark last stands, from 0; -1 for nowhere."""
+    parts = F.split(text, F.lit("\\Q" + mark + "\\E"), -1)
+    return F.when(F.size(parts) > 1, F.length(text) - F.length(F.element_at(parts, -1)) - len(mark)).otherwise(-1)
+
+
+def shortened(system: Column, user: Column) -> Column:
+    """A prompt within the budget: its head, a notice, and the part from the last question on."""
+    room = F.greatest(F.lit(ROOM), F.lit(BUDGET) - F.length(system))
+    at = _last(user, ASKED)
+    tail = F.when(at >= 0, F.substring(user, at + 1, F.length(user))).otherwise(F.right(user, F.lit(TAIL)))
+    head = F.greatest(F.lit(HEAD), room - F.length(tail) - len(NOTICE))
+    return F.when(F.length(user) <= room, user).otherwise(F.concat(F.substring(user, F.lit(1), head), F.lit(NOTICE), tail))
+
+
+def prompt_parts(user: Column) -> Column:
+    """struct<question, context, history> of a prompt, each within its limit; the history keeps its end."""
+    at = _last(user, ASKED)
+    before = F.when(at >= 0, F.substring(user, F.lit(1), at)).otherwise(F.lit(""))
+    question = trim(F.when(at >= 0, F.substring(user, at + len(ASKED) + 1, F.length(user))).otherwise(user))
+    mark = F.instr(before, CONTEXT)
+    context = trim(F.when(mark > 0, F.substring(before, mark + len(CONTEXT), F.length(before))).otherwise(F.lit("")))
+    told = F.when(mark > 0, F.substring(before, F.lit(1), mark - 1)).otherwise(F.lit(""))
+    history = trim(F.regexp_replace(told, r"^\Q" + HISTORY + r"\E(?U:\s*)", ""))
+    return F.struct(F.substring(question, 1, QUESTION_LIMIT).alias("question"), F.substring(context, 1, CONTEXT_LIMIT).alias("context"), F.right(history, F.lit(HISTORY_LIMIT)).alias("history"))
+
+
+def prompt(*sections: Column) -> Column:
+    """Sections that are not blank, with blank lines between."""
+    kept = F.filter(F.array(*sections), lambda x: x.isNotNull() & (trim(x) != ""))
+    return F.array_join(kept, "\n\n")

@@ -98,13 +98,53 @@ def rounded(x: Column, digits: int) -> Column:
     return F.floor(x * k + 0.5) / k
 
 
-def excerpt(text: Column, start: Column, end: Column, width: int = 320) -> Column:
-    """At most `width` characters around [start, end), collapsed, with … where something is cut."""
-    room = F.greatest(F.lit(0), F.lit(width) - (end - start))
-    lo = F.greatest(F.lit(0), start - F.floor(room / 2).cast("int"))
-    hi = F.least(F.length(text), lo + width)
-    body = compact(F.substring(text, lo + 1, hi - lo))
-    return F.concat(F.when(lo > 0, "… ").otherwise(""), body, F.when(hi < F.length(text), " …").otherwise(""))
+def excerpt(text: Column, start: Column, end: Column, width: int = 320, snap: int = 24) -> Column:
+    """About `width` characters around [start, end), from and to a blank within `snap`, collapsed, … where something is cut."""
+    n = F.length(text)
+    first = F.greatest(F.lit(0), F.least(start, n))
+    last = F.greatest(first, F.least(end, n))
+    room = F.greatest(F.lit(0), F.floor((F.lit(width) - (last - first)) / 2).cast("int"))
+    lo, hi = F.greatest(F.lit(0), first - room), F.least(n, last + room)
+    # The last blank up to lo, and the first one from hi on, looked for in a stretch of `snap` characters.
+    back = F.reverse(F.substring(text, F.greatest(F.lit(1), lo - snap + 2), lo + 1 - F.greatest(F.lit(0), lo - snap + 1)))
+    behind = F.instr(back, " ")
+    ahead = F.instr(F.substring(text, hi + 1, F.lit(snap)), " ")
+    begin = F.when((lo > 0) & (behind > 0), lo - behind + 2).otherwise(lo)
+    stop = F.when((hi < n) & (ahead > 0), hi + ahead - 1).otherwise(hi)
+    body = compact(F.substring(text, begin + 1, stop - begin))
+    return F.concat(F.when(begin > 0, "…").otherwise(""), body, F.when(stop < n, "…").otherwise(""))
+
+
+def canonical_url(language: Column, title: Column) -> Column:
+    """The address of an article: blanks as underscores, the rest percent-encoded."""
+    path = F.replace(F.url_encode(F.replace(compact(title), F.lit(" "), F.lit("_"))), F.lit("+"), F.lit("%20"))
+    kept = path
+    for code, sign in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):  # fixed values: signs that stay
+        kept = F.replace(kept, F.lit(code), F.lit(sign))
+    return F.concat(F.lit("https://"), language, F.lit(".wikipedia.org/wiki/"), kept)
+
+
+def page_key(page_id: Column, title: Column) -> Column:
+    """What tells pages apart: the id where there is one, else the folded title."""
+    return F.when(page_id.isNotNull(), F.concat(F.lit("id:"), page_id.cast("string"))).otherwise(F.concat(F.lit("title:"), compact(normalize(title))))
+
+
+def language_tag(tag: Column) -> Column:
+    """Trimmed, the first underscore as a hyphen, lower case."""
+    return F.lower(F.regexp_replace(trim(tag), "^([^_]*)_", "$1-"))
+
+
+def display_name(name: Column, otherwise: str = "Gast", width: int = 20) -> Column:
+    """Collapsed and cut to `width` characters; a fixed name where nothing is left."""
+    cut = F.substring(compact(F.coalesce(name, F.lit(""))), 1, width)
+    return F.when(cut == "", F.lit(otherwise)).otherwise(cut)
+
+
+def file_size(size: Column) -> Column:
+    """Bytes as text in B, KB or MB, with a decimal comma."""
+    digits = lambda x: F.replace(F.format_string("%.1f", x), F.lit("."), F.lit(","))
+    mb = digits(size / 1048576.0)
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1048576, F.concat(digits(size / 1024.0), F.lit(" KB"))).otherwise(F.concat(mb, F.lit(" MB")))
 
 
 def words_packed(x: Column, width: int) -> Column:

@@ -8,6 +8,9 @@ _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 STEM_SQL = f"regexp_replace(t, '{STEM}', '\\1')"
 
 
+WS_CLASS = r"[\t-\r\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 def normalize(x: str) -> str:
     """SQL of text.normalize."""
     return f"strip_accents(replace(lower({x}), 'ß', 'ss'))"
