@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,63 +12,93 @@ from pyspark.sql import functions as F
 
 from korrel.functions import text as t
 from korrel.operators.retrieval import top
+from korrel.plans.scratch import stored
 
 #: Limits of topic and similarity edges.
 TOPIC_OVERLAP, TOPIC_SHARED, TOPIC_DEGREE = 0.22, 2, 2
 COSINE, SHARED, PER_SOURCE, PER_TARGET = 0.26, 3, 2, 4
 CHUNK, CUT_FROM = 1100, 0.55
+#: Words of a name by which it is looked up.
+ANCHOR = 3
 
 
-def mention_edges(docs: DataFrame, names: DataFrame, longest: int = 6) -> DataFrame:
+def mention_edges(docs: DataFrame, names: DataFrame) -> DataFrame:
     """(source, target, start): nodes (id, title) whose only owner's name stands in docs (id, text) as whole words.
 
-    A name of up to `longest` words is found among the document's word runs by a join on its folded words, so no text
-    is searched for every name. Names that several nodes own, or of fewer than three letters or digits, link nothing.
-    start is the first word of the first mention, counted from 0.
+    The runs of up to ANCHOR words at each place of a document are joined to the names that begin with them, and the
+    places found are then compared with whole names, of any number of words; no text is searched for every name.
+    Names that several nodes own, or of fewer than three letters or digits, link nothing. start is the first word of
+    the first mention, counted from 0.
     """
-    keys = names.select("id", F.array_join(F.filter(F.split(t.normalize(F.col("title")), t.NOT_ALNUM), lambda w: w != ""), " ").alias("key")).filter("length(replace(key, ' ', '')) >= 3").distinct()
+    words = lambda c: F.filter(F.split(t.normalize(F.col(c)), t.NOT_ALNUM), lambda w: w != "")
+    keys = names.select("id", F.array_join(words("title"), " ").alias("key")).filter("length(replace(key, ' ', '')) >= 3").distinct()
     unique = keys.groupBy("key").agg(F.min("id").alias("target"), F.count("*").alias("owners")).filter("owners = 1")
-    sized = unique.withColumn("n", F.size(F.split("key", " "))).filter(F.col("n") <= longest)
-    words = docs.select(F.col("id").alias("source"), F.filter(F.split(t.normalize(F.col("text")), t.NOT_ALNUM), lambda w: w != "").alias("words"))
-    first = sized.withColumn("first", F.substring_index("key", " ", 1)).select("key", "target", "n", "first")
-    each = words.select("source", "words", F.posexplode("words").alias("start", "first"))
-    # Only runs that begin with a name's first word are put together.
-    hits = each.join(first, "first").filter(F.array_join(F.slice("words", F.col("start") + 1, F.col("n")), " ") == F.col("key"))
-    return hits.filter("source <> target").groupBy("source", "target").agg(F.min("start").alias("start"))
+    n = F.size(F.split("key", " "))
+    anchored = unique.select("key", "target", n.alias("n"), F.substring_index("key", " ", ANCHOR).alias("anchor"))
+    texts = stored(docs.select(F.col("id").alias("source"), words("text").alias("words")).filter("size(words) > 0"), "words")
+    at = lambda i: [F.struct(i.alias("start"), F.array_join(F.slice("words", i + 1, F.lit(k)), " ").alias("anchor")) for k in range(1, ANCHOR + 1)]
+    runs = texts.select("source", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array(*at(i))))).alias("r")).select("source", "r.start", "r.anchor").distinct()
+    places = runs.join(anchored, "anchor").filter("source <> target")
+    hits = places.join(texts, "source").filter(F.array_join(F.slice("words", F.col("start") + 1, F.col("n")), " ") == F.col("key"))
+    return hits.groupBy("source", "target").agg(F.min("start").alias("start"))
+
+
+def profile_classes(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Profiles (id, term, weight) of one member of each class of equal ones, and (id, class): copies are compared once."""
+    marks = profiles.groupBy("id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("term", "weight")))), 256).alias("mark"))
+    marks = stored(marks, "marks")
+    classes = stored(marks.join(marks.groupBy("mark").agg(F.min("id").alias("class")), "mark").select("id", "class"), "classes")
+    return profiles.join(classes.filter("id = class").select("id"), "id", "left_semi"), classes
 
 
 def topic_pairs(profiles: DataFrame) -> DataFrame:
     """(a, b, overlap, shared), a < b, of profiles (id, term, weight) that share enough of their top terms.
 
-    The terms' lists are joined with themselves; terms of very many documents make long lists, so a profile holds
-    only its heaviest terms, which rare ones are.
+    Pairs meet under their rarest terms only: of a profile's k terms, those that leave fewer than TOPIC_SHARED out
+    (prefix filter, by rising document frequency); what they share is then counted on the whole profiles. Give one
+    member of each class of equal profiles (profile_classes): the lists of frequent terms are then short.
     """
-    total = profiles.groupBy("id").agg(F.sum("weight").alias("total"))
-    a, b = profiles.select(F.col("id").alias("a"), "term", F.col("weight").alias("wa")), profiles.select(F.col("id").alias("b"), "term", F.col("weight").alias("wb"))
-    met = a.join(b, "term").filter("a < b").groupBy("a", "b").agg(F.sum(F.least("wa", "wb")).alias("least"), F.count("*").alias("shared")).filter(F.col("shared") >= TOPIC_SHARED)
-    scored = met.join(total.select(F.col("id").alias("a"), F.col("total").alias("ta")), "a").join(total.select(F.col("id").alias("b"), F.col("total").alias("tb")), "b")
-    return scored.select("a", "b", F.round(F.col("least") / F.least("ta", "tb"), 6).alias("overlap"), "shared").filter(F.col("overlap") >= TOPIC_OVERLAP)
-
-
-def capped(pairs: DataFrame, scope: str, score: str, per_a: int, per_b: int, symmetric: bool) -> DataFrame:
-    """pairs (scope, a, b, score, shared) accepted greedily, best first, while both ends have room; by scope.
-
-    A scope is one import or document, so a group is small. With symmetric, both ends share one count.
+    df = profiles.groupBy("term").agg(F.count("*").alias("df"))
+    held = profiles.join(df, "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "term", "weight"))).alias("terms"), F.sum("weight").alias("total"))
+    held = stored(held.filter(F.size("terms") >= TOPIC_SHARED), "profiles")
+    prefix = held.select("id", F.explode(F.slice("terms", F.lit(1), F.size("terms") - (TOPIC_SHARED - 1))).alias("t")).select("id", "t.term")
+    a, b = prefix.select(F.col("id").alias("a"), "term"), prefix.select(F.col("id").alias("b"), "term")
+    met = a.join(b, "term").filter("a < b").select("a", "b").distinct()
+    side = lambda name: held.select(F.col("id").alias(name), F.map_from_entries(F.transform("terms", lambda x: F.struct(x["term"], x["weight"]))).alias(f"w{name}"), F.col("total").alias(f"t{name}"))
+    common = F.filter(F.map_keys("wa"), lambda k: F.map_contains_key("wb", k))
+    least = F.aggregate(common, F.lit(0.0), lambda s, k: s + F.least(F.try_element_at("wa", k), F.try_element_at("wb", k)))
+    scored = met.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.round(least / F.least("ta", "tb"), 6).alias("overlap"), F.size(common).cast("long").alias("shared"))
+    return scored.filter((F.col("shared") >= TOPIC_SHARED) & (F.col("overlap") >= TOPIC_OVERLAP))
+
+
+def capped(pairs: DataFrame, score: str, per_a: int, per_b: int, symmetric: bool) -> DataFrame:
+    """pairs (a, b, score, shared) accepted greedily, best first, while both ends have room.
+
+    The order is score, shared (falling), a, b. A pair that is among the best of what is left at both of its ends, as
+    many as they have room for, is one that the greedy choice takes; so each round takes all such pairs at once, and
+    drops the pairs of full ends. Rounds are joins by end; nothing is gathered in one task. With symmetric, an id's
+    pairs on both sides share one count.
     """
-
-    def accept(rows: pd.DataFrame) -> pd.DataFrame:
-        used: dict[tuple[str, object], int] = {}
-        keep = []
-        rows = rows.sort_values([score, "shared", "a", "b"], ascending=[False, False, True, True], kind="stable")
-        for r in rows.itertuples():
-            ka, kb = ("x", r.a), ("x" if symmetric else "y", r.b)
-            ok = used.get(ka, 0) < per_a and used.get(kb, 0) < per_b
-            keep.append(ok)
-            if ok:
-                used[ka], used[kb] = used.get(ka, 0) + 1, used.get(kb, 0) + 1
-        return rows[keep]
-
-    return pairs.groupBy(scope).applyInPandas(accept, pairs.schema)
+    spark, kind = pairs.sparkSession, pairs.schema
+    order = F.struct((-F.col(score)).alias("s"), (-F.col("shared")).alias("n"), F.col("a").alias("x"), F.col("b").alias("y"))
+    left = stored(pairs.withColumn("o", order), "pairs")
+    room = None
+    taken = spark.createDataFrame([], kind)
+    tag = lambda side: F.lit("x" if symmetric or side == "a" else "y")
+    while not left.isEmpty():
+        ends = left.select("a", "b", "o", F.explode(F.array(F.struct(tag("a").alias("side"), F.col("a").alias("id"), F.lit(per_a).alias("most")), F.struct(tag("b").alias("side"), F.col("b").alias("id"), F.lit(per_b).alias("most")))).alias("e")).select("a", "b", "o", "e.*")
+        if room is not None:
+            ends = ends.join(room, ["side", "id"], "left").withColumn("most", F.col("most") - F.coalesce("used", F.lit(0)))
+        rank = F.row_number().over(Window.partitionBy("side", "id").orderBy("o"))
+        sure = ends.withColumn("rank", rank).filter(F.col("rank") <= F.col("most")).groupBy("a", "b").count().filter("count = 2").select("a", "b")
+        new = stored(left.join(sure, ["a", "b"], "left_semi"), "taken")
+        taken = taken.union(new.select(*kind.names))
+        used = lambda side: new.select(tag(side).alias("side"), F.col(side).alias("id"))
+        more = used("a").union(used("b")).groupBy("side", "id").agg(F.count("*").alias("used"))
+        room = stored(more if room is None else room.union(more).groupBy("side", "id").agg(F.sum("used").alias("used")), "room")
+        full = lambda side, most: room.filter((F.col("side") == tag(side)) & (F.col("used") >= most)).select(F.col("id").alias(side))
+        left = stored(left.join(sure, ["a", "b"], "left_anti").join(full("a", per_a), "a", "left_anti").join(full("b", per_b), "b", "left_anti").select(left.columns), "pairs")
+    return taken
 
 
 def similarity_pairs(profiles: DataFrame, sources: DataFrame, targets: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
@@ -85,22 +117,28 @@ def best_per_end(pairs: DataFrame, score: str, k: int) -> DataFrame:
     return top(pairs, "a", [F.desc(score), F.desc("shared"), F.asc("b")], k)
 
 
+# Where a chunk may end.
+MARKS = re.compile(r"[.!?»] |\n\n|\n| ")
+
+
 def chunk(text: str, size: int = CHUNK) -> Iterator[tuple[int, int, str]]:
-    """(start, end, piece) of a text: at most `size` characters, cut after the last separator past CUT_FROM of it."""
-    at, n = 0, len(text)
-    marks = (". ", "! ", "? ", "» ", "\n\n", "\n", " ")
-    while True:
-        while at < n and text[at].isspace():
-            at += 1
-        if at >= n:
-            return
-        end = min(n, at + size)
-        if end < n:
-            found = [text.rfind(m, 0, end + len(m)) for m in marks]
-            end = max([p + 1 for p in found if p >= at + int(size * CUT_FROM)], default=end)
-        piece = text[at:end].rstrip()
-        yield at, at + len(piece), piece
-        at = end
+    """(start, end, piece) of a text: at most `size` characters, cut after the last mark that begins past CUT_FROM of it.
+
+    The places after the first signs of all marks are found in one scan; each cut is a binary search among them.
+    """
+    ends = [m.start() + 1 for m in MARKS.finditer(text)]
+    inside = re.compile(r"\S")
+    at = inside.search(text)
+    while at:
+        begin = at.start()
+        stop = min(len(text), begin + size)
+        if stop < len(text):
+            k = bisect_right(ends, stop + 1) - 1  # a mark may begin at the limit itself
+            if k >= 0 and ends[k] > begin + int(size * CUT_FROM):
+                stop = ends[k]
+        piece = text[begin:stop].rstrip()
+        yield begin, begin + len(piece), piece
+        at = inside.search(text, stop)
 
 
 def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:

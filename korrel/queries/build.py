@@ -16,33 +16,35 @@ from korrel.streaming import live
 
 
 def mention_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Conversation turns that name a document's source or language: names are the words of region names and sources."""
-    turns = b.messages(spark, d).select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
-    words = b.table(spark, d, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("id"), F.array_join(F.slice(F.split(t.compact(F.col("text")), " "), 1, 2), " ").alias("title"))
-    return build.mention_edges(turns, words)
+    """Documents that hold a benchmark item word for word."""
+    docs = b.table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
+    return build.mention_edges(docs, b.table(spark, d, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("id"), F.col("text").alias("title")))
 
 
-def topic_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items with overlapping topics."""
-    return build.topic_pairs(_profiles(spark, d)).select("a", "b", "overlap", "shared")
+def _profiles(spark: SparkSession, d: str) -> DataFrame:
+    return term_profiles(b.nodes(spark, d)).select("id", "term", "weight")
 
 
-def _profiles(spark: SparkSession, d: str) -> DataFrame:
-    items = b.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("").alias("title"), F.col("text").alias("summary"))
-    return term_profiles(items).select("id", "term", "weight")
+def profile_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The class of every document by its topic profile."""
+    return build.profile_classes(_profiles(spark, d))[1]
+
+
+def topic_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of documents with overlapping topics."""
+    return build.topic_pairs(build.profile_classes(_profiles(spark, d))[0])
 
 
 def topic_edges(spark: SparkSession, d: str) -> DataFrame:
     """The same with at most two edges each, accepted best first."""
-    pairs = build.topic_pairs(_profiles(spark, d)).withColumn("scope", F.lit("benchmark"))
-    return build.capped(pairs, "scope", "overlap", build.TOPIC_DEGREE, build.TOPIC_DEGREE, True).select("a", "b", "overlap")
+    return build.capped(topic_pairs(spark, d), "overlap", build.TOPIC_DEGREE, build.TOPIC_DEGREE, True).select("a", "b", "overlap")
 
 
 def similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Odd benchmark items against even ones."""
-    p = _profiles(spark, d)
+    """Classes of documents by the cosine of their topics, the smaller id as source."""
+    p = build.profile_classes(_profiles(spark, d))[0]
     ids = p.select("id").distinct()
-    return build.similarity_pairs(p, ids.filter("id % 2 = 1"), ids.filter("id % 2 = 0")).select("a", "b", "cosine", "shared")
+    return build.similarity_pairs(p, ids, ids).filter("a < b").select("a", "b", "cosine", "shared")
 
 
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -132,9 +134,10 @@ def hourly_sessions(spark: SparkSession, d: str) -> DataFrame:
     return runs.groupBy("user_id", "session").agg(F.count("*").alias("n"))
 
 
-_PROFILES = f"""items AS (SELECT item_id AS id, text FROM benchmark), posts AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({s.terms("' ' || text")}) AS term FROM items) WHERE length(term) >= 4 AND NOT regexp_full_match(term, '[0-9]+') GROUP BY id, term),
-dfs AS (SELECT term, count(*) AS df FROM posts GROUP BY term), size AS (SELECT count(*) AS n FROM items),
-profiles AS (SELECT id, term, round((1 + ln(tf)) * (ln((n + 1) / (df + 1)) + 1), 6) AS weight FROM posts JOIN dfs USING (term), size QUALIFY row_number() OVER (PARTITION BY id ORDER BY weight DESC, term) <= 12)"""
+_PROFILES = f"""{s.POSTINGS}, p4 AS (SELECT * FROM posts WHERE length(term) >= 4 AND NOT regexp_full_match(term, '[0-9]+')),
+profiles AS (SELECT id, term, round((1 + ln(tf)) * (ln((n + 1) / (df + 1)) + 1), 6) AS weight FROM p4 JOIN dfs USING (term), size QUALIFY row_number() OVER (PARTITION BY id ORDER BY weight DESC, term) <= 12),
+classes AS (SELECT id, min(id) OVER (PARTITION BY mark) AS class FROM (SELECT id, string_agg(term || ':' || weight, ' ' ORDER BY term) AS mark FROM profiles GROUP BY id)),
+kinds AS (SELECT * FROM profiles SEMI JOIN (SELECT class AS id FROM classes) USING (id))"""
 _ANSWERS = """a AS (SELECT user_id % 10 AS room, user_id AS player, strftime(ts, '%Y-%m-%d') AS question, event_id, k % 2 = 0 AS correct, CAST(k % 20 AS DOUBLE) AS elapsed FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)),
 f AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY room, player, question ORDER BY event_id) = 1), m AS (SELECT *, sum(1 - CAST(correct AS INT)) OVER (PARTITION BY room, player ORDER BY event_id) AS miss FROM f),
 g AS (SELECT *, sum(CAST(correct AS INT)) OVER (PARTITION BY room, player, miss ORDER BY event_id) AS st FROM m),
@@ -144,10 +147,11 @@ firsts AS (SELECT page_id, pos, href, label FROM links WHERE label <> '' QUALIFY
 _TITLES = "SELECT page_id, url, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages"
 
 QUERIES = {
-    "mention_edges": (mention_edges, f"WITH words AS (SELECT 'b' || item_id AS id, array_to_string([w FOR w IN regexp_split_to_array({s.normalize('x')}, '[^a-z0-9]+') IF w <> ''], ' ') AS key FROM (SELECT item_id, array_to_string(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[1:2], ' ') AS x FROM benchmark)), u AS (SELECT key, min(id) AS target FROM words WHERE length(replace(key, ' ', '')) >= 3 GROUP BY key HAVING count(DISTINCT id) = 1), n AS (SELECT conv_id || '-' || turn AS source, [w FOR w IN regexp_split_to_array({s.normalize('text')}, '[^a-z0-9]+') IF w <> ''] AS ws FROM conversations), j AS (SELECT source, ' ' || array_to_string(ws, ' ') || ' ' AS body FROM n) SELECT source, target, CAST(length(split_part(body, ' ' || key || ' ', 1)) - length(replace(split_part(body, ' ' || key || ' ', 1), ' ', '')) AS INTEGER) AS start FROM j JOIN u ON contains(body, ' ' || key || ' ')"),
-    "topic_pairs": (topic_pairs, f"WITH {_PROFILES}, t AS (SELECT id, sum(weight) AS total FROM profiles GROUP BY id) SELECT x.id AS a, y.id AS b, round(sum(least(x.weight, y.weight)) / least(any_value(t1.total), any_value(t2.total)), 6) AS overlap, count(*) AS shared FROM profiles x JOIN profiles y ON x.term = y.term AND x.id < y.id JOIN t t1 ON t1.id = x.id JOIN t t2 ON t2.id = y.id GROUP BY x.id, y.id HAVING count(*) >= 2 AND overlap >= 0.22"),
+    "mention_edges": (mention_edges, f"WITH words AS (SELECT 'b' || item_id AS id, array_to_string([w FOR w IN regexp_split_to_array({s.normalize('text')}, '[^a-z0-9]+') IF w <> ''], ' ') AS key FROM benchmark), u AS (SELECT key, min(id) AS target FROM words WHERE length(replace(key, ' ', '')) >= 3 GROUP BY key HAVING count(DISTINCT id) = 1), j AS (SELECT 'd' || doc_id AS source, ' ' || array_to_string([w FOR w IN regexp_split_to_array({s.normalize('text')}, '[^a-z0-9]+') IF w <> ''], ' ') || ' ' AS body FROM documents) SELECT source, target, CAST(length(split_part(body, ' ' || key || ' ', 1)) - length(replace(split_part(body, ' ' || key || ' ', 1), ' ', '')) AS INTEGER) AS start FROM j JOIN u ON contains(body, ' ' || key || ' ')"),
+    "profile_classes": (profile_classes, f"WITH {_PROFILES} SELECT id, class FROM classes"),
+    "topic_pairs": (topic_pairs, f"WITH {_PROFILES}, t AS (SELECT id, sum(weight) AS total FROM kinds GROUP BY id) SELECT x.id AS a, y.id AS b, round(sum(least(x.weight, y.weight)) / least(any_value(t1.total), any_value(t2.total)), 6) AS overlap, count(*) AS shared FROM kinds x JOIN kinds y ON x.term = y.term AND x.id < y.id JOIN t t1 ON t1.id = x.id JOIN t t2 ON t2.id = y.id GROUP BY x.id, y.id HAVING count(*) >= 2 AND overlap >= 0.22"),
     "topic_edges": (topic_edges, None),
-    "similarity_pairs": (similarity_pairs, f"WITH {_PROFILES}, t AS (SELECT id, sqrt(sum(weight ** 2)) AS norm FROM profiles GROUP BY id) SELECT x.id AS a, y.id AS b, round(sum(x.weight * y.weight) / any_value(t1.norm * t2.norm), 6) AS cosine, count(*) AS shared FROM profiles x JOIN profiles y ON x.term = y.term AND x.id % 2 = 1 AND y.id % 2 = 0 JOIN t t1 ON t1.id = x.id JOIN t t2 ON t2.id = y.id GROUP BY x.id, y.id HAVING count(*) >= 3 AND cosine >= 0.26"),
+    "similarity_pairs": (similarity_pairs, f"WITH {_PROFILES}, t AS (SELECT id, sqrt(sum(weight ** 2)) AS norm FROM kinds GROUP BY id) SELECT x.id AS a, y.id AS b, round(sum(x.weight * y.weight) / any_value(t1.norm * t2.norm), 6) AS cosine, count(*) AS shared FROM kinds x JOIN kinds y ON x.term = y.term AND x.id < y.id JOIN t t1 ON t1.id = x.id JOIN t t2 ON t2.id = y.id GROUP BY x.id, y.id HAVING count(*) >= 3 AND cosine >= 0.26"),
     "chunk_documents": (chunk_documents, None),
     "link_extract": (link_extract, f"WITH {_LINKS} SELECT page_id, pos, href, label FROM firsts"),
     "link_verify": (link_verify, f"WITH {_LINKS}, o AS (SELECT trim(regexp_replace({s.normalize('k')}, '\\s+', ' ', 'g')) AS key, min(page_id) AS target FROM (SELECT page_id, split_part(title, ' ', 1) AS k FROM ({_TITLES})) GROUP BY key HAVING count(*) = 1 AND key <> ''), f AS (SELECT page_id AS source, target, min(pos) AS pos FROM firsts JOIN o ON o.key = trim(regexp_replace({s.normalize('label')}, '\\s+', ' ', 'g')) WHERE page_id <> target GROUP BY ALL), r AS (SELECT source, target, CAST(row_number() OVER (PARTITION BY source ORDER BY pos, target) AS INTEGER) AS rank FROM f) SELECT * FROM r WHERE rank <= 48"),

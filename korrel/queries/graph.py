@@ -12,7 +12,8 @@ from korrel.queries import sql as s
 from korrel.sources import bindings as b
 
 _G = f"WITH edges AS ({b.EDGES_SQL}), names AS ({b.NAMES_SQL})"
-_PROV = "array<struct<sourceId:string,importScopeId:string,sourceKind:string,method:string,confidence:string,evidence:string>>"
+_PROV = "array<struct<sourceId:string,importScopeId:string,sourceKind:string,method:string,confidence:string,evidence:string,page:int,pageEnd:int,section:int,charStart:int,charEnd:int,revisionId:bigint,targetTitle:string,score:double,threshold:double,sharedTerms:array<string>,contentFingerprint:string>>"
+_REST = [("page", "int"), ("pageEnd", "int"), ("section", "int"), ("charStart", "int"), ("charEnd", "int"), ("revisionId", "bigint"), ("targetTitle", "string"), ("score", "double"), ("threshold", "double"), ("sharedTerms", "array<string>"), ("contentFingerprint", "string")]
 
 
 def _suppliers(spark: SparkSession, d: str) -> DataFrame:
@@ -26,7 +27,7 @@ def _even(ids: DataFrame) -> DataFrame:
 
 def with_provenance(edges: DataFrame) -> DataFrame:
     """Edges with entries that follow from their relation and target."""
-    entry = lambda kind, conf: F.struct(F.concat(F.lit("src:"), "relation").alias("sourceId"), F.concat(F.lit("scope:"), "relation").alias("importScopeId"), F.lit(kind).alias("sourceKind"), F.lit("explicit").alias("method"), F.lit(conf).alias("confidence"), F.col("label").alias("evidence"))
+    entry = lambda kind, conf: F.struct(F.concat(F.lit("src:"), "relation").alias("sourceId"), F.concat(F.lit("scope:"), "relation").alias("importScopeId"), F.lit(kind).alias("sourceKind"), F.lit("explicit").alias("method"), F.lit(conf).alias("confidence"), F.col("label").alias("evidence"), *[F.lit(None).cast(kind).alias(c) for c, kind in _REST])
     some = F.when(F.length("target") % 2 == 0, F.array(entry("wikipedia", "verified"), entry("pdf", "heuristic"))).when(F.length("source") % 2 == 0, F.array(entry("pdf", "heuristic"))).otherwise(F.array().cast(_PROV))
     return edges.withColumn("provenance", some.cast(_PROV))
 
@@ -47,9 +48,8 @@ def graph_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def khop_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Two-hop simple paths from every region and nation."""
-    places = b.edges(spark, d).filter("relation <> 'liefert'")
-    return g.paths(places, b.entity_names(spark, d).filter("type = 'place'").select(F.col("id").alias("node")), 2)
+    """Two-hop simple paths from every region and nation, over all edges."""
+    return g.paths(b.edges(spark, d), b.entity_names(spark, d).filter("type = 'place'").select(F.col("id").alias("node")), 2)
 
 
 def induced_subgraph(spark: SparkSession, d: str) -> DataFrame:
@@ -69,8 +69,8 @@ def touching_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def counterfactual(spark: SparkSession, d: str) -> DataFrame:
-    """The graph without one edge, by relation."""
-    return g.without_edge(b.edges(spark, d), "n0", "teil_von", "r0").groupBy("relation").agg(F.count("*").alias("n"))
+    """The graph without one edge."""
+    return g.without_edge(b.edges(spark, d), "n0", "teil_von", "r0")
 
 
 def incident_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -157,13 +157,6 @@ def trial_run(spark: SparkSession, d: str) -> DataFrame:
     return planner.schedule_of(r, trials, done=done).select("repetition", "question_id", "condition", F.length("prompt").cast("long").alias("n_chars"))
 
 
-def merged_graph(spark: SparkSession, d: str) -> DataFrame:
-    """Edges of two overlapping halves, merged, and how many entries each has."""
-    edges = with_provenance(b.edges(spark, d))
-    one, two = edges.filter(F.length("source") % 3 != 0), edges.filter(F.length("target") % 3 != 0).withColumn("label", F.lit("neu"))
-    return m.merged_edges(one, two).select("source", "relation", "target", "label", F.size("provenance").cast("long").alias("n_entries"))
-
-
 def merge_delta(spark: SparkSession, d: str) -> DataFrame:
     """What an import changes about nodes."""
     names = b.entity_names(spark, d)
@@ -182,13 +175,13 @@ def edge_delta(spark: SparkSession, d: str) -> DataFrame:
 
 def scope_delete(spark: SparkSession, d: str) -> DataFrame:
     """Edges that stay when one scope is withdrawn."""
-    return m.without_scope(with_provenance(b.edges(spark, d)), "scope:liefert").groupBy("relation").agg(F.count("*").alias("n"))
+    return m.without_scope(with_provenance(b.edges(spark, d)), "scope:liefert").select("source", "relation", "target")
 
 
 def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
     """Edges that stay when an import's nodes are removed."""
     names = b.entity_names(spark, d)
-    return m.removed(names, b.edges(spark, d), _even(names))[1].groupBy("relation").agg(F.count("*").alias("n"))
+    return m.removed(names, b.edges(spark, d), _even(names))[1]
 
 
 def evidence_recall(spark: SparkSession, d: str) -> DataFrame:
@@ -234,11 +227,11 @@ QUERIES = {
     "adjacency": (adjacency, f"{_G} SELECT source AS node, target AS other, 'out' AS direction, relation, label FROM edges UNION ALL SELECT target, source, 'in', relation, label FROM edges"),
     "degree": (degree, f"{_G} SELECT node, count(*) AS degree FROM (SELECT source AS node FROM edges UNION ALL SELECT target FROM edges WHERE source <> target) GROUP BY node"),
     "graph_stats": (graph_stats, f"{_G} SELECT 'node:' || type AS kind, count(*) AS n FROM names GROUP BY ALL UNION ALL SELECT 'edge:' || relation, count(*) FROM edges GROUP BY ALL"),
-    "khop_paths": (khop_paths, f"{_G}, e AS (SELECT * FROM edges WHERE relation <> 'liefert'), s AS (SELECT source AS a, target AS b FROM e UNION SELECT target, source FROM e) SELECT x.a AS start, x.a || '>' || x.b || '>' || y.b AS path FROM s x JOIN s y ON x.b = y.a WHERE y.b <> x.a AND x.a IN (SELECT id FROM names WHERE type = 'place')"),
+    "khop_paths": (khop_paths, f"{_G}, s AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges) SELECT x.a AS start, x.a || '>' || x.b || '>' || y.b AS path FROM s x JOIN s y ON x.b = y.a WHERE y.b <> x.a AND x.a IN (SELECT id FROM names WHERE type = 'place')"),
     "induced_subgraph": (induced_subgraph, f"{_G}, k AS (SELECT id FROM names WHERE type IN ('institution', 'place')) SELECT * FROM edges WHERE source IN (FROM k) AND target IN (FROM k)"),
     "bridge_edges": (bridge_edges, f"{_G}, k AS ({_EVEN}) SELECT * FROM edges WHERE (source IN (FROM k)) <> (target IN (FROM k))"),
     "touching_edges": (touching_edges, f"{_G}, k AS ({_EVEN}) SELECT * FROM edges WHERE source IN (FROM k) OR target IN (FROM k)"),
-    "counterfactual": (counterfactual, f"{_G} SELECT relation, count(*) AS n FROM edges WHERE NOT (source = 'n0' AND relation = 'teil_von' AND target = 'r0') GROUP BY relation"),
+    "counterfactual": (counterfactual, f"{_G} SELECT * FROM edges WHERE NOT (source = 'n0' AND relation = 'teil_von' AND target = 'r0')"),
     "incident_edges": (incident_edges, f"{_G} SELECT * FROM edges WHERE source = 'n1' OR target = 'n1'"),
     "privacy_filter": (privacy_filter, f"{_G}, k AS (SELECT id FROM names WHERE length(title) % 5 <> 0), p AS (SELECT *, {_P} AS c FROM edges WHERE source IN (FROM k) AND target IN (FROM k)) SELECT source, relation, target, CASE WHEN c = 2 THEN 1 ELSE 0 END::BIGINT AS n_entries FROM p WHERE c <> 1"),
     "visible_edges": (visible_edges, f"{_G} SELECT source, relation, target FROM edges WHERE ({_P}) = 0"),
@@ -250,10 +243,9 @@ QUERIES = {
     "subgraph_context": (subgraph_context, f"WITH {_SUB}, {_TEXT} SELECT question_id, context FROM graphtext"),
     **{f"plan_{c}": (_planned(c), _plan_sql(c)) for c in planner.CONDITIONS},
     "trial_run": (trial_run, f"WITH {_PLANS} SELECT 2 AS repetition, question_id, condition, length(prompt) AS n_chars FROM (" + " UNION ALL ".join(f"SELECT question_id, '{c}' AS condition, prompt FROM ({_PLAN[c]})" for c in planner.CONDITIONS) + ")"),
-    "merged_graph": (merged_graph, f"{_G}, o AS (SELECT *, {_P} AS c FROM edges WHERE length(source) % 3 <> 0), t AS (SELECT *, {_P} AS c FROM edges WHERE length(target) % 3 <> 0) SELECT coalesce(o.source, t.source) AS source, coalesce(o.relation, t.relation) AS relation, coalesce(o.target, t.target) AS target, coalesce(o.label, 'neu') AS label, CASE WHEN coalesce(o.c, 0) + coalesce(t.c, 0) = 0 THEN 0 ELSE greatest(coalesce(o.c, 0), coalesce(t.c, 0)) END::BIGINT AS n_entries FROM o FULL JOIN t ON o.source = t.source AND o.relation = t.relation AND o.target = t.target"),
     "merge_delta": (merge_delta, f"{_G}, n AS (SELECT id, type, length(title) % 2 = 0 AS changed FROM names) SELECT id, CASE WHEN type = 'place' THEN 'rejected' WHEN type <> 'person' THEN 'added' WHEN changed THEN 'updated' ELSE 'unchanged' END AS change FROM n"),
     "edge_delta": (edge_delta, f"{_G}, k AS (SELECT id FROM names WHERE type <> 'work' OR length(title) % 2 = 0), c AS (SELECT relation, CASE WHEN source NOT IN (FROM k) OR target NOT IN (FROM k) OR ({_P}) = 0 THEN 'skipped' WHEN length(source) % 2 <> 0 THEN 'added' ELSE 'unchanged' END AS change FROM edges) SELECT relation, change, count(*) AS n FROM c GROUP BY ALL"),
-    "scope_delete": (scope_delete, f"{_G} SELECT relation, count(*) AS n FROM edges WHERE relation <> 'liefert' AND ({_P}) > 0 GROUP BY relation"),
-    "cascade_delete": (cascade_delete, f"{_G}, k AS ({_EVEN}) SELECT relation, count(*) AS n FROM edges WHERE source NOT IN (FROM k) AND target NOT IN (FROM k) GROUP BY relation"),
+    "scope_delete": (scope_delete, f"{_G} SELECT source, relation, target FROM edges WHERE relation <> 'liefert' AND ({_P}) > 0"),
+    "cascade_delete": (cascade_delete, f"{_G}, k AS ({_EVEN}) SELECT * FROM edges WHERE source NOT IN (FROM k) AND target NOT IN (FROM k)"),
     "evidence_recall": (evidence_recall, "WITH r AS (SELECT l_suppkey, count(DISTINCT l_partkey) AS r, count(DISTINCT l_partkey) FILTER (l_linenumber % 2 = 0) AS g FROM lineitem GROUP BY l_suppkey) SELECT l_suppkey, CASE WHEN g > 0 THEN 1.0::DOUBLE END AS recall, CASE WHEN g > 0 THEN round(g / r, 6) END AS precision FROM r"),
 }

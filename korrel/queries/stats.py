@@ -35,14 +35,37 @@ def wilson_by_run(spark: SparkSession, d: str) -> DataFrame:
 
 
 def paired_mcnemar(spark: SparkSession, d: str) -> DataFrame:
-    """view against click and purchase on equal runs and questions."""
-    t, keys = b.trials(spark, d), ["run_id", "question_id"]
-    names = [r["condition"] for r in t.select("condition").distinct().orderBy("condition").limit(4).collect()]  # condition names: a fixed few
-    made = [stats.paired(t, keys, names[0], other) for other in names[1:]]
-    out = made[0]
-    for more in made[1:]:
-        out = out.union(more)
-    return out
+    """The first condition against every other one on equal runs and questions."""
+    t = b.trials(spark, d)
+    names = t.select("condition").distinct()
+    first = names.agg(F.min("condition").alias("a"))
+    contrasts = first.join(names.withColumnRenamed("condition", "b"), F.col("a") != F.col("b"))  # one row against the names
+    return stats.paired(t, ["run_id", "question_id"], contrasts)
+
+
+def _rated(spark: SparkSession, d: str) -> DataFrame:
+    """Trials with the scores of two blind raters."""
+    t, k = b.trials(spark, d), F.col("context_chars")
+    scores = lambda r: F.when(k % r == 0, "korrekt").when(k % r == 1, "falsch")
+    return t.select("ord", F.concat(F.lit("t"), F.col("ord").cast("string")).alias("id"), "run_id", "condition", F.col("score").alias("auto_score"), F.lit(None).cast("string").alias("manual_score"), scores(3).alias("blind_a"), scores(4).alias("blind_b"), F.when(k % 2 == 0, "x").otherwise("y").alias("engine"))
+
+
+def rating_states(spark: SparkSession, d: str) -> DataFrame:
+    """Unrated, agreed and disputed trials, with the consensus applied."""
+    t = stats.effective(stats.consensus(stats.rating_state(_rated(spark, d))))
+    return t.select("id", "unrated_a", "unrated_b", "conflict", "agreed", "score")
+
+
+def rating_updates(spark: SparkSession, d: str) -> DataFrame:
+    """Trials after later ratings, given by odd events, were set."""
+    t = _rated(spark, d)
+    later = t.filter("ord % 2 = 1").select("id", F.when(F.col("ord") % 3 == 0, "a").otherwise("b").alias("slot"), F.lit("teilweise").alias("score"), "ord")
+    return stats.rated(t, later).select("id", "blind_a", "blind_b")
+
+
+def latest_run(spark: SparkSession, d: str) -> DataFrame:
+    """Trials of the newest run and one engine."""
+    return stats.of_run(_rated(spark, d), "latest", "x").select("id", "run_id", "condition")
 
 
 def cohens_kappa(spark: SparkSession, d: str) -> DataFrame:
@@ -135,9 +158,14 @@ _PAIR = """SELECT a, b, count(*) AS pairs, round(avg(CAST(oka AS INT)), 6) AS ac
  count(*) FILTER (oka AND NOT okb) AS a_only, count(*) FILTER (okb AND NOT oka) AS b_only FROM (
   SELECT l.condition AS a, r.condition AS b, l.score = 'korrekt' AS oka, r.score = 'korrekt' AS okb
   FROM trials l JOIN (SELECT run_id, question_id, condition, arg_max(score, ord) AS score FROM trials GROUP BY ALL) r USING (run_id, question_id)
-  WHERE l.condition = (SELECT min(condition) FROM trials) AND r.condition <> l.condition AND r.condition IN (SELECT DISTINCT condition FROM trials ORDER BY condition LIMIT 4)) GROUP BY a, b"""
+  WHERE l.condition = (SELECT min(condition) FROM trials) AND r.condition <> l.condition) GROUP BY a, b"""
+
+_RATED = f"SELECT 't' || ord AS id, ord, run_id, condition, score AS auto, k % 2 = 0 AS x, CASE k % 3 WHEN 0 THEN 'korrekt' WHEN 1 THEN 'falsch' END AS a, CASE k % 4 WHEN 0 THEN 'korrekt' WHEN 1 THEN 'falsch' END AS b FROM (SELECT *, context_chars AS k FROM ({b.TRIALS_SQL}))"
 
 QUERIES = {
+    "rating_states": (rating_states, f"SELECT id, a IS NULL AS unrated_a, b IS NULL AS unrated_b, coalesce(a <> b, false) AS conflict, coalesce(a = b, false) AS agreed, CASE WHEN a = b THEN a ELSE auto END AS score FROM ({_RATED})"),
+    "rating_updates": (rating_updates, f"SELECT id, CASE WHEN ord % 2 = 1 AND ord % 3 = 0 THEN 'teilweise' ELSE a END AS blind_a, CASE WHEN ord % 2 = 1 AND ord % 3 <> 0 THEN 'teilweise' ELSE b END AS blind_b FROM ({_RATED})"),
+    "latest_run": (latest_run, f"SELECT id, run_id, condition FROM ({_RATED}) WHERE x AND run_id = (SELECT arg_max(run_id, ord) FROM ({_RATED}))"),
     "agg_by_condition": (agg_by_condition, f"{_T} SELECT condition, count(*) AS n, count(*) FILTER (score = 'korrekt') AS korrekt, count(*) FILTER (score = 'teilweise') AS teilweise, count(*) FILTER (score = 'falsch') AS falsch, count(*) FILTER (score = 'enthaltung') AS enthaltung, count(*) FILTER (scope = 'end-to-end') AS latency_n, coalesce(quantile_disc(latency_ms, 0.5) FILTER (scope = 'end-to-end'), 0) AS p50, coalesce(quantile_disc(latency_ms, 0.95) FILTER (scope = 'end-to-end'), 0) AS p95, CAST(floor(avg(context_chars) + 0.5) AS BIGINT) AS mean_context, round(avg(recall), 6) AS mean_recall, round(avg(CASE WHEN score = 'korrekt' THEN 1.0::DOUBLE ELSE 0 END) FILTER (recall >= 1), 6) AS accuracy_given_evidence, round(count(*) FILTER (score = 'korrekt') / count(*), 6) AS accuracy FROM trials GROUP BY condition"),
     "upper_median": (upper_median, f"{_T} SELECT condition, list_sort(list(latency_ms))[CAST(floor(count(latency_ms) / 2) AS BIGINT) + 1] AS median FROM trials GROUP BY condition"),
     "mean_latency": (mean_latency, f"{_T} SELECT condition, floor(round(avg(latency_ms), 9) * 100 + 0.5) / 100 AS mean_ms FROM trials GROUP BY condition"),
