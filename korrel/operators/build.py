@@ -7,7 +7,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from korrel.functions import text as t
@@ -51,23 +51,39 @@ def profile_classes(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
     return profiles.join(classes.filter("id = class").select("id"), "id", "left_semi"), classes
 
 
-def topic_pairs(profiles: DataFrame) -> DataFrame:
-    """(a, b, overlap, shared), a < b, of profiles (id, term, weight) that share enough of their top terms.
+def _meeting(profiles: DataFrame, shared: int) -> tuple[DataFrame, DataFrame]:
+    """Profiles as one row each (id, terms, total, norm), and (id, term) of their prefixes.
 
-    Pairs meet under their rarest terms only: of a profile's k terms, those that leave fewer than TOPIC_SHARED out
-    (prefix filter, by rising document frequency); what they share is then counted on the whole profiles. Give one
-    member of each class of equal profiles (profile_classes): the lists of frequent terms are then short.
+    Two profiles that share `shared` terms share one of those terms of either that are left when its shared - 1 most
+    frequent ones are taken off; so only lists of these rarer terms need to be joined.
     """
     df = profiles.groupBy("term").agg(F.count("*").alias("df"))
-    held = profiles.join(df, "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "term", "weight"))).alias("terms"), F.sum("weight").alias("total"))
-    held = stored(held.filter(F.size("terms") >= TOPIC_SHARED), "profiles")
-    prefix = held.select("id", F.explode(F.slice("terms", F.lit(1), F.size("terms") - (TOPIC_SHARED - 1))).alias("t")).select("id", "t.term")
-    a, b = prefix.select(F.col("id").alias("a"), "term"), prefix.select(F.col("id").alias("b"), "term")
-    met = a.join(b, "term").filter("a < b").select("a", "b").distinct()
-    side = lambda name: held.select(F.col("id").alias(name), F.map_from_entries(F.transform("terms", lambda x: F.struct(x["term"], x["weight"]))).alias(f"w{name}"), F.col("total").alias(f"t{name}"))
+    held = profiles.join(df, "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "term", "weight"))).alias("terms"), F.sum("weight").alias("total"), F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
+    held = stored(held.filter(F.size("terms") >= shared), "profiles")
+    return held, held.select("id", F.explode(F.slice("terms", F.lit(1), F.size("terms") - (shared - 1))).alias("t")).select("id", "t.term")
+
+
+def _side(held: DataFrame, name: str) -> DataFrame:
+    """A pair's profile on one side: its weights by term, their sum and their length."""
+    weights = F.map_from_entries(F.transform("terms", lambda x: F.struct(x["term"], x["weight"])))
+    return held.select(F.col("id").alias(name), weights.alias(f"w{name}"), F.col("total").alias(f"t{name}"), F.col("norm").alias(f"n{name}"))
+
+
+def _over_common(value) -> tuple[Column, Column]:
+    """The terms that both sides of a pair have, and the sum of value(weight, weight) over them."""
     common = F.filter(F.map_keys("wa"), lambda k: F.map_contains_key("wb", k))
-    least = F.aggregate(common, F.lit(0.0), lambda s, k: s + F.least(F.try_element_at("wa", k), F.try_element_at("wb", k)))
-    scored = met.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.round(least / F.least("ta", "tb"), 6).alias("overlap"), F.size(common).cast("long").alias("shared"))
+    return F.size(common).cast("long"), F.aggregate(common, F.lit(0.0), lambda s, k: s + value(F.try_element_at("wa", k), F.try_element_at("wb", k)))
+
+
+def topic_pairs(profiles: DataFrame) -> DataFrame:
+    """(a, b, overlap, shared), a < b, of profiles (id, term, weight) that share enough of their top terms.
+
+    Give one member of each class of equal profiles (profile_classes): the lists of frequent terms are then short.
+    """
+    held, prefix = _meeting(profiles, TOPIC_SHARED)
+    met = prefix.withColumnRenamed("id", "a").join(prefix.withColumnRenamed("id", "b"), "term").filter("a < b").select("a", "b").distinct()
+    shared, least = _over_common(F.least)
+    scored = met.join(_side(held, "a"), "a").join(_side(held, "b"), "b").select("a", "b", F.round(least / F.least("ta", "tb"), 6).alias("overlap"), shared.alias("shared"))
     return scored.filter((F.col("shared") >= TOPIC_SHARED) & (F.col("overlap") >= TOPIC_OVERLAP))
 
 
@@ -103,13 +119,13 @@ def capped(pairs: DataFrame, score: str, per_a: int, per_b: int, symmetric: bool
 
 def similarity_pairs(profiles: DataFrame, sources: DataFrame, targets: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
     """(a, b, cosine, shared): sources (id) against targets (id), without equal ids and the excluded (a, b)."""
-    norms = profiles.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
-    weighted = profiles.join(norms, "id")
-    a = weighted.join(sources.select("id"), "id", "left_semi").select(F.col("id").alias("a"), "term", F.col("weight").alias("wa"), F.col("norm").alias("na"))
-    b = weighted.join(targets.select("id"), "id", "left_semi").select(F.col("id").alias("b"), "term", F.col("weight").alias("wb"), F.col("norm").alias("nb"))
-    met = a.join(b, "term").filter("a <> b").groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")) / F.first(F.col("na") * F.col("nb")), 6).alias("cosine"), F.count("*").alias("shared"))
-    met = met.filter((F.col("shared") >= SHARED) & (F.col("cosine") >= COSINE))
-    return met if exclude is None else met.join(exclude.select("a", "b"), ["a", "b"], "left_anti")
+    held, prefix = _meeting(profiles, SHARED)
+    a, b = prefix.join(sources.select("id"), "id", "left_semi").withColumnRenamed("id", "a"), prefix.join(targets.select("id"), "id", "left_semi").withColumnRenamed("id", "b")
+    met = a.join(b, "term").filter("a <> b").select("a", "b").distinct()
+    met = met if exclude is None else met.join(exclude.select("a", "b"), ["a", "b"], "left_anti")
+    shared, dot = _over_common(lambda x, y: x * y)
+    scored = met.join(_side(held, "a"), "a").join(_side(held, "b"), "b").select("a", "b", F.round(dot / (F.col("na") * F.col("nb")), 6).alias("cosine"), shared.alias("shared"))
+    return scored.filter((F.col("shared") >= SHARED) & (F.col("cosine") >= COSINE))
 
 
 def best_per_end(pairs: DataFrame, score: str, k: int) -> DataFrame:

@@ -96,6 +96,43 @@ def outbox_coalesce(spark: SparkSession, d: str) -> DataFrame:
     return live.coalesced(e)
 
 
+def _published(spark: SparkSession, d: str) -> DataFrame:
+    """Events as commands and states of rooms, with times in milliseconds."""
+    e = b.table(spark, d, "events")
+    phase = F.when(F.col("event_type") == "purchase", "question").when(F.col("event_type") == "signup", "reveal").otherwise("lobby")
+    command = F.when(F.col("event_type") == "purchase", "ask").when(F.col("event_type") == "signup", "reveal").when(F.col("event_type") == "view", "join").when(F.col("event_type") == "click", "answer").otherwise("leave")
+    return e.select((F.col("user_id") % 10).alias("room"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), phase.alias("phase"), command.alias("command"), F.col("user_id").alias("player"))
+
+
+def publish_stamps(spark: SparkSession, d: str) -> DataFrame:
+    """Revisions and strictly increasing times of every room's states, on a clock of ten-minute steps."""
+    step = 600_000
+    e = _published(spark, d).withColumn("at", F.floor(F.col("at") / step) * step)
+    return live.published(e).select("room", "event_id", "revision", "updated_at")
+
+
+def auto_reveal(spark: SparkSession, d: str) -> DataFrame:
+    """Questions that end by themselves, with deadlines of an hour."""
+    return live.auto_reveals(_published(spark, d), 3600.0)
+
+
+def topic_inbox(spark: SparkSession, d: str) -> DataFrame:
+    """The last twenty suggestions of every room; a user's type is one suggestion."""
+    e = b.table(spark, d, "events")
+    ideas = e.select((F.col("user_id") % 10).alias("room"), F.concat_ws("-", "user_id", "event_type").alias("id"), live.cleaned_topic(F.concat(F.lit("  Thema  "), "event_type")).alias("topic"), "event_id")
+    return live.inbox(ideas)
+
+
+def throttle(spark: SparkSession, d: str) -> DataFrame:
+    """Events that a flush of five hours lets through."""
+    return live.throttled(_published(spark, d), 5 * 3_600_000)
+
+
+def quiz_game(spark: SparkSession, d: str) -> DataFrame:
+    """Every room's quiz of a thousand questions."""
+    return live.game(_published(spark, d), 1000)
+
+
 def _answers(spark: SparkSession, d: str) -> DataFrame:
     e = b.table(spark, d, "events")
     k = F.get_json_object("props", "$.k").cast("long")
@@ -160,6 +197,11 @@ QUERIES = {
     "trial_schedule": (trial_schedule, None),
     "rate_limit": (rate_limit, None),
     "outbox_coalesce": (outbox_coalesce, "WITH e AS (SELECT user_id % 10 AS room, event_id, event_type AS phase FROM events), c AS (SELECT *, coalesce(lag(phase) OVER w <> phase, true) AS change, lead(phase) OVER w IS NULL AS last FROM e WINDOW w AS (PARTITION BY room ORDER BY event_id)) SELECT room, event_id, phase, change FROM c WHERE change OR last"),
+    "publish_stamps": (publish_stamps, "WITH e AS (SELECT user_id % 10 AS room, event_id, epoch_us(ts) // 600000000 * 600000 AS spot, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS revision FROM events) SELECT room, event_id, revision, max(spot - revision) OVER (PARTITION BY room ORDER BY event_id) + revision AS updated_at FROM e"),
+    "auto_reveal": (auto_reveal, "WITH e AS (SELECT user_id % 10 AS room, event_id, event_type, epoch_us(ts) // 1000 AS spot FROM events), n AS (SELECT *, lead(spot) OVER (PARTITION BY room ORDER BY event_id) AS ended FROM e) SELECT room, event_id, spot + 3600040 AS fires_at FROM n WHERE event_type = 'purchase' AND (ended IS NULL OR ended >= spot + 3600040)"),
+    "topic_inbox": (topic_inbox, "WITH f AS (SELECT user_id % 10 AS room, user_id || '-' || event_type AS id, 'Thema ' || event_type AS topic, min(event_id) AS event_id FROM events GROUP BY ALL) SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY room ORDER BY event_id DESC) <= 20"),
+    "throttle": (throttle, None),
+    "quiz_game": (quiz_game, None),
     "quiz_score": (quiz_score, f"WITH {_ANSWERS} SELECT * FROM scored"),
     "leaderboard": (leaderboard, f"WITH {_ANSWERS}, t AS (SELECT room, player, CAST(sum(gain) AS BIGINT) AS score FROM scored GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY room ORDER BY score DESC, player) AS INTEGER) AS place FROM t"),
     "validate_payload": (validate_payload, "SELECT c_custkey, regexp_full_match(c_name, '[A-Za-z0-9._:-]{1,128}') AS id_ok, length(trim(c_name)) BETWEEN 1 AND 18 AS name_ok, regexp_full_match(upper(left(sha256(c_name), 6)), '[A-Z0-9]{6}') AS code_ok, (c_custkey % 2 = 0 AND c_custkey % 3 = 0) OR (c_custkey % 2 <> 0 AND c_custkey % 3 <> 0) AS may_send FROM customer"),

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from korrel.functions.text import compact
+
 WINDOW_S, ROOM_LIMIT, PARTICIPANT_LIMIT = 60, 28, 4
 _ALLOWED = "room long, event_id long, participant long, allowed boolean"
 _STATE = "room_start double, room_count int, members array<struct<id:long,start:double,count:int>>"
@@ -47,58 +49,183 @@ def rate_limited(events: DataFrame, window: float = WINDOW_S, room_limit: int =
     window and those of its participants that are not over.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out, new = _limited(rows, state.get if state.exists else None, window, room_limit, own_limit)
+    def step(rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        return _limited(rows.sort_values(["ts", "event_id"]), state, window, room_limit, own_limit)
+
+    return _by_room_stream(events, step, _ALLOWED, _STATE)
+
+
+#: A room without events for so long is forgotten.
+IDLE_MS = 24 * 3600 * 1000
+
+
+def _by_room_stream(events: DataFrame, step, out: str, kept: str) -> DataFrame:
+    """step(rows of a room, state or None) -> (rows, state), with the state of each room kept until it is idle."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        made, new = step(pd.concat(list(batches)), state.get if state.exists else None)
         state.update(new)
-        yield out
+        state.setTimeoutDuration(IDLE_MS)
+        yield made
 
-    return events.groupBy("room").applyInPandasWithState(step, _ALLOWED, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("room").applyInPandasWithState(run, out, kept, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def rate_limited_batch(events: DataFrame, window: float = WINDOW_S, room_limit: int = ROOM_LIMIT, own_limit: int = PARTICIPANT_LIMIT) -> DataFrame:
     """The batch twin: one room's events at a time, in order."""
 
-    return events.repartition("room").sortWithinPartitions("room", "ts", "event_id").mapInPandas(_by_room(window, room_limit, own_limit), _ALLOWED)
+    def step(rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        return _limited(rows, state, window, room_limit, own_limit)
+
+    return _by_room_batch(events, step, ["ts", "event_id"], _ALLOWED)
+
 
+def _by_room_batch(events: DataFrame, step, order: list[str], out: str) -> DataFrame:
+    """step over each room's rows in order, a batch at a time: sequential by room, as the state is, but never a room at once."""
 
-def _by_room(window: float, room_limit: int, own_limit: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         room, state = None, None
         for batch in batches:
             for key, rows in batch.groupby("room", sort=True):
                 if key != room:
                     room, state = key, None
-                out, state = _limited(rows, state, window, room_limit, own_limit)
-                yield out
+                made, state = step(rows, state)
+                yield made
 
-    return run
+    return events.repartition("room").sortWithinPartitions("room", *order).mapInPandas(run, out)
 
 
 def newer_states(events: DataFrame) -> DataFrame:
     """States (room, event_id, revision) of a stream whose revision is above all before them in their room."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        highest = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("event_id")
-        keep = []
-        for revision in rows["revision"]:
-            keep.append(highest is None or revision > highest)
-            highest = revision if keep[-1] else highest
-        state.update((int(highest),))
-        yield rows[keep][["room", "event_id", "revision"]]
+    def step(rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        rows = rows.sort_values("event_id")
+        before = rows["revision"].cummax().shift()
+        before.iloc[0] = state[0] if state is not None else None
+        highest = before.cummax() if state is not None else before
+        keep = highest.isna() | (rows["revision"] > highest)
+        return rows[keep][["room", "event_id", "revision"]], (int(max([rows["revision"].max(), *(state or ())])),)
 
-    return events.groupBy("room").applyInPandasWithState(step, "room long, event_id long, revision long", "highest long", "append", GroupStateTimeout.NoTimeout)
+    return _by_room_stream(events, step, "room long, event_id long, revision long", "highest long")
 
 
 def coalesced(events: DataFrame, room: str = "room", order: str = "event_id") -> DataFrame:
-    """Of states (room, order, phase, revision), all changes of phase, and of the rest only each run's last before the next change."""
+    """What an outbox that was blocked sends of states (room, order, phase): every change of phase, and the room's last state.
+
+    Other states are snapshots: a newer one or a later change stands for them.
+    """
     w = Window.partitionBy(room).orderBy(order)
-    flagged = events.withColumn("change", F.coalesce(F.lag("phase").over(w) != F.col("phase"), F.lit(True)))
-    after = flagged.withColumn("next", F.lead("change").over(w))
-    run = after.withColumn("run", F.sum(F.col("change").cast("int")).over(w))
-    last = F.col("next").isNull()
-    return run.filter(F.col("change") | last).drop("next", "run")
+    flagged = events.withColumns({"change": F.coalesce(F.lag("phase").over(w) != F.col("phase"), F.lit(True)), "last": F.lead(order).over(w).isNull()})
+    return flagged.filter("change or last").drop("last")
+
+
+def published(events: DataFrame, order: str = "event_id") -> DataFrame:
+    """Events (room, order, at in ms) with the revision they are published under and a strictly increasing updated_at.
+
+    updated_at is the time, but at least one more than the last one: the largest of at - place so far, plus the place.
+    """
+    w = Window.partitionBy("room").orderBy(order)
+    placed = events.withColumn("revision", F.row_number().over(w).cast("long"))
+    return placed.withColumn("updated_at", F.max(F.col("at") - F.col("revision")).over(w) + F.col("revision"))
+
+
+def auto_reveals(events: DataFrame, seconds: float = 18.0, late_ms: int = 40, order: str = "event_id") -> DataFrame:
+    """(room, order, fires_at) of questions (phase question, at in ms) that nothing else ends before their deadline."""
+    w = Window.partitionBy("room").orderBy(order)
+    due = F.col("at") + int(seconds * 1000) + late_ms
+    ended = F.lead("at").over(w)
+    return events.withColumn("ended", ended).filter((F.col("phase") == "question") & (F.col("ended").isNull() | (F.col("ended") >= due))).select("room", order, due.alias("fires_at"))
+
+
+def inbox(suggestions: DataFrame, most: int = 20) -> DataFrame:
+    """(room, id, topic, event_id): the last `most` suggestions of each room; of a repeated id the first counts."""
+    first = suggestions.groupBy("room", "id").agg(F.min_by(F.struct("topic", "event_id"), "event_id").alias("r")).select("room", "id", "r.topic", "r.event_id")
+    rank = F.row_number().over(Window.partitionBy("room").orderBy(F.desc("event_id")))
+    return first.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
+
+
+def cleaned_topic(topic: Column, width: int = 80) -> Column:
+    """Collapsed and cut; null where nothing is left."""
+    return F.nullif(F.substring(compact(F.coalesce(topic, F.lit(""))), 1, width), F.lit(""))
+
+
+_FLUSHED = "room long, event_id long"
+
+
+def _flushes(wait_ms: int):
+    def step(rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        last, keep = state[0] if state is not None else None, []
+        for at in rows["at"]:
+            keep.append(last is None or at - last >= wait_ms)
+            last = int(at) if keep[-1] else last
+        return rows[keep][["room", "event_id"]], (last,)
+
+    return step
+
+
+def throttled(events: DataFrame, wait_ms: int = 600) -> DataFrame:
+    """(room, event_id) of events (room, event_id, at) that are published at once: at least wait_ms after the last such."""
+    return _by_room_batch(events, _flushes(wait_ms), ["at", "event_id"], _FLUSHED)
+
+
+def throttled_stream(events: DataFrame, wait_ms: int = 600) -> DataFrame:
+    """The same on a stream."""
+    step = _flushes(wait_ms)
+    return _by_room_stream(events, lambda rows, state: step(rows.sort_values(["at", "event_id"]), state), _FLUSHED, "last long")
+
+
+PLAYERS, DEADLINE_MS = 20, 18_000
+_GAME = "room long, event_id long, accepted boolean, phase string, question int, players int, answers int"
+_GAME_STATE = "phase string, question int, deadline long, players array<struct<id:long,answered:boolean>>"
+
+
+def _commanded(total: int):
+    def step(rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        phase, question, deadline, held = state if state is not None else ("lobby", -1, None, [])
+        players = {(p["id"] if isinstance(p, dict) else p[0]): bool(p["answered"] if isinstance(p, dict) else p[1]) for p in held}
+        out = []
+        for e in rows.itertuples():
+            ok = False
+            if e.command == "ask" and phase in ("lobby", "reveal"):
+                ok = True
+                if question + 1 < total:
+                    phase, question, deadline, players = "question", question + 1, int(e.at) + DEADLINE_MS, dict.fromkeys(players, False)
+                else:
+                    phase, deadline = "finished", None
+            elif e.command == "reveal" and phase == "question":
+                ok, phase, deadline = True, "reveal", None
+            elif e.command == "join" and e.player not in players and len(players) < PLAYERS:
+                ok = True
+                players[e.player] = False
+            elif e.command == "leave" and e.player in players:
+                ok = True
+                del players[e.player]
+            elif e.command == "answer" and phase == "question" and e.at <= deadline and not players.get(e.player, True):
+                ok = players[e.player] = True
+            out.append((e.room, e.event_id, ok, phase, question, len(players), sum(players.values())))
+        made = pd.DataFrame(out, columns=["room", "event_id", "accepted", "phase", "question", "players", "answers"])
+        return made, (phase, question, deadline, [(int(i), a) for i, a in players.items()])
+
+    return step
+
+
+def game(events: DataFrame, total: int = 10) -> DataFrame:
+    """Each room's quiz, from events (room, event_id, at in ms, command, player): whether a command takes effect, and what is then.
+
+    ask begins the next of `total` questions from the lobby or a reveal, or finishes after the last; reveal ends a
+    question; join adds a player below PLAYERS; leave removes one and counts anew; an answer counts once, in time by
+    the host's clock. A command that does not fit changes nothing.
+    """
+    return _by_room_batch(events, _commanded(total), ["event_id"], _GAME)
+
+
+def game_stream(events: DataFrame, total: int = 10) -> DataFrame:
+    """The same on a stream."""
+    step = _commanded(total)
+    return _by_room_stream(events, lambda rows, state: step(rows.sort_values("event_id"), state), _GAME, _GAME_STATE)
 
 
 def scored_answers(answers: DataFrame, seconds: float = 18.0) -> DataFrame:

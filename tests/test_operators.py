@@ -12,6 +12,7 @@ from korrel.functions import chat, validate
 from korrel.functions import text as t
 from korrel.operators import build, graph, merge, retrieval, schedule, scoring, stats
 from korrel.plans.components import components
+from korrel.sources import io
 from korrel.streaming import live
 
 
@@ -209,13 +210,69 @@ def test_traversal_keeps_a_hubs_edges_to_chosen_nodes(spark):
 
 
 def test_merge(spark):
-    p = "array<struct<sourceId:string,importScopeId:string,sourceKind:string,method:string,confidence:string,evidence:string>>"
-    e = ("s", "i", "pdf", "m", "c", "e")
+    from korrel.queries.graph import _PROV as p
+
+    none = (None,) * 11
+    e = ("s", "i", "pdf", "m", "c", "e", *none)
+    paged, terms, blank = ("s", "i", "wiki", "m", "d", "e", 3, *none[1:]), (*e[:15], ["x", "y"], None), ("s", "i", "pdf", "m", "c", "e", *none[:6], "", *none[7:])
     base = spark.createDataFrame([("a", "b", "r", "alt", [e])], f"source string, target string, relation string, label string, provenance {p}")
-    more = spark.createDataFrame([("a", "b", "r", "neu", [e, ("t", *e[1:])]), ("a", "a", "r", "x", [e]), ("b", "c", "r", "y", None)], base.schema)
-    got = {(r["source"], r["target"]): (r["label"], len(r["provenance"])) for r in merge.merged_edges(base, more).collect()}
-    assert got == {("a", "b"): ("alt", 2), ("b", "c"): ("y", 0)}
+    more = spark.createDataFrame([("a", "b", "r", "neu", [e, ("t", *e[1:]), paged, terms, blank, (None, *e[1:])]), ("a", "a", "r", "x", [e]), ("b", "c", "r", "y", None)], base.schema)
+    got = {(r["source"], r["target"]): (r["label"], [tuple(x)[:7] + (x["sharedTerms"],) for x in r["provenance"]]) for r in merge.merged_edges(base, more).collect()}
+    # Entries that differ by page or shared terms alone are different; kind, confidence and blanks make no difference.
+    assert got[("a", "b")] == ("alt", [(*e[:6], None, None), ("t", *e[1:6], None, None), ("s", "i", "wiki", "m", "d", "e", 3, None), (*e[:6], None, ["x", "y"])])
+    assert got[("b", "c")] == ("y", []) and len(got) == 2
+    united = more.filter("target = 'b'").select(merge.merged_provenance(F.concat(F.array(F.col("provenance")[0]), "provenance")).alias("u")).first()["u"]
+    assert len(united) == 4
     assert merge.without_scope(base, "i").count() == 0 and merge.without_scope(base, "z").count() == 1
+    first = merge.new_edges(base.withColumn("ord", F.lit(0)), more.withColumn("ord", F.lit(1)), "ord").select("source", "target").collect()
+    assert sorted(tuple(r) for r in first) == [("a", "a"), ("b", "c")]
+
+
+def test_snapshots(spark):
+    a = spark.createDataFrame([("k", 5, "alt"), ("m", 2, "x")], "key string, updated_at long, value string")
+    b = spark.createDataFrame([("k", 5, "neu"), ("m", 3, "y"), ("n", 1, "z")], a.schema)
+    assert sorted(tuple(r) for r in merge.newest_snapshot(a, b).select("key", "value").collect()) == [("k", "alt"), ("m", "y"), ("n", "z")]
+    assert sorted(tuple(r) for r in io.put_newer(a, b).select("key", "value").collect()) == [("k", "neu"), ("m", "y"), ("n", "z")]
+
+
+def test_files(spark, tmp_path):
+    """Graphs and trials are read with fixed schemas; broken files give no rows; exports hold what was put in."""
+    (tmp_path / "graph.json").write_text('{"nodes": [{"id": "a", "title": "A", "provenance": [{"sourceId": "s", "method": "m", "page": 2, "sharedTerms": ["x"]}]}],\n "edges": [{"source": "a", "target": "b"}]}')
+    nodes, edges = io.read_graph(spark, str(tmp_path / "graph.json"))
+    assert nodes.first()["provenance"][0]["page"] == 2 and edges.count() == 1
+    (tmp_path / "half.json").write_text('{"nodes": []}')
+    assert [x.count() for x in io.read_graph(spark, str(tmp_path / "half.json"))] == [0, 0]
+    (tmp_path / "trials.json").write_text('[{"latencyMs": 40.0, "prepareMs": 15, "latencyScope": "end-to-end", "answer": "a;\\"b\\"\\nc", "retrievedIds": ["x", "y"]}]')
+    (tmp_path / "broken.json").write_text("[{")
+    raw = io.read_trials(spark, str(tmp_path / "trials.json")).withColumn("ord", F.lit(0).cast("long"))
+    assert io.read_trials(spark, str(tmp_path / "broken.json")).count() == 0
+    t = io.normalized_trials(raw)
+    row = t.first()
+    assert (row["id"], row["repetitionId"], row["order"], row["generationMs"]) == ("legacy_0_0", "legacy_unknown_run_r1", 1, 25.0)
+    io.write_csv(t, str(tmp_path / "out"))
+    lines = [x for f in sorted((tmp_path / "out").glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines[0].split(";") == io.EXPORTED and len(lines) == 2 and lines[1].endswith(';x|y;;"a;""b"" c"')
+    assert '"schemaVersion":3' in io.json_documents(t.drop("ord")).first()["document"]
+
+
+def test_answers_and_commands(spark):
+    said = ["Kurz und gut.", "Er sagte: „Ja.“ Dann ging er nach Hause und dachte an", "Ein Satz, der endet.) Und noch einer, der nicht en", "kein Ende", "  ", "Das war Hegel (1807).\n\nUnd dann kam noch z. b"]
+    rows = spark.createDataFrame(list(enumerate(said)), "i int, x string").select("i", *[c.alias(n) for c, n in zip(chat.completed(F.col("x")), ("text", "cut"))]).orderBy("i").collect()
+    # A closing “ is none of the signs that may follow a sentence's end.
+    assert [(r["text"], r["cut"]) for r in rows] == [(said[0], False), (chat.UNFINISHED, True), (chat.UNFINISHED, True), (chat.UNFINISHED, True), ("", False), (chat.UNFINISHED, True)]
+    longer = spark.createDataFrame([("Das ist der erste ganze Satz (mit Klammer).) Und hier bricht es ab, weil",)], "x string").select(chat.completed(F.col("x"))[0].alias("t")).first()["t"]
+    assert longer == "Das ist der erste ganze Satz (mit Klammer).)"
+    asks = {"/wissen Kant": "Kant", "Bitte füge „Die Kritik“ in deinen Wissensgraphen hinzu!": "Die Kritik", "Füge ‚Kant?‘ in deinen Wissensbaum hinzu": "Kant", "Speichere »Kant« im Wissensbaum.": "»Kant«", "Nimm x in den Wissensgraph auf": None, "Wer war Kant?": None}
+    got = spark.createDataFrame(list(enumerate(asks)), "i int, x string").select("i", chat.command(F.col("x")).alias("c")).orderBy("i").collect()
+    assert [r["c"] for r in got] == list(asks.values())
+
+
+def test_excerpt(spark):
+    text = "Anfang " + "wort " * 100 + "ZIEL " + "mehr " * 100
+    start = text.index("ZIEL")
+    cut = one(spark, t.excerpt(F.lit(text), F.lit(start), F.lit(start + 4)))
+    assert cut.startswith("…wort") and cut.endswith("mehr…") and "ZIEL" in cut and 300 <= len(cut) <= 330
+    assert one(spark, t.excerpt(F.lit("kurz und gut"), F.lit(0), F.lit(4))) == "kurz und gut"
 
 
 def test_chunks_cover_the_text(spark):
@@ -229,10 +286,81 @@ def test_chunks_cover_the_text(spark):
         assert "".join("".join(c["text"].split()) for c in own) == "".join(text.split())
 
 
-def test_greedy_caps(spark):
-    pairs = spark.createDataFrame([("s", "a", b, x, 2) for b, x in (("b", 0.9), ("c", 0.8), ("d", 0.7))] + [("s", "b", "c", 0.5, 2)], "scope string, a string, b string, overlap double, shared long")
-    kept = {(r["a"], r["b"]) for r in build.capped(pairs, "scope", "overlap", 2, 2, True).collect()}
-    assert kept == {("a", "b"), ("a", "c"), ("b", "c")}
+@pytest.mark.parametrize(("per_a", "per_b", "symmetric"), [(2, 2, True), (2, 4, False), (1, 1, True)])
+def test_greedy_caps(spark, per_a, per_b, symmetric):
+    """Rounds of best pairs are the greedy choice, with ties, chains and hubs."""
+    r = random.Random(per_b)
+    pairs = sorted({(r.randint(0, 12), r.randint(0, 40)) for _ in range(150)} | {(i, i + 1) for i in range(50, 70)})
+    rows = [(a, b, round(r.choice([0.3, 0.5, r.random()]), 2), r.randint(2, 4)) for a, b in pairs if a < b]
+    used, want = {}, set()
+    for a, b, score, shared in sorted(rows, key=lambda x: (-x[2], -x[3], x[0], x[1])):
+        ka, kb = ("x", a), ("x" if symmetric else "y", b)
+        if used.get(ka, 0) < per_a and used.get(kb, 0) < per_b:
+            want.add((a, b))
+            used[ka], used[kb] = used.get(ka, 0) + 1, used.get(kb, 0) + 1
+    df = spark.createDataFrame(rows, "a long, b long, overlap double, shared long")
+    assert {(x["a"], x["b"]) for x in build.capped(df, "overlap", per_a, per_b, symmetric).collect()} == want
+    assert build.capped(df.limit(0), "overlap", 2, 2, True).count() == 0
+
+
+def test_exact_ranks(spark):
+    r = random.Random(3)
+    rows = [("a", round(r.gauss(0, 5), r.randint(0, 3))) for _ in range(3000)] + [("b", 1.0)] * 501 + [("c", float(i)) for i in range(7)] + [("d", None), (None, 1.0)]
+    got = {x["key"]: x for x in stats.exact_ranks(spark.createDataFrame(rows, "key string, v double"), "key", "v", {"low": stats.nearest_rank(0.1), "mid": stats.upper_median(), "high": stats.nearest_rank(0.95)}).collect()}
+    for key in "abc":
+        v = sorted(x for k, x in rows if k == key)
+        place = lambda p: v[max(1, -(-len(v) * p // 100)) - 1]  # noqa: E731, B023
+        assert (got[key]["low"], got[key]["mid"], got[key]["high"]) == (place(10), v[len(v) // 2], place(95))
+    assert set(got) == {"a", "b", "c"}
+
+
+GAME = [(1, "join", 7), (2, "join", 7), (3, "join", 8), (4, "answer", 7), (5, "ask", 0), (6, "answer", 7), (7, "answer", 7), (8, "answer", 9), (9, "leave", 7), (10, "reveal", 0), (11, "reveal", 0), (12, "ask", 0), (40, "answer", 8), (41, "reveal", 0), (42, "ask", 0), (43, "ask", 0)]
+
+
+def test_game(spark, tmp_path):
+    rows = [(1, i, i * 1000, command, player) for i, command, player in GAME] + [(2, 50 + i, i, "join", i) for i in range(25)]
+    df = spark.createDataFrame(rows, "room long, event_id long, at long, command string, player long")
+    batch = sorted(tuple(r) for r in live.game(df, 2).collect())
+    accepted = [r[1] for r in batch if r[0] == 1 and r[2]]
+    assert accepted == [1, 3, 5, 6, 9, 10, 12, 41, 42] and batch[len(GAME) - 1][3:] == ("finished", 1, 1, 0)
+    assert sum(r[2] for r in batch if r[0] == 2) == 20
+    stream = streamed(spark, tmp_path, df, lambda x: live.game_stream(x, 2), "game")
+    assert sorted(tuple(r) for r in stream.collect()) == batch
+
+
+def streamed(spark, tmp_path, df, operator, name):
+    """What a stream makes of a frame that comes in two files, one after the other."""
+    folder = str(tmp_path / name)
+    for part in (0, 1):
+        (df.filter("event_id < 9") if part == 0 else df.filter("event_id >= 9")).coalesce(1).write.mode("append").parquet(folder)
+    q = operator(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(folder)).writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+def test_throttle_and_newer_states(spark, tmp_path):
+    r = random.Random(6)
+    rows = [(i % 3, i, i * 100 + r.randint(0, 50), r.randint(0, 30)) for i in range(60)]
+    df = spark.createDataFrame(rows, "room long, event_id long, at long, revision long")
+    last, want = {}, []
+    for room, event, at, _ in rows:
+        if room not in last or at - last[room] >= 600:
+            want.append((room, event))
+            last[room] = at
+    assert sorted(tuple(x) for x in live.throttled(df, 600).collect()) == sorted(want)
+    assert sorted(tuple(x) for x in streamed(spark, tmp_path, df, lambda x: live.throttled_stream(x, 600), "flushes").collect()) == sorted(want)
+    highest, newer = {}, []
+    for room, event, _, revision in rows:
+        if revision > highest.get(room, -1):
+            newer.append((room, event, revision))
+            highest[room] = revision
+    assert sorted(tuple(x) for x in streamed(spark, tmp_path, df, live.newer_states, "newer").collect()) == sorted(newer)
+
+
+def test_outbox(spark):
+    """A lobby, a join, a question, a reveal and the next question: the join's snapshot is overtaken."""
+    df = spark.createDataFrame([(1, 1, "lobby"), (1, 2, "lobby"), (1, 3, "question"), (1, 4, "reveal"), (1, 5, "question"), (2, 1, "lobby"), (2, 2, "lobby"), (2, 3, "lobby")], "room long, event_id long, phase string")
+    assert sorted((r["room"], r["event_id"]) for r in live.coalesced(df).collect()) == [(1, 1), (1, 3), (1, 4), (1, 5), (2, 1), (2, 3)]
 
 
 def _limits(events, window, room_limit, own_limit):
