@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from korrel.functions import text as t
 from korrel.operators.retrieval import top
 from korrel.plans.scratch import stored
+from korrel.plans.spread import spread
 
 #: Limits of topic and similarity edges.
 TOPIC_OVERLAP, TOPIC_SHARED, TOPIC_DEGREE = 0.22, 2, 2
@@ -35,7 +36,7 @@ def mention_edges(docs: DataFrame, names: DataFrame) -> DataFrame:
     unique = keys.groupBy("key").agg(F.min("id").alias("target"), F.count("*").alias("owners")).filter("owners = 1")
     n = F.size(F.split("key", " "))
     anchored = unique.select("key", "target", n.alias("n"), F.substring_index("key", " ", ANCHOR).alias("anchor"))
-    texts = stored(docs.select(F.col("id").alias("source"), words("text").alias("words")).filter("size(words) > 0"), "words")
+    texts = stored(spread(docs.select("id", "text"), "id").select(F.col("id").alias("source"), words("text").alias("words")).filter("size(words) > 0"), "words")
     at = lambda i: [F.struct(i.alias("start"), F.array_join(F.slice("words", i + 1, F.lit(k)), " ").alias("anchor")) for k in range(1, ANCHOR + 1)]
     runs = texts.select("source", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array(*at(i))))).alias("r")).select("source", "r.start", "r.anchor").distinct()
     places = runs.join(anchored, "anchor").filter("source <> target")
@@ -165,7 +166,7 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
             rows = [(i, k, *c) for i, text in zip(batch["id"], batch["text"]) for k, c in enumerate(chunk(text or "", size))]
             yield pd.DataFrame(rows, columns=["id", "pos", "start", "end", "text"])
 
-    return docs.select("id", "text").mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, pos int, start int, end int, text string")
+    return spread(docs.select("id", "text"), "id").mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, pos int, start int, end int, text string")
 
 
 def page_titles(pages: DataFrame) -> DataFrame:

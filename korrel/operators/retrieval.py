@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from korrel.functions import text as t
 from korrel.plans.scratch import stored
+from korrel.plans.spread import spread
 
 
 @dataclass
@@ -35,7 +36,8 @@ def token_counts(docs: DataFrame, key: list[str], text: Column) -> DataFrame:
 
 def postings(docs: DataFrame, key: str = "id", title: str = "title", body: str = "summary") -> DataFrame:
     """(id, term, tf) over title and body."""
-    return token_counts(docs.withColumnRenamed(key, "id"), ["id"], F.concat_ws(" ", title, body))
+    own = docs.select(F.col(key).alias("id"), F.concat_ws(" ", title, body).alias("text"))
+    return token_counts(spread(own, "id"), ["id"], F.col("text"))
 
 
 def idf(n: Column, df: Column) -> Column:
