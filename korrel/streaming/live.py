@@ -42,7 +42,7 @@ def _limited(rows: pd.DataFrame, state: tuple | None, window: float, room_limit:
     return rows.assign(allowed=allowed)[["room", "event_id", "participant", "allowed"]], (start, count, kept)
 
 
-def rate_limited(events: DataFrame, window: float = WINDOW_S, room_limit: int = ROOM_LIMIT, own_limit: int = PARTICIPANT_LIMIT) -> DataFrame:
+def rate_limited(events: DataFrame, window: float = WINDOW_S, room_limit: int = ROOM_LIMIT, own_limit: int = PARTICIPANT_LIMIT, idle_ms: int | None = None) -> DataFrame:
     """(room, event_id, participant, allowed) of a stream (room, event_id, participant, ts): two limits per request.
 
     Each room and participant has a window that its own first request opens. State is kept per room: the room's
@@ -52,15 +52,15 @@ def rate_limited(events: DataFrame, window: float = WINDOW_S, room_limit: int =
     def step(rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
         return _limited(rows.sort_values(["ts", "event_id"]), state, window, room_limit, own_limit)
 
-    return _by_room_stream(events, step, _ALLOWED, _STATE)
+    return _by_room_stream(events, step, _ALLOWED, _STATE, idle_ms)
 
 
-#: A room without events for so long is forgotten.
-IDLE_MS = 24 * 3600 * 1000
+def _by_room_stream(events: DataFrame, step, out: str, kept: str, idle_ms: int | None) -> DataFrame:
+    """step(rows of a room, state or None) -> (rows, state), with a state for each room.
 
-
-def _by_room_stream(events: DataFrame, step, out: str, kept: str) -> DataFrame:
-    """step(rows of a room, state or None) -> (rows, state), with the state of each room kept until it is idle."""
+    With idle_ms a room without events for so long is forgotten. Such a query runs batches without data too, so it
+    never ends by itself: use it with a continuous trigger, not with availableNow.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -68,10 +68,12 @@ def _by_room_stream(events: DataFrame, step, out: str, kept: str) -> DataFrame:
             return
         made, new = step(pd.concat(list(batches)), state.get if state.exists else None)
         state.update(new)
-        state.setTimeoutDuration(IDLE_MS)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield made
 
-    return events.groupBy("room").applyInPandasWithState(run, out, kept, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return events.groupBy("room").applyInPandasWithState(run, out, kept, "append", timeout)
 
 
 def rate_limited_batch(events: DataFrame, window: float = WINDOW_S, room_limit: int = ROOM_LIMIT, own_limit: int = PARTICIPANT_LIMIT) -> DataFrame:
@@ -98,7 +100,7 @@ def _by_room_batch(events: DataFrame, step, order: list[str], out: str) -> DataF
     return events.repartition("room").sortWithinPartitions("room", *order).mapInPandas(run, out)
 
 
-def newer_states(events: DataFrame) -> DataFrame:
+def newer_states(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """States (room, event_id, revision) of a stream whose revision is above all before them in their room."""
 
     def step(rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
@@ -109,7 +111,7 @@ def newer_states(events: DataFrame) -> DataFrame:
         keep = highest.isna() | (rows["revision"] > highest)
         return rows[keep][["room", "event_id", "revision"]], (int(max([rows["revision"].max(), *(state or ())])),)
 
-    return _by_room_stream(events, step, "room long, event_id long, revision long", "highest long")
+    return _by_room_stream(events, step, "room long, event_id long, revision long", "highest long", idle_ms)
 
 
 def coalesced(events: DataFrame, room: str = "room", order: str = "event_id") -> DataFrame:
@@ -171,10 +173,10 @@ def throttled(events: DataFrame, wait_ms: int = 600) -> DataFrame:
     return _by_room_batch(events, _flushes(wait_ms), ["at", "event_id"], _FLUSHED)
 
 
-def throttled_stream(events: DataFrame, wait_ms: int = 600) -> DataFrame:
+def throttled_stream(events: DataFrame, wait_ms: int = 600, idle_ms: int | None = None) -> DataFrame:
     """The same on a stream."""
     step = _flushes(wait_ms)
-    return _by_room_stream(events, lambda rows, state: step(rows.sort_values(["at", "event_id"]), state), _FLUSHED, "last long")
+    return _by_room_stream(events, lambda rows, state: step(rows.sort_values(["at", "event_id"]), state), _FLUSHED, "last long", idle_ms)
 
 
 PLAYERS, DEADLINE_MS = 20, 18_000
@@ -222,10 +224,10 @@ def game(events: DataFrame, total: int = 10) -> DataFrame:
     return _by_room_batch(events, _commanded(total), ["event_id"], _GAME)
 
 
-def game_stream(events: DataFrame, total: int = 10) -> DataFrame:
+def game_stream(events: DataFrame, total: int = 10, idle_ms: int | None = None) -> DataFrame:
     """The same on a stream."""
     step = _commanded(total)
-    return _by_room_stream(events, lambda rows, state: step(rows.sort_values("event_id"), state), _GAME, _GAME_STATE)
+    return _by_room_stream(events, lambda rows, state: step(rows.sort_values("event_id"), state), _GAME, _GAME_STATE, idle_ms)
 
 
 def scored_answers(answers: DataFrame, seconds: float = 18.0) -> DataFrame:
