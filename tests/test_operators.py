@@ -413,7 +413,6 @@ def test_dense_and_empty_inputs(spark):
 @pytest.mark.parametrize("n", [0, 1, 4, 5])
 def test_medians(spark, n):
     x = [3.0, 1.0, 2.0, 9.0, 4.0][:n]
-    df = spark.createDataFrame(pd.DataFrame({"x": pd.Series(x, dtype="float64")}), "x double")
-    row = df.agg(stats.upper_median("x").alias("u"), stats.nearest_rank("x", 0.5).alias("m")).first()
-    want = sorted(x)
-    assert row["u"] == (want[n // 2] if n else 0.0) and row["m"] == (want[max(1, -(-n // 2)) - 1] if n else 0.0)
+    df = spark.createDataFrame([("k", v) for v in x], "key string, v double")
+    got = stats.exact_ranks(df, "key", "v", {"u": stats.upper_median(), "m": stats.nearest_rank(0.5)}).collect()
+    assert [(r["u"], r["m"]) for r in got] == ([(sorted(x)[n // 2], sorted(x)[max(1, -(-n // 2)) - 1])] if n else [])
