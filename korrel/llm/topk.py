@@ -31,8 +31,24 @@ def _pivots(vectors: np.ndarray, count: int) -> np.ndarray:
     return vectors[chosen]
 
 
-def _best(q: np.ndarray, q_far: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_far: np.ndarray, x_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query place, vector place, score) of the k best vectors of a block for each query; ties go to smaller ids."""
+def _products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact inner products of the rows of x with q, all of 64-bit integers; OverflowError where one does not fit."""
+    reach = np.abs(x.astype(np.float64)) @ np.abs(q.astype(np.float64))  # no partial sum is larger
+    out = x @ q
+    for i in np.flatnonzero(reach >= 2.0**62):
+        exact = sum(int(a) * int(b) for a, b in zip(x[i], q))
+        if not -(1 << 63) <= exact < 1 << 63:
+            raise OverflowError(f"an inner product is {exact}, which no 64-bit score holds; take a smaller scale")
+        out[i] = exact
+    return out
+
+
+def _best(q_whole: np.ndarray, q_far: np.ndarray, q_ids: np.ndarray, x_whole: np.ndarray, x_far: np.ndarray, x_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query place, vector place, score) of the k best vectors of a block for each query; ties go to smaller ids.
+
+    Bounds are doubles with a margin; scores are integer products of those candidates that the bounds leave.
+    """
+    q, x = q_whole.astype(np.float64), x_whole.astype(np.float64)
     gap = np.zeros((len(q), len(x)))
     for p in range(q_far.shape[1]):
         np.maximum(gap, np.abs(q_far[:, p, None] - x_far[None, :, p]), out=gap)
@@ -44,14 +60,14 @@ def _best(q: np.ndarray, q_far: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_
     order = np.argsort(-bound, axis=1)
     places, scores = [], []
     for i in range(len(q)):
-        done, at, best, mine = False, 0, np.zeros(0), np.zeros(0, np.int64)
+        done, at, best, mine = False, 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
         while not done:
             part = order[i, at : at + 512]
             at += len(part)
             part = part[x_ids[part] != q_ids[i]]
             mine = np.concatenate([mine, part])
-            best = np.concatenate([best, x[part] @ q[i]])
-            top = np.lexsort((x_ids[mine], -best))[:k]
+            best = np.concatenate([best, _products(x_whole[part], q_whole[i])])
+            top = np.lexsort((x_ids[mine], ~best))[:k]
             mine, best = mine[top], best[top]
             done = at >= len(x) or len(best) == k and bound[i, order[i, at]] < best[-1]
         places.append(mine)
@@ -65,7 +81,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id",
     Queries are the rows whose key is divisible by `every`; all rows are candidates but those with the query's own
     key. Ties go to the smaller key; fewer candidates give fewer rows. Vectors that are null, empty, or hold nulls or
     non-finite components, and rows with a null key, take no part. A query meets the vectors that have as many
-    components as it has. Rows that repeat a key are one candidate each; as queries they share one ranking. Queries meet the
+    components as it has. Scores are exact; a product outside the 64-bit integers that a bound does not rule out ends
+    the job with OverflowError, components themselves must lie within them. Rows that repeat a key are one candidate each; as queries they share one ranking. Queries meet the
     vectors block by block; a block has a bounded number of rows, and blocks are spread by hash.
     """
     spark = vectors.sparkSession
@@ -104,11 +121,11 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id",
         if not len(queries) or not len(block):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
         out = []
-        x, x_far, x_ids = np.stack(block.v.to_numpy()).astype(np.float64), np.stack(block.far.to_numpy()), block.id.to_numpy()
+        x, x_far, x_ids = np.stack(block.v.to_numpy()).astype(np.int64), np.stack(block.far.to_numpy()), block.id.to_numpy()
         for lo in range(0, len(queries), 128):
             some = queries.iloc[lo : lo + 128]
-            qi, xi, score = _best(np.stack(some.v.to_numpy()).astype(np.float64), np.stack(some.far.to_numpy()), some.id.to_numpy(), x, x_far, x_ids, k)
-            out.append(pd.DataFrame({"query_id": some.id.to_numpy()[qi], "vec_id": x_ids[xi], "score": score.astype(np.int64)}))
+            qi, xi, score = _best(np.stack(some.v.to_numpy()).astype(np.int64), np.stack(some.far.to_numpy()), some.id.to_numpy(), x, x_far, x_ids, k)
+            out.append(pd.DataFrame({"query_id": some.id.to_numpy()[qi], "vec_id": x_ids[xi], "score": score}))
         return pd.concat(out)
 
     met = asked.groupBy("width", "qb", "xb").cogroup(given.groupBy("width", "qb", "xb")).applyInPandas(meet, "query_id long, vec_id long, score long")

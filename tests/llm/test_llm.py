@@ -355,6 +355,21 @@ def test_topk_large(spark):
     assert {tuple(x) for x in topk.top_k(df).collect()} == want
 
 
+def test_topk_is_exact(spark):
+    """Scores above 2**53, and one at the end of the 64-bit integers, are whole."""
+    r = np.random.default_rng(6)
+    v = r.normal(size=(120, 64)) * 1e6
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    whole = [[int(c) for c in x] for x in np.floor(256 * v)]
+    score = lambda a, b: sum(x * y for x, y in zip(whole[a], whole[b]))
+    want = {(q, k + 1, x, score(q, x)) for q in range(0, 120, 50) for k, x in enumerate(sorted((x for x in range(120) if x != q), key=lambda x: (-score(q, x), x))[:5])}
+    assert {tuple(x) for x in topk.top_k(df).collect()} == want
+    x, q = np.array([[1 << 31, 1 << 31, -1], [1 << 31, -(1 << 31), 5]], np.int64), np.array([1 << 31, 1 << 31, 1], np.int64)
+    assert topk._products(x, q).tolist() == [(1 << 63) - 1, 5]
+    with pytest.raises(OverflowError):
+        topk._products(x, q + 1)
+
+
 # 8
 def component_of(texts):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
