@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from korrel.functions import text as t
 from korrel.operators.retrieval import top
+from korrel.plans.components import components
 from korrel.plans.scratch import stored
 from korrel.plans.spread import spread
 
@@ -23,17 +24,18 @@ CHUNK, CUT_FROM = 1100, 0.55
 ANCHOR = 3
 
 
-def mention_edges(docs: DataFrame, names: DataFrame) -> DataFrame:
+def mention_edges(docs: DataFrame, names: DataFrame, shared: bool = False) -> DataFrame:
     """(source, target, start): nodes (id, title) whose only owner's name stands in docs (id, text) as whole words.
 
     The runs of up to ANCHOR words at each place of a document are joined to the names that begin with them, and the
     places found are then compared with whole names, of any number of words; no text is searched for every name.
     Names that several nodes own, or of fewer than three letters or digits, link nothing. start is the first word of
-    the first mention, counted from 0.
+    the first mention, counted from 0. With shared, the names that several nodes own are looked for instead.
     """
     words = lambda c: F.filter(F.split(t.normalize(F.col(c)), t.NOT_ALNUM), lambda w: w != "")
     keys = names.select("id", F.array_join(words("title"), " ").alias("key")).filter("length(replace(key, ' ', '')) >= 3").distinct()
-    unique = keys.groupBy("key").agg(F.min("id").alias("target"), F.count("*").alias("owners")).filter("owners = 1")
+    owned = keys.groupBy("key").agg(F.min("id").alias("target"), F.count("*").alias("owners"))
+    unique = keys.join(owned.filter("owners > 1").select("key"), "key").withColumnRenamed("id", "target") if shared else owned.filter("owners = 1")
     n = F.size(F.split("key", " "))
     anchored = unique.select("key", "target", n.alias("n"), F.substring_index("key", " ", ANCHOR).alias("anchor"))
     texts = stored(spread(docs.select("id", "text"), "id").select(F.col("id").alias("source"), words("text").alias("words")).filter("size(words) > 0"), "words")
@@ -88,13 +90,43 @@ def topic_pairs(profiles: DataFrame) -> DataFrame:
     return scored.filter((F.col("shared") >= TOPIC_SHARED) & (F.col("overlap") >= TOPIC_OVERLAP))
 
 
+def _greedy(order: list[str], per_a: int, per_b: int, symmetric: bool):
+    """Takes the pairs of one group best first while both ends have room; used_a and used_b are gone from it already."""
+
+    def run(pairs: pd.DataFrame) -> pd.DataFrame:
+        pairs = pairs.sort_values(order, ascending=[False, False, True, True], kind="stable")
+        side = "a" if symmetric else "b"
+        used = {("a", x): n for x, n in zip(pairs["a"], pairs["used_a"])} | {(side, x): n for x, n in zip(pairs["b"], pairs["used_b"])}
+        keep = []
+        for x, y in zip(pairs["a"], pairs["b"]):
+            p, q = ("a", x), (side, y)
+            keep.append(used[p] < per_a and used[q] < per_b)
+            if keep[-1]:
+                used[p] += 1
+                used[q] += 1
+        return pairs[keep]
+
+    return run
+
+
+def settled(pairs: DataFrame, group: str, score: str, per_a: int, per_b: int, symmetric: bool) -> DataFrame:
+    """capped within each group of a column of pairs; for groups of bounded size, whose ends are in no other group."""
+    free = pairs if "used_a" in pairs.columns else pairs.withColumns({"used_a": F.lit(0), "used_b": F.lit(0)})
+    return free.groupBy(group).applyInPandas(_greedy([score, "shared", "a", "b"], per_a, per_b, symmetric), free.schema).select(*[c for c in pairs.columns if c not in ("used_a", "used_b")])
+
+
+#: Rounds before what is left is looked at by component, and pairs of a component that one task settles.
+ROUNDS, SETTLED = 3, 20_000
+
+
 def capped(pairs: DataFrame, score: str, per_a: int, per_b: int, symmetric: bool) -> DataFrame:
     """pairs (a, b, score, shared) accepted greedily, best first, while both ends have room.
 
     The order is score, shared (falling), a, b. A pair that is among the best of what is left at both of its ends, as
     many as they have room for, is one that the greedy choice takes; so each round takes all such pairs at once, and
-    drops the pairs of full ends. Rounds are joins by end; nothing is gathered in one task. With symmetric, an id's
-    pairs on both sides share one count.
+    drops the pairs of full ends. Chains of equal or falling scores give one pair a round, so after some rounds the
+    components of what is left are settled apart, each of up to SETTLED pairs in one step; larger ones go on in rounds.
+    With symmetric, an id's pairs on both sides share one count.
     """
     spark, kind = pairs.sparkSession, pairs.schema
     order = F.struct((-F.col(score)).alias("s"), (-F.col("shared")).alias("n"), F.col("a").alias("x"), F.col("b").alias("y"))
@@ -102,7 +134,19 @@ def capped(pairs: DataFrame, score: str, per_a: int, per_b: int, symmetric: bool
     room = None
     taken = spark.createDataFrame([], kind)
     tag = lambda side: F.lit("x" if symmetric or side == "a" else "y")
+    rounds = 0
     while not left.isEmpty():
+        if rounds and rounds % ROUNDS == 0:
+            node = lambda side: F.concat(tag(side), F.col(side).cast("string"))
+            part = components(left.select(node("a").alias("p"), node("b").alias("q")), "p", "q")
+            placed = stored(left.withColumn("node", node("a")).join(part, "node").drop("node"), "components")
+            small = placed.groupBy("component").count().filter(F.col("count") <= SETTLED).select("component")
+            gone = lambda side: room.filter(F.col("side") == tag(side)).select(F.col("id").alias(side), F.col("used").cast("long").alias(f"used_{side}"))
+            inside = placed.join(small, "component", "left_semi").join(gone("a"), "a", "left").join(gone("b"), "b", "left").na.fill(0, ["used_a", "used_b"])
+            taken = taken.union(stored(settled(inside.drop("o"), "component", score, per_a, per_b, symmetric), "taken").select(*kind.names))
+            left = stored(placed.join(small, "component", "left_anti").select(left.columns), "pairs")
+            rounds += 1
+            continue
         ends = left.select("a", "b", "o", F.explode(F.array(F.struct(tag("a").alias("side"), F.col("a").alias("id"), F.lit(per_a).alias("most")), F.struct(tag("b").alias("side"), F.col("b").alias("id"), F.lit(per_b).alias("most")))).alias("e")).select("a", "b", "o", "e.*")
         if room is not None:
             ends = ends.join(room, ["side", "id"], "left").withColumn("most", F.col("most") - F.coalesce("used", F.lit(0)))
@@ -115,6 +159,7 @@ def capped(pairs: DataFrame, score: str, per_a: int, per_b: int, symmetric: bool
         room = stored(more if room is None else room.union(more).groupBy("side", "id").agg(F.sum("used").alias("used")), "room")
         full = lambda side, most: room.filter((F.col("side") == tag(side)) & (F.col("used") >= most)).select(F.col("id").alias(side))
         left = stored(left.join(sure, ["a", "b"], "left_anti").join(full("a", per_a), "a", "left_anti").join(full("b", per_b), "b", "left_anti").select(left.columns), "pairs")
+        rounds += 1
     return taken
 
 

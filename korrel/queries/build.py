@@ -47,6 +47,11 @@ def similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
     return build.similarity_pairs(p, ids, ids).filter("a < b").select("a", "b", "cosine", "shared")
 
 
+def similarity_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The same with at most two edges from a source and four to a target, accepted best first."""
+    return build.capped(similarity_pairs(spark, d), "cosine", build.PER_SOURCE, build.PER_TARGET, False).select("a", "b", "cosine")
+
+
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     """Every document in chunks."""
     return build.chunks(b.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
@@ -175,6 +180,8 @@ _PROFILES = f"""{s.POSTINGS}, p4 AS (SELECT * FROM posts WHERE length(term) >= 4
 profiles AS (SELECT id, term, round((1 + ln(tf)) * (ln((n + 1) / (df + 1)) + 1), 6) AS weight FROM p4 JOIN dfs USING (term), size QUALIFY row_number() OVER (PARTITION BY id ORDER BY weight DESC, term) <= 12),
 classes AS (SELECT id, min(id) OVER (PARTITION BY mark) AS class FROM (SELECT id, string_agg(term || ':' || weight, ' ' ORDER BY term) AS mark FROM profiles GROUP BY id)),
 kinds AS (SELECT * FROM profiles SEMI JOIN (SELECT class AS id FROM classes) USING (id))"""
+_TOPICS = f"SELECT 0 AS grp, x.id AS a, y.id AS b, round(sum(least(x.weight, y.weight)) / least(any_value(t1.total), any_value(t2.total)), 6) AS score, count(*) AS shared FROM kinds x JOIN kinds y ON x.term = y.term AND x.id < y.id JOIN t t1 ON t1.id = x.id JOIN t t2 ON t2.id = y.id GROUP BY x.id, y.id HAVING shared >= {build.TOPIC_SHARED} AND score >= {build.TOPIC_OVERLAP}"
+_COSINES = f"SELECT 0 AS grp, x.id AS a, y.id AS b, round(sum(x.weight * y.weight) / any_value(t1.norm * t2.norm), 6) AS score, count(*) AS shared FROM kinds x JOIN kinds y ON x.term = y.term AND x.id < y.id JOIN t t1 ON t1.id = x.id JOIN t t2 ON t2.id = y.id GROUP BY x.id, y.id HAVING shared >= {build.SHARED} AND score >= {build.COSINE}"
 _ANSWERS = """a AS (SELECT user_id % 10 AS room, user_id AS player, strftime(ts, '%Y-%m-%d') AS question, event_id, k % 2 = 0 AS correct, CAST(k % 20 AS DOUBLE) AS elapsed FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)),
 f AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY room, player, question ORDER BY event_id) = 1), m AS (SELECT *, sum(1 - CAST(correct AS INT)) OVER (PARTITION BY room, player ORDER BY event_id) AS miss FROM f),
 g AS (SELECT *, sum(CAST(correct AS INT)) OVER (PARTITION BY room, player, miss ORDER BY event_id) AS st FROM m),
@@ -187,9 +194,10 @@ QUERIES = {
     "mention_edges": (mention_edges, f"WITH words AS (SELECT 'b' || item_id AS id, array_to_string([w FOR w IN regexp_split_to_array({s.normalize('text')}, '[^a-z0-9]+') IF w <> ''], ' ') AS key FROM benchmark), u AS (SELECT key, min(id) AS target FROM words WHERE length(replace(key, ' ', '')) >= 3 GROUP BY key HAVING count(DISTINCT id) = 1), j AS (SELECT 'd' || doc_id AS source, ' ' || array_to_string([w FOR w IN regexp_split_to_array({s.normalize('text')}, '[^a-z0-9]+') IF w <> ''], ' ') || ' ' AS body FROM documents) SELECT source, target, CAST(length(split_part(body, ' ' || key || ' ', 1)) - length(replace(split_part(body, ' ' || key || ' ', 1), ' ', '')) AS INTEGER) AS start FROM j JOIN u ON contains(body, ' ' || key || ' ')"),
     "profile_classes": (profile_classes, f"WITH {_PROFILES} SELECT id, class FROM classes"),
     "topic_pairs": (topic_pairs, f"WITH {_PROFILES}, t AS (SELECT id, sum(weight) AS total FROM kinds GROUP BY id) SELECT x.id AS a, y.id AS b, round(sum(least(x.weight, y.weight)) / least(any_value(t1.total), any_value(t2.total)), 6) AS overlap, count(*) AS shared FROM kinds x JOIN kinds y ON x.term = y.term AND x.id < y.id JOIN t t1 ON t1.id = x.id JOIN t t2 ON t2.id = y.id GROUP BY x.id, y.id HAVING count(*) >= 2 AND overlap >= 0.22"),
-    "topic_edges": (topic_edges, None),
+    "topic_edges": (topic_edges, f"WITH RECURSIVE {_PROFILES}, t AS (SELECT id, sum(weight) AS total FROM kinds GROUP BY id), {s.greedy('best', _TOPICS, build.TOPIC_DEGREE, build.TOPIC_DEGREE, True)} SELECT a, b, score AS overlap FROM best"),
     "similarity_pairs": (similarity_pairs, f"WITH {_PROFILES}, t AS (SELECT id, sqrt(sum(weight ** 2)) AS norm FROM kinds GROUP BY id) SELECT x.id AS a, y.id AS b, round(sum(x.weight * y.weight) / any_value(t1.norm * t2.norm), 6) AS cosine, count(*) AS shared FROM kinds x JOIN kinds y ON x.term = y.term AND x.id < y.id JOIN t t1 ON t1.id = x.id JOIN t t2 ON t2.id = y.id GROUP BY x.id, y.id HAVING count(*) >= 3 AND cosine >= 0.26"),
-    "chunk_documents": (chunk_documents, None),
+    "similarity_edges": (similarity_edges, f"WITH RECURSIVE {_PROFILES}, t AS (SELECT id, sqrt(sum(weight ** 2)) AS norm FROM kinds GROUP BY id), {s.greedy('best', _COSINES, build.PER_SOURCE, build.PER_TARGET, False)} SELECT a, b, score AS cosine FROM best"),
+    "chunk_documents": (chunk_documents, f"WITH RECURSIVE {s.CHUNKS} SELECT id, pos, \"start\", CAST(\"start\" + length(text) AS INTEGER) AS \"end\", text FROM chunks"),
     "link_extract": (link_extract, f"WITH {_LINKS} SELECT page_id, pos, href, label FROM firsts"),
     "link_verify": (link_verify, f"WITH {_LINKS}, o AS (SELECT trim(regexp_replace({s.normalize('k')}, '\\s+', ' ', 'g')) AS key, min(page_id) AS target FROM (SELECT page_id, split_part(title, ' ', 1) AS k FROM ({_TITLES})) GROUP BY key HAVING count(*) = 1 AND key <> ''), f AS (SELECT page_id AS source, target, min(pos) AS pos FROM firsts JOIN o ON o.key = trim(regexp_replace({s.normalize('label')}, '\\s+', ' ', 'g')) WHERE page_id <> target GROUP BY ALL), r AS (SELECT source, target, CAST(row_number() OVER (PARTITION BY source ORDER BY pos, target) AS INTEGER) AS rank FROM f) SELECT * FROM r WHERE rank <= 48"),
     "page_titles": (page_titles, _TITLES),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from korrel.functions.text import NOT_ALNUM, STEM, STOP_WORDS
+from korrel.operators.build import CHUNK, CUT_FROM
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 STEM_SQL = f"regexp_replace(t, '{STEM}', '\\1')"
@@ -96,3 +97,25 @@ def subgraph(edges: str, names: str, questions: str, depth: int = 3, beam: int =
         f"subedges AS (SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY level, spot) - 1 AS INTEGER) AS step, source, relation, target, label, level FROM ({every}))",
     ]
     return ",\n".join(out)
+
+
+# Chunks: white space is skipped, then up to CHUNK characters are taken, cut behind the last mark that begins in their later part.
+_FROM = int(CHUNK * CUT_FROM)
+_MARK = f"(?s)^(.{{0,{CHUNK - _FROM}}})(?:[.!?»] |\\n| )"
+_TAIL = f"substring(text, spot + {_FROM} + 1, {CHUNK - _FROM + 2})"
+CHUNKS = f"""texts AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents),
+cuts AS (
+  SELECT id, text, -1 AS pos, 0 AS spot, 0 AS stop FROM texts
+  UNION ALL SELECT id, text, pos + 1, spot, CASE WHEN spot + {CHUNK} < length(text) AND regexp_matches({_TAIL}, '{_MARK}') THEN spot + {_FROM} + length(regexp_extract({_TAIL}, '{_MARK}', 1)) + 1 ELSE least(length(text), spot + {CHUNK}) END
+  FROM (SELECT id, text, pos, stop + length(substring(text, stop + 1)) - length(regexp_replace(substring(text, stop + 1), '^{WS_CLASS}+', '')) AS spot FROM cuts) WHERE spot < length(text)
+), chunks AS (SELECT id, CAST(pos AS INTEGER) AS pos, CAST(spot AS INTEGER) AS "start", regexp_replace(substring(text, spot + 1, stop - spot), '{WS_CLASS}+$', '') AS text FROM cuts WHERE pos >= 0)"""
+
+
+def greedy(name: str, pairs: str, per_a: int, per_b: int, symmetric: bool) -> str:
+    """CTE of (grp, a, b, score): pairs of a query (grp, a, b, score, shared) taken best first, one after the other."""
+    ends = "[p.a, p.b]" if symmetric else "['<' || p.a, '>' || p.b]"
+    x, y = ("p.a", "p.b") if symmetric else ("'<' || p.a", "'>' || p.b")
+    fits = f"len(list_filter(g.used, lambda u: u = {x})) < {per_a} AND len(list_filter(g.used, lambda u: u = {y})) < {per_b}"
+    return f"""{name}pairs AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, shared DESC, a, b) AS nr FROM ({pairs})),
+{name}walk AS (SELECT grp, CAST(0 AS BIGINT) AS nr, CAST([] AS VARCHAR[]) AS used, false AS took FROM {name}pairs GROUP BY grp UNION ALL SELECT g.grp, p.nr, CASE WHEN {fits} THEN list_concat(g.used, {ends}) ELSE g.used END, {fits} FROM {name}walk g JOIN {name}pairs p ON p.grp = g.grp AND p.nr = g.nr + 1),
+{name} AS (SELECT p.* FROM {name}pairs p JOIN {name}walk w ON w.grp = p.grp AND w.nr = p.nr WHERE took)"""
