@@ -23,6 +23,8 @@ from korrel.plans.spread import spread
 #: Buckets of features, words of the longest feature, per cent of documents to draw, words that a drawn one has at least.
 BUCKETS, WORDS, SHARE, LEAST = 10_000, 2, 25, 20
 SEED = 7
+#: Bytes of text that share a dictionary: a worker holds some hundred bytes for each word of a block.
+BLOCK = 2 << 20
 #: Bytes that are no part of words.
 INSIDE = wordids.kept((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 _FEATURES = "id {id}, n_words long, n_features long, buckets binary"
@@ -60,7 +62,7 @@ def features(texts: DataFrame, key: str, text: str, longest: int = WORDS, bucket
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for found in wordids.numbered(batch.column(1), INSIDE):
+            for found in wordids.numbered(batch.column(1), INSIDE, block=BLOCK):
                 n = found.hi - found.lo
                 rows, values = _buckets(found, longest, buckets)
                 order = np.argsort(rows, kind="stable")
