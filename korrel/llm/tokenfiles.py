@@ -14,12 +14,15 @@ Metadata of the schema holds the file's place (part, file). A document never cro
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,20 +31,46 @@ from korrel.llm import wordids
 from korrel.plans.scratch import scratch_path, stored
 
 #: Ids of a sequence, sequences of a batch, ids after which a file ends (with the document that reaches them).
-LENGTH, BATCH, FILE = 2048, 512, 4 << 20
+LENGTH, BATCH, FILE = 2048, 512, 2 << 20
 #: Chunks whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 # Fixed value: the last six bytes of every file of the format.
 MAGIC = "ARROW1"
+# Fixed value: the pattern of a pre-tokenizer whose texts can be cut.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Bytes of text that are encoded together.
+BLOCK = 1 << 20
 #: What lies between chunks: blanks that the tokenizer drops itself, and across which no token reaches.
 BETWEEN = wordids.kept((0x09, 0x0D), (0x20, 0x20))
 
 
+_WORD = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+_ALNUM, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
+_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_SIGN[0x21:0x7F] = ~_ALNUM[0x21:0x7F]
+
+
+def _edges(data: np.ndarray) -> np.ndarray:
+    """Where a sign follows a letter or digit, or one of these a sign that is no apostrophe.
+
+    Letters are those of ASCII and U+00C0 to U+00FF. Signs are ASCII, so nothing composes across such a place; an
+    apostrophe stays with what follows, as the two may be one piece.
+    """
+    after = np.append(data[1:], 0)
+    pair = (data == 0xC3) & (after != 0x97) & (after != 0xB7)
+    first, last = _ALNUM[data] | pair, _ALNUM[data]
+    last[1:] |= pair[:-1]
+    out = np.zeros(len(data), bool)
+    sign = _SIGN[data]
+    out[1:] = last[:-1] & sign[1:] | sign[:-1] & (data[:-1] != 0x27) & first[1:]
+    return out
+
+
 class Encoder:
     """Encodes columns of texts inside a task.
 
-    Where the tokenizer drops white space, texts are cut there and each distinct chunk is encoded once; else each
-    text is encoded whole.
+    Where the tokenizer drops white space and splits words from signs, texts are cut there and each distinct chunk is
+    encoded once; texts with a special token's string, and all texts of other tokenizers, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -60,36 +89,75 @@ class Encoder:
         normal, (split, *rest) = normal.get("normalizers", [normal]), pre.get("pretokenizers", [pre])
         regex = lambda x: (x.get("pattern") or {}).get("Regex", "")
         plain = all(x.get("type") in (None, "NFC", "Lowercase") or x.get("type") == "Replace" and regex(x) == r"\s+" for x in normal)
-        drops = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") and r"[^\s" in regex(split)
+        drops = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") and regex(split) == WORDS
         level = all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex", True) for x in rest)
-        added = any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") or any(c.isspace() for c in x["content"]) for x in spec.get("added_tokens", []))
+        added = any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in spec.get("added_tokens", []))
+        self.special = [x["content"] for x in spec.get("added_tokens", [])]
         self.cut = bool(plain and drops and level and not added)
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, self.kind) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        suffix, vocabulary = spec["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab()
+        self.ending = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ending[[i for x, i in vocabulary.items() if suffix and x.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        """Begins the store of chunks anew: the place of each chunk's ids in one array."""
+        self.known: dict[bytes, int] = {}
+        self.flat, self.begins, self.sizes = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and how many each has."""
+        made = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(made), self.kind), np.fromiter(map(len, made), np.int64, len(made))
+
+    def _encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of chunks. Words of letters only are one piece of text each, so they are encoded a hundred at a
+        time, with blanks between, and told apart by the ids that end words."""
+        word = np.fromiter((_WORD(c) is not None for c in chunks), bool, len(chunks))
+        words = [c for c, w in zip(chunks, word) if w]
+        ids, _ = self._encode([b" ".join(words[lo : lo + 100]).decode() for lo in range(0, len(words), 100)])
+        ends = np.flatnonzero(self.ending[ids]) + 1
+        if len(ends) != len(words):
+            return self._encode([c.decode() for c in chunks])
+        other, many = self._encode([c.decode() for c, w in zip(chunks, word) if not w])
+        sizes, begins = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        sizes[word], sizes[~word] = np.diff(ends, prepend=0), many
+        begins[word], begins[~word] = ends - sizes[word], len(ids) + np.cumsum(many) - many
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        return np.concatenate([ids, other])[np.repeat(begins - upto[:-1], sizes) + np.arange(upto[-1])], sizes
+
+    def _learn(self, chunks: list[bytes]) -> np.ndarray:
+        """The numbers of chunks in the store, which takes in new ones."""
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        new = [c for c in chunks if c not in self.known]
+        if new:
+            parts = [self._encode_chunks(new[lo : lo + 20_000]) for lo in range(0, len(new), 20_000)]
+            sizes = np.concatenate([n for _, n in parts])
+            self.known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
+            self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, *[x for x, _ in parts]])
+        return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
 
     def __call__(self, column: pa.Array, end: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end row, ids, where each row's begin and end) block by block; each row ends with the id `end`."""
-        for found in wordids.numbered(column, BETWEEN, wordids.SAME):
+        column = column.fill_null("") if column.null_count else column
+        whole = np.full(len(column), not self.cut)
+        for x in self.special:
+            whole |= pc.match_substring(column, x).to_numpy(zero_copy_only=False)
+        texts = pc.if_else(pa.array(whole), "", column) if whole.any() else column
+        for found in wordids.numbered(texts, BETWEEN, wordids.SAME, BLOCK, _edges):
             n = found.hi - found.lo
-            if self.cut:
-                if len(self.known) > REMEMBERED:
-                    self.known = {}
-                chunks = found.words.to_pylist()
-                new = [c for c in chunks if c not in self.known]
-                for lo in range(0, len(new), 20_000):
-                    some = new[lo : lo + 20_000]
-                    self.known.update(zip(some, self._encode([c.decode() for c in some])))
-                each, of, first = [self.known[c] for c in chunks], found.ids, found.first
-            else:
-                each, of, first = self._encode([x or "" for x in column.slice(found.lo, n).to_pylist()]), np.arange(n), np.arange(n + 1)
-            flat = np.concatenate([*each, np.zeros(0, self.kind)])
-            sizes = np.array([len(x) for x in each], np.int64)
-            begins = np.cumsum(sizes) - sizes
-            long = sizes[of]
-            upto = np.concatenate([[0], np.cumsum(long)])
-            out = flat[np.repeat(begins[of] - upto[:-1], long) + np.arange(upto[-1])] if len(of) else flat[:0]
+            of = self._learn(found.words.to_pylist())[found.ids] if len(found.words) else found.ids
+            flat, begins, sizes, first = self.flat, self.begins[of], self.sizes[of], found.first
+            alone = np.flatnonzero(whole[found.lo : found.hi])
+            if len(alone):  # the ids of a whole text stand where its chunks would
+                ids, many = self._encode(column.slice(found.lo, n).take(pa.array(alone)).to_pylist())
+                at = first[alone]
+                begins, sizes = np.insert(begins, at, len(flat) + np.cumsum(many) - many), np.insert(sizes, at, many)
+                first = first + np.concatenate([[0], np.cumsum(whole[found.lo : found.hi])])
+                flat = np.concatenate([flat, ids])
+            upto = np.concatenate([[0], np.cumsum(sizes)])
+            out = flat[np.repeat(begins - upto[:-1], sizes) + np.arange(upto[-1])]
             edges = upto[first]
             if end is not None:
                 out, edges = np.insert(out, edges[1:], end), edges + np.arange(n + 1)
@@ -102,7 +170,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _file(ids: np.ndarray, ends: np.ndarray, keys: pa.Array, length: int, place: dict[str, str]) -> bytes:
+def _file(ids: np.ndarray, ends: np.ndarray, keys: pa.Array, length: int, place: dict[str, str]) -> pa.Buffer:
     """One file of the documents that end before the places `ends`."""
     n = max(1, -(-len(ids) // length))
     room = n * length
@@ -115,7 +183,7 @@ def _file(ids: np.ndarray, ends: np.ndarray, keys: pa.Array, length: int, place:
     out = pa.BufferOutputStream()
     with pa.ipc.new_file(out, table.schema) as writer:
         writer.write_table(table, max_chunksize=BATCH)
-    return out.getvalue().to_pybytes()
+    return out.getvalue()
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end: int | None = 1, key: str = "doc_id", text: str = "text", length: int = LENGTH, size: int = FILE) -> None:
@@ -134,7 +202,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int | None = 1, key
 
         def closed() -> pa.RecordBatch:
             whole = _file(np.concatenate(ids), np.concatenate(ends), pa.concat_arrays(keys), length, {"part": str(part), "file": str(made)})
-            return pa.RecordBatch.from_arrays([pa.array([whole[: -len(MAGIC)]], pa.binary())], names=["file"])
+            value = whole[: whole.size - len(MAGIC)]
+            sizes = pa.py_buffer(np.array([0, value.size], np.int32))
+            return pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), 1, [None, sizes, value])], names=["file"])
 
         for batch in batches:
             for lo, hi, out, edges in encode(batch.column(1), end):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,8 +58,11 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
 
 
-def numbered(column: pa.Array, inside: np.ndarray, to: np.ndarray = LOWER, block: int = BLOCK) -> Iterator[Words]:
-    """The words of a column of texts, block by block; bytes are first replaced by `to`."""
+def numbered(column: pa.Array, inside: np.ndarray, to: np.ndarray = LOWER, block: int = BLOCK, cuts: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[Words]:
+    """The words of a column of texts, block by block; bytes are first replaced by `to`.
+
+    cuts tells at which bytes a word begins though the byte before is part of one too.
+    """
     data, offsets = _buffers(column)
     lo = 0
     while lo < len(column):
@@ -71,6 +74,8 @@ def numbered(column: pa.Array, inside: np.ndarray, to: np.ndarray = LOWER, block
         ends[:-1] &= ~in_word[1:]
         if len(part):
             cut = edges[(edges > 0) & (edges < len(part))]  # a text's end ends its last word
+            if cuts is not None:
+                cut = np.concatenate([cut, np.flatnonzero(cuts(part))])
             begins[cut] |= in_word[cut]
             ends[cut - 1] |= in_word[cut - 1]
         starts = np.flatnonzero(begins)

@@ -174,6 +174,16 @@ def test_token_files_of_nothing(spark, tmp_path):
     assert [tuple(r) for r in got] == [(1, 0, 1, zlib.crc32(b"\1\0\0\0"))]
 
 
+def test_chunks_are_cut_where_no_piece_reaches():
+    """Random strings of signs, marks, letters of several scripts and parts of special tokens, against the library."""
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(TOKENIZER), tokenfiles.Encoder(TOKENIZER)
+    rows = [*texts(11, 3000, "aZ'tsédÀ×÷»«.,=!_\u0338\u0301\u0327İſK5٣ \n　\x1c\x00ßΣ"), *texts(12, 500, ["<|endoftext|>", "<|", "endoftext", "|>", " ", "'re", "x", "<|ENDOFTEXT|>"], 12)]
+    got = [ids[edges[k] : edges[k + 1]].tolist() for lo, hi, ids, edges in e(pa.array(rows)) for k in range(hi - lo)]
+    assert e.cut and got == [t.encode(x, add_special_tokens=False).ids for x in rows]
+
+
 def test_encoders_that_cannot_be_cut(spark, tmp_path):
     """A tokenizer that keeps white space is given whole texts, and its larger ids wider places."""
     path = public_tokenizers.path("byte_bpe_50k.json")
