@@ -119,6 +119,12 @@ def valid_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.filter((F.coalesce("id", F.lit("")) != "") & (F.coalesce("title", F.lit("")) != "") & F.col("summary").isNotNull())
 
 
+def valid_edges(edges: DataFrame) -> DataFrame:
+    """Edges with a source, a target, a relation and a label that are not empty."""
+    empty = [F.coalesce(F.col(c), F.lit("")) == "" for c in (*KEY, "label")]
+    return edges.filter(~(empty[0] | empty[1] | empty[2] | empty[3]))
+
+
 def applied(base: DataFrame, nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, scope: str | None = None) -> Import:
     """An import committed as one merge, with its exact delta.
 
@@ -126,7 +132,7 @@ def applied(base: DataFrame, nodes: DataFrame, edges: DataFrame, new_nodes: Data
     a scope, all its provenance is withdrawn first, and rows that had no other are removed unless they come again. A
     new node is skipped if its id is the base's, or if its kinds of sources share nothing with the ones that the row
     still has; a new edge if it is a loop, an end is unknown or was skipped for its kinds, or it has no provenance. At
-    last edges without both ends are removed. All of it are joins by key; nothing is looked up row by row.
+    last edges without both ends are removed. Invalid nodes and edges (valid_nodes, valid_edges) are no candidates. All of it are joins by key; nothing is looked up row by row.
     """
     row = lambda df, name: df.select("id", F.struct(*df.columns).alias(name))
     fresh = valid_nodes(new_nodes).select(nodes.columns)
@@ -148,7 +154,7 @@ def applied(base: DataFrame, nodes: DataFrame, edges: DataFrame, new_nodes: Data
 
     pack = lambda df, name: df.select(*KEY, F.struct(*df.columns).alias(name))
     end = lambda side, df, name: df.select(F.col("id").alias(side), F.lit(True).alias(name))
-    ends = pack(_stripped(edges, scope), "o").join(pack(new_edges.select(edges.columns), "c"), KEY, "full")
+    ends = pack(_stripped(edges, scope), "o").join(pack(valid_edges(new_edges).select(edges.columns), "c"), KEY, "full")
     ends = ends.join(end("source", known, "ks"), "source", "left").join(end("target", known, "kt"), "target", "left").join(end("source", refused, "rs"), "source", "left").join(end("target", refused, "rt"), "target", "left")
     none = F.array().cast(edges.schema["provenance"].dataType)
     was, now, gone = F.col("o.source").isNotNull(), F.col("c.source").isNotNull(), F.coalesce("o.gone", F.lit(False))

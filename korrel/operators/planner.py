@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from korrel.operators import graph, retrieval
-from korrel.plans.scratch import stored
+from korrel.operators.embeddings import Model, embedded
+from korrel.plans.scratch import scratch_path, stored
 
 CONDITIONS = ("baseline", "vector", "vector_budget", "graph", "graph_no_edges", "hybrid")
 #: Hits of a vector context, of the pool that a budget is filled from, and added to a subgraph.
@@ -22,7 +23,8 @@ CONTEXT, CONTEXT_NODES, QUESTION = "KONTEXT:\n", "KONTEXT (KNOTEN OHNE RELATIONE
 class Retrieved:
     """What the conditions are made of; each part is computed and stored when a condition first asks for it.
 
-    nodes (id, title, summary), edges, and names (id, title) with aliases; without names, the titles.
+    nodes (id, title, summary), edges, and names (id, title) with aliases; without names, the titles. With a model,
+    hits are dense: by inner product of embeddings, which `cache` keeps; else by TF-IDF.
     """
 
     questions: DataFrame
@@ -32,6 +34,8 @@ class Retrieved:
     depth: int = 3
     beam: int = 4
     most: int = 14
+    model: Model | None = None
+    cache: str | None = None
 
     @cached_property
     def index(self) -> retrieval.TermIndex:
@@ -41,8 +45,18 @@ class Retrieved:
     @cached_property
     def hits(self) -> DataFrame:
         """(question_id, id, rank): the pool of ranked nodes."""
+        if self.model is not None:
+            return stored(self._dense().select("question_id", "id", "rank"), "hits")
         return stored(retrieval.tfidf_topk(self.index, self.questions, POOL).select("question_id", "id", "rank"), "hits")
 
+    def _dense(self) -> DataFrame:
+        cache = self.cache or scratch_path(self.questions.sparkSession, "embeddings")
+        text = F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("summary", F.lit("")))
+        vectors = embedded(self.nodes.select("id", text.alias("text")), self.model, cache)
+        asked = embedded(self.questions.select("id", "text"), self.model, cache)
+        found = retrieval.dense_topk(vectors, asked.select(F.col("id").cast("string").alias("query_id"), F.col("v").alias("q")), POOL)
+        return found.select(F.col("query_id").cast(self.questions.schema["id"].dataType).alias("question_id"), "id", "rank")
+
     @cached_property
     def sub(self) -> graph.Subgraph:
         """The subgraph around linked nodes, or around the lexically best where none is linked."""

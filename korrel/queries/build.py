@@ -12,7 +12,7 @@ from korrel.operators.retrieval import term_profiles
 from korrel.queries import sql as s
 from korrel.sources import bindings as b
 from korrel.sources import io
-from korrel.streaming import live
+from korrel.streaming import live, timers
 
 
 def mention_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -122,10 +122,10 @@ def auto_reveal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def topic_inbox(spark: SparkSession, d: str) -> DataFrame:
-    """The last twenty suggestions of every room; a user's type is one suggestion."""
+    """The twenty suggestions that every room's inbox holds at last; a user's type is one suggestion."""
     e = b.table(spark, d, "events")
     ideas = e.select((F.col("user_id") % 10).alias("room"), F.concat_ws("-", "user_id", "event_type").alias("id"), live.cleaned_topic(F.concat(F.lit("  Thema  "), "event_type")).alias("topic"), "event_id")
-    return live.inbox(ideas)
+    return timers.inbox(ideas)
 
 
 def throttle(spark: SparkSession, d: str) -> DataFrame:
@@ -150,8 +150,18 @@ def quiz_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def leaderboard(spark: SparkSession, d: str) -> DataFrame:
-    """Players of every room by score."""
-    return live.leaderboard(live.scored_answers(_answers(spark, d)))
+    """Players of every room by score, streak and name."""
+    names = b.table(spark, d, "customer").select(F.col("c_custkey").alias("player"), F.concat(F.lit("Gast "), F.substring("c_name", -6, 6)).alias("name"))
+    return live.leaderboard(live.scored_answers(_answers(spark, d)), names)
+
+
+def outbox_sends(spark: SparkSession, d: str) -> DataFrame:
+    """What every room's outbox sends of its events, an hour apart."""
+    e = b.table(spark, d, "events")
+    phase = F.when(F.col("event_type") == "purchase", "question").when(F.col("event_type") == "signup", "reveal").otherwise("lobby")
+    command = F.when(F.col("event_type") == "click", "sync").otherwise("state")
+    rows = e.select((F.col("user_id") % 10).alias("room"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), phase.alias("phase"), F.lit(0).alias("question"), command.alias("command"))
+    return timers.sent(rows, 3_600_000)
 
 
 def validate_payload(spark: SparkSession, d: str) -> DataFrame:
@@ -207,11 +217,12 @@ QUERIES = {
     "outbox_coalesce": (outbox_coalesce, "WITH e AS (SELECT user_id % 10 AS room, event_id, event_type AS phase FROM events), c AS (SELECT *, coalesce(lag(phase) OVER w <> phase, true) AS change, lead(phase) OVER w IS NULL AS last FROM e WINDOW w AS (PARTITION BY room ORDER BY event_id)) SELECT room, event_id, phase, change FROM c WHERE change OR last"),
     "publish_stamps": (publish_stamps, "WITH e AS (SELECT user_id % 10 AS room, event_id, epoch_us(ts) // 600000000 * 600000 AS spot, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS revision FROM events) SELECT room, event_id, revision, max(spot - revision) OVER (PARTITION BY room ORDER BY event_id) + revision AS updated_at FROM e"),
     "auto_reveal": (auto_reveal, "WITH e AS (SELECT user_id % 10 AS room, event_id, event_type, epoch_us(ts) // 1000 AS spot FROM events), n AS (SELECT *, lead(spot) OVER (PARTITION BY room ORDER BY event_id) AS ended FROM e) SELECT room, event_id, spot + 3600040 AS fires_at FROM n WHERE event_type = 'purchase' AND (ended IS NULL OR ended >= spot + 3600040)"),
-    "topic_inbox": (topic_inbox, "WITH f AS (SELECT user_id % 10 AS room, user_id || '-' || event_type AS id, 'Thema ' || event_type AS topic, min(event_id) AS event_id FROM events GROUP BY ALL) SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY room ORDER BY event_id DESC) <= 20"),
+    "topic_inbox": (topic_inbox, "WITH RECURSIVE e AS MATERIALIZED (SELECT user_id % 10 AS room, user_id || '-' || event_type AS id, 'Thema ' || event_type AS topic, event_id, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS nr FROM events), f AS (SELECT room, CAST(0 AS BIGINT) AS nr, CAST([] AS VARCHAR[]) AS held, CAST(NULL AS BIGINT) AS taken FROM (SELECT DISTINCT room FROM e) UNION ALL SELECT e.room, e.nr, CASE WHEN list_contains(held, e.id) THEN held ELSE list_append(held, e.id)[-20:] END, CASE WHEN list_contains(held, e.id) THEN NULL ELSE e.event_id END FROM f JOIN e ON e.room = f.room AND e.nr = f.nr + 1), l AS (SELECT room, taken FROM f WHERE taken IS NOT NULL QUALIFY row_number() OVER (PARTITION BY room ORDER BY taken DESC) <= 20) SELECT e.room, id, topic, event_id FROM e JOIN l ON l.taken = e.event_id"),
     "throttle": (throttle, None),
     "quiz_game": (quiz_game, None),
     "quiz_score": (quiz_score, f"WITH {_ANSWERS} SELECT * FROM scored"),
-    "leaderboard": (leaderboard, f"WITH {_ANSWERS}, t AS (SELECT room, player, CAST(sum(gain) AS BIGINT) AS score FROM scored GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY room ORDER BY score DESC, player) AS INTEGER) AS place FROM t"),
+    "leaderboard": (leaderboard, f"WITH {_ANSWERS}, t AS (SELECT room, player, CAST(sum(gain) AS BIGINT) AS score, arg_max(streak, event_id) AS streak FROM scored GROUP BY ALL), n AS (SELECT t.*, coalesce('Gast ' || right(c_name, 6), 'Gast') AS name FROM t LEFT JOIN customer ON c_custkey = player) SELECT room, player, name, score, streak, CAST(row_number() OVER (PARTITION BY room ORDER BY score DESC, streak DESC, name, player) AS INTEGER) AS place FROM n"),
+    "outbox_sends": (outbox_sends, None),
     "validate_payload": (validate_payload, "SELECT c_custkey, regexp_full_match(c_name, '[A-Za-z0-9._:-]{1,128}') AS id_ok, length(trim(c_name)) BETWEEN 1 AND 18 AS name_ok, regexp_full_match(upper(left(sha256(c_name), 6)), '[A-Z0-9]{6}') AS code_ok, (c_custkey % 2 = 0 AND c_custkey % 3 = 0) OR (c_custkey % 2 <> 0 AND c_custkey % 3 <> 0) AS may_send FROM customer"),
     "export_csv_line": (export_csv_line, "SELECT conv_id, turn, sha256(conv_id || ';' || turn || ';;' || role || ';\"' || replace(replace(text, '\"', '\"\"'), chr(10), ' ') || '\"') AS line_sha256 FROM conversations"),
     "hourly_sessions": (hourly_sessions, "WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events), r AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g) SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n FROM r GROUP BY ALL"),

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korrel.operators import graph as g
 from korrel.operators import merge as m
-from korrel.operators import planner, schedule, scoring
+from korrel.operators import planner, schedule, scoring, trials
+from korrel.operators.embeddings import Model, character_shares
+from korrel.plans.scratch import scratch_path
 from korrel.queries import sql as s
 from korrel.sources import bindings as b
 
@@ -137,10 +141,10 @@ def subgraph_context(spark: SparkSession, d: str) -> DataFrame:
     return g.linearized(_subgraph(spark, d), _summarised(spark, d), _questions(spark, d))
 
 
-def _planned(condition: str):
+def _planned(condition: str, model: Model | None = None):
     def planned(spark: SparkSession, d: str) -> DataFrame:
         """Contexts and prompts of every question under one condition."""
-        r = planner.Retrieved(_questions(spark, d), _summarised(spark, d), b.edges(spark, d))
+        r = planner.Retrieved(_questions(spark, d), _summarised(spark, d), b.edges(spark, d), model=model)
         made = planner.prepared(r, condition)
         return made.select("question_id", "condition", F.array_join("ids", ",").alias("ids"), F.length("context").cast("long").alias("n_chars"), F.sha2("prompt", 256).alias("prompt_sha256"))
 
@@ -157,6 +161,27 @@ def trial_run(spark: SparkSession, d: str) -> DataFrame:
     return planner.schedule_of(r, trials, done=done).select("repetition", "question_id", "condition", F.length("prompt").cast("long").alias("n_chars"))
 
 
+def _opening(prompt: str) -> str:
+    """An engine that says the opening of its context, and fails without one."""
+    heading, _, rest = prompt.partition("\n")
+    if not heading.startswith("KONTEXT"):
+        raise ValueError("no context")
+    return rest[:200]
+
+
+def trial_results(spark: SparkSession, d: str) -> DataFrame:
+    """Every question under every condition, run and scored; the trials without context fail alone."""
+    q = _questions(spark, d)
+    r = planner.Retrieved(q, _summarised(spark, d), b.edges(spark, d))
+    plans = [planner.prepared(r, c) for c in planner.CONDITIONS]
+    planned = reduce(DataFrame.union, plans).select(F.lit("run").alias("run_id"), F.lit(1).alias("repetition"), "question_id", "condition", "ids", "context", "prompt")
+    name = b.table(spark, d, "nation").select(F.col("n_nationkey").alias("question_id"), F.array("n_name").alias("must"), F.lit(None).cast("array<string>").alias("any_of"), F.lit(False).alias("abstain"), F.array(F.concat(F.lit("n"), "n_nationkey")).alias("gold"))
+    folder = scratch_path(spark, "trials")
+    trials.executed(planned, name, _opening, "opening", folder)
+    made = trials.results(spark, folder)
+    return made.select("repetition", "question_id", "condition", F.length("answer").alias("answer_chars"), "context_chars", "auto_score", "recall", F.round("precision", 6).alias("precision"))
+
+
 def merge_delta(spark: SparkSession, d: str) -> DataFrame:
     """What an import changes about nodes."""
     names = b.entity_names(spark, d)
@@ -219,7 +244,15 @@ _PLAN = {c: f"SELECT q.question_id, coalesce(ids, '') AS ids, coalesce(context,
 _PLAN["baseline"] = f"SELECT question_id, '' AS ids, '' AS context, 'FRAGE: ' || text AS prompt FROM ({_ASK})"
 
 
-def _plan_sql(condition: str) -> str:
+# Shares of characters instead of terms.
+_SHARES = lambda x: "[" + ", ".join(f"length({x}) - length(replace({x}, '{c}', ''))" for c in "abcdefghijklmnopqrstuvwxyz0123456789") + "]"
+_DENSE = f"""nodes AS ({_NODES}), shares AS MATERIALIZED (SELECT 'n' AS side, id, {_SHARES("x")} AS c FROM (SELECT id, lower(title || '. ' || summary) AS x FROM nodes) UNION ALL SELECT 'q', CAST(question_id AS VARCHAR), {_SHARES("x")} FROM (SELECT question_id, lower(text) AS x FROM ({_ASK}))),
+vectors AS MATERIALIZED (SELECT side, id, [y / sqrt(list_sum([z * z FOR z IN c])) FOR y IN c] AS v FROM shares), ranked AS MATERIALIZED (SELECT CAST(q.id AS INTEGER) AS question_id, n.id, round(list_dot_product(q.v, n.v), 6) AS score, row_number() OVER (PARTITION BY q.id ORDER BY round(list_dot_product(q.v, n.v), 6) DESC, n.id) AS rank FROM vectors q, vectors n WHERE q.side = 'q' AND n.side = 'n')"""
+
+
+def _plan_sql(condition: str, dense: bool = False) -> str:
+    if dense:
+        return _plan_sql(condition).replace(s.tfidf(_NODES, _ASK), _DENSE)
     return f"WITH {_PLANS} SELECT question_id, '{condition}' AS condition, ids, length(context) AS n_chars, sha256(prompt) AS prompt_sha256 FROM ({_PLAN[condition]})"
 
 
@@ -227,7 +260,7 @@ QUERIES = {
     "adjacency": (adjacency, f"{_G} SELECT source AS node, target AS other, 'out' AS direction, relation, label FROM edges UNION ALL SELECT target, source, 'in', relation, label FROM edges"),
     "degree": (degree, f"{_G} SELECT node, count(*) AS degree FROM (SELECT source AS node FROM edges UNION ALL SELECT target FROM edges WHERE source <> target) GROUP BY node"),
     "graph_stats": (graph_stats, f"{_G} SELECT 'node:' || type AS kind, count(*) AS n FROM names GROUP BY ALL UNION ALL SELECT 'edge:' || relation, count(*) FROM edges GROUP BY ALL"),
-    "khop_paths": (khop_paths, f"{_G}, s AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges) SELECT x.a AS start, x.a || '>' || x.b || '>' || y.b AS path FROM s x JOIN s y ON x.b = y.a WHERE y.b <> x.a AND x.a IN (SELECT id FROM names WHERE type = 'place')"),
+    "khop_paths": (khop_paths, f"{_G}, s AS MATERIALIZED (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges), x AS MATERIALIZED (SELECT a, b FROM s JOIN (SELECT DISTINCT id FROM names WHERE type = 'place') ON a = id) SELECT x.a AS start, x.a || '>' || x.b || '>' || y.b AS path FROM x JOIN s y ON x.b = y.a WHERE y.b <> x.a"),
     "induced_subgraph": (induced_subgraph, f"{_G}, k AS (SELECT id FROM names WHERE type IN ('institution', 'place')) SELECT * FROM edges WHERE source IN (FROM k) AND target IN (FROM k)"),
     "bridge_edges": (bridge_edges, f"{_G}, k AS ({_EVEN}) SELECT * FROM edges WHERE (source IN (FROM k)) <> (target IN (FROM k))"),
     "touching_edges": (touching_edges, f"{_G}, k AS ({_EVEN}) SELECT * FROM edges WHERE source IN (FROM k) OR target IN (FROM k)"),
@@ -242,6 +275,8 @@ QUERIES = {
     "beam_traverse": (beam_traverse, f"WITH {_SUB} SELECT * FROM subedges"),
     "subgraph_context": (subgraph_context, f"WITH {_SUB}, {_TEXT} SELECT question_id, context FROM graphtext"),
     **{f"plan_{c}": (_planned(c), _plan_sql(c)) for c in planner.CONDITIONS},
+    **{f"plan_{c}_dense": (_planned(c, Model("character shares", character_shares)), _plan_sql(c, True)) for c in ("vector", "hybrid")},
+    "trial_results": (trial_results, f"WITH {_PLANS}, p AS (" + " UNION ALL ".join(f"SELECT question_id, '{c}' AS condition, context, ids, prompt FROM ({_PLAN[c]})" for c in planner.CONDITIONS if c != "baseline") + f"), a AS (SELECT p.*, n_name, substring(prompt, instr(prompt, chr(10)) + 1, 200) AS answer, [x FOR x IN string_split(ids, ',') IF x <> ''] AS got, 'n' || question_id AS gold FROM p JOIN nation ON n_nationkey = question_id) SELECT 1 AS repetition, question_id, condition, length(answer) AS answer_chars, length(context) AS context_chars, CASE WHEN contains({s.normalize('answer')}, {s.normalize('n_name')}) THEN 'korrekt' ELSE 'falsch' END AS auto_score, CASE WHEN list_contains(got, gold) THEN 1.0 ELSE 0.0 END::DOUBLE AS recall, CASE WHEN len(got) > 0 THEN round(CASE WHEN list_contains(got, gold) THEN 1.0 ELSE 0.0 END::DOUBLE / len(got), 6) END AS precision FROM a"),
     "trial_run": (trial_run, f"WITH {_PLANS} SELECT 2 AS repetition, question_id, condition, length(prompt) AS n_chars FROM (" + " UNION ALL ".join(f"SELECT question_id, '{c}' AS condition, prompt FROM ({_PLAN[c]})" for c in planner.CONDITIONS) + ")"),
     "merge_delta": (merge_delta, f"{_G}, n AS (SELECT id, type, length(title) % 2 = 0 AS changed FROM names) SELECT id, CASE WHEN type = 'place' THEN 'rejected' WHEN type <> 'person' THEN 'added' WHEN changed THEN 'updated' ELSE 'unchanged' END AS change FROM n"),
     "edge_delta": (edge_delta, f"{_G}, k AS (SELECT id FROM names WHERE type <> 'work' OR length(title) % 2 = 0), c AS (SELECT relation, CASE WHEN source NOT IN (FROM k) OR target NOT IN (FROM k) OR ({_P}) = 0 THEN 'skipped' WHEN length(source) % 2 <> 0 THEN 'added' ELSE 'unchanged' END AS change FROM edges) SELECT relation, change, count(*) AS n FROM c GROUP BY ALL"),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from korrel.functions.text import compact
+from korrel.functions.text import compact, display_name
 
 WINDOW_S, ROOM_LIMIT, PARTICIPANT_LIMIT = 60, 28, 4
 _ALLOWED = "room long, event_id long, participant long, allowed boolean"
@@ -142,13 +142,6 @@ def auto_reveals(events: DataFrame, seconds: float = 18.0, late_ms: int = 40, or
     return events.withColumn("ended", ended).filter((F.col("phase") == "question") & (F.col("ended").isNull() | (F.col("ended") >= due))).select("room", order, due.alias("fires_at"))
 
 
-def inbox(suggestions: DataFrame, most: int = 20) -> DataFrame:
-    """(room, id, topic, event_id): the last `most` suggestions of each room; of a repeated id the first counts."""
-    first = suggestions.groupBy("room", "id").agg(F.min_by(F.struct("topic", "event_id"), "event_id").alias("r")).select("room", "id", "r.topic", "r.event_id")
-    rank = F.row_number().over(Window.partitionBy("room").orderBy(F.desc("event_id")))
-    return first.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
-
-
 def cleaned_topic(topic: Column, width: int = 80) -> Column:
     """Collapsed and cut; null where nothing is left."""
     return F.nullif(F.substring(compact(F.coalesce(topic, F.lit(""))), 1, width), F.lit(""))
@@ -246,7 +239,13 @@ def scored_answers(answers: DataFrame, seconds: float = 18.0) -> DataFrame:
     return scored.select("room", "player", "question", "event_id", "correct", gain.cast("long").alias("gain"), F.when(F.col("correct"), F.col("streak")).otherwise(0).cast("long").alias("streak"))
 
 
-def leaderboard(scored: DataFrame) -> DataFrame:
-    """(room, player, score, place): the players of each room by score, then id."""
-    total = scored.groupBy("room", "player").agg(F.sum("gain").alias("score"))
-    return total.withColumn("place", F.row_number().over(Window.partitionBy("room").orderBy(F.desc("score"), "player")))
+def leaderboard(scored: DataFrame, names: DataFrame) -> DataFrame:
+    """(room, player, name, score, streak, place): the players of each room by score, running streak, and name.
+
+    names: (player, name), at most one row each; a player without one is a guest. Names are in German order, players of
+    equal names by id. A streak is that of the last answer.
+    """
+    total = scored.groupBy("room", "player").agg(F.sum("gain").alias("score"), F.max_by("streak", "event_id").alias("streak"))
+    named = total.join(names.select("player", "name"), "player", "left").withColumn("name", display_name(F.col("name")))
+    order = [F.desc("score"), F.desc("streak"), F.collate("name", "de").asc(), F.asc("player")]
+    return named.select("room", "player", "name", "score", "streak", F.row_number().over(Window.partitionBy("room").orderBy(*order)).alias("place"))
