@@ -1,8 +1,8 @@
 """Benchmark decontamination: test items found in documents with up to a share of edits.
 
 An item with an error budget e is cut into e + 1 pieces; a stretch of text within e edits holds at least one of them
-unchanged. Exact hits of pieces (Aho-Corasick) give the places, Myers' bit-parallel distance the verdict. Short items
-are one piece without a budget and must stand as whole words. Texts and items are compared in lower case with each run
+unchanged. Exact hits of pieces (Aho-Corasick) give the places, Myers' bit-parallel distance the verdict. Items too
+short for a budget are one piece and must stand as whole words. Texts and items are compared in lower case with each run
 of white space as one space.
 """
 
@@ -13,15 +13,17 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Share of an item's characters that may be edited, the shortest piece of an item that may be edited, and characters
-#: that such an item needs: shorter ones are looked for word for word.
-ERRORS, PIECE, SHORTEST = 0.06, 12, 40
+from korrel.plans.scratch import stored
+
+#: Share of an item's characters that may be edited, and the shortest piece of an item that may be edited.
+ERRORS, PIECE = 0.06, 12
 #: Characters of items that one pass over the documents looks for, and blocks that a worker keeps ready for search.
-BLOCK_CHARS, KEPT = 2_000_000, 2
+BLOCK_CHARS, KEPT = 2_000_000, 1
 #: Letters of scripts that put no blanks between words: a word may end beside any of them.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
@@ -85,11 +87,11 @@ class Myers:
 class Items:
     """Test items ready for search inside a task."""
 
-    def __init__(self, rows: list[tuple[int, str]], errors: float, piece: int, shortest: int):
+    def __init__(self, rows: list[tuple[int, str]], errors: float, piece: int):
         import ahocorasick
 
-        self.short = {k for k, (_, t) in enumerate(rows) if len(t) < shortest}
-        self.items = [(i, t, 0 if k in self.short else budget(t, errors, piece)) for k, (i, t) in enumerate(rows)]
+        self.items = [(i, t, budget(t, errors, piece)) for i, t in rows]
+        self.strict = {k for k, (_, _, edits) in enumerate(self.items) if not edits}
         where: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text, edits) in enumerate(self.items):
             for offset, part in cut(text, edits):
@@ -107,7 +109,7 @@ class Items:
         exact: set[int] = set()
         for end, (size, places) in self.auto.iter(body) if self.items else ():
             for k, offset in places:
-                if k not in self.short:
+                if k not in self.strict:
                     near.setdefault(k, []).append(end + 1 - size - offset)
                 elif k not in exact and whole(body, end + 1 - size, end + 1):
                     exact.add(k)
@@ -138,52 +140,67 @@ class Items:
 _ready: dict[str, Items] = {}
 
 
-def _items(name: str, rows: Callable[[], list[tuple[int, str]]], errors: float, piece: int, shortest: int) -> Items:
+def _items(name: str, rows: Callable[[], list[tuple[int, str]]], errors: float, piece: int) -> Items:
     """A block's items, built once in each worker."""
     if name not in _ready:
         while len(_ready) >= KEPT:
             del _ready[next(iter(_ready))]
-        _ready[name] = Items(rows(), errors, piece, shortest)
+        _ready[name] = Items(rows(), errors, piece)
     return _ready[name]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", errors: float = ERRORS, piece: int = PIECE, shortest: int = SHORTEST, item_key: str = "item_id", item_text: str = "text", to: str = "leaks") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", errors: float = ERRORS, piece: int = PIECE, item_key: str = "item_id", item_text: str = "text", to: str = "leaks") -> DataFrame:
     """docs with an array of (item_id, edits) in column `to`: the test items that stand in each text.
 
     An item stands in a text if a stretch of it is within errors * length edits (insertions, deletions, replacements
-    of characters); one shorter than `shortest` characters if it stands there unchanged, as whole words. Null and
-    empty texts have none; items that are null or blank are not looked for; an id that repeats is found if any of its
-    texts is. Rows and other columns stay. Items are broadcast
-    in blocks of at most BLOCK_CHARS characters, one narrow pass each, so the benchmark may be of any size. Raises
+    of characters), as far as its pieces keep `piece` characters; one that may have none if it stands there unchanged,
+    as whole words. Null and empty texts have none; items that are null or blank are not looked for; an id that
+    repeats is found if any of its texts is, with the least edits. Rows and other columns stay. Items are broadcast in
+    blocks of about BLOCK_CHARS characters. One block is one narrow pass; of several, each is a job of its own over
+    stored texts that leaves only hits, and its broadcast is dropped, so a worker never holds more than one. Raises
     ValueError where the column exists already.
     """
     if to.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"column {to} exists already")
     if text not in docs.columns:
         raise ValueError(f"no column {text}")
-    own = [f"c{i}" for i in range(len(docs.columns))]
-    at, out, names = docs.columns.index(text), docs.toDF(*own), docs.columns
+    spark, own = docs.sparkSession, [f"c{i}" for i in range(len(docs.columns))]
+    at, rows, names = docs.columns.index(text), docs.toDF(*own), docs.columns
     items = benchmark.select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).alias("text")).dropna()
     blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS))
     kind = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("edits", T.IntegerType())]))
-    arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32())]))
-    for block in range(blocks):
+
+    def search(frame: DataFrame, column: int, block: int) -> tuple[DataFrame, Broadcast]:
+        """frame with the block's hits in a last column, found."""
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        rows = sorted({(r["item_id"], normal(r["text"])) for r in part.collect()})  # bounded: about BLOCK_CHARS characters
-        held, name = out.sparkSession.sparkContext.broadcast([(i, t) for i, t in rows if t]), uuid.uuid4().hex
+        wanted = sorted({(r["item_id"], normal(r["text"])) for r in part.collect()})  # bounded: about BLOCK_CHARS characters
+        held, name = spark.sparkContext.broadcast([(i, t) for i, t in wanted if t]), uuid.uuid4().hex
+        arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32())]))
 
-        def run(batches: Iterator[pa.RecordBatch], held=held, name=name, block=block) -> Iterator[pa.RecordBatch]:
-            items = _items(name, lambda: held.value, errors, piece, shortest)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ready = _items(name, lambda: held.value, errors, piece)
             for batch in batches:
                 for lo in range(0, batch.num_rows, 1024):
-                    rows = batch.slice(lo, 1024)
-                    found = [[{"item_id": i, "edits": e} for i, e in items.find(t)] for t in rows.column(at).to_pylist()]
-                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found, arrow)], names=[*rows.schema.names, f"found{block}"])
-
-        out = out.mapInArrow(run, T.StructType([*out.schema.fields, T.StructField(f"found{block}", kind)]))
-    merged = F.array_sort(F.concat(*(f"found{b}" for b in range(blocks))))
-    one = F.aggregate(merged, F.array().cast(kind), lambda a, x: F.when(F.exists(a, lambda y: y["item_id"] == x["item_id"]), a).otherwise(F.concat(a, F.array(x))))
-    return out.select(*(F.col(c).alias(name) for c, name in zip(own, names)), one.alias(to))
+                    some = batch.slice(lo, 1024)
+                    found = [[{"item_id": i, "edits": e} for i, e in ready.find(t)] for t in some.column(column).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array(found, arrow)], names=[*some.schema.names, "found"])
+
+        return frame.mapInArrow(run, T.StructType([*frame.schema.fields, T.StructField("found", kind)])), held
+
+    if blocks == 1:
+        found, _ = search(rows, at, 0)
+        first = F.aggregate("found", F.array().cast(kind), lambda a, x: F.when(F.exists(a, lambda y: y["item_id"] == x["item_id"]), a).otherwise(F.concat(a, F.array(x))))
+        return found.select(*(F.col(c).alias(name) for c, name in zip(own, names)), first.alias(to))
+    numbered = stored(rows.withColumn("row", F.monotonically_increasing_id()), "documents")
+    hits = None
+    for block in range(blocks):
+        found, held = search(numbered.select("row", own[at]), 1, block)
+        one = stored(found.filter(F.size("found") > 0).select("row", F.explode("found").alias("f")).select("row", "f.*"), "hits")
+        held.unpersist()
+        hits = one if hits is None else hits.union(one)
+    listed = hits.groupBy("row", "item_id").agg(F.min("edits").alias("edits")).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("item_id", "edits"))).alias("found"))
+    every = numbered.join(listed, "row", "left")
+    return every.select(*(F.col(c).alias(name) for c, name in zip(own, names)), F.coalesce("found", F.array().cast(kind)).alias(to))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -31,16 +31,23 @@ START = "idiot idiots moron morons stupid scum trash loser losers clown worthles
 EXCEPTIONS = ["trash can", "trash bin", "trash collection", "take out the trash", "clown fish", "pond scum", "idiot proof", "idiot board", "class clown award", "moron test"]
 START_WEIGHT = 4.0
 #: Look-alike letters, and digits and signs that stand for letters.
-HOMOGLYPHS = str.maketrans("абвгдезіјклмопрстухуѕԁԛԝαβεικνορτυχ０１２３４５６７８９", "a6brde3ijkmmonpctyxysdqwabeiknoptux0123456789")
+HOMOGLYPHS = {0xFF41 + k: chr(97 + k) for k in range(26)} | {0xFF04: "$", 0xFF20: "@"} | str.maketrans("абвгдезіјклмопрстухуѕԁԛԝαβεικνορτυχ０１２３４５６７８９", "a6brde3ijkmmonpctyxysdqwabeiknoptux0123456789")
 LEET = str.maketrans("013457@$!", "oieastasi")
 _LOOKALIKE = re.compile("[" + "".join(map(chr, HOMOGLYPHS)) + "]").search
+#: Characters without width, which part no words: soft hyphen, joiners, marks of direction, byte order mark.
+UNSEEN = dict.fromkeys([0xAD, *range(0x200B, 0x2010), *range(0x2060, 0x2065), 0xFEFF])
+_UNSEEN = re.compile("[" + "".join(map(chr, UNSEEN)) + "]").search
+#: What may stand between a word and its end: digits and signs, as in "word5".
+_TAIL = re.compile(r"[0-9@$!]*(?![^\W_])").match
 _INSIDE = re.compile(r"(?<=[^\W\d_])[013457@$!]+(?=[^\W\d_])|(?<![\w@$!])[013457@$!]+(?=[^\W\d_])")
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
 def fold(text: str) -> str:
-    """Lower case, look-alikes of Latin letters as these, and digits or signs before or between letters as letters."""
+    """Lower case without unseen characters, look-alikes of Latin letters as these, and digits or signs before or between letters as letters."""
     text = text.lower()
+    if not text.isascii() and _UNSEEN(text):
+        text = text.translate(UNSEEN)
     if not text.isascii() and _LOOKALIKE(text):
         text = re.sub(r"\w+", lambda m: m[0].translate(HOMOGLYPHS) if re.search("[a-z]", m[0].translate(HOMOGLYPHS)) else m[0], text)
     return _INSIDE.sub(lambda m: m[0].translate(LEET), text)
@@ -75,7 +82,7 @@ class Lexicon:
                 start = end - n + 1
                 if start and body[start - 1].isalnum():
                     continue
-                closed = end + 1 == len(body) or not body[end + 1].isalnum()
+                closed = end + 1 == len(body) or _TAIL(body, end + 1) is not None
                 for kind, weight in kinds:
                     if kind == "x":
                         if closed:

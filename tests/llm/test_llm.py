@@ -153,6 +153,35 @@ def test_toxicity(spark, small):
     assert scored[0] > 0.3 > max(scored[i] for i in (1, 2, 3, 4)) and all(0 <= s <= 1 for s in scored.values())
 
 
+def test_toxicity_against_plain_search():
+    """Every entry looked for by itself at every place, in texts of look-alikes, digits, unseen signs and exceptions."""
+    words, beginnings = dict.fromkeys(toxicity.START, 4.0) | {"ab": 1.0}, {"réeux": 3.0, "idio": 2.0}
+    match, r = toxicity.Lexicon(words, beginnings).matcher(), random.Random(31)
+    assert [match(t)[1] for t in ("you loser5", "idi0t5", "ＩＤＩＯＴ", "id\u200biot", "id\u00adiot", "idiotx5", "loser 5")] == [1, 1, 1, 1, 1, 1, 1]
+    assert match("moronic")[1] == 0 and match("scum5x")[1] == 0
+
+    def plain(text):
+        body, hits = toxicity.fold(text), {}
+        spared = set()
+        for phrase in toxicity.EXCEPTIONS:
+            for a in range(len(body)):
+                b = a + len(phrase)
+                if body.startswith(phrase, a) and not (a and body[a - 1].isalnum()) and re.match(r"[0-9@$!]*(?![^\W_])", body[b:]):
+                    spared |= set(range(a, b))
+        for held, whole in ((words, True), (beginnings, False)):
+            for term, weight in held.items():
+                for a in range(len(body)):
+                    if body.startswith(term, a) and not (a and body[a - 1].isalnum()) and (not whole or re.match(r"[0-9@$!]*(?![^\W_])", body[a + len(term) :])):
+                        hits[a] = max(hits.get(a, 0.0), weight)
+        hits = {a: w for a, w in hits.items() if a not in spared}
+        return sum(hits.values()), len(hits), max(1, len(body.split()))
+
+    parts = ["idiot", "1d10t", "idi0t5", "trash can", "trash", "clown fish", "fish", "scum", "pond ", " ", " ", "-", "_", "5", "$$", "réeux", "ment", "і", "Ｉ", "\u200b", "ab", "loser"]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 9)))
+        assert match(text) == plain(text), text
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{d}/labels.parquet")
@@ -469,10 +498,35 @@ def test_decontamination_short_items(spark):
     items = [(1, "What is  2+2?"), (2, "Rom"), (3, "首都はどこ"), (4, " "), (5, "C++"), (6, "a" * 39), (7, "Rom")]
     texts = ["so: what\nis 2+2? four", "Romane und Aromen", "in ROM.", "日本の首都はどこですか", "c++", "x" + "a" * 39, "a" * 39 + "-", "whats is 2+2?", "what is 2+2", "", None, "Rom"]
     rows = decontamination.contaminated(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).orderBy("doc_id").collect()
-    assert [[k for k, _ in x["leaks"]] for x in rows] == [[1], [], [2, 7], [3], [5], [], [6], [], [], [], [], [2, 7]]
+    assert [[k for k, _ in x["leaks"]] for x in rows] == [[1], [], [2, 7], [3], [5], [6], [6], [], [], [], [], [2, 7]]  # an item of 39 letters may have edits, so its word may go on
     assert all(e == 0 for x in rows for _, e in x["leaks"])
 
 
+def test_decontamination_budgets_follow_length(spark):
+    """No length switches edits off: an item has as many as its share and its pieces allow."""
+    item = "was ist die hauptstadt von island bitte"
+    assert len(item) == 39 and decontamination.budget(item, decontamination.ERRORS, decontamination.PIECE) == 2
+    texts = [item, item.replace("haupt", "haubt"), item.replace("haupt", "haubt").replace("island", "izland"), item.replace("a", "u"), "kurz ja"]
+    rows = decontamination.contaminated(frame(spark, texts), spark.createDataFrame([(1, item), (2, "kurz nein"), (3, "kurz")], "item_id long, text string")).orderBy("doc_id").collect()
+    assert [[tuple(y) for y in x["leaks"]] for x in rows] == [[(1, 0)], [(1, 1)], [(1, 2)], [], [(3, 0)]]
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    """Five blocks of items find what one does, with null and repeated ids, repeated rows and extra columns."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8)))
+    items = [(k % 35, " ".join(word() for _ in range(12))) for k in range(40)]
+    texts = [" ".join(word() for _ in range(9)) + " " + items[k][1] + " " + items[-k][1].replace("a", "z", 1) for k in range(40)] + [None, "", "x", "x"]
+    docs = frame(spark, texts, [None, 5, 5, *range(3, len(texts))]).withColumn("row", F.lit(1)).withColumn("found", F.lit("f")).repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    shown = lambda: sorted((str(x) for x in decontamination.contaminated(docs, bench).collect()))
+    one = shown()
+    monkeypatch.setattr(decontamination, "BLOCK_CHARS", sum(len(t) for _, t in items) // 5 + 1)
+    assert shown() == one and len(one) == len(texts) and sum("item_id" in x for x in one) >= 40
+    with pytest.raises(ValueError):
+        decontamination.contaminated(docs.withColumn("LEAKS", F.lit(1)), bench)
+
+
 # 10
 PERSONAL = ["write to a.b+c@mail.example.com, or x@y.z_q@r.s", "10.0.0.1 and 256.1.1.1 and 1.2.3.4.5.6.7.8", "4111 1111 1111 1111 or 4111111111111112", "+49 (30) 123-4567 and +1", "mail me: jane.doe (at) firma (dot) de", "call (212) 555-0199 now", "é 1.2.3.004 é"]
 
