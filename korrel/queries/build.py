@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from korrel.functions import text as t
 from korrel.functions import validate
-from korrel.operators import build, schedule
+from korrel.operators import build, labels, schedule
+from korrel.operators.documents import NO_TOPICS
 from korrel.operators.retrieval import term_profiles
+from korrel.plans.scratch import stored
 from korrel.queries import sql as s
 from korrel.sources import bindings as b
 from korrel.sources import io
@@ -40,6 +42,24 @@ def topic_edges(spark: SparkSession, d: str) -> DataFrame:
     return build.capped(topic_pairs(spark, d), "overlap", build.TOPIC_DEGREE, build.TOPIC_DEGREE, True).select("a", "b", "overlap")
 
 
+def topic_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The word to show for every stem of every document."""
+    return labels.surface_labels(b.nodes(spark, d).select("id", F.col("summary").alias("text")))
+
+
+def topic_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """What topic pairs share, in words and sentences."""
+    profiles, docs = _profiles(spark, d), b.nodes(spark, d).select("id", "title", F.col("summary").alias("text"))
+    pairs = stored(build.topic_pairs(build.profile_classes(profiles)[0]), "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    shown = labels.surface_labels(docs.join(ids, "id").select("id", F.concat_ws(" ", "title", "text").alias("text")))
+    shared = labels.shared_labels(pairs, profiles, shown)
+    text = lambda x: docs.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"))
+    rows = pairs.join(shared, ["a", "b"]).join(text("a"), "a").join(text("b"), "b")
+    line = labels.evidence_line("Themenüberlappung", F.col("overlap"), build.TOPIC_OVERLAP, F.col("labels"), F.col("ta"), F.col("tb"))
+    return rows.select("a", "b", F.array_join("labels", ", ").alias("shown"), line.alias("evidence")).withColumnRenamed("shown", "labels")
+
+
 def similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Classes of documents by the cosine of their topics, the smaller id as source."""
     p = build.profile_classes(_profiles(spark, d))[0]
@@ -192,6 +212,16 @@ classes AS (SELECT id, min(id) OVER (PARTITION BY mark) AS class FROM (SELECT id
 kinds AS (SELECT * FROM profiles SEMI JOIN (SELECT class AS id FROM classes) USING (id))"""
 _TOPICS = f"SELECT 0 AS grp, x.id AS a, y.id AS b, round(sum(least(x.weight, y.weight)) / least(any_value(t1.total), any_value(t2.total)), 6) AS score, count(*) AS shared FROM kinds x JOIN kinds y ON x.term = y.term AND x.id < y.id JOIN t t1 ON t1.id = x.id JOIN t t2 ON t2.id = y.id GROUP BY x.id, y.id HAVING shared >= {build.TOPIC_SHARED} AND score >= {build.TOPIC_OVERLAP}"
 _COSINES = f"SELECT 0 AS grp, x.id AS a, y.id AS b, round(sum(x.weight * y.weight) / any_value(t1.norm * t2.norm), 6) AS score, count(*) AS shared FROM kinds x JOIN kinds y ON x.term = y.term AND x.id < y.id JOIN t t1 ON t1.id = x.id JOIN t t2 ON t2.id = y.id GROUP BY x.id, y.id HAVING shared >= {build.SHARED} AND score >= {build.COSINE}"
+_LAYOUT = ", ".join(f"'{x}'" for x in NO_TOPICS)
+_TITLED = "'Dokument ' || doc_id || ' ' || text"
+
+
+def _labels(text: str) -> str:
+    """CTEs up to labels (id, term, tf, label) of a text of documents."""
+    return f"""surface AS (SELECT id, word, count(*) AS k FROM (SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS id, unnest({s.tokens(text)}) AS word FROM documents) GROUP BY ALL),
+labels AS MATERIALIZED (SELECT id, term, CAST(sum(k) AS BIGINT) AS tf, first(word ORDER BY k DESC, length(word), word) AS label FROM (SELECT *, {s.STEM_SQL.replace("(t,", "(word,")} AS term FROM surface) WHERE length(term) >= 4 AND NOT regexp_full_match(term, '[0-9]+') AND term NOT IN ({_LAYOUT}) GROUP BY id, term)"""
+
+
 _ANSWERS = """a AS (SELECT user_id % 10 AS room, user_id AS player, strftime(ts, '%Y-%m-%d') AS question, event_id, k % 2 = 0 AS correct, CAST(k % 20 AS DOUBLE) AS elapsed FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)),
 f AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY room, player, question ORDER BY event_id) = 1), m AS (SELECT *, sum(1 - CAST(correct AS INT)) OVER (PARTITION BY room, player ORDER BY event_id) AS miss FROM f),
 g AS (SELECT *, sum(CAST(correct AS INT)) OVER (PARTITION BY room, player, miss ORDER BY event_id) AS st FROM m),
@@ -205,6 +235,8 @@ QUERIES = {
     "profile_classes": (profile_classes, f"WITH {_PROFILES} SELECT id, class FROM classes"),
     "topic_pairs": (topic_pairs, f"WITH {_PROFILES}, t AS (SELECT id, sum(weight) AS total FROM kinds GROUP BY id) SELECT x.id AS a, y.id AS b, round(sum(least(x.weight, y.weight)) / least(any_value(t1.total), any_value(t2.total)), 6) AS overlap, count(*) AS shared FROM kinds x JOIN kinds y ON x.term = y.term AND x.id < y.id JOIN t t1 ON t1.id = x.id JOIN t t2 ON t2.id = y.id GROUP BY x.id, y.id HAVING count(*) >= 2 AND overlap >= 0.22"),
     "topic_edges": (topic_edges, f"WITH RECURSIVE {_PROFILES}, t AS (SELECT id, sum(weight) AS total FROM kinds GROUP BY id), {s.greedy('best', _TOPICS, build.TOPIC_DEGREE, build.TOPIC_DEGREE, True)} SELECT a, b, score AS overlap FROM best"),
+    "topic_labels": (topic_labels, f"WITH {_labels('text')} SELECT id, term, tf, label FROM labels"),
+    "topic_evidence": (topic_evidence, f"WITH {_PROFILES}, t AS (SELECT id, sum(weight) AS total FROM kinds GROUP BY id), pairs AS MATERIALIZED ({_TOPICS}), {_labels(_TITLED)}, docs AS (SELECT id, summary AS text FROM nodes), shared AS MATERIALIZED (SELECT p.a, p.b, any_value(p.score) AS score, list(coalesce(la.label, lb.label, x.term) ORDER BY -least(x.weight, y.weight), x.term)[1:6] AS labels FROM pairs p JOIN profiles x ON x.id = p.a JOIN profiles y ON y.id = p.b AND y.term = x.term LEFT JOIN labels la ON la.id = p.a AND la.term = x.term LEFT JOIN labels lb ON lb.id = p.b AND lb.term = x.term GROUP BY ALL), ends AS (SELECT a, b, 'a' AS side, a AS id, [{s.STEM_SQL} FOR t IN labels] AS stems FROM shared UNION ALL SELECT a, b, 'b', b, [{s.STEM_SQL} FOR t IN labels] FROM shared), parts AS (SELECT a, b, side, text, stems, generate_subscripts(p, 1) AS nr, unnest(p) AS s FROM (SELECT ends.*, text, {s.sentences('text')} AS p FROM ends JOIN docs USING (id))), hits AS (SELECT a, b, side, nr, s, len(list_intersect(list_distinct({s.terms('s')}), list_distinct(stems))) AS n FROM parts), best AS (SELECT a, b, side, s FROM hits WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY a, b, side ORDER BY n DESC, nr) = 1), quotes AS (SELECT e.a, e.b, e.side, left(trim(regexp_replace(coalesce(x.s, d.text), '{s.WS_CLASS}+', ' ', 'g')), 145) AS q FROM ends e JOIN docs d USING (id) LEFT JOIN best x ON x.a = e.a AND x.b = e.b AND x.side = e.side) SELECT s.a, s.b, array_to_string(labels, ', ') AS labels, left('Themenüberlappung ' || format('{{:.3f}}', round(score, 3)) || ' ≥ 0.220; gemeinsam: ' || array_to_string(labels, ', ') || '. A: „' || x.q || '“ B: „' || y.q || '“', 620) AS evidence FROM shared s JOIN quotes x ON x.a = s.a AND x.b = s.b AND x.side = 'a' JOIN quotes y ON y.a = s.a AND y.b = s.b AND y.side = 'b'"),
     "similarity_pairs": (similarity_pairs, f"WITH {_PROFILES}, t AS (SELECT id, sqrt(sum(weight ** 2)) AS norm FROM kinds GROUP BY id) SELECT x.id AS a, y.id AS b, round(sum(x.weight * y.weight) / any_value(t1.norm * t2.norm), 6) AS cosine, count(*) AS shared FROM kinds x JOIN kinds y ON x.term = y.term AND x.id < y.id JOIN t t1 ON t1.id = x.id JOIN t t2 ON t2.id = y.id GROUP BY x.id, y.id HAVING count(*) >= 3 AND cosine >= 0.26"),
     "similarity_edges": (similarity_edges, f"WITH RECURSIVE {_PROFILES}, t AS (SELECT id, sqrt(sum(weight ** 2)) AS norm FROM kinds GROUP BY id), {s.greedy('best', _COSINES, build.PER_SOURCE, build.PER_TARGET, False)} SELECT a, b, score AS cosine FROM best"),
     "chunk_documents": (chunk_documents, f"WITH RECURSIVE {s.CHUNKS} SELECT id, pos, \"start\", CAST(\"start\" + length(text) AS INTEGER) AS \"end\", text FROM chunks"),
