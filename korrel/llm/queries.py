@@ -12,6 +12,32 @@ from korrel.llm import decontamination, divergence, html_text, importance, neard
 from korrel.plans.scratch import scratch_path
 
 
+OP2_SQL = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x{20}\x{09}-\x{0D}]+') AS w FROM documents),
+places AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i + 49 <= len(w) THEN md5(array_to_string(w[i : i + 49], ' ')) END AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM texts)),
+firsts AS (SELECT k, min(doc_id) AS first FROM places WHERE k IS NOT NULL GROUP BY k),
+marked AS (
+  SELECT doc_id, i, word, max(CASE WHEN first < doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM places LEFT JOIN firsts USING (k)
+), kept AS (SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM marked GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM texts LEFT JOIN kept USING (doc_id)
+"""
+
+OP8_SQL = r"""
+WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{20}\x{09}-\x{0D}]+') AS w FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[i : i + 4], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM texts WHERE len(w) > 0)
+), sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS MATERIALIZED (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id JOIN sizes p ON p.doc_id = x.doc_id JOIN sizes q ON q.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 75 * (p.n + q.n - count(*))
+), both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(doc_id, least) USING KEY (doc_id) AS (
+  SELECT a, least(a, min(b)) FROM both_ways GROUP BY a
+  UNION SELECT e.b, min(r.least) FROM reached r JOIN both_ways e ON e.a = r.doc_id JOIN recurring.reached AS h ON h.doc_id = e.b WHERE r.least < h.least GROUP BY e.b
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least, doc_id) AS component_id, coalesce(least, doc_id) = doc_id AS kept FROM texts LEFT JOIN sizes USING (doc_id) LEFT JOIN reached USING (doc_id)
+"""
+
 OP7_SQL = """
 WITH v AS (
   SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
@@ -162,4 +188,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Query name to DuckDB SQL."""
-    return {"op7_exact_topk": OP7_SQL, "op11_importance": OP11_SQL, "op12_divergence": OP12_SQL}
+    return {"op2_repeated_passages": OP2_SQL, "op8_near_duplicates": OP8_SQL, "op7_exact_topk": OP7_SQL, "op11_importance": OP11_SQL, "op12_divergence": OP12_SQL}
