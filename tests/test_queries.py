@@ -1,4 +1,4 @@
-"""Every query that SQL can express, against DuckDB."""
+"""Every query that SQL can express, against DuckDB; the others give rows."""
 
 import pytest
 from conftest import same
@@ -16,7 +16,7 @@ def test_against_sql(spark, small, duck, name):
 
 @pytest.mark.parametrize("name", [n for n, (_, sql) in OWN.items() if not sql])
 def test_runs(spark, small, name):
-    assert OWN[name][0](spark, small).columns
+    assert OWN[name][0](spark, small).count() > 0
 
 
 def test_entry(spark):
