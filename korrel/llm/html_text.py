@@ -33,8 +33,15 @@ WRAPPERS = frozenset({"form", "fieldset"})
 WITH_ARTICLE, WITHOUT, LITTLE, LITTLE_SHARE = 0.25, 0.5, 250, 0.25
 #: Words in a class or id that mark what is no article.
 UNLIKELY = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus discussion footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promoted promotion related reply replies share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget".split()
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus discussion footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promoted promotion related reply replies responses share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget".split()
 )
+#: Words of these that name parts of an article too ("article-header", "share-price"): they count in a name of these and
+#: of words for roles and boxes alone, and not at a heading.
+AMBIGUOUS = frozenset({"header", "share"})
+BESIDE = frozenset("area bar block box button buttons container desktop fixed global icon icons inner links list main mobile page section site sticky tools top wrap wrapper".split())
+HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
+#: Blocks of plain text.
+PLAIN = HEADINGS | {"p", "blockquote", "pre"}
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: A comment, a declaration, or a tag; quotes count after "=" alone. A tag without an end takes the rest of the page.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)", re.S)
@@ -43,7 +50,7 @@ WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
 
 class _Element:
-    __slots__ = ("articles", "block", "chars", "doubt", "inside", "kept", "linked", "mains", "marked", "out", "parent", "points", "score", "tag")
+    __slots__ = ("articles", "block", "chars", "doubt", "inside", "kept", "linked", "mains", "marked", "out", "parent", "plain", "points", "score", "tag")
 
     def __init__(self, tag: str, parent: _Element | None, out: bool, doubt: int = 0):
         self.tag, self.parent, self.out, self.doubt = tag, parent, out, doubt
@@ -51,7 +58,7 @@ class _Element:
         self.marked: _Element | None = self if doubt else parent.marked if parent else None
         self.block: _Element = self if parent is None or tag in BLOCKS else parent.block
         self.points, self.articles, self.mains = 0.0, 0, 0
-        self.score, self.chars, self.linked, self.inside, self.kept = 0.0, 0, 0, True, False
+        self.score, self.chars, self.linked, self.plain, self.inside, self.kept = 0.0, 0, 0, 0, True, False
 
 
 class _Open:
@@ -85,6 +92,16 @@ class _Open:
 NOTHING, FORM, NAMED, OUT = 0, 1, 2, 3
 
 
+def _named(tag: str, value: str) -> bool:
+    """Whether a class or id says that an element is no part of an article."""
+    for name in value.split():
+        words = {w.lower() for w in WORD.findall(name)}
+        marks = words & UNLIKELY
+        if marks - AMBIGUOUS or marks and tag not in HEADINGS and words <= UNLIKELY | BESIDE:
+            return True
+    return False
+
+
 def _against(tag: str, attributes: str) -> int:
     if tag in LEFT_OUT:
         return OUT
@@ -97,7 +114,7 @@ def _against(tag: str, attributes: str) -> int:
             return OUT
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return OUT
-        if name == "role" and value.lower() in ROLES or name in ("class", "id") and any(w.lower() in UNLIKELY for w in WORD.findall(value)):
+        if name == "role" and value.lower() in ROLES or name in ("class", "id") and _named(tag, value):
             found = NAMED
     return found
 
@@ -229,7 +246,11 @@ def _allow(every: list[_Element], allowed: int) -> None:
 
 
 def main_text(page: str | None) -> str:
-    """The article's blocks in page order, two line ends between them; "" where there is none. Linear in the page's length."""
+    """The article's blocks in page order, two line ends between them; "" where there is none. Linear in the page's length.
+
+    Where that leaves fewer than LITTLE characters, outside any article or main, and less than LITTLE_SHARE of what the page
+    has otherwise, elements whose class or role speaks against them are taken in: a page may be named all over like a notice.
+    """
     blocks, articles, every = _blocks(page or "")
     if any(part[0] is not None for _, parts in blocks for part in parts):
         _spare(blocks, articles, every)
@@ -248,7 +269,7 @@ def _best(blocks: list[tuple[_Element, _Parts]], every: list[_Element], allowed:
     """
     _allow(every, allowed)
     for e in every:
-        e.score, e.chars, e.linked = 25.0 if e.tag in ("article", "main") else 0.0, 0, 0
+        e.score, e.chars, e.linked, e.plain = 25.0 if e.tag in ("article", "main") else 0.0, 0, 0, 0
     found, scored = [], {}
     for block, parts in blocks:
         text, linked = _joined([p for p in parts if p[0] is None or p[0].inside])
@@ -257,6 +278,7 @@ def _best(blocks: list[tuple[_Element, _Parts]], every: list[_Element], allowed:
         found.append((block, text, linked))
         block.chars += len(text)
         block.linked += linked
+        block.plain += len(text) if block.tag in PLAIN else 0
         points = _points(text)
         above = block if block.tag in ("div", "section", "article", "main", "body", "#root") else block.parent
         for share in (1.0, 0.5):
@@ -270,6 +292,7 @@ def _best(blocks: list[tuple[_Element, _Parts]], every: list[_Element], allowed:
         if e.parent is not None:
             e.parent.chars += e.chars
             e.parent.linked += e.linked
+            e.parent.plain += e.plain
     worth = {k: e.score * (1 - e.linked / max(e.chars, 1)) for k, e in scored.items()}
     best = max(scored.values(), key=lambda e: worth[id(e)])
     least = max(10.0, worth[id(best)] * 0.2)
@@ -278,7 +301,9 @@ def _best(blocks: list[tuple[_Element, _Parts]], every: list[_Element], allowed:
             e.kept = True
         elif e.parent is not None and e.parent is best.parent:
             paragraph = e.tag in ("p", "h1", "h2", "h3", "blockquote", "pre") and e.linked < 0.25 * max(e.chars, 1)
-            e.kept = paragraph or worth.get(id(e), 0) >= least
+            # A lead or an end in a box of its own, beside the best one inside the same story.
+            part = best.parent.tag not in ("#root", "html", "body") and e.plain * 2 > e.chars and e.linked < 0.25 * e.chars
+            e.kept = paragraph or part or worth.get(id(e), 0) >= least
         else:
             e.kept = e.parent is not None and e.parent.kept
     chosen = [(text, linked) for block, text, linked in found if block.kept]

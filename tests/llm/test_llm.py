@@ -332,6 +332,17 @@ def test_html_pages(spark, small):
         assert html_text.main_text(r["html"]) == want
 
 
+def test_html_names_inside_an_article():
+    """Names that only hold a word of a role, leads and ends in boxes of their own, and comments by another name."""
+    body = "<p>" + "Ein Satz, noch einer. " * 20 + "</p>"
+    starts = lambda page: [x[:12] for x in html_text.main_text(page).split("\n\n")]
+    assert starts(f"<article><h1 class='page-header'>Titel</h1>{body}</article>") == ["Titel", "Ein Satz, no"]
+    page = f"<article><div class='article-header'><h1>Titel</h1></div>{body}<div class='share-price'><p>Kurs stieg.</p></div><div class='share-buttons'>Teilen</div><section id='responses'><p>Toll, danke, gern.</p></section></article>"
+    assert starts(page) == ["Titel", "Ein Satz, no", "Kurs stieg."]
+    page = f"<div class=page-header><p>Kopf</p></div><div id=story><div class=lead><p>Lead in.</p></div><div class=text>{body}{body}</div><div><p>Ende.</p></div><div class=cookie><p>Wir nutzen Cookies.</p></div><div><a href=x>Mehr</a></div></div>"
+    assert starts(page) == ["Lead in.", "Ein Satz, no", "Ein Satz, no", "Ende."]
+
+
 # 6
 def test_token_counts(spark, tmp_path):
     from tokenizers import Tokenizer
