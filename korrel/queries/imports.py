@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korrel.operators import merge as m
+from korrel.plans.scratch import scratch_path
 from korrel.sources import bindings as b
-from korrel.sources import io
+from korrel.sources import bundles, io
 
 SCOPE = "scope-a"
 
@@ -94,6 +95,19 @@ def export_json(spark: SparkSession, d: str) -> DataFrame:
     return made.withColumn("d", back).select("runId", F.col("d.count").alias("n"), F.col("d.schemaVersion").alias("version"), F.aggregate("d.results", F.lit(0).cast("long"), lambda a, x: a + x["contextChars"]).alias("chars"), F.size("d.results").cast("long").alias("held"))
 
 
+def export_bundle(spark: SparkSession, d: str) -> DataFrame:
+    """A package of all trials, written and read again: how many results and lines each run has."""
+    trials, path = io.normalized_trials(_trials(spark, d)), scratch_path(spark, "bundle")
+    names = b.entity_names(spark, d)
+    about = bundles.header(spark, "korrel", "seeded-shuffle", "", ["signup", "view"], names, b.edges(spark, d), b.table(spark, d, "benchmark").select(F.col("item_id").alias("id")), trials.count())
+    bundles.write_bundle(trials, path, about)
+    said, back, lines = bundles.read_bundle(spark, path)
+    nodes = said["reproducibility"]["corpus"]["nodes"]
+    results = back.groupBy("runId").agg(F.count("*").alias("n_results"), F.sum("contextChars").alias("chars"))
+    table = lines.groupBy(F.split("value", ";")[1].alias("runId")).agg(F.count("*").alias("n_lines"))
+    return results.join(table, "runId").select("runId", "n_results", "n_lines", "chars", F.lit(nodes).cast("long").alias("n_nodes"))
+
+
 def snapshots(spark: SparkSession, d: str) -> DataFrame:
     """The state of each user's snapshot after two stores of events were put over each other."""
     e = b.table(spark, d, "events")
@@ -119,6 +133,7 @@ u AS (SELECT *, CASE WHEN k % 4 <> 0 THEN day ELSE 'legacy_unknown_run' END AS r
 v AS (SELECT *, CASE WHEN k % 2 = 1 THEN greatest(0, lat - CASE WHEN k % 3 = 1 THEN 10 ELSE 0 END) ELSE lat END AS gen FROM u)
 SELECT ord, concat_ws(';', CASE WHEN k % 3 <> 0 THEN 't' || ord ELSE 'legacy_' || ord || '_' || CASE WHEN k % 2 = 0 THEN ord ELSE 0 END END, run, run || '_r' || rep, rep, CASE WHEN k % 2 = 0 THEN k ELSE ord + 1 END, CASE WHEN k % 6 = 0 THEN CAST(user_id AS VARCHAR) ELSE '' END, '', '', CASE WHEN k % 7 = 0 THEN 'seeded' ELSE 'legacy-order-unknown' END, 'q' || user_id, event_type, 'tfidf', 'extractive', CASE WHEN k % 2 = 0 THEN 'korrekt' ELSE 'falsch' END, '', CASE WHEN k % 8 = 0 THEN 'korrekt' ELSE '' END, '',
  CASE WHEN lat = floor(lat) THEN CAST(CAST(lat AS BIGINT) AS VARCHAR) ELSE CAST(lat AS VARCHAR) END, scope, CASE WHEN k % 3 = 1 THEN '10' ELSE '' END, '', CASE WHEN gen = floor(gen) THEN CAST(CAST(gen AS BIGINT) AS VARCHAR) ELSE CAST(gen AS VARCHAR) END, k, '', '', 'a|' || event_type, CASE WHEN k % 2 = 0 THEN CAST(ord AS VARCHAR) ELSE '' END, '"Sie sagte ""' || event_type || '"" und ging."') AS line FROM v"""),
+    "export_bundle": (export_bundle, f"SELECT CASE WHEN k % 4 <> 0 THEN day ELSE 'legacy_unknown_run' END AS runId, count(*) AS n_results, count(*) AS n_lines, CAST(sum(k) AS BIGINT) AS chars, (SELECT count(*) FROM ({b.NAMES_SQL})) AS n_nodes FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events) GROUP BY ALL"),
     "export_json": (export_json, "SELECT CASE WHEN k % 4 <> 0 THEN day ELSE 'legacy_unknown_run' END AS runId, count(*) AS n, 3 AS version, CAST(sum(k) AS BIGINT) AS chars, count(*) AS held FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events) GROUP BY ALL"),
     "snapshots": (snapshots, "WITH r AS (SELECT user_id AS key, event_id % 2 AS late, max(CAST(ts AS DATE)) AS day, max(event_id) AS value FROM events GROUP BY ALL) SELECT key, strftime(day, '%Y-%m-%d') AS day, value FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY day DESC, late DESC) = 1"),
 }
