@@ -54,7 +54,10 @@ def _best(q_whole: np.ndarray, q_far: np.ndarray, q_ids: np.ndarray, x_whole: np
         np.maximum(gap, np.abs(q_far[:, p, None] - x_far[None, :, p]), out=gap)
     # Squared distances are sums of integers, exact below 2**53; beyond, their relative error and that of the root stay
     # under 1e-6 of the squared lengths that they are made of, which the bound is raised by.
-    squares = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :]
+    q_squares, x_squares = (q * q).sum(1), (x * x).sum(1)
+    squares = q_squares[:, None] + x_squares[None, :]
+    # No partial sum of a product is larger than the product of the lengths; below 2**53 doubles hold them all exactly.
+    small = math.sqrt(q_squares.max()) * math.sqrt(x_squares.max()) < 2.0**52
     far = (q_far**2).max(1)[:, None] + (x_far**2).max(1)[None, :]
     bound = (squares - gap**2) / 2 + 1 + 1e-6 * (squares + far)
     order = np.argsort(-bound, axis=1)
@@ -66,7 +69,7 @@ def _best(q_whole: np.ndarray, q_far: np.ndarray, q_ids: np.ndarray, x_whole: np
             at += len(part)
             part = part[x_ids[part] != q_ids[i]]
             mine = np.concatenate([mine, part])
-            best = np.concatenate([best, _products(x_whole[part], q_whole[i])])
+            best = np.concatenate([best, (x[part] @ q[i]).astype(np.int64) if small else _products(x_whole[part], q_whole[i])])
             top = np.lexsort((x_ids[mine], ~best))[:k]
             mine, best = mine[top], best[top]
             done = at >= len(x) or len(best) == k and bound[i, order[i, at]] < best[-1]
