@@ -61,12 +61,23 @@ def write_csv(trials: DataFrame, path: str, order: str = "ord") -> None:
     lines.select(F.col("line").alias(";".join(EXPORTED))).write.mode("overwrite").option("header", True).option("quote", "").option("sep", "\u0001").csv(path)
 
 
+#: Results of a JSON document at most; a power of two, so that no document reaches over partitions.
+RESULTS = 4096
+
+
 def json_documents(trials: DataFrame, by: str = "runId") -> DataFrame:
-    """(by, document): one nested JSON document per run, with schema version, ordering and its results by place."""
+    """(by, part, document): each run as nested JSON documents of up to RESULTS results by place, with schema version and ordering.
+
+    A run has as many documents as it needs, so none is larger than a task can hold; part rises along the run's order,
+    and count is a document's own. Ranges of runs and places are sorted apart, and each is cut into documents.
+    """
+    rest = [c for c in trials.columns if c not in (by, "order")]
+    ranged = trials.repartitionByRange(by, "order", *rest).sortWithinPartitions(by, "order", *rest)
+    cut = ranged.withColumn("part", F.shiftright(F.monotonically_increasing_id(), RESULTS.bit_length() - 1))
     results = F.transform(F.array_sort(F.collect_list(F.struct("order", F.struct(*[c for c in trials.columns if c != by]).alias("trial")))), lambda x: x["trial"])
-    made = trials.groupBy(by).agg(F.count("*").alias("n"), results.alias("results"))
+    made = cut.groupBy(by, "part").agg(F.count("*").alias("n"), results.alias("results"))
     order = F.struct(F.lit("order").alias("by"), F.lit("questions and conditions are shuffled by seed").alias("note"))
-    return made.select(by, F.to_json(F.struct(F.lit(3).alias("schemaVersion"), F.col(by), F.col("n").alias("count"), order.alias("ordering"), "results")).alias("document"))
+    return made.select(by, "part", F.to_json(F.struct(F.lit(3).alias("schemaVersion"), F.col(by), F.col("n").alias("count"), order.alias("ordering"), "results")).alias("document"))
 
 
 def put_newer(stored: DataFrame, rows: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators that SQL cannot express, and edge cases, against plain Python."""
 
+import json
 import random
 import re
 import unicodedata
@@ -416,3 +417,17 @@ def test_medians(spark, n):
     df = spark.createDataFrame([("k", v) for v in x], "key string, v double")
     got = stats.exact_ranks(df, "key", "v", {"u": stats.upper_median(), "m": stats.nearest_rank(0.5)}).collect()
     assert [(r["u"], r["m"]) for r in got] == ([(sorted(x)[n // 2], sorted(x)[max(1, -(-n // 2)) - 1])] if n else [])
+
+
+def test_file_size_takes_halves_to_the_even_digit(spark):
+    assert [one(spark, t.file_size(F.lit(n))) for n in (1280, 1792, 1048576 * 5 // 4, 1300)] == ["1,2 KB", "1,8 KB", "1,2 MB", "1,3 KB"]
+
+
+def test_a_large_run_is_several_documents(spark, monkeypatch):
+    """No document holds more than RESULTS results; together they hold the run once, in order of place."""
+    monkeypatch.setattr(io, "RESULTS", 8)
+    df = spark.range(100).select(F.lit("r").alias("runId"), (F.col("id") % 7).cast("int").alias("order"), F.col("id").cast("string").alias("id"))
+    made = [json.loads(r["document"]) for r in io.json_documents(df).orderBy("part").collect()]
+    assert max(len(x["results"]) for x in made) <= 8 and all(x["count"] == len(x["results"]) for x in made)
+    held = [(x["order"], x["id"]) for m in made for x in m["results"]]
+    assert held == sorted((i % 7, str(i)) for i in range(100))
