@@ -7,6 +7,7 @@ watermark has come.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -31,6 +32,10 @@ class Timed:
     kept: str
     start: State
 
+    def begun(self, held: State) -> State:
+        """A state that steps may change, of held values."""
+        return [list(x) if isinstance(x, (list, tuple)) else x for x in held]
+
     def event(self, state: State, row, emit: Callable) -> None:
         """Takes one event into the state."""
         raise NotImplementedError
@@ -58,6 +63,10 @@ class _Outbox(Timed):
     def __init__(self, interval: int):
         self.interval = interval
 
+    def begun(self, held: State) -> State:
+        # The line grows where states come faster than they are sent: taking from it must not copy it.
+        return [deque(x) if isinstance(x, (list, tuple)) else x for x in held]
+
     def event(self, state: State, row, emit: Callable) -> None:
         phase, question, current = state[:3]
         if row.command == "sync":  # the newest state is published anew
@@ -67,7 +76,8 @@ class _Outbox(Timed):
         else:
             state[:3] = row.phase, int(row.question), int(row.event_id)
             if current is None or (phase, question) != (row.phase, int(row.question)):
-                state[3], state[4] = [*state[3], int(row.event_id)], None
+                state[3].append(int(row.event_id))
+                state[4] = None
             else:
                 state[4], state[5] = int(row.event_id), False
         if state[7] is None:
@@ -76,8 +86,7 @@ class _Outbox(Timed):
     def fire(self, state: State, emit: Callable) -> None:
         at = state[7]
         if state[3]:
-            first, *state[3] = state[3]
-            emit(first, at, False)
+            emit(state[3].popleft(), at, False)
         else:
             emit(state[4], at, bool(state[5]))
             state[4] = None
@@ -125,7 +134,7 @@ def _batch(events: DataFrame, step: Timed, until: int | None) -> DataFrame:
                 if key != room:
                     if state is not None:
                         step.until(state, end, emit)
-                    room, state = key, list(step.start)
+                    room, state = key, step.begun(step.start)
                 step.over(state, rows, emit)
             yield _frame(made, step.out)
             made.clear()
@@ -142,12 +151,12 @@ def _stream(events: DataFrame, step: Timed) -> DataFrame:
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         made: list = []
         emit = lambda *x: made.append((key[0], *x))
-        state = [list(x) if isinstance(x, (list, tuple)) else x for x in (held.get if held.exists else step.start)]
+        state = step.begun(held.get if held.exists else step.start)
         if not held.hasTimedOut:
             step.over(state, pd.concat(list(batches)).sort_values(["at", "event_id"]), emit)
         now = held.getCurrentWatermarkMs()
         step.until(state, now, emit)
-        held.update(tuple(state))
+        held.update(tuple(list(x) if isinstance(x, deque) else x for x in state))
         if state[-1] is not None:
             held.setTimeoutTimestamp(max(state[-1], now + 1))
         yield _frame(made, step.out)

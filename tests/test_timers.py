@@ -1,7 +1,9 @@
 """Outbox, reveals, inbox and moderated commits: batch against plain Python, stream against batch."""
 
 import random
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +146,15 @@ def test_moderated_commits_happen_once(spark, tmp_path):
     assert set(got) == {"u_hannah_arendt", "u_ethik"} and len(got["u_ethik"]["provenance"]) == 2  # two rooms, the base's id is refused
     table = moderation.decided(*[x.unionByName(y) for x, y in (asked, said)])
     assert {(r["id"], r["accepted"]) for r in table.collect()} == {("a", True), ("b", True), ("c", True), ("d", True), ("e", False)}
+
+
+def test_a_long_line_is_not_copied():
+    """States that come faster than they are sent wait in line, each taken in and sent in constant time."""
+    step, out = timers._Outbox(1000), []
+    state = step.begun(step.start)
+    rows = pd.DataFrame({"event_id": range(200_000), "at": range(200_000), "phase": ["a", "b"] * 100_000, "question": 0, "command": "state"})
+    begun = time.process_time()
+    step.over(state, rows, lambda *x: out.append(x))
+    step.until(state, 1 << 62, lambda *x: out.append(x))
+    assert [x[0] for x in out] == list(range(200_000)) and time.process_time() - begun < 20
+    assert not step.start[3]
