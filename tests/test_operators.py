@@ -431,3 +431,54 @@ def test_a_large_run_is_several_documents(spark, monkeypatch):
     assert max(len(x["results"]) for x in made) <= 8 and all(x["count"] == len(x["results"]) for x in made)
     held = [(x["order"], x["id"]) for m in made for x in m["results"]]
     assert held == sorted((i % 7, str(i)) for i in range(100))
+
+
+@pytest.mark.parametrize("k", [1, 2, 5])
+def test_seeds_are_the_best_of_all_documents(spark, monkeypatch, k):
+    """Floors, rarer terms and blocks of questions leave out no document, whatever its rank or ties."""
+    monkeypatch.setattr(retrieval, "WIDE", 3)
+    monkeypatch.setattr(retrieval, "QUESTIONS", 7)
+    r = random.Random(k)
+    words = [f"wort{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(5)]
+    some = lambda n: " ".join(w for w in words if r.random() < n / (2 + words.index(w)))
+    docs = [(f"{i:03}", "", some(r.choice([2, 4, 9]))) for i in range(120)]
+    asked = [(i, some(6)) for i in range(30)] + [(30, "nirgendwo"), (31, "")]
+    index = retrieval.term_index(spark.createDataFrame(docs, "id string, title string, summary string"))
+    found = retrieval.lexical_seeds(index, spark.createDataFrame(asked, "id long, text string"), k)
+    stems = lambda x: set(spark.createDataFrame(x, "id string, text string").select("id", F.explode(t.terms(F.col("text")))).collect())
+    held, wanted = {}, {}
+    for i, w in stems([(i, x) for i, _, x in docs]):
+        held.setdefault(i, set()).add(w)
+    for i, w in stems([(str(i), x) for i, x in asked]):
+        wanted.setdefault(int(i), set()).add(w)
+    best = []
+    for q, w in wanted.items():
+        hits = sorted((-len(w & h), i) for i, h in held.items() if w & h)[:k]
+        best += [(q, i, -n, p + 1) for p, (n, i) in enumerate(hits)]
+    assert sorted(tuple(x) for x in found.select("question_id", "id", "hits", "rank").collect()) == sorted(best)
+
+
+def test_ranking_does_not_shuffle_all_hits(spark):
+    """Products are added up where a document's postings are: what is grouped by question and document is not dealt again."""
+    docs = spark.createDataFrame([("a", "x", "eins zwei"), ("b", "y", "zwei drei")], "id string, title string, summary string")
+    index = retrieval.term_index(docs)
+    posts, tasks = retrieval.dealt(index)
+    grouped = posts.join(F.broadcast(spark.createDataFrame([(1, "zwei")], "question_id long, term string")), "term").groupBy("question_id", "id").count()
+    plan = grouped._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert sorted(tuple(x) for x in retrieval.tfidf_topk(index, spark.createDataFrame([(1, "zwei vier")], "id long, text string")).select("question_id", "id", "rank").collect()) == [(1, "a", 1), (1, "b", 2)]
+
+
+def test_mentions_shuffle_no_runs(spark, monkeypatch):
+    """Runs of words meet the names where they stand; the last words of a text are found too."""
+    plans = {}
+
+    def stored(df, what, real=build.stored):
+        plans[what] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, what)
+
+    monkeypatch.setattr(build, "stored", stored)
+    docs = spark.createDataFrame([("d1", "und eins zwei drei vier"), ("d2", "vier"), ("d3", "eins zwei drei")], "id string, text string")
+    names = spark.createDataFrame([("b1", "eins zwei drei vier"), ("b2", "Vier"), ("b3", "fehlt")], "id string, title string")
+    assert sorted(tuple(x) for x in build.mention_edges(docs, names).collect()) == [("d1", "b1", 1), ("d1", "b2", 4), ("d2", "b2", 0)]
+    assert "Exchange hashpartitioning(source" not in plans["places"]
