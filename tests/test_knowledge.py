@@ -210,3 +210,13 @@ def test_chunks_equal_their_definition():
     for _ in range(60):
         text = "".join(r.choice(["a" * r.randint(1, 30), " ", ". ", "\n", "\n\n", "  ", "»  "]) for _ in range(r.randint(0, 400)))
         assert [(b, p) for b, _, p in build.chunk(text)] == plain(text)
+
+
+def test_growth_stores_edges_once(spark, monkeypatch):
+    """Blocks are found from the edges themselves, without a second table of their ends."""
+    names = []
+    monkeypatch.setattr(growth, "stored", lambda df, what, real=growth.stored: names.append(what) or real(df, what))
+    edges = spark.createDataFrame([(0, "a", "b"), (5000, "c", "b"), (5001, "a", "c"), (9000, "b", "d")], "ord long, source string, target string")
+    found = growth.joins(edges, spark.createDataFrame([("a",)], "node string"))
+    assert {x["node"]: x["joined"] for x in found.collect()} == {"a": -1, "b": 0, "c": 5000, "d": 9000}
+    assert set(names) == {"edges", "joins", "new"}
