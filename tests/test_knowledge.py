@@ -220,3 +220,13 @@ def test_growth_stores_edges_once(spark, monkeypatch):
     found = growth.joins(edges, spark.createDataFrame([("a",)], "node string"))
     assert {x["node"]: x["joined"] for x in found.collect()} == {"a": -1, "b": 0, "c": 5000, "d": 9000}
     assert set(names) == {"edges", "joins", "new"}
+
+
+def test_import_keeps_texts_once(spark, monkeypatch):
+    """The texts of sections are stored as sections, not as chunks besides."""
+    names = []
+    monkeypatch.setattr(documents, "stored", lambda df, what, real=documents.stored: names.append(what) or real(df, what))
+    docs = spark.createDataFrame([(1, "T", "Ein Satz. " * 300)], "id long, title string, text string")
+    none = spark.createDataFrame([], "id string, title string, summary string")
+    made = documents.Imported(docs, none, none.select("id"), spark.createDataFrame([], "source string, relation string, target string"))
+    assert made.made_nodes.count() == 4 and sorted(names) == ["documents", "sections"]
