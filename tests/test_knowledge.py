@@ -1,5 +1,6 @@
 """Triples with evidence, document imports, capped edges, quiz decks and growth against plain Python, with edge cases."""
 
+import math
 import random
 
 import pytest
@@ -230,3 +231,44 @@ def test_import_keeps_texts_once(spark, monkeypatch):
     none = spark.createDataFrame([], "id string, title string, summary string")
     made = documents.Imported(docs, none, none.select("id"), spark.createDataFrame([], "source string, relation string, target string"))
     assert made.made_nodes.count() == 4 and sorted(names) == ["documents", "sections"]
+
+
+# Pairs of profiles
+def _profiled(n):
+    """Profiles of a few terms each out of a frequent, a middling and many rare ones, and weights of all sizes."""
+    r = random.Random(n)
+    rows = []
+    for i in range(n):
+        terms = set(r.sample(["f1", "f2", "f3", "f4"], r.randint(0, 4))) | set(r.sample([f"m{k}" for k in range(12)], r.randint(0, 4))) | set(r.sample([f"r{k}" for k in range(60)], r.randint(0, 3)))
+        rows += [(f"d{i:03d}", t, round(r.choice([0.1, 1.0, 5.0]) * (1 + r.random()), 6)) for t in terms]
+    return rows
+
+
+@pytest.mark.parametrize("tile", [3, 1024])
+def test_pairs_in_tiles_are_all_pairs(spark, monkeypatch, tile):
+    """Every pair is found once, whatever the tiles, and none is shuffled after it was met."""
+    monkeypatch.setattr(build, "TILE", tile, raising=False)
+    rows = _profiled(70)
+    by = {}
+    for i, t, w in rows:
+        by.setdefault(i, {})[t] = w
+    want, close = {}, {}
+    for a, x in by.items():
+        for b, y in by.items():
+            both = x.keys() & y.keys()
+            overlap = round(sum(min(x[t], y[t]) for t in both) / min(sum(x.values()), sum(y.values())), 6)
+            cosine = round(sum(x[t] * y[t] for t in both) / math.sqrt(sum(w * w for w in x.values()) * sum(w * w for w in y.values())), 6)
+            if a < b and len(both) >= 2 and overlap >= build.TOPIC_OVERLAP:
+                want[a, b] = (overlap, len(both))
+            if a != b and int(a[1:]) % 2 == 0 and len(both) >= 3 and cosine >= build.COSINE:
+                close[a, b] = (cosine, len(both))
+    df = spark.createDataFrame(rows, "id string, term string, weight double")
+    found = build.topic_pairs(df)
+    same = lambda rows, score, by: len(rows) == len(by) and all(by[x["a"], x["b"]] == (pytest.approx(x[score], abs=2e-6), x["shared"]) for x in rows)
+    assert same(found.collect(), "overlap", want)
+    ids = df.select("id").distinct()
+    near = build.similarity_pairs(df, ids.filter("int(substring(id, 2)) % 2 = 0"), ids, spark.createDataFrame([("d000", "d001")], "a string, b string"))
+    close.pop(("d000", "d001"), None)
+    assert same(near.collect(), "cosine", close)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Aggregate" not in plan
