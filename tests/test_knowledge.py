@@ -68,6 +68,22 @@ def test_capped_chain_of_ties(spark, monkeypatch, symmetric, limit):
     assert rounds.count("taken") < 15
 
 
+@pytest.mark.parametrize(("symmetric", "block", "levels"), [(True, 20, 200), (False, 20, 200), (True, 20, 3), (False, 20, 3), (True, 10_000, 3)])
+def test_capped_in_blocks(spark, monkeypatch, symmetric, block, levels):
+    """Blocks of falling scores are the greedy choice, also where ties make a block too large for one task; few are needed."""
+    monkeypatch.setattr(build, "BLOCK", block, raising=False)
+    r = random.Random(levels)
+    pairs = {(f"n{a:02d}", f"n{b:02d}"): (r.randint(1, levels) / levels, r.choice([2, 3])) for a in range(24) for b in range(24) if a < b}
+    pairs = [(a, b, *x) for (a, b), x in pairs.items()]
+    df = spark.createDataFrame(pairs, "a string, b string, score double, shared int").repartition(3)
+    parts, keep = [], build.stored
+    monkeypatch.setattr(build, "stored", lambda df, what: keep(df, parts.append(what) or what))
+    cap = (2, 2) if symmetric else (2, 4)
+    assert {(x["a"], x["b"]) for x in build.capped(df, "score", *cap, symmetric).collect()} == greedy(pairs, *cap, symmetric)
+    assert 0 < parts.count("blocks") < (3 if block > 1000 or levels == 3 else 25) + 1
+    assert block < 1000 or "room" not in parts
+
+
 # Imports
 def test_import_of_documents(spark):
     words = "Haus Baum Wiese Garten Blume Sonne Regen Wolke".split()
