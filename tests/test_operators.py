@@ -482,3 +482,18 @@ def test_mentions_shuffle_no_runs(spark, monkeypatch):
     names = spark.createDataFrame([("b1", "eins zwei drei vier"), ("b2", "Vier"), ("b3", "fehlt")], "id string, title string")
     assert sorted(tuple(x) for x in build.mention_edges(docs, names).collect()) == [("d1", "b1", 1), ("d1", "b2", 4), ("d2", "b2", 0)]
     assert "Exchange hashpartitioning(source" not in plans["places"]
+
+
+def test_token_counts_fold_after_counting(spark):
+    """Parts are folded as whole texts are, whatever signs and letters they hold, and a text's words stay in its task."""
+    from korrel.functions import text as t
+    from korrel.operators import retrieval
+
+    letters = "aAeESsnß äÄéÉ\u0301\u0130\u212a\u03a3çŁł-_.,\u2013\u00a0\n\x00 1９²ﬁ"
+    r = random.Random(7)
+    rows = [(i, "".join(r.choice(letters) for _ in range(400))) for i in range(30)] + [(30, None), (31, ""), (32, "Die Wirkungen Wirkung WIRKUNGEN; Größe groesse GRÖSSEN.")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    want = df.select("id", F.explode(t.terms(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    made = retrieval.postings(df.withColumn("title", F.lit(None).cast("string")), body="text")
+    assert {tuple(x) for x in made.select("id", "term", "tf").collect()} == {tuple(x) for x in want.collect()}
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
