@@ -288,3 +288,14 @@ def test_pairs_in_tiles_are_all_pairs(spark, monkeypatch, tile):
     assert same(near.collect(), "cosine", close)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and "Aggregate" not in plan
+
+
+def test_walks_carry_numbers(spark, monkeypatch):
+    """What decks store on their way has neither the hashes that order it nor the edges that a walk took."""
+    nodes = spark.createDataFrame([(f"n{k}", f"T{k}", "t") for k in range(8)], "id string, title string, type string")
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}", "r", "l") for a in range(8) for b in range(a)], "source string, target string, relation string, label string")
+    held, keep = {}, quiz.stored
+    monkeypatch.setattr(quiz, "stored", lambda df, what: keep(df, held.setdefault(what, df.columns) and what))
+    made = quiz.deck(nodes, edges, 3, 5).collect()
+    assert len(made) == 8 and all([s["from"] for s in r["steps"]][1:] == [s["to"] for s in r["steps"]][:-1] and r["steps"][0]["from"] == r["start"] for r in made)
+    assert "mark" not in held["numbered"] and "steps" not in held["walks"]
