@@ -7,6 +7,7 @@ import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -67,12 +68,14 @@ def embedded(texts: DataFrame, model: Model, cache: str, id: str = "id", text: s
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for lo in range(0, len(batch), BATCH):
-                some = batch.iloc[lo : lo + BATCH]
-                vectors = [[float(x) for x in v] for v in model.encode(some["text"].tolist())]
-                yield pd.DataFrame({"digest": some["digest"], "v": vectors})
+            texts = batch["text"].tolist()
+            vectors = [np.asarray(v, "float64") for lo in range(0, len(texts), BATCH) for v in model.encode(texts[lo : lo + BATCH])]
+            yield pd.DataFrame({"digest": batch["digest"], "v": vectors})
 
     missing.mapInPandas(run, CACHE).write.mode("append").parquet(model.folder(cache))
-    # A job that was begun twice may have appended a text twice.
-    vectors = stored(kept(spark, cache, model).groupBy("digest").agg(F.first("v").alias("v")), "vectors")
-    return rows.select("id", "digest").join(vectors, "digest").select("id", "v")
+    # Vectors meet the rows as the cache has them: it is reduced only if a job that was begun twice appended a text twice.
+    digests, vectors = rows.select("id", "digest"), kept(spark, cache, model)
+    met = stored(digests.join(vectors, "digest").select("id", "v"), "vectors")
+    if met.count() == rows.count():
+        return met
+    return stored(digests.join(vectors.groupBy("digest").agg(F.first("v").alias("v")), "digest").select("id", "v"), "vectors")

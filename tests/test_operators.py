@@ -497,3 +497,37 @@ def test_token_counts_fold_after_counting(spark):
     made = retrieval.postings(df.withColumn("title", F.lit(None).cast("string")), body="text")
     assert {tuple(x) for x in made.select("id", "term", "tf").collect()} == {tuple(x) for x in want.collect()}
     assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_traversal_moves_only_edges_at_its_nodes(spark, monkeypatch):
+    """A level keeps the edges at its own nodes; those elsewhere in the graph are not stored."""
+    kept = []
+
+    def stored(df, what, real=graph.stored):
+        made = real(df, what)
+        if what == "around":
+            kept.append({(r["node"], r["other"]) for r in made.collect()})
+        return made
+
+    monkeypatch.setattr(graph, "stored", stored)
+    names = spark.createDataFrame([(c, f"Titel {c}") for c in "abcyz"], "id string, title string")
+    edges = spark.createDataFrame([(s, t, "kennt", "kennt") for s, t in ("ab", "cb", "yz", "zy")], "source string, target string, relation string, label string")
+    sub = graph.traverse(spark.createDataFrame([(1, "a", 0)], "question_id long, id string, pos int"), edges, spark.createDataFrame([(1, "Wen kennt a?")], "id long, text string"), names)
+    assert [(r["source"], r["target"], r["level"]) for r in sub.edges.orderBy("step").collect()] == [("a", "b", 0), ("c", "b", 1)]
+    assert kept == [{("a", "b")}, {("b", "a"), ("b", "c")}, {("c", "b")}]
+
+
+def test_names_are_folded_once(spark, monkeypatch):
+    """Names meet questions from one stored table of keys; of nodes with one key the smallest id counts."""
+    kept = {}
+
+    def stored(df, what, real=graph.stored):
+        made = real(df, what)
+        kept[what] = {tuple(r) for r in made.select("key", "id").collect()}
+        return made
+
+    monkeypatch.setattr(graph, "stored", stored)
+    names = spark.createDataFrame([("b", "Kant, Immanuel"), ("a", "kant  immanuel"), ("c", "Kant"), ("d", "-"), ("e", None)], "id string, title string")
+    q = spark.createDataFrame([(1, "Wer war Kant Immanuel?"), (2, "Und Kant?")], "id long, text string")
+    assert sorted(tuple(r) for r in graph.link_entities(q, names).collect()) == [(1, "a", 0), (2, "c", 0)]
+    assert kept == {"keys": {("kant immanuel", "a"), ("kant", "c")}}

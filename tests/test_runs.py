@@ -33,6 +33,25 @@ def test_texts_are_encoded_once(spark, tmp_path):
     assert embeddings.embedded(frame([(1, "x")]).limit(0), Model("m", strict(set())), cache).count() == 0
 
 
+def test_a_call_keeps_its_own_vectors(spark, tmp_path, monkeypatch):
+    """Of a cache, only the vectors of the call's texts are stored again; a text that it holds twice counts once."""
+    cache, model, counts = str(tmp_path / "cache"), Model("m", embeddings.character_shares), []
+    frame = lambda rows: spark.createDataFrame(rows, "id long, text string")
+    embeddings.embedded(frame([(i, f"text {i}") for i in range(40)]), model, cache)
+
+    def stored(df, what, real=embeddings.stored):
+        made = real(df, what)
+        counts.append((what, made.count()))
+        return made
+
+    monkeypatch.setattr(embeddings, "stored", stored)
+    assert embeddings.embedded(frame([(1, "text 7"), (2, "text 7")]), model, cache).count() == 2
+    assert counts == [("texts", 2), ("vectors", 2)]
+    held = embeddings.kept(spark, cache, model)
+    held.filter("digest = unhex(sha2('text 7', 256))").write.mode("append").parquet(model.folder(cache))
+    assert [r["id"] for r in embeddings.embedded(frame([(1, "text 7"), (2, "text 8")]), model, cache).orderBy("id").collect()] == [1, 2]
+
+
 def test_dense_hits_fall_back(spark):
     nodes = spark.createDataFrame([("a", "Kant", "schrieb Kritik"), ("b", "Zoo", "xx yy zz"), ("c", "Hegel", None)], "id string, title string, summary string")
     asked = spark.createDataFrame([(1, "Wer schrieb die Kritik: Kant?")], "id int, text string")
