@@ -531,3 +531,25 @@ def test_names_are_folded_once(spark, monkeypatch):
     q = spark.createDataFrame([(1, "Wer war Kant Immanuel?"), (2, "Und Kant?")], "id long, text string")
     assert sorted(tuple(r) for r in graph.link_entities(q, names).collect()) == [(1, "a", 0), (2, "c", 0)]
     assert kept == {"keys": {("kant immanuel", "a"), ("kant", "c")}}
+
+
+@pytest.mark.parametrize("few", [0, 1 << 16])
+def test_paths_in_portions(spark, monkeypatch, few):
+    """Edges are dealt in portions, a hub's in parts, and no path is lost or doubled; repeated edges are one, repeated starts are not."""
+    for name, value in (("PORTION", 16), ("PART", 5), ("FEW", few)):
+        monkeypatch.setattr(graph, name, value)
+    r = random.Random(4)
+    pairs = [("h", f"n{i:02}") for i in range(40)] + [(f"n{r.randint(0, 39):02}", f"n{r.randint(0, 39):02}") for _ in range(60)]
+    pairs += [(b, a) for a, b in pairs[:9]] + [("h", "h"), ("x", None), ("n00", "x")]
+    near = {}
+    for a, b in pairs:
+        if b is not None:
+            near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+    starts = ["h", "n00", "n00", "fehlt"]
+    want = [(s, [s]) for s in starts]
+    for _ in range(3):
+        want = [(s, [*p, o]) for s, p in want for o in near.get(p[-1], ()) if o not in p]
+    edges = spark.createDataFrame([(a, b, rel, rel) for a, b in pairs for rel in ("kennt", "lehrt")], "source string, target string, relation string, label string")
+    made = graph.paths(edges, spark.createDataFrame([(s,) for s in starts], "node string"), 3)
+    assert sorted(tuple(x) for x in made.collect()) == sorted((s, ">".join(p)) for s, p in want)
+    assert made.rdd.getNumPartitions() >= 28  # 448 rows of edges from both ends, or more paths than that
