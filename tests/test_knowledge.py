@@ -249,6 +249,63 @@ def test_import_keeps_texts_once(spark, monkeypatch):
     assert made.made_nodes.count() == 4 and sorted(names) == ["documents", "sections"]
 
 
+def test_text_hashes_are_stable_hashes(spark):
+    from korrel.functions import text as t
+
+    r = random.Random(5)
+    texts = ["", "a", "ß𝄞é", "x" * 5000] + ["".join(r.choice("abcäöü 𝄞\n") for _ in range(r.choice([3, 40, 900]))) for _ in range(80)]
+    want = [x[0] for x in spark.createDataFrame([(x,) for x in texts], "x string").coalesce(1).select(t.stable_hash("x")).collect()]
+    assert documents.text_hashes(texts) == want and documents.text_hashes([]) == []
+    real, documents.CODES = documents.CODES, 1000  # several parts
+    try:
+        assert documents.text_hashes(texts) == want
+    finally:
+        documents.CODES = real
+
+
+def test_nodes_of_documents_need_no_edges(spark, small, monkeypatch):
+    """document_nodes cuts and hashes texts once, and counts no words."""
+    from korrel.queries import knowledge
+
+    names = []
+    for module in (documents, build):
+        monkeypatch.setattr(module, "stored", lambda df, what, real=module.stored: names.append(what) or real(df, what))
+    assert knowledge.document_nodes(spark, small).count() > 200 and sorted(names) == ["documents", "sections"]
+
+
+def test_names_are_looked_for_once(spark, monkeypatch):
+    """Mentions by names of one node and of several come from one look at the texts; the report joins no second one."""
+    names = []
+    monkeypatch.setattr(build, "stored", lambda df, what, real=build.stored: names.append(what) or real(df, what))
+    docs = spark.createDataFrame([(1, "T", "Anna Berg sah den Doppelt."), (2, "U", "nichts")], "id long, title string, text string")
+    nodes = spark.createDataFrame([("a", "Anna Berg", ""), ("d1", "Doppelt", ""), ("d2", "doppelt", "")], "id string, title string, summary string")
+    made = documents.Imported(docs, nodes, nodes.select("id"), spark.createDataFrame([], "source string, relation string, target string"))
+    by = {x["doc"]: x for x in made.report.collect()}
+    assert by[1]["mentions"] == 1 and by[1]["skipped_edges"] == 2 and by[2]["no_relation"] and names.count("words") == 1
+
+
+@pytest.mark.parametrize("heads", [0, 100])
+def test_names_of_many_first_words(spark, monkeypatch, heads):
+    monkeypatch.setattr(build, "HEADS", heads)
+    docs = spark.createDataFrame([("d", "eins zwei drei vier, eins zwei"), ("e", "zwei"), ("f", None)], "id string, text string")
+    nodes = spark.createDataFrame([("a", "Eins zwei drei vier"), ("b", "eins zwei"), ("c", "zwei"), ("c2", "Zwei!"), ("g", "vier eins zwei drei")], "id string, title string")
+    found = {tuple(x) for x in build.named_nodes(docs, nodes).collect()}
+    assert found == {("d", "a", False, 0), ("d", "b", False, 0), ("d", "c", True, 1), ("d", "c2", True, 1), ("e", "c", True, 0), ("e", "c2", True, 0)}
+
+
+def test_copies_of_a_document_are_as_similar_as_one(spark):
+    theme = "Haus Baum Wiese Garten Blume Sonne Regen Wolke"
+    nodes = spark.createDataFrame([("g", "Anderes", theme), ("z", "Etwas", "ganz andere Dinge")], "id string, title string, summary string")
+    none = spark.createDataFrame([], "source string, relation string, target string")
+    scores = []
+    for n in (1, 3):
+        docs = spark.createDataFrame([(k, "Gleich", f"{theme}.") for k in range(n)], "id long, title string, text string")
+        near = documents.Imported(docs, nodes, nodes.select("id"), none).edges.filter("relation = 'thematisch_aehnlich'").select("doc", "target", "score").collect()
+        assert sorted(x["doc"] for x in near) == list(range(n))
+        scores.append({(x["target"], x["score"]) for x in near})
+    assert scores[0] == scores[1] and all(s <= 1 for _, s in scores[0])
+
+
 # Pairs of profiles
 def _profiled(n):
     """Profiles of a few terms each out of a frequent, a middling and many rare ones, and weights of all sizes."""
