@@ -22,7 +22,7 @@ def matched_nodes(spark: SparkSession, d: str) -> DataFrame:
 def coverage(spark: SparkSession, d: str) -> DataFrame:
     """Whether any document covers a conversation's question."""
     asked = b.messages(spark, d).filter("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
-    return e.coverage(retrieval.lexical_seeds(retrieval.term_index(b.nodes(spark, d)), asked, 1).select("question_id", "hits"), asked)
+    return e.coverage(retrieval.most_hits(retrieval.term_index(b.nodes(spark, d)), asked), asked)
 
 
 def source_refs(spark: SparkSession, d: str) -> DataFrame:

@@ -433,6 +433,28 @@ def test_a_large_run_is_several_documents(spark, monkeypatch):
     assert held == sorted((i % 7, str(i)) for i in range(100))
 
 
+@pytest.mark.parametrize("wide", [1, 3, 64])
+def test_most_hits_of_any_document(spark, monkeypatch, wide):
+    """Only documents with more hits than the widest are looked for, and the largest number is found whatever the widest have."""
+    monkeypatch.setattr(retrieval, "WIDE", wide)
+    monkeypatch.setattr(retrieval, "QUESTIONS", 7)
+    near = []
+    monkeypatch.setattr(retrieval, "stored", lambda df, what, real=retrieval.stored: near.append(made) or made if (made := real(df, what)) is not None and what == "near" else made)
+    r = random.Random(wide)
+    words = [f"wort{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(5)]
+    docs = [(f"{i:03}", "", " ".join(r.sample(words, r.choice([1, 2, 4, 9])))) for i in range(80)]
+    asked = [(f"{i}-0", " ".join(r.sample(words, r.randint(1, 9)))) for i in range(30)] + [("30-0", "nirgendwo"), ("31-0", None)]
+    found = retrieval.most_hits(retrieval.term_index(spark.createDataFrame(docs, "id string, title string, summary string")), spark.createDataFrame(asked, "id string, text string"))
+    plain = {q: max(len(set(x.split()) & set(text.split())) for _, _, text in docs) for q, x in asked if x and "wort" in x}
+    assert {x["question_id"]: x["hits"] for x in found.collect()} == plain
+    assert wide < 64 or sum(x.count() for x in near) < 60
+    # Where the widest document has all terms of the questions, no other one is counted.
+    near.clear()
+    docs.append(("all", "", " ".join(words)))
+    found = retrieval.most_hits(retrieval.term_index(spark.createDataFrame(docs, "id string, title string, summary string")), spark.createDataFrame(asked, "id string, text string"))
+    assert {x["question_id"]: x["hits"] for x in found.collect()} == {q: len(x.split()) for q, x in asked if q in plain} and sum(x.count() for x in near) == 0
+
+
 @pytest.mark.parametrize("k", [1, 2, 5])
 def test_seeds_are_the_best_of_all_documents(spark, monkeypatch, k):
     """Floors, rarer terms and blocks of questions leave out no document, whatever its rank or ties."""
