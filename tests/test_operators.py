@@ -433,6 +433,14 @@ def test_a_large_run_is_several_documents(spark, monkeypatch):
     assert held == sorted((i % 7, str(i)) for i in range(100))
 
 
+def test_profiles_are_computed_once(spark, small):
+    """What classes and pairs read twice is a stored table, and no ranking of all terms."""
+    from korrel.queries import build as queries
+
+    plan = queries._profiles(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan and "Window" not in plan and "Join" not in plan
+
+
 @pytest.mark.parametrize("wide", [1, 3, 64])
 def test_most_hits_of_any_document(spark, monkeypatch, wide):
     """Only documents with more hits than the widest are looked for, and the largest number is found whatever the widest have."""
