@@ -229,6 +229,28 @@ def test_chunks_equal_their_definition():
         assert [(b, p) for b, _, p in build.chunk(text)] == plain(text)
 
 
+def test_shuffled_files_go_when_a_table_is_stored(spark):
+    """What a stored table shuffled does not stay on disk, and the session's own setting comes back."""
+    import os
+    import time
+
+    from korrel.plans import scratch
+
+    dirs = [str(x) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in dirs for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    had, before = files(), spark.conf.get(scratch.CLEANUP, None)
+    made = scratch.stored(spark.range(0, 20_000, 1, 4).groupBy((F.col("id") % 997).alias("k")).agg(F.count("*").alias("n")), "counted")
+    for _ in range(50):
+        if not files() - had:
+            break
+        time.sleep(0.2)
+    assert not files() - had and made.count() == 997 and spark.conf.get(scratch.CLEANUP, None) == before
+    spark.conf.set(scratch.CLEANUP, "false")
+    scratch.stored(spark.range(3), "three")
+    assert spark.conf.get(scratch.CLEANUP) == "false"
+    spark.conf.unset(scratch.CLEANUP)
+
+
 def test_growth_stores_edges_once(spark, monkeypatch):
     """Blocks are found from the edges themselves, without a second table of their ends."""
     names = []
